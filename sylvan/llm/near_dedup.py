@@ -7,9 +7,8 @@
    lays out each order; neighbours that share `depth` leading values are candidates. Small regions give all their
    pairs. In a crowded region the depth adapts: it is divided by further values until the parts are small, and
    parts are linked through their first members and sorted neighbours. Pairs stay proportional to rows.
-3. Candidates are verified on full shingle sets. Each round takes for every document its smallest candidate, then
-   drops pairs that are connected already; when few are left all are verified. Sets are read only for
-   documents with candidates.
+3. Candidates are verified on full shingle sets: first every document against its smallest candidate, then all
+   pairs that this leaves in different components. Sets are read only for documents with candidates.
 4. Components follow from minimum labels with pointer jumping, one written table for each step.
 
 Shingles are compared as 48-bit hashes: two different ones of a pair of 20,000-word texts coincide with a chance
@@ -221,24 +220,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     need = F.broadcast(ids) if many <= BROADCAST_IDS else ids
     wanted = texts.join(need, texts["doc_id"] == need["want"], "left_semi")
     sets = scratch.table(wanted.mapInArrow(_shingle_sets, "doc_id long, shingles binary"), "sets")
-    links, labels, budget = None, None, 2 * many
-    n_left = left.count()
-    while n_left:
-        take = left if n_left <= budget else left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links, labels = None, None
+    for last in (False, True):
+        if not left.count():
+            break
+        take = left if last else left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         checked = scratch.table(_with_sets(take, sets).mapInArrow(_verify, "a long, b long, linked boolean"), "verified")
         new = checked.where("linked").select("a", "b")
         links = new if links is None else links.unionByName(new)
-        if labels is not None:
-            scratch.drop(labels)
-        labels = scratch.table(components(links, scratch), "components")
-        if n_left <= budget:
-            break
-        budget = max(budget // 2, many // 4)
-        rest = left.join(checked, ["a", "b"], "left_anti")
-        rest = _apart(rest, labels)
-        now = scratch.table(rest, "candidates")
-        scratch.drop(left)
-        left, n_left = now, now.count()
+        labels = components(links, scratch)
+        if not last:
+            left = scratch.table(_apart(left.join(checked, ["a", "b"], "left_anti"), labels), "apart")
     scratch.drop(sets)
     whole = reps.select("n_shingles", "f1", "f2", "rep", "copies")
     if labels is not None:

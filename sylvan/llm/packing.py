@@ -30,7 +30,7 @@ WINDOW = 4096
 END = (2).to_bytes(4, "little")
 VOCABULARY = "word_bpe_49k.json"
 #: Entries that a task keeps of text chunks and of words before it starts anew: bounds its memory.
-CACHE = 300_000
+CACHE = 700_000
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -52,6 +52,9 @@ class WordTokenizer:
         of = lambda k: "".join(re.escape(c) for c in plain if unicodedata.category(c)[0] == k)
         self.plain = re.compile(f"[{''.join(map(re.escape, plain))}\\t\\n\\x0b\\x0c\\r]*")
         self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{of('L')}]+|[{of('N')}]|[^{of('L')}{of('N')}]+")
+        vocabulary = self.base.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.chunks: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
@@ -65,8 +68,17 @@ class WordTokenizer:
             self.known.clear()
         parts = [self.words.findall(c) for c in chunks]
         new = list({w for p in parts for w in p if w not in self.known})
-        for w, e in zip(new, self.base.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.asarray(e.ids, "<u4").tobytes()
+        if new:
+            # one call for all: each word's last id is one that closes a word
+            ids = np.array(self.base.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.closes[ids]) + 1) * 4
+            if len(ends) == len(new):
+                data, at = ids.tobytes(), 0
+                for w, end in zip(new, ends.tolist(), strict=True):
+                    self.known[w] = data[at:end]
+                    at = end
+            else:
+                self.known |= {w: self._ids(w) for w in new}
         for c, p in zip(chunks, parts, strict=True):
             self.chunks[c] = b"".join(map(self.known.__getitem__, p))
 

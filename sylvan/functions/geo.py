@@ -15,7 +15,7 @@ def col(x) -> Column:
 def haversine_km(lat1, lng1, lat2, lng2) -> Column:
     lat1, lng1, lat2, lng2 = map(col, (lat1, lng1, lat2, lng2))
     h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
-    return 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return 2 * EARTH_KM * F.when(h < 1, F.asin(F.sqrt(h))).when(h >= 1, F.asin(F.lit(1.0)))  # null without a place
 
 
 def reach(lat, radius_km) -> tuple[Column, Column]:

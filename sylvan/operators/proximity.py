@@ -53,8 +53,8 @@ def nearest_site(points: DataFrame, sites: DataFrame, cells=(0.5, 4.0, 32.0)) ->
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
     for cell in cells:
         own = sites.select("site", "s_lat", "s_lng", cell_index("s_lat", cell).alias("i"), F.pmod(cell_index("s_lng", cell), F.lit(int(360 / cell))).alias("j"))
-        look = left.select("key", "lat", "lng", (cell_index("lat", cell) + F.explode(around)).alias("i"), cell_index("lng", cell).alias("j0"))
-        look = look.select("key", "lat", "lng", "i", F.pmod(F.col("j0") + F.explode(around), F.lit(int(360 / cell))).alias("j"))
+        look = left.withColumn("di", F.explode(around)).withColumn("dj", F.explode(around))
+        look = look.select("key", "lat", "lng", (cell_index("lat", cell) + F.col("di")).alias("i"), F.pmod(cell_index("lng", cell) + F.col("dj"), F.lit(int(360 / cell))).alias("j")).distinct()
         found = look.join(own, ["i", "j"]).groupBy("key").agg(F.min(haversine_km("lat", "lng", "s_lat", "s_lng")).alias("km"))
         # what lies outside the 3 x 3 cells is at least a cell away, at the latitude where a cell is narrowest
         sure = cell * 111.19 * F.greatest(F.lit(0.0), F.cos(F.radians(F.least(F.lit(90.0), F.abs("lat") + 2 * cell)))) * 0.99

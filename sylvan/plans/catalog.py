@@ -1,9 +1,481 @@
-"""The registered queries and their SQL."""
+"""The registered queries, each with the SQL that DuckDB runs on the same tables."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-def oracle_sql() -> dict:
-    return {}
+from ..functions import geo, text
+from ..operators import calendar, coverage, merge, phenology, planner, proximity, ranking
+from ..schemas import OBSCURED_ACCURACY, ROOT_TAXON
+from ..sources import payloads, views
+
+CELL, AS_OF, WEEKS, MONTHS, TAXA = 1.0, "2001-06-29", 26, [4, 5, 10], [1, 2, 3, 5, 8, 13, 21, 24]
+LAT, LNG, RADIUS = 46.0, -121.0, 200.0
+START, END, CORRIDOR = (44.5, -123.5), (47.5, -118.5), 80.0
+_queries: dict[str, Callable] = {}
+_sql: dict[str, str] = {}
+
+
+def hav(a: str, b: str, c: str, d: str) -> str:
+    return f"(2*6371.0::DOUBLE*asin(least(1.0::DOUBLE, sqrt(pow(sin(radians({c}-({a}))/2),2)+cos(radians({a}))*cos(radians({c}))*pow(sin(radians({d}-({b}))/2),2)))))"
+
+
+def boxed(lat: str, lng: str, r: str, overlap: bool = False, a: str = "lat", b: str = "lng") -> str:
+    dlat, dlng = f"(({r})/111.0::DOUBLE)", f"(({r})/(111.0::DOUBLE*greatest(abs(cos(radians({lat}))),0.01::DOUBLE)))"
+    if overlap:
+        return f"(min_lat<={lat}+{dlat} AND max_lat>={lat}-{dlat} AND min_lng<={lng}+{dlng} AND max_lng>={lng}-{dlng})"
+    return f"({a} BETWEEN {lat}-{dlat} AND {lat}+{dlat} AND {b} BETWEEN {lng}-{dlng} AND {lng}+{dlng})"
+
+
+LAT_SQL, LNG_SQL = f"{LAT}::DOUBLE", f"({LNG}::DOUBLE)"
+REGION = "floor(lat)::INT||'_'||floor(lng)::INT"
+CENTER = "coalesce(avg({0}) FILTER (WHERE NOT coalesce(obscured,false)), avg({0}))"
+MORE = {
+    "binned": f"SELECT *, {REGION} AS region_id FROM lobs WHERE quality_grade='research'",
+    "obinned": f"SELECT *, {REGION} AS region_id FROM oobs WHERE quality_grade='research'",
+    "phen": f"SELECT region_id, taxon_id, month, {CENTER.format('lat')} AS center_lat, {CENTER.format('lng')} AS center_lng, count(*) AS cnt FROM binned GROUP BY ALL",
+    "recent": f"SELECT region_id, count(*) AS recent_count FROM binned WHERE observed_on >= DATE '{AS_OF}' - {7 * WEEKS} AND taxon_id IN ({','.join(map(str, TAXA))}) GROUP BY 1",
+    "base": f"SELECT region_id, taxon_id, sum(center_lat*cnt)/sum(cnt) AS lat, sum(center_lng*cnt)/sum(cnt) AS lng, sum(cnt)::BIGINT AS total_count, coalesce(sum(cnt) FILTER (WHERE month IN (4,5,10)),0)::BIGINT AS month_count FROM phen WHERE taxon_id IN ({','.join(map(str, TAXA))}) GROUP BY 1,2",
+    "radial": f"SELECT *, month_count/total_count AS w_pheno FROM (SELECT *, {hav(LAT_SQL, LNG_SQL, 'lat', 'lng')} AS distance_km FROM base WHERE month_count>0) WHERE distance_km <= {RADIUS}",
+}
+
+
+def _rank_sql(rows: str) -> str:
+    return f"""(SELECT *, round(score/max(score) OVER (),4) AS score_norm FROM (SELECT region_id, center_lat, center_lng, distance_km, n_species, coalesce(recent_count,0) AS recent_count, b*(1+0.1::DOUBLE*(n_species-1))*(1+ln(1+coalesce(recent_count,0))) AS score
+FROM (SELECT region_id, sum(w_pheno*ln(1+month_count)) AS b, count(*) AS n_species, arg_min(lat,taxon_id) AS center_lat, arg_min(lng,taxon_id) AS center_lng, round(arg_min(distance_km,taxon_id),1) AS distance_km FROM {rows} GROUP BY 1) LEFT JOIN recent USING (region_id)))"""
+
+
+def _segment_sql() -> str:
+    k = f"(111.0::DOUBLE*greatest(abs(cos(radians({(START[0] + END[0]) / 2}::DOUBLE))),0.01::DOUBLE))"
+    return f"""SELECT *, month_count/total_count AS w_pheno, t*sqrt(dx*dx+dy*dy) AS distance_km, sqrt(pow(px-(ax+t*dx),2)+pow(py-(ay+t*dy),2)) AS off_km FROM
+(SELECT *, least(1.0::DOUBLE,greatest(0.0::DOUBLE,((px-ax)*dx+(py-ay)*dy)/(dx*dx+dy*dy))) AS t FROM (SELECT *, {START[1]}::DOUBLE*{k} AS ax, {START[0]}::DOUBLE*111 AS ay, {END[1] - START[1]}::DOUBLE*{k} AS dx, {END[0] - START[0]}::DOUBLE*111 AS dy, lng*{k} AS px, lat*111 AS py FROM base WHERE month_count>0))"""
+
+
+MORE["along"] = _segment_sql()
+MORE["ranked"] = f"SELECT * FROM {_rank_sql('radial')}"
+MORE["corr"] = f"SELECT * FROM {_rank_sql(f'(SELECT * FROM along WHERE off_km <= {CORRIDOR})')}"
+
+
+def query(name: str, sql: str = "", uses: str = ""):
+    """Register a query, with its SQL over the named views; round() is written as r6()."""
+
+    def put(f: Callable) -> Callable:
+        _queries[name] = f
+        if sql:
+            ctes = [f"{v} AS ({views.SQL.get(v) or MORE[v]})" for v in uses.split()]
+            _sql[name] = ("WITH RECURSIVE " + ", ".join(ctes) + " " if ctes else "") + sql
+        return f
+
+    return put
+
+
+def r6(*names: str) -> list:
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+def s6(*names: str) -> str:
+    return ", ".join(f"round({n},6) AS {n}" for n in names)
+
+
+def _phenology(spark, d: str) -> DataFrame:
+    return phenology.build_phenology(views.line_observations(spark, d), CELL)
+
+
+def _recent(spark, d: str) -> DataFrame:
+    return phenology.recent_counts(views.line_observations(spark, d), CELL, AS_OF, WEEKS, TAXA)
+
+
+def _ranked(spark, d: str) -> DataFrame:
+    return ranking.radial(_phenology(spark, d), _recent(spark, d), MONTHS, TAXA, LAT, LNG, RADIUS)
+
+
+def _corridor(spark, d: str) -> DataFrame:
+    return ranking.corridor(_phenology(spark, d), _recent(spark, d), MONTHS, TAXA, START, END, CORRIDOR)
+
+
+RANK = ["region_id", "distance_km", "n_species", "recent_count", "score_norm"]
+PHEN = "lobs binned phen"
+
+
+@query("build_phenology", f"SELECT region_id, taxon_id, month, cnt, {s6('center_lat', 'center_lng')} FROM phen", PHEN)
+def _(s, d):
+    return _phenology(s, d).select("region_id", "taxon_id", "month", "cnt", *r6("center_lat", "center_lng"))
+
+
+@query("build_regions", f"SELECT region_id, round({CENTER.format('lat')},6) AS center_lat, round({CENTER.format('lng')},6) AS center_lng, count(*) AS n_obs, count(DISTINCT taxon_id) AS n_taxa FROM binned GROUP BY 1", "lobs binned")
+def _(s, d):
+    return phenology.build_regions(views.line_observations(s, d), CELL).select("region_id", *r6("center_lat", "center_lng"), "n_obs", "n_taxa")
+
+
+@query("rank_destinations", f"SELECT {', '.join(RANK)}, {s6('center_lat', 'center_lng', 'score')} FROM ranked", PHEN + " recent base radial ranked")
+def _(s, d):
+    return _ranked(s, d).select(*RANK, *r6("center_lat", "center_lng", "score"))
+
+
+@query("rank_destinations_species", "SELECT region_id, taxon_id, coalesce(name, taxon_id::VARCHAR) AS name, common_name, month_count, total_count, round(w_pheno,6) AS w_pheno FROM radial LEFT JOIN genera USING (taxon_id)", PHEN + " base radial genera")
+def _(s, d):
+    rows = ranking.radial_rows(_phenology(s, d), MONTHS, TAXA, LAT, LNG, RADIUS)
+    return ranking.species(rows, views.genera(s, d)).withColumn("w_pheno", F.round("w_pheno", 6))
+
+
+@query("rank_corridor", f"SELECT {', '.join(RANK)}, {s6('center_lat', 'center_lng', 'score')} FROM corr", PHEN + " recent base along corr")
+def _(s, d):
+    return _corridor(s, d).select(*RANK, *r6("center_lat", "center_lng", "score"))
+
+
+@query("recent_counts", "SELECT * FROM recent", "lobs binned recent")
+def _(s, d):
+    return _recent(s, d)
+
+
+TOTALS = "(SELECT g.region_id, m.month::INT AS month, coalesce(sum(cnt),0)::BIGINT AS total FROM (SELECT DISTINCT region_id FROM phen) g CROSS JOIN range(1,13) m(month) LEFT JOIN phen p ON p.region_id=g.region_id AND p.month=m.month GROUP BY 1,2)"
+
+
+@query("place_calendar", f"SELECT * FROM {TOTALS}", PHEN)
+def _(s, d):
+    return calendar.month_totals(_phenology(s, d))
+
+
+@query("calendar_heat", f"SELECT region_id, month, round(total/greatest(1,max(total) OVER (PARTITION BY region_id)),6) AS heat FROM {TOTALS}", PHEN)
+def _(s, d):
+    return calendar.heat(calendar.month_totals(_phenology(s, d))).withColumn("heat", F.round("heat", 6))
+
+
+LABEL = "coalesce(name,taxon_id::VARCHAR)||coalesce(' ('||common_name||')','')"
+
+
+@query("calendar_top15", f"SELECT region_id, month, CASE WHEN row_number() OVER (PARTITION BY region_id,month,label ORDER BY place)>1 THEN label||' #'||taxon_id ELSE label END AS label, taxon_id, cnt FROM (SELECT *, {LABEL} AS label FROM (SELECT *, row_number() OVER (PARTITION BY region_id,month ORDER BY cnt DESC,taxon_id) AS place FROM phen) LEFT JOIN genera USING (taxon_id) WHERE place<=15)", PHEN + " genera")
+def _(s, d):
+    return calendar.top_taxa(_phenology(s, d), views.genera(s, d))
+
+
+RECENT = f"(SELECT * FROM obinned WHERE observed_on >= DATE '{AS_OF}' - {7 * WEEKS})"
+
+
+@query("alerts", f"SELECT region_id, taxon_id, count(*) AS cnt, max(observed_on) AS last_observed, max_by(ROW(place_guess,uri,obscured), ROW(observed_on,id))[1] AS place_guess, max_by(ROW(place_guess,uri,obscured), ROW(observed_on,id))[2] AS uri, max_by(ROW(place_guess,uri,obscured), ROW(observed_on,id))[3] AS obscured FROM {RECENT} GROUP BY 1,2", "oobs obinned")
+def _(s, d):
+    return calendar.alerts(calendar.recent_rows(views.order_observations(s, d), CELL, AS_OF, WEEKS))
+
+
+@query("alerts_region_total", f"SELECT region_id, round({CENTER.format('lat')},6) AS center_lat, round({CENTER.format('lng')},6) AS center_lng, count(*) AS total, round(least(1.0::DOUBLE,count(*)/10),6) AS weight FROM {RECENT} GROUP BY 1", "oobs obinned")
+def _(s, d):
+    return calendar.alert_regions(calendar.recent_rows(views.order_observations(s, d), CELL, AS_OF, WEEKS)).select("region_id", *r6("center_lat", "center_lng"), "total", F.round("weight", 6).alias("weight"))
+
+
+@query("recent_observations_page", "SELECT id, taxon_id, region_id, observed_on, place_guess FROM obinned ORDER BY observed_on DESC NULLS FIRST, id DESC LIMIT 13 OFFSET 24", "oobs obinned")
+def _(s, d):
+    return calendar.recent_page(views.order_observations(s, d), CELL, 24, 12).select("id", "taxon_id", "region_id", "observed_on", "place_guess")
+
+
+@query("precise_observations", f"SELECT id, taxon_id, round(km,6) AS distance_km FROM (SELECT *, {hav(LAT_SQL, LNG_SQL, 'lat', 'lng')} AS km FROM oobs WHERE quality_grade='research' AND obscured=false AND {boxed(LAT_SQL, LNG_SQL, '60.0::DOUBLE')}) WHERE km<=60", "oobs")
+def _(s, d):
+    return calendar.precise_points(views.order_observations(s, d), LAT, LNG, 60.0).select("id", "taxon_id", *r6("distance_km"))
+
+
+CAMPS = f"(SELECT *, round(km,1) AS distance_km FROM (SELECT *, {hav(LAT_SQL, LNG_SQL, 'lat', 'lng')} AS km FROM camps WHERE {boxed(LAT_SQL, LNG_SQL, f'{RADIUS}::DOUBLE')}) WHERE km<={RADIUS})"
+
+
+@query("camps_near", f"SELECT id, name, free, distance_km FROM {CAMPS}", "camps")
+def _(s, d):
+    return proximity.camps_near(views.camps(s, d), LAT, LNG, RADIUS).select("id", "name", "free", "distance_km")
+
+
+@query("camps_near_free_only", f"SELECT id, name, free, distance_km FROM {CAMPS} WHERE coalesce(free,false) ORDER BY km, id LIMIT 10", "camps")
+def _(s, d):
+    return proximity.first_camps(proximity.camps_near(views.camps(s, d), LAT, LNG, RADIUS, True), 10).select("id", "name", "free", "distance_km")
+
+
+@query("land_near", f"SELECT id, agency, unit FROM land WHERE {boxed(LAT_SQL, LNG_SQL, '40.0::DOUBLE', True)}", "land")
+def _(s, d):
+    return proximity.land_near(views.land(s, d), LAT, LNG, 40.0).select("id", "agency", "unit")
+
+
+TRAILS = f"(SELECT *, round(km,1) AS distance_km FROM (SELECT *, {hav(LAT_SQL, LNG_SQL, 'center_lat', 'center_lng')} AS km FROM trails WHERE {boxed(LAT_SQL, LNG_SQL, '90.0::DOUBLE', True)}) WHERE km<=90)"
+
+
+@query("trails_near", f"SELECT id, name, kind, distance_km FROM {TRAILS}", "trails")
+def _(s, d):
+    return proximity.trails_near(views.trails(s, d), LAT, LNG, 90.0).select("id", "name", "kind", "distance_km")
+
+
+@query("trails_near_kind_limit", f"SELECT id, name, kind, distance_km FROM {TRAILS} WHERE kind='trailhead' ORDER BY km, id LIMIT 8", "trails")
+def _(s, d):
+    return proximity.first_trails(proximity.trails_near(views.trails(s, d), LAT, LNG, 90.0, "trailhead"), 8).select("id", "name", "kind", "distance_km")
+
+
+@query("trails_nearest_camp", f"SELECT t.id, round(min({hav('t.center_lat', 't.center_lng', 'c.lat', 'c.lng')}),6) AS camp_km FROM trails t LEFT JOIN camps c ON true GROUP BY 1", "trails camps")
+def _(s, d):
+    points = views.trails(s, d).select(F.col("id").alias("key"), F.col("center_lat").alias("lat"), F.col("center_lng").alias("lng"))
+    sites = views.camps(s, d).select(F.col("id").alias("site"), F.col("lat").alias("s_lat"), F.col("lng").alias("s_lng"))
+    return proximity.nearest_site(points, sites).select(F.col("key").alias("id"), F.round("km", 6).alias("camp_km"))
+
+
+@query("nearest_trail_vertex", f"SELECT id, name, round(km,1) AS distance_km FROM (SELECT id, name, {hav(LAT_SQL, LNG_SQL, '(min_lat+i/1024.0::DOUBLE)', '(min_lng+i/1024.0::DOUBLE)')} AS km FROM (SELECT *, unnest(range(0,steps+1)) AS i FROM trails WHERE kind IN ('path','route') AND {boxed(LAT_SQL, LNG_SQL, '50.0::DOUBLE', True)})) WHERE km<=50 ORDER BY km, id LIMIT 1", "trails")
+def _(s, d):
+    return proximity.nearest_vertex(views.vertices(views.trails(s, d)), LAT, LNG, 50.0)
+
+
+@query("thin_vertices", "SELECT id, count(*) AS n, round(sum(min_lat+round_even(i*steps/19.0,0)/1024.0::DOUBLE),6) AS sum_lat FROM (SELECT *, unnest(range(0,20)) AS i FROM trails WHERE steps+1>20) GROUP BY 1", "trails")
+def _(s, d):
+    t = views.vertices(views.trails(s, d)).where("steps + 1 > 20").select("id", F.explode(geo.thin("vertices", 20)).alias("v"))
+    return t.groupBy("id").agg(F.count("*").alias("n"), F.round(F.sum("v.lat"), 6).alias("sum_lat"))
+
+
+@query("union_bbox", "SELECT agency, min(min_lat) AS min_lat, min(min_lng) AS min_lng, max(max_lat) AS max_lat, max(max_lng) AS max_lng FROM land GROUP BY 1", "land")
+def _(s, d):
+    return views.land(s, d).groupBy("agency").agg(F.min("min_lat").alias("min_lat"), F.min("min_lng").alias("min_lng"), F.max("max_lat").alias("max_lat"), F.max("max_lng").alias("max_lng"))
+
+
+@query("tile_bboxes", "SELECT id, min_lat+i*0.25::DOUBLE AS min_lat, min_lng+j*0.25::DOUBLE AS min_lng, least(max_lat,min_lat+(i+1)*0.25::DOUBLE) AS max_lat, least(max_lng,min_lng+(j+1)*0.25::DOUBLE) AS max_lng FROM (SELECT *, unnest(range(0,ceil(size/0.25)::INT)) AS j FROM (SELECT *, unnest(range(0,ceil(size/0.25)::INT)) AS i FROM land))", "land")
+def _(s, d):
+    return views.land(s, d).select("id", F.inline(geo.tiles("min_lat", "min_lng", "max_lat", "max_lng", 0.25)))
+
+
+@query("query_centers", f"SELECT id, round(clat,6) AS lat, round(clng,6) AS lng FROM (SELECT id, lat, lng, lat+i*(30*sqrt(2.0::DOUBLE)/111.0::DOUBLE) AS clat, lng+j*(30*sqrt(2.0::DOUBLE)/(111.0::DOUBLE*greatest(abs(cos(radians(lat))),0.01::DOUBLE))) AS clng FROM camps CROSS JOIN range(-3,4) a(i) CROSS JOIN range(-3,4) b(j)) WHERE {hav('lat', 'lng', 'clat', 'clng')} <= 130", "camps")
+def _(s, d):
+    rows = views.camps(s, d).select("id", F.explode(geo.query_circles("lat", "lng", 100.0, 30.0)).alias("c"))
+    return rows.select("id", F.round("c.lat", 6).alias("lat"), F.round("c.lng", 6).alias("lng"))
+
+
+@query("region_center", "SELECT DISTINCT region_id, split_part(region_id,'_',1)::INT+0.5::DOUBLE AS lat, split_part(region_id,'_',2)::INT+0.5::DOUBLE AS lng FROM binned", "lobs binned")
+def _(s, d):
+    lat, lng = geo.region_center("region_id", CELL)
+    return phenology.binned(views.line_observations(s, d), CELL).select("region_id").distinct().select("region_id", lat.alias("lat"), lng.alias("lng"))
+
+
+@query("envelopes", "SELECT id, round(lat-25/111.0::DOUBLE,6) AS min_lat, round(lng-25/(111.0::DOUBLE*greatest(abs(cos(radians(lat))),0.01::DOUBLE)),6) AS min_lng, round(lat+25/111.0::DOUBLE,6) AS max_lat, round(lng+25/(111.0::DOUBLE*greatest(abs(cos(radians(lat))),0.01::DOUBLE)),6) AS max_lng FROM camps", "camps")
+def _(s, d):
+    return views.camps(s, d).select("id", geo.envelope("lat", "lng", 25.0).alias("e")).select("id", "e.*").select("id", *r6("min_lat", "min_lng", "max_lat", "max_lng"))
+
+
+def _stops(s, d: str) -> DataFrame:
+    return planner.stops(_corridor(s, d), views.camps(s, d), views.trails(s, d), 60.0, 30.0, 0.05, True, 8)
+
+
+def _site(sites: str, lat: str, lng: str, r: float, order: str, more: str) -> str:
+    return f"LEFT JOIN LATERAL (SELECT id, {hav('k.center_lat', 'k.center_lng', lat, lng)} AS km{more} FROM {sites} WHERE {boxed('k.center_lat', 'k.center_lng', f'{r}::DOUBLE', a=lat, b=lng)} AND {hav('k.center_lat', 'k.center_lng', lat, lng)}<={r} ORDER BY {order} LIMIT 1)"
+
+
+MORE["stops"] = f"""SELECT k.region_id, k.center_lat AS lat, k.center_lng AS lng, k.score, k.distance_km, c.id AS camp_id, round(c.km,1) AS camp_km, c.f AS camp_free, t.id AS trail_id, round(t.km,1) AS trail_km
+FROM (SELECT * FROM corr WHERE score_norm>=0.05) k {_site('camps', 'lat', 'lng', 60.0, 'coalesce(free,false) DESC, km, id', ', coalesce(free,false) AS f')} c ON true {_site('trails', 'center_lat', 'center_lng', 30.0, 'km, id', '')} t ON true WHERE coalesce(c.f,false) ORDER BY k.score DESC, k.region_id LIMIT 8"""
+PLAN = PHEN + " recent base along corr camps trails stops"
+
+
+@query("plan_candidates", "SELECT region_id, distance_km, camp_id, camp_km, camp_free, trail_id, trail_km FROM stops", PLAN)
+def _(s, d):
+    return _stops(s, d).select(F.col("key").alias("region_id"), "distance_km", "camp_id", "camp_km", "camp_free", "trail_id", "trail_km")
+
+
+LEG = hav("w.lat", "w.lng", "o.lat", "o.lng")
+
+
+MORE["ordered"] = "SELECT *, row_number() OVER (ORDER BY distance_km, score DESC, region_id) AS n FROM stops"
+MORE["walk"] = f"""SELECT 0::BIGINT AS n, ''::VARCHAR AS region_id, {START[0]}::DOUBLE AS lat, {START[1]}::DOUBLE AS lng, 0.0::DOUBLE AS leg, 0.0::DOUBLE AS total, 0 AS skipped, true AS took
+UNION ALL SELECT o.n, o.region_id, CASE WHEN {LEG}>170 THEN w.lat ELSE o.lat END, CASE WHEN {LEG}>170 THEN w.lng ELSE o.lng END, {LEG}, CASE WHEN {LEG}>170 THEN w.total ELSE w.total+{LEG} END, CASE WHEN {LEG}>170 THEN w.skipped+1 ELSE w.skipped END, {LEG}<=170 FROM walk w JOIN ordered o ON o.n=w.n+1"""
+
+
+@query("plan_route", f"""SELECT (row_number() OVER (ORDER BY n)-1)::INT AS pos, region_id, round(leg,4) AS leg_km, round(total,4) AS total_km, (SELECT max(skipped) FROM walk)::INT AS skipped FROM walk WHERE n>0 AND took""", PLAN + " ordered walk")
+def _(s, d):
+    return planner.walk(_stops(s, d), START, 170.0)
+
+
+@query("auto_destination", "SELECT region_id, distance_km, round(score,6) AS score FROM ranked WHERE distance_km>=50 ORDER BY ranked.score DESC, region_id LIMIT 1", PHEN + " recent base radial ranked")
+def _(s, d):
+    return planner.destination(_ranked(s, d), 50.0).select("region_id", "distance_km", F.round("score", 6).alias("score"))
+
+
+@query("search_genera", "SELECT taxon_id, name, common_name, observations_count FROM genera WHERE name ILIKE '%on_1%' OR coalesce(common_name ILIKE '%on_1%',false) ORDER BY observations_count DESC NULLS LAST, name, taxon_id LIMIT 20", "genera")
+def _(s, d):
+    return coverage.search(views.genera(s, d), "on_1").select("taxon_id", "name", "common_name", F.col("observations_count").cast("int").alias("observations_count"))
+
+
+@query("selected_genera", "SELECT device_id, taxon_id, name FROM (SELECT DISTINCT 'device-'||(c_custkey%100) AS device_id, (c_custkey%40)::BIGINT AS taxon_id FROM customer) JOIN genera USING (taxon_id)", "genera")
+def _(s, d):
+    picks = views.table(s, d, "customer").select(F.concat(F.lit("device-"), (F.col("c_custkey") % 100).cast("string")).alias("device_id"), (F.col("c_custkey") % 40).alias("taxon_id")).distinct()
+    return picks.join(views.genera(s, d), "taxon_id").select("device_id", "taxon_id", "name")
+
+
+@query("duplicate_genus_names", "SELECT name, count(*) AS n, sum(stored)::BIGINT AS stored FROM (SELECT name, taxon_id, count(*) AS stored FROM oobs JOIN genera USING (taxon_id) GROUP BY 1,2) GROUP BY 1 HAVING count(*)>1", "oobs genera")
+def _(s, d):
+    counts = phenology.species_counts(views.order_observations(s, d)).join(views.genera(s, d), "taxon_id")
+    return counts.groupBy("name").agg(F.count("*").alias("n"), F.sum("cnt").alias("stored")).where("n > 1")
+
+
+@query("suspect_genera", "SELECT taxon_id, name, count(*) AS stored, observations_count FROM oobs JOIN genera USING (taxon_id) GROUP BY 1,2,4 HAVING count(*)>1.5*coalesce(observations_count,0)", "oobs genera")
+def _(s, d):
+    return coverage.suspects(views.order_observations(s, d), views.genera(s, d), 1.5).withColumn("observations_count", F.col("observations_count").cast("int"))
+
+
+@query("stale_batch", "SELECT id, revalidated_at FROM oobs ORDER BY revalidated_at ASC NULLS FIRST, id LIMIT 200", "oobs")
+def _(s, d):
+    return coverage.stale(views.order_observations(s, d), 200).select("id", "revalidated_at")
+
+
+@query("coverage_report", "SELECT place, coalesce(row_count,0)::BIGINT AS row_count, fetched_at FROM (SELECT DISTINCT n_nationkey::VARCHAR AS place FROM nation) LEFT JOIN (SELECT split_part(key,':',4) AS place, row_count, fetched_at FROM log WHERE starts_with(key,'obs:fungi:place:') QUALIFY row_number() OVER (PARTITION BY split_part(key,':',4) ORDER BY fetched_at DESC, row_count DESC)=1) USING (place)", "log")
+def _(s, d):
+    places = views.table(s, d, "nation").select(F.col("n_nationkey").cast("string").alias("place")).distinct()
+    return coverage.report(places, views.ingest_log(s, d))
+
+
+@query("latest_obs_date_by_place", "SELECT split_part(key,':',4) AS place, max(split_part(key,':',6)) AS latest FROM log WHERE starts_with(key,'obs:fungi:place:') GROUP BY 1", "log")
+def _(s, d):
+    return coverage.latest_by_place(views.ingest_log(s, d))
+
+
+@query("latest_obs_date", f"SELECT max(split_part(key,':',-1)) AS latest FROM log WHERE lat IS NOT NULL AND {hav(LAT_SQL, LNG_SQL, 'lat', 'lng')}+20<=radius_km", "log")
+def _(s, d):
+    return coverage.latest_date(views.ingest_log(s, d), LAT, LNG, 20.0)
+
+
+@query("covered_area", f"SELECT id AS area, coalesce(bool_or({hav('c.lat', 'c.lng', 'l.lat', 'l.lng')}+60<=l.radius_km),false) AS covered FROM camps c LEFT JOIN (SELECT DISTINCT lat,lng,radius_km FROM log WHERE lat IS NOT NULL) l ON true GROUP BY 1", "log camps")
+def _(s, d):
+    areas = views.camps(s, d).select(F.col("id").alias("area"), F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng"), F.lit(60.0).alias("a_radius"))
+    return coverage.covered(areas, views.ingest_log(s, d), "obs:fungi:")
+
+
+MERGED = ["taxon_id", "observed_on", "place_guess", "uri", "obscured"]
+MORE["stored"] = "SELECT id, taxon_id, observed_on, place_guess, uri, obscured FROM oobs WHERE id%3>0"
+MORE["batch"] = "SELECT id//2 AS id, id AS seq, CASE WHEN id%5>0 THEN taxon_id END AS taxon_id, CASE WHEN id%4>0 THEN observed_on END AS observed_on, CASE WHEN id%2>0 THEN place_guess END AS place_guess, uri, obscured FROM oobs"
+
+
+def _stored(s, d: str) -> DataFrame:
+    return views.order_observations(s, d).where("id % 3 > 0").select("id", *MERGED)
+
+
+def _batch(s, d: str) -> DataFrame:
+    o, k = views.order_observations(s, d), F.col("id")
+    return o.select(F.floor(k / 2).cast("long").alias("id"), k.alias("seq"), F.when(k % 5 > 0, F.col("taxon_id")).alias("taxon_id"), F.when(k % 4 > 0, F.col("observed_on")).alias("observed_on"), F.when(k % 2 > 0, F.col("place_guess")).alias("place_guess"), "uri", "obscured")
+
+
+@query("coalesce_merge", f"SELECT coalesce(s.id,b.id) AS id, {', '.join(f'coalesce(b.{c},s.{c}) AS {c}' for c in MERGED)} FROM stored s FULL JOIN (SELECT id, {', '.join(f'max_by({c},seq) FILTER (WHERE {c} IS NOT NULL) AS {c}' for c in MERGED)} FROM batch GROUP BY 1) b ON s.id=b.id", "oobs stored batch")
+def _(s, d):
+    return merge.coalesce_merge(_stored(s, d), _batch(s, d), "id", "seq", MERGED)
+
+
+@query("overwrite_merge", f"SELECT id, {', '.join(MERGED)} FROM stored WHERE id NOT IN (SELECT id FROM batch) UNION ALL SELECT id, {', '.join(MERGED)} FROM batch QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC)=1", "oobs stored batch")
+def _(s, d):
+    return merge.overwrite_merge(_stored(s, d), _batch(s, d), "id", "seq")
+
+
+@query("first_wins_merge", f"SELECT id, {', '.join(MERGED)} FROM stored UNION ALL (SELECT id, {', '.join(MERGED)} FROM batch WHERE id NOT IN (SELECT id FROM stored) QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq)=1)", "oobs stored batch")
+def _(s, d):
+    return merge.first_wins_merge(_stored(s, d), _batch(s, d), "id", "seq")
+
+
+@query("delete_observations", "SELECT id, taxon_id FROM stored WHERE id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag='R')", "oobs stored")
+def _(s, d):
+    ids = views.table(s, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id"))
+    return merge.delete(_stored(s, d), ids, "id").select("id", "taxon_id")
+
+
+@query("mark_revalidated", "SELECT id, CASE WHEN id IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag='A') THEN DATE '2001-06-29' ELSE revalidated_at END AS revalidated_at FROM oobs", "oobs")
+def _(s, d):
+    ids = views.table(s, d, "lineitem").where("l_returnflag = 'A'").select(F.col("l_orderkey").alias("id"))
+    return merge.mark(views.order_observations(s, d).select("id", "revalidated_at"), ids, "id", "revalidated_at", AS_OF).select("id", F.col("revalidated_at").cast("date").alias("revalidated_at"))
+
+
+@query("recheck_diff", "SELECT a.id, s.taxon_id, b.taxon_id AS live_taxon, CASE WHEN b.id IS NULL OR b.taxon_id IS NULL THEN 'purge' WHEN s.taxon_id<>b.taxon_id THEN 'reassign' ELSE 'keep' END AS action FROM (SELECT id FROM oobs WHERE id%4<2) a LEFT JOIN stored s ON a.id=s.id LEFT JOIN (SELECT id, CASE WHEN id%11>0 THEN (taxon_id+(id%13)//12)%25 END AS taxon_id FROM oobs WHERE id%10>0) b ON a.id=b.id", "oobs stored")
+def _(s, d):
+    o, k = views.order_observations(s, d), F.col("id")
+    live = o.where("id % 10 > 0").select("id", F.when(k % 11 > 0, (F.col("taxon_id") + F.floor((k % 13) / 12)) % 25).alias("taxon_id"))
+    return merge.recheck(live, _stored(s, d), o.where("id % 4 < 2").select("id"))
+
+
+@query("resolve_genus", f"SELECT id AS key, CASE WHEN id%6=0 THEN NULL WHEN id%4=0 THEN taxon_id ELSE coalesce((SELECT min_by(g.taxon_id,p) FROM genera g JOIN (VALUES (0,24::BIGINT),(1,(id*7)%30),(2,(id*3)%25)) x(p,anc) ON g.taxon_id=anc), NULL) END AS genus_id FROM oobs", "oobs genera")
+def _(s, d):
+    k = F.col("id")
+    rows = views.order_observations(s, d).select(k.alias("key"), "taxon_id", F.when(k % 4 == 0, "genus").otherwise("species").alias("rank"), F.when(k % 6 > 0, ROOT_TAXON).otherwise(1).alias("iconic_taxon_id"), F.array(F.lit(24).cast("long"), k * 7 % 30, k * 3 % 25).alias("ancestor_ids"))
+    return payloads.resolve_genus(rows, views.genera(s, d)).select("key", "genus_id")
+
+
+@query("bulk_filter", "SELECT p_partkey AS id, g.taxon_id, (p_partkey%90)::DOUBLE AS lat, (p_partkey*1000)::INT AS positional_accuracy, CASE WHEN p_partkey*1000 BETWEEN 26000 AND 31000 THEN true END AS obscured FROM part JOIN (SELECT name, min(taxon_id) AS taxon_id FROM genera GROUP BY 1) g ON g.name='NATION_'||(p_partkey%30) WHERE p_partkey%5>0 AND p_partkey%7>0 AND p_partkey<2000000", "genera")
+def _(s, d):
+    k = F.col("p_partkey")
+    t = lambda c: c.cast("string")
+    scan = views.table(s, d, "part").where(k < 2_000_000).select(t(k).alias("id"), F.lit("2020-01-05T10:00").alias("event_date"), F.when(k % 7 > 0, t(k % 90)).otherwise("").alias("lat"), t(-k % 180).alias("lng"), t(k * 1000).alias("accuracy"), F.when(k % 5 > 0, "US").otherwise("CA").alias("country"), F.concat(F.lit("NATION_"), t(k % 30)).alias("genus"))
+    return payloads.bulk_rows(scan, views.genera(s, d)).select("id", "taxon_id", "lat", "positional_accuracy", "obscured")
+
+
+@query("obscured_heuristic", "SELECT id, CASE WHEN positional_accuracy BETWEEN 26000 AND 31000 THEN true END AS obscured FROM oobs", "oobs")
+def _(s, d):
+    return views.order_observations(s, d).select("id", text.obscured_by_accuracy("positional_accuracy", *OBSCURED_ACCURACY).alias("obscured"))
+
+
+def _replaced(x: str) -> str:
+    for k, v in text.ENTITIES.items():
+        x = f"replace({x}, '{k.replace(chr(39), chr(39) * 2)}', '{v.replace(chr(39), chr(39) * 2)}')"
+    return x
+
+
+@query("clean_html", f"SELECT page_id, nullif(trim(regexp_replace(replace({_replaced(chr(39).join(['regexp_replace(html, ', '<[^>]+>', ', ', ' ', ', ', 'g', ')']))}, chr(160), ' '), '\\s+', ' ', 'g')),'') AS text FROM pages")
+def _(s, d):
+    return views.table(s, d, "pages").select("page_id", text.clean_html("html").alias("text"))
+
+
+FEE = "CASE p_partkey%6 WHEN 0 THEN 'No Fee here' WHEN 1 THEN '$0.50 a night' WHEN 2 THEN '$20' WHEN 3 THEN '' WHEN 4 THEN NULL ELSE 'no' END"
+
+
+def _fees(s, d: str) -> DataFrame:
+    return views.table(s, d, "part").select("p_partkey", F.expr(FEE).alias("fee"))
+
+
+@query("free_from_fee", f"SELECT p_partkey, CASE WHEN lower(fee) LIKE '%no fee%' OR lower(fee) LIKE '%free%' OR contains(fee,'$0') THEN true END AS free FROM (SELECT p_partkey, {FEE} AS fee FROM part)")
+def _(s, d):
+    return _fees(s, d).select("p_partkey", text.free_from_fee("fee").alias("free"))
+
+
+@query("fee_tag", f"SELECT p_partkey, CASE WHEN fee='no' THEN true END AS free, CASE WHEN fee<>'' AND fee<>'no' THEN 'fee required' END AS fee FROM (SELECT p_partkey, {FEE} AS fee FROM part)")
+def _(s, d):
+    return _fees(s, d).select("p_partkey", text.fee_tag("fee").alias("t")).select("p_partkey", "t.free", "t.fee")
+
+
+@query("parse_coords", "SELECT c_custkey, CASE WHEN ok THEN (c_custkey%100)::DOUBLE END AS lat, CASE WHEN ok THEN (-(c_custkey%170))::DOUBLE END AS lng FROM (SELECT c_custkey, c_custkey%4>0 AND c_custkey%100<=90 AS ok FROM customer)")
+def _(s, d):
+    k = F.col("c_custkey")
+    raw = F.concat((k % 100).cast("string"), F.when(k % 4 > 0, F.lit(" , ")).otherwise(F.lit(";")), (-(k % 170)).cast("string"))
+    return views.table(s, d, "customer").select("c_custkey", text.parse_coordinates(raw).alias("p")).select("c_custkey", "p.lat", "p.lng")
+
+
+@query("notable_place", "SELECT c_custkey, CASE WHEN c_custkey%3=0 THEN 'F'||c_custkey WHEN c_custkey%2=0 THEN c_name END AS place FROM customer")
+def _(s, d):
+    k = F.col("c_custkey")
+    address = F.create_map(F.lit("city"), F.when(k % 2 == 0, F.col("c_name")), F.lit("forest"), F.when(k % 3 == 0, F.concat(F.lit("F"), k.cast("string"))).otherwise(""))
+    return views.table(s, d, "customer").select("c_custkey", text.notable_place(address).alias("place"))
+
+
+@query("species_counts", "SELECT taxon_id, count(*) AS cnt FROM lobs GROUP BY 1", "lobs")
+def _(s, d):
+    return phenology.species_counts(views.line_observations(s, d))
+
+
+@query("monthly_histogram", "SELECT month, count(*) AS cnt FROM lobs GROUP BY 1", "lobs")
+def _(s, d):
+    return phenology.monthly_histogram(views.line_observations(s, d))
+
+
+@query("keyset_page", "SELECT id, taxon_id, observed_on FROM oobs WHERE id>1000 ORDER BY id LIMIT 200", "oobs")
+def _(s, d):
+    return views.order_observations(s, d).where("id > 1000").orderBy("id").limit(200).select("id", "taxon_id", "observed_on")
+
+
+@query("fetch_by_ids", "SELECT id, taxon_id FROM oobs WHERE id IN (SELECT l_orderkey FROM lineitem WHERE l_quantity>45)", "oobs")
+def _(s, d):
+    ids = views.table(s, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("id"))
+    return views.order_observations(s, d).join(ids, "id", "left_semi").select("id", "taxon_id")
+
+
+@query("ingest_window", "SELECT place, greatest(DATE '2024-01-10', latest::DATE - 7) AS start FROM (SELECT split_part(key,':',4) AS place, max(split_part(key,':',6)) AS latest FROM log WHERE starts_with(key,'obs:fungi:place:') GROUP BY 1)", "log")
+def _(s, d):
+    rows = coverage.latest_by_place(views.ingest_log(s, d))
+    return rows.select("place", coverage.window_start(F.lit("2024-01-10").cast("date"), text.lenient_date("latest")).alias("start"))
+
+
+def queries() -> dict[str, Callable]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for k, v in _sql.items() if v}

@@ -100,7 +100,7 @@ def land_rows(pages: DataFrame, agency: str, id_property: str, unit_property: st
     f = pages.select(F.explode("features").alias("f")).select("f.properties", "f.geometry")
     numbers = F.transform(F.regexp_extract_all(F.col("geometry.coordinates"), F.lit(r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"), F.lit(0)), lambda x: x.cast("double"))
     f = f.withColumn("numbers", numbers).where(F.size("numbers") >= 2)
-    lng, lat = (F.filter("numbers", lambda x, i, k=k: i % 2 == k) for k in (0, 1))
+    lng, lat = F.filter("numbers", lambda x, i: i % 2 == 0), F.filter("numbers", lambda x, i: i % 2 == 1)
     return f.select(F.concat(F.lit(f"{agency}:"), tx.property_of("properties", id_property)).alias("id"), F.lit(agency).alias("agency"), tx.first_text(tx.property_of("properties", unit_property), F.lit(agency)).alias("unit"), F.array_min(lat).alias("min_lat"), F.array_min(lng).alias("min_lng"), F.array_max(lat).alias("max_lat"), F.array_max(lng).alias("max_lng"), F.to_json("geometry").alias("geojson"))
 
 

@@ -15,15 +15,14 @@ def merge_stream(spark: SparkSession, source: DataFrame, root: str, checkpoint:
     """Start a query that folds each batch into a new version of the table under root.
 
     A version's folder is complete before the next batch starts; a repeated batch id rewrites the same version. The
-    table is the folder with the highest number. source: the observation columns and `seq`, the order within a batch.
+    table is the folder with the highest number. source: the observation columns.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
+        # rows keep the order in which the batch holds them
+        batch = batch.withColumn("seq", F.monotonically_increasing_id())
         old = spark.read.schema(OBSERVATIONS).parquet(f"{root}/v={number - 1}") if number else spark.createDataFrame([], OBSERVATIONS)
         coalesce_merge(old, batch, "id", "seq", MERGED).write.mode("overwrite").parquet(f"{root}/v={number}")
 
     return source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-
-def with_order(source: DataFrame) -> DataFrame:
-    return source.withColumn("seq", F.monotonically_increasing_id())

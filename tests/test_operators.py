@@ -7,7 +7,7 @@ from sylvan.functions import geo, text
 from sylvan.operators import calendar, coverage, merge, phenology, planner, proximity, ranking
 from sylvan.schemas import CAMPSITES, GENERA, INGEST_LOG, OBSERVATIONS, TRAILS
 from sylvan.sources import payloads
-from sylvan.streaming.ingest import MERGED, merge_stream, with_order
+from sylvan.streaming.ingest import MERGED, merge_stream
 
 DAY = dt.date
 
@@ -183,7 +183,7 @@ def test_stream_merges_once(spark, tmp_path, base):
     source, root = tmp_path / "in", tmp_path / "out"
     base.limit(5).write.parquet(str(source))
     for _ in range(2):
-        stream = with_order(spark.readStream.schema(OBSERVATIONS).parquet(str(source)))
+        stream = spark.readStream.schema(OBSERVATIONS).parquet(str(source))
         merge_stream(spark, stream, str(root), str(tmp_path / "state")).awaitTermination()
     last = max(root.glob("v=*"), key=lambda p: int(p.name[2:]))
     rows = spark.read.schema(OBSERVATIONS).parquet(str(last))

@@ -176,38 +176,9 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
         cuts = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), n]
         return model.languages[top], float(share[top] / n), ",".join(f"{model.languages[labels[a]]}:{a}:{b}" for a, b in zip(cuts, cuts[1:], strict=False))
 
-    def scored(group: list[bytes]) -> Iterator[tuple[str, float, str]]:
-        scores, counts = model.word_scores(group)
-        ends = np.cumsum(counts)
-        for text, end, n in zip(group, ends.tolist(), counts.tolist(), strict=True):
-            yield describe(text, scores[:, end - n : end])
-
-    def long_scores(text: bytes) -> np.ndarray:
-        """By blocks that end between words where there is a gap near."""
-        parts, at = [], 0
-        while at < len(text):
-            end = min(len(text), at + _BLOCK)
-            gap = text.rfind(b" ", at + _BLOCK // 2, end) if end < len(text) else -1
-            end = gap if gap > 0 else end
-            parts.append(model.word_scores([text[at:end]])[0])
-            at = end
-        return np.concatenate(parts, axis=1)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, group, held = [], [], 0
-            for text in utf8(batch.column(1)):
-                if text and len(text) > _BLOCK:
-                    out += [*scored(group), describe(text, long_scores(text))]
-                    group, held = [], 0
-                    continue
-                group.append(text or b"")
-                held += len(group[-1])
-                if held >= _BLOCK:
-                    out += scored(group)
-                    group, held = [], 0
-            if group:
-                out += scored(group)
+            out = [describe(text, scores) for text, scores in _scored(model, utf8(batch.column(1)))]
             cols = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.string())], ["doc_id", "lang_pred", "score", "spans"])
 
@@ -236,12 +207,7 @@ def keep_identified(docs: DataFrame, least: float = 0.5, sample: int = 2000) ->
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            verdict = []
-            for group in _groups(utf8(batch.column(names.index("text")))):
-                scores, counts = model.word_scores(group)
-                for text, end, n in zip(group, np.cumsum(counts).tolist(), counts.tolist(), strict=True):
-                    own = scores[:, end - n : end]
-                    verdict.append(_told(model, text, own, least))
+            verdict = [_told(model, text, scores, least) for text, scores in _scored(model, utf8(batch.column(names.index("text"))))]
             yield from table.filter(pa.array(verdict, pa.bool_())).to_batches()
 
     return docs.mapInArrow(keep, docs.schema)
@@ -254,13 +220,38 @@ def _told(model: LanguageModel, text: bytes, scores: np.ndarray, least: float) -
     return isinstance(labels, int) or float(np.bincount(labels).max() / len(labels)) >= least
 
 
-def _groups(texts: list) -> Iterator[list[bytes]]:
+def _scored(model: LanguageModel, texts: list) -> Iterator[tuple[bytes, np.ndarray]]:
+    """Each text, empty for null, and its words' scores; short texts together, long ones by blocks."""
     group, held = [], 0
+
+    def flush() -> Iterator[tuple[bytes, np.ndarray]]:
+        scores, counts = model.word_scores(group)
+        for text, end, n in zip(group, np.cumsum(counts).tolist(), counts.tolist(), strict=True):
+            yield text, scores[:, end - n : end]
+
     for text in texts:
+        if text and len(text) > _BLOCK:
+            if group:
+                yield from flush()
+            yield text, _long_scores(model, text)
+            group, held = [], 0
+            continue
         group.append(text or b"")
         held += len(group[-1])
         if held >= _BLOCK:
-            yield group
+            yield from flush()
             group, held = [], 0
     if group:
-        yield group
+        yield from flush()
+
+
+def _long_scores(model: LanguageModel, text: bytes) -> np.ndarray:
+    """By blocks that end between words where there is a gap near."""
+    parts, at = [], 0
+    while at < len(text):
+        end = min(len(text), at + _BLOCK)
+        gap = text.rfind(b" ", at + _BLOCK // 2, end) if end < len(text) else -1
+        end = gap if gap > 0 else end
+        parts.append(model.word_scores([text[at:end]])[0])
+        at = end
+    return np.concatenate(parts, axis=1)

@@ -57,7 +57,7 @@ def lower_ascii(text: Column) -> Column:
 
 
 # ---------------------------------------------------------------- word hashing
-_BLOCK = 1 << 21
+_BLOCK = 1 << 19
 _LONG = 1 << 12
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _POSITION = _RNG.integers(0, 2**64, _LONG, dtype=np.uint64) | np.uint64(1)
@@ -163,6 +163,25 @@ def _split(group: list[bytes], table: np.ndarray) -> list[np.ndarray]:
     return np.split(hashes, np.cumsum(counts)[:-1])
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 2000
+
+
+def bounded(docs: DataFrame) -> DataFrame:
+    """docs, whose whole texts reach Python by at most 2,000 rows, where the session sets no number of its own."""
+    conf = docs.sparkSession.conf
+    if conf.get(BATCH, None) is None:
+        conf.set(BATCH, BATCH_ROWS)
+    return docs
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in short batches: a task holds Python copies of few texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def utf8(column: pa.Array) -> list:
     """The column's strings as UTF-8 bytes, without decoding."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _block_hashes, byte_table, mix, utf8
+from .common import _block_hashes, bounded, byte_table, mix, sliced, utf8
 
 BUCKETS = 1 << 16
 _TABLE = byte_table(bytes(c for c in range(128) if not chr(c).isalpha()))
-_BLOCK = 1 << 21
+_BLOCK = 1 << 19
 TRIGRAM, WORD, SCRIPT = 0, 1, 2
 
 #: Script of a character by its first UTF-8 byte: 0 Latin, 1 Greek, 2 Cyrillic, 3 Hebrew, 4 Arabic, 5 Indic,
@@ -59,7 +59,7 @@ def _features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, list[np.ndarray]] = {}
-    for batch in batches:
+    for batch in sliced(batches):
         for lang, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
             own = counts.setdefault(lang, [np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), np.zeros(SCRIPTS, np.int64)])
             for at in range(0, len(text), _BLOCK):
@@ -132,7 +132,7 @@ class LanguageModel:
 
 def fit(docs: DataFrame, sample: int = 2000, most_languages: int = 1000) -> LanguageModel:
     """Learn from the rows with a language that are not held out: about `sample` of each, chosen by a hash."""
-    train = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    train = bounded(docs).select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     if not sizes:
         return LanguageModel([], np.zeros((0, 2, BUCKETS), np.float32), np.zeros((0, SCRIPTS), bool))
@@ -177,13 +177,13 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
         return model.languages[top], float(share[top] / n), ",".join(f"{model.languages[labels[a]]}:{a}:{b}" for a, b in zip(cuts, cuts[1:], strict=False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = [describe(text, scores) for text, scores in _scored(model, utf8(batch.column(1)))]
             cols = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.string())], ["doc_id", "lang_pred", "score", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, spans string")
+    return bounded(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, spans string")
 
 
 _ASCII_LETTERS = bytes(c for c in range(128) if chr(c).isalpha())
@@ -205,12 +205,12 @@ def keep_identified(docs: DataFrame, least: float = 0.5, sample: int = 2000) ->
     names = docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             table = pa.Table.from_batches([batch])
             verdict = [_told(model, text, scores, least) for text, scores in _scored(model, utf8(batch.column(names.index("text"))))]
             yield from table.filter(pa.array(verdict, pa.bool_())).to_batches()
 
-    return docs.mapInArrow(keep, docs.schema)
+    return bounded(docs).mapInArrow(keep, docs.schema)
 
 
 def _told(model: LanguageModel, text: bytes, scores: np.ndarray, least: float) -> bool:

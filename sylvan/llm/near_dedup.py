@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE, Scratch, batches_of_words, byte_table, shingle_hashes, utf8
+from .common import WHITESPACE, Scratch, batches_of_words, bounded, byte_table, shingle_hashes, sliced, utf8
 
 HASHES, TREES, DEPTH, DEEPEST, CROWD = 64, 24, 3, 8, 8
 PERCENT = 75
@@ -61,7 +61,7 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[list, list[np.ndarray]]]:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         for keys, sets in _sets(batch):
             full = [s for s in sets if len(s)]
             rows = iter(signatures(full)) if full else iter(())
@@ -169,7 +169,7 @@ def _unpack48(b: bytes) -> np.ndarray:
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         for keys, sets in _sets(batch):
             yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), pa.array([_pack48(s) for s in sets], pa.binary())], ["doc_id", "shingles"])
 
@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs. doc_id is an integer."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    texts = bounded(docs).select(F.col("doc_id").cast("long"), "text")
     sketches = scratch.table(texts.mapInArrow(_sketch, "doc_id long, n_shingles long, f1 long, f2 long, signature binary"), "sketches")
     full = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = scratch.table(full.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature")), "representatives")

@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, bounded, sliced
 
 WINDOW = 4096
 END = (2).to_bytes(4, "little")
 VOCABULARY = "word_bpe_49k.json"
 #: Entries that a task keeps of text chunks and of words before it starts anew: bounds its memory.
 CACHE = 700_000
+#: Chunks of one text that are looked up, and encoded where new, at a time.
+LOT = 5_000
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -86,8 +88,8 @@ class WordTokenizer:
         if not self.plain.fullmatch(text):
             return self._ids(text)
         chunks, out = text.lower().split(), []
-        for at in range(0, len(chunks), CACHE // 4):
-            part = chunks[at : at + CACHE // 4]
+        for at in range(0, len(chunks), LOT):
+            part = chunks[at : at + LOT]
             while new := set(part).difference(self.chunks):  # again only if the cache began anew
                 self._learn(list(new))
             out.append(b"".join(map(self.chunks.__getitem__, part)))
@@ -117,7 +119,7 @@ def tokenise(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(vocabulary_path(vocabulary)).encode
-        for batch in batches:
+        for batch in sliced(batches):
             rows, starts, lengths, sums, totals = [], [], [], [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 ids = encode(text or "") + END
@@ -130,7 +132,7 @@ def tokenise(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), *[pa.array(x, pa.int64()) for x in (starts, lengths, sums, totals)]], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES.format(id=kind))
+    return bounded(docs).select("doc_id", "text").mapInArrow(run, PIECES.format(id=kind))
 
 
 class OpenWindows:

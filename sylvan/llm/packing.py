@@ -188,7 +188,7 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, sh
     scratch = Scratch(docs.sparkSession, "packing")
     pieces = scratch.table(tokenise(docs, window, vocabulary), "pieces")
     shards = max(1, -(-pieces.count() // shard_pieces))
-    shard = F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)).cast("long")
+    shard = F.pmod(F.xxhash64("doc_id", "start", "doc_tokens", "ids_crc32"), F.lit(shards)).cast("long")
 
     def fill(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")])

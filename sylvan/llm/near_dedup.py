@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE, Scratch, batches_of_words, bounded, byte_table, shingle_hashes, sliced, utf8
+from .common import WHITESPACE, Scratch, batches_of_words, bounded, byte_table, mix, shingle_hashes, sliced, utf8
 
 HASHES, TREES, DEPTH, DEEPEST, CROWD = 64, 24, 3, 8, 8
 PERCENT = 75
@@ -80,7 +80,8 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sample = (two[:, :, 0] | two[:, :, 1] << 2 | two[:, :, 2] << 4 | two[:, :, 3] << 6).astype(np.uint8)
             samples = [r.tobytes() for r in sample]
             for t in range(TREES):
-                keys = (sig[:, _ORDERS[t]] >> np.uint32(16)).astype(">u2")
+                # a minimum over n shingles is near 2**32 / n: its leading bits say nothing about a long text
+                keys = (mix(sig[:, _ORDERS[t]].astype(np.uint64)) >> np.uint64(48)).astype(">u2")
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), t, np.int32)), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(ids[at : at + 2000]), pa.array(sizes[at : at + 2000].astype(np.int32)), pa.array(samples, pa.binary())], ["tree", "key", "doc_id", "n", "sample"])
 
 

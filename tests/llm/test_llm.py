@@ -4,6 +4,7 @@ from itertools import product
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -249,6 +250,14 @@ def test_near_in_crowded_regions(spark):
     assert got == {i: c for i, (_, c) in brute.near(rows).items()}
 
 
+def test_near_keys_of_very_long_texts():
+    rng = np.random.default_rng(8)
+    sig = (rng.exponential(2**32 / 600_000, (200, near_dedup.HASHES))).astype(np.uint32)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200), pa.int64()), pa.array([600_000] * 200, pa.int64()), pa.array([r.tobytes() for r in sig], pa.binary())], ["rep", "n_shingles", "signature"])
+    for tree in near_dedup._trees(iter([batch])):
+        assert len({k[:6] for k in tree.column(1).to_pylist()}) == 200
+
+
 def test_hashes_do_not_depend_on_blocks():
     table = common.byte_table(common.WHITESPACE)
     text = ("Word\tanother " * 400_000).encode() + b"z" * 9000

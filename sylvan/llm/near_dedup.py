@@ -6,10 +6,14 @@
 2. LSH forest: each tree orders representatives by its own permutation of the signature. A range partition and sort
    lays out each order; neighbours that share `depth` leading values are candidates. Small regions give all their
    pairs. In a crowded region the depth adapts: it is divided by further values until the parts are small, and
-   parts are linked through their first members and sorted neighbours. Pairs stay proportional to rows.
+   parts are linked through their first members and sorted neighbours, which joins most of it cheaply. All rows of
+   a crowded region, and of one that reaches a task's first or last row, also take the exact way of step 4.
 3. Candidates are verified on full shingle sets: first every document against its smallest candidate, then all
    pairs that this leaves in different components. Sets are read only for documents with candidates.
-4. Components follow from minimum labels with pointer jumping, one written table for each step.
+4. Documents of crowded regions are compared by a prefix-filter join, which loses no pair: each set is ordered from
+   rare to common shingles, and two similar sets share one of their first. Only pairs of different components are
+   made; a shingle whose documents are all in one component makes none, and a common one is spread over tasks.
+5. Components follow from minimum labels with pointer jumping, one written table for each step.
 
 Shingles are compared as 48-bit hashes: two different ones of a pair of 20,000-word texts coincide with a chance
 below 2e-6. A pair at exactly the threshold shares no tree's first values with a chance of about 2e-5.
@@ -37,6 +41,10 @@ AGREE = 36
 BROADCAST_IDS = 4_000_000
 #: Rows of one region that a task holds at a time.
 HELD = 20_000
+#: Counters that tell rare shingles from common ones. Shingles that share a counter only make the join less sharp.
+COUNTERS = 1 << 21
+#: Rows of one shingle that a task of the prefix join compares with all others of that shingle.
+SLICE = 2000
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _A = _rng.integers(0, 2**64, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -112,10 +120,13 @@ def _alike(a: np.ndarray, b: np.ndarray, n: np.ndarray, sample: np.ndarray) -> n
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of rows sorted by (tree, key, doc_id), region by region; a region may cross batches."""
-    held = None
+    """Candidate pairs of rows sorted by (tree, key, doc_id), region by region; a region may cross batches.
 
-    def pairs(rows):
+    A pair (x, x) marks a row whose region is crowded or perhaps not whole here: its pairs are not all given.
+    """
+    held, first = None, True  # first: the held rows may go on a region whose begin is gone
+
+    def pairs(rows, first, last=False):
         tree, key, ids, n, sample = rows
         lcp = np.zeros(len(ids), np.int64)
         same = key[1:] == key[:-1]
@@ -124,11 +135,15 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list = []
         for k in np.flatnonzero(np.diff(begin) > 1):
             _region_pairs(ids, lcp, int(begin[k]), int(begin[k + 1]), DEPTH, out)
-        if not out:
+        open_ended = np.diff(begin) > CROWD
+        open_ended[0] |= first
+        open_ended[-1] |= last
+        marked = ids[np.repeat(open_ended, np.diff(begin))]
+        if not out and not len(marked):
             return None
-        a, b = np.array(out).T
+        a, b = np.array(out, np.int64).reshape(-1, 2).T
         ok = _alike(a, b, n, sample) & (ids[a] != ids[b])
-        x, y = ids[a[ok]], ids[b[ok]]
+        x, y = np.append(ids[a[ok]], marked), np.append(ids[b[ok]], marked)
         both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
 
@@ -146,15 +161,18 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = np.flatnonzero((tree != tree[-1]) | (key[:, :DEPTH] != key[-1, :DEPTH]).any(axis=1))
         cut = int(last[-1]) + 1 if len(last) else 0
         if len(tree) - cut > HELD:  # a region that is too large to hold: go on from its last row and its pivot
-            if (found := pairs(rows)) is not None:
+            if (found := pairs(rows, first)) is not None:
                 yield found
+            first = True
             keep = np.unique([cut + int(np.argmin(rows[2][cut:])), len(tree) - 1])
             held = [x[keep] for x in rows]
             continue
-        if cut and (found := pairs([x[:cut] for x in rows])) is not None:
-            yield found
+        if cut:
+            if (found := pairs([x[:cut] for x in rows], first)) is not None:
+                yield found
+            first = False
         held = [x[cut:] for x in rows]
-    if held is not None and (found := pairs(held)) is not None:
+    if held is not None and (found := pairs(held, first, True)) is not None:
         yield found
 
 
@@ -187,6 +205,66 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many sets hold the shingles of each counter."""
+    counts = np.zeros(COUNTERS, np.int64)
+    for batch in sliced(batches):
+        for packed in batch.column(0).to_pylist():
+            np.add.at(counts, (_unpack48(packed) % COUNTERS).astype(np.int64), 1)
+    used = np.flatnonzero(counts)
+    for at in range(0, len(used), 1 << 16):
+        k = used[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(counts[k])], ["counter", "sets"])
+
+
+def prefixes(s: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The rarest shingles of a set, and how many of them do for pairs in which it is the smaller set.
+
+    Similar sets x and y, y not the larger, share at least t|x| and at least 2t/(1+t) |y| shingles. So one of x's
+    first |x| - t|x| + 1 is one of y's first |y| - 2t/(1+t) |y| + 1, in any order that is the same for all sets.
+    """
+    n = len(s)
+    common = counts[(s % COUNTERS).astype(np.int64)]
+    order = np.lexsort((s, common))[: n - -(-PERCENT * n // 100) + 1]
+    smaller = n - -(-2 * PERCENT * n // (100 + PERCENT)) + 1
+    shared = common[order] > 1
+    return s[order][shared], int(shared[:smaller].sum())
+
+
+def _prefix_rows(counts: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            for at in range(0, batch.num_rows, 64):
+                some = batch.slice(at, 64)
+                sets = [_unpack48(b) for b in some.column(2).to_pylist()]
+                found = [prefixes(s, counts) for s in sets]
+                many = [len(p) for p, _ in found]
+                spread = lambda x: np.repeat(np.asarray(x, np.int64), many)  # noqa: B023, E731
+                index = np.concatenate([np.arange(len(p)) < k for p, k in found])
+                cols = [np.concatenate([p for p, _ in found]).astype(np.int64), spread(some.column(0).to_pylist()), spread(some.column(1).to_pylist()), spread([len(s) for s in sets])]
+                yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in cols], pa.array(index)], ["shingle", "doc_id", "label", "n", "smaller"])
+
+    return run
+
+
+def prefix_pairs(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """a, b: every pair of similar sets with different labels, and a few others. sets: doc_id, label, shingles."""
+    found = sets.select("shingles").mapInArrow(_counted, "counter int, sets long").groupBy("counter").agg(F.sum("sets").alias("sets")).toArrow()
+    counts = np.zeros(COUNTERS, np.int32)
+    counts[found.column(0).to_numpy()] = np.minimum(found.column(1).to_numpy(), 2**31 - 1)
+    rows = scratch.table(sets.select("doc_id", "label", "shingles").mapInArrow(_prefix_rows(counts), "shingle long, doc_id long, label long, n long, smaller boolean"), "prefixes")
+    groups = rows.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("smaller").alias("any"), F.count("*").alias("rows"))
+    groups = groups.where("lo <> hi AND any").select("shingle", F.ceil(F.col("rows") / SLICE).cast("int").alias("slices"))
+    mixed = scratch.table(rows.join(groups, "shingle"), "mixed")
+    one = mixed.where("smaller").select("shingle", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("doc_id").alias("y"), F.col("label").alias("q"), F.col("n").alias("m"))
+    two = mixed.select("shingle", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int").alias("slice"), F.col("doc_id").alias("x"), F.col("label").alias("p"), "n")
+    size = (F.col("n") > F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("x") > F.col("y")))
+    both = one.join(two, ["shingle", "slice"]).where((F.col("p") != F.col("q")) & size & (100 * F.col("m") >= PERCENT * F.col("n")))
+    out = scratch.table(both.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("shared")).select("a", "b"), "pairs")
+    scratch.drop(rows, mixed)
+    return out
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, component: the least doc_id reachable over links (a, b), for the documents that have any."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -215,23 +293,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = reps.select("rep", "n_shingles", "signature").mapInArrow(_trees, "tree int, key binary, doc_id long, n int, sample binary")
     order = rows.repartitionByRange("tree", "key", "doc_id").sortWithinPartitions("tree", "key", "doc_id")
     found = order.mapInArrow(_neighbours, "a long, b long")
-    left = scratch.table(found.groupBy("a", "b").agg(F.count("*").alias("trees")).select("a", "b"), "candidates")
-    ids = scratch.table(left.select("a").union(left.select("b")).distinct().withColumnRenamed("a", "want"), "wanted")
+    seen = scratch.table(found.groupBy("a", "b").agg(F.count("*").alias("trees")).select("a", "b"), "candidates")
+    left, crowded = seen.where("a <> b"), seen.where("a = b").select(F.col("a").alias("in_crowd"))
+    ids = scratch.table(seen.select("a").union(seen.select("b")).distinct().withColumnRenamed("a", "want"), "wanted")
     many = ids.count()
     need = F.broadcast(ids) if many <= BROADCAST_IDS else ids
     wanted = texts.join(need, texts["doc_id"] == need["want"], "left_semi")
     sets = scratch.table(wanted.mapInArrow(_shingle_sets, "doc_id long, shingles binary"), "sets")
-    links, labels = None, None
-    for last in (False, True):
-        if not left.count():
-            break
-        take = left if last else left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        checked = scratch.table(_with_sets(take, sets).mapInArrow(_verify, "a long, b long, linked boolean"), "verified")
-        new = checked.where("linked").select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        labels = components(links, scratch)
-        if not last:
-            left = scratch.table(_apart(left.join(checked, ["a", "b"], "left_anti"), labels), "apart")
+    links, labels, tried = None, None, []
+    for stage in ("forest", "crowds"):
+        if stage == "crowds":
+            own = sets.join(crowded, sets["doc_id"] == crowded["in_crowd"], "left_semi")
+            if labels is not None:
+                of = labels.select(F.col("doc_id").alias("i"), "component")
+                own = own.join(of, own["doc_id"] == of["i"], "left").select("doc_id", "shingles", F.coalesce("component", "doc_id").alias("label"))
+            else:
+                own = own.withColumn("label", F.col("doc_id"))
+            left = prefix_pairs(own, scratch)
+            for t in tried:
+                left = left.join(t.select("a", "b"), ["a", "b"], "left_anti")
+        for last in (False, True):
+            if not left.count():
+                break
+            take = left if last else left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+            checked = scratch.table(_with_sets(take, sets).mapInArrow(_verify, "a long, b long, linked boolean"), "verified")
+            tried.append(checked)
+            new = checked.where("linked").select("a", "b")
+            links = new if links is None else links.unionByName(new)
+            labels = components(links, scratch)
+            if not last:
+                left = scratch.table(_apart(left.join(checked, ["a", "b"], "left_anti"), labels), "apart")
     scratch.drop(sets)
     whole = reps.select("n_shingles", "f1", "f2", "rep", "copies")
     if labels is not None:

@@ -250,6 +250,17 @@ def test_near_in_crowded_regions(spark):
     assert got == {i: c for i, (_, c) in brute.near(rows).items()}
 
 
+def test_near_pairs_inside_a_template_crowd(spark):
+    """2,000 documents share a template and are not similar, but for planted pairs of similarity near 0.8."""
+    template = [f"t{i}" for i in range(250)]
+    rows = [(i, " ".join(template + [f"u{i}_{k}" for k in range(60 + i % 3)])) for i in range(1800)]
+    for i in range(100):
+        own = [f"p{i}_{k}" for k in range(60)]
+        rows += [(5000 + i, " ".join(template + own)), (7000 + i, " ".join(template + own[:26] + [f"q{i}_{k}" for k in range(32)]))]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert got == {d: d - 2000 if d >= 7000 else d for d in got}
+
+
 def test_near_keys_of_very_long_texts():
     rng = np.random.default_rng(8)
     sig = (rng.exponential(2**32 / 600_000, (200, near_dedup.HASHES))).astype(np.uint32)

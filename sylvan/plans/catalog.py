@@ -393,9 +393,9 @@ def _(s, d):
 
 @query("bulk_filter", "SELECT p_partkey AS id, g.taxon_id, (p_partkey%90)::DOUBLE AS lat, (p_partkey*1000)::INT AS positional_accuracy, CASE WHEN p_partkey*1000 BETWEEN 26000 AND 31000 THEN true END AS obscured FROM part JOIN (SELECT name, min(taxon_id) AS taxon_id FROM genera GROUP BY 1) g ON g.name='NATION_'||(p_partkey%30) WHERE p_partkey%5>0 AND p_partkey%7>0 AND p_partkey<2000000", "genera")
 def _(s, d):
-    k = F.col("p_partkey")
+    k = F.col("p_partkey").cast("long")
     t = lambda c: c.cast("string")
-    scan = views.table(s, d, "part").where(k < 2_000_000).select(t(k).alias("id"), F.lit("2020-01-05T10:00").alias("event_date"), F.when(k % 7 > 0, t(k % 90)).otherwise("").alias("lat"), t(-k % 180).alias("lng"), t(k * 1000).alias("accuracy"), F.when(k % 5 > 0, "US").otherwise("CA").alias("country"), F.concat(F.lit("NATION_"), t(k % 30)).alias("genus"))
+    scan = views.table(s, d, "part").select(t(k).alias("id"), F.lit("2020-01-05T10:00").alias("event_date"), F.when(k % 7 > 0, t(k % 90)).otherwise("").alias("lat"), t(-k % 180).alias("lng"), t(k * 1000).alias("accuracy"), F.when(k % 5 > 0, "US").otherwise("CA").alias("country"), F.concat(F.lit("NATION_"), t(k % 30)).alias("genus"))
     return payloads.bulk_rows(scan, views.genera(s, d)).select("id", "taxon_id", "lat", "positional_accuracy", "obscured")
 
 

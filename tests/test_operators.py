@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from sylvan.functions import geo, text
 from sylvan.operators import calendar, coverage, merge, phenology, planner, proximity, ranking
+from sylvan.plans import catalog
 from sylvan.schemas import CAMPSITES, GENERA, INGEST_LOG, OBSERVATIONS, TRAILS
 from sylvan.sources import payloads
 from sylvan.streaming.ingest import MERGED, merge_stream
@@ -189,3 +190,13 @@ def test_stream_merges_once(spark, tmp_path, base):
     rows = spark.read.schema(OBSERVATIONS).parquet(str(last))
     assert rows.count() == 5
     assert set(MERGED) < set(rows.columns)
+
+
+def test_bulk_filter_keeps_parts_of_any_id(spark, tmp_path):
+    for name in ("region", "nation", "customer", "supplier", "orders", "lineitem", "events"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"/root/testdata/sf0.001/{name}.parquet")
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet").limit(1)
+    ids = spark.createDataFrame([(1,), (2_000_001,), (3_000_001,)], "p_partkey long")
+    part.drop("p_partkey").crossJoin(ids).write.parquet(str(tmp_path / "part.parquet"))
+    got = catalog.queries()["bulk_filter"](spark, str(tmp_path)).collect()
+    assert sorted((r["id"], r["positional_accuracy"]) for r in got) == [(1, 1000), (2_000_001, 2_000_001_000), (3_000_001, None)]

@@ -25,12 +25,14 @@ WINDOW = 8
 
 @dataclass(frozen=True)
 class QualityRules:
-    """min_rows: smaller groups use their language's sketch. spread: tolerated distances between the middle
-    quartiles beyond them. slack: least tolerance of each statistic, for groups whose quartiles coincide."""
+    """min_rows: smaller groups use their language's sketch. outer: the share of a group below its lower and above its
+    upper quantile. spread: tolerated distances between the middle quartiles beyond those. slack: least tolerance of
+    each statistic, for the noise of short texts in groups whose quantiles coincide."""
 
     min_rows: int = 200
+    outer: float = 0.1
     spread: float = 4.0
-    slack: tuple[tuple[str, float], ...] = (("mean_word", 1.5), ("symbol_share", 0.02), ("dup_line_share", 0.5), ("repeat_share", 0.3), ("bare_share", 0.1), ("upper_share", 0.15))
+    slack: tuple[tuple[str, float], ...] = (("mean_word", 1.5), ("symbol_share", 0.02), ("dup_line_share", 0.05), ("repeat_share", 0.05), ("bare_share", 0.05), ("upper_share", 0.05))
 
 
 def word_statistics(docs: DataFrame) -> DataFrame:
@@ -62,10 +64,11 @@ def word_statistics(docs: DataFrame) -> DataFrame:
 
 
 def _shares(stats: DataFrame) -> DataFrame:
-    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    """The statistics that have bounds. One repeated line, and one window that occurs twice, are no evidence by themselves."""
+    share = lambda a, b, free=0: F.when(F.col(b) > 0, F.greatest(F.lit(0), F.col(a) - free) / F.col(b)).otherwise(0.0)
     return stats.withColumns({
-        "mean_word": share("word_chars", "n_words"), "symbol_share": share("n_symbols", "word_chars"), "dup_line_share": share("n_dup_lines", "n_lines"),
-        "repeat_share": share("n_repeat_words", "n_words"), "bare_share": share("n_bare", "n_words"), "upper_share": share("n_upper", "word_chars"),
+        "mean_word": share("word_chars", "n_words"), "symbol_share": share("n_symbols", "word_chars"), "dup_line_share": share("n_dup_lines", "n_lines", 1),
+        "repeat_share": share("n_repeat_words", "n_words", 2 * WINDOW), "bare_share": share("n_bare", "n_words"), "upper_share": share("n_upper", "word_chars"),
     })
 
 
@@ -78,8 +81,8 @@ def thresholds(stats: DataFrame, rules: QualityRules) -> DataFrame:
     bounds = []
     for name, slack in rules.slack:
         sketch = F.when(F.col("n") >= rules.min_rows, F.col(name)).otherwise(F.col(f"lang_{name}"))
-        low, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
-        reach = F.greatest(F.lit(slack), rules.spread * (high - low))
+        low, q1, q3, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (rules.outer, 0.25, 0.75, 1 - rules.outer))
+        reach = F.greatest(F.lit(slack), rules.spread * (q3 - q1))
         bounds += [(low - reach).alias(f"{name}_low"), (high + reach).alias(f"{name}_high")]
     return both.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *bounds)
 

@@ -64,6 +64,23 @@ def test_quality_keeps_good_documents(spark):
     assert share[0] < 0.5
 
 
+def test_quality_rules_fire_in_a_clean_group(spark):
+    rng = np.random.default_rng(11)
+    prose = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(3, 8))) for _ in range(n))
+    rows = [(i, "\n".join(prose(12) for _ in range(20))) for i in range(400)]
+    passage = prose(9)
+    junk = {
+        "repeat_share": "\n".join([prose(150), passage + " " + prose(1), passage + " " + prose(1), passage + " " + prose(1), passage + " " + prose(1)]), "dup_line_share": "\n".join([prose(12) for _ in range(11)] + ["read more here"] * 10),
+        "mean_word": " ".join(w * 3 for w in prose(200).split()), "symbol_share": prose(200).replace(" ", " # ", 60), "bare_share": prose(200).replace(" ", " a ", 40), "upper_share": prose(100).upper() + " " + prose(200),
+    }
+    rows += [(1000 + i, t) for i, t in enumerate(junk.values())]
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(spark.createDataFrame([(*r, "en", "web") for r in rows], "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i]["kept"] for i in range(400))
+    for i, name in enumerate(junk):
+        assert not got[1000 + i]["base_failed"]
+        assert name in got[1000 + i]["broken_rules"]
+
+
 def test_urls(spark):
     rows = [(1, "https://example.org/es/1"), (2, "HTTP://Blog.Example.ORG/en/12?x#y"), (3, None), (4, "no scheme"), (5, "http://com/fr/x"), (6, "http://a.com/de/"), (7, "http://xcom/de/"), (8, "http://notexample.org/es/"), (9, "a://b://c/d"), (10, "http://org"), (5, "http://com/fr/x"), (None, "http://x.org/"), (11, "http://example.org/es?/")]
     rules = (*url_filters.RULES, ("block", "org/a/"), ("allow", "org/a/b/"), ("block", "org/a/b/"))

@@ -11,12 +11,14 @@
 3. Candidates are verified on full shingle sets: first every document against its smallest candidate, then all
    pairs that this leaves in different components. Sets are read only for documents with candidates.
 4. Documents of crowded regions are compared by a prefix-filter join, which loses no pair: each set is ordered from
-   rare to common shingles, and two similar sets share one of their first. Only pairs of different components are
-   made; a shingle whose documents are all in one component makes none, and a common one is spread over tasks.
+   rare to common shingles, and two similar sets share one of their first. A shared shingle's places in both orders
+   bound what the sets can share in all, and a pair is made only where that reaches the threshold. Only pairs of
+   different components are made; a shingle whose documents are all in one component makes none, and a common one
+   is spread over tasks.
 5. Components follow from minimum labels with pointer jumping, one written table for each step.
 
-Shingles are compared as 48-bit hashes: two different ones of a pair of 20,000-word texts coincide with a chance
-below 2e-6. A pair at exactly the threshold shares no tree's first values with a chance of about 2e-5.
+Sets are compared as 64-bit shingle hashes. A pair at exactly the threshold, outside crowded regions, shares no
+tree's first values with a chance of about 2e-5.
 
 Null, empty or blank texts have no shingles and stay alone. Texts of fewer than 5 words are one shingle. Repeated
 rows of a doc_id give one row each. A null doc_id stays alone, with a null component. An empty table gives no rows.
@@ -41,10 +43,12 @@ AGREE = 36
 BROADCAST_IDS = 4_000_000
 #: Rows of one region that a task holds at a time.
 HELD = 20_000
-#: Counters that tell rare shingles from common ones. Shingles that share a counter only make the join less sharp.
+#: Counters that tell rare shingles from common ones, 8 MB in all. Shingles that share a counter only make the join less sharp.
 COUNTERS = 1 << 21
 #: Rows of one shingle that a task of the prefix join compares with all others of that shingle.
 SLICE = 2000
+#: Pairs of one document that a task verifies: a document with more has its set copied to several tasks.
+HUB = 500
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _A = _rng.integers(0, 2**64, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -176,28 +180,21 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found
 
 
-def _pack48(s: np.ndarray) -> bytes:
-    low = np.unique(s & np.uint64(2**48 - 1)).astype("<u8")
-    return low.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _unpack48(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+def _unpacked(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, "<u8")
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches):
         for keys, sets in _sets(batch):
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), pa.array([_pack48(s) for s in sets], pa.binary())], ["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["doc_id", "shingles"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         linked = []
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            p, q = _unpack48(x), _unpack48(y)
+            p, q = _unpacked(x), _unpacked(y)
             both = np.concatenate([p, q])
             both.sort()
             common = int((both[1:] == both[:-1]).sum())
@@ -210,15 +207,15 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(COUNTERS, np.int64)
     for batch in sliced(batches):
         for packed in batch.column(0).to_pylist():
-            np.add.at(counts, (_unpack48(packed) % COUNTERS).astype(np.int64), 1)
+            np.add.at(counts, (_unpacked(packed) % COUNTERS).astype(np.int64), 1)
     used = np.flatnonzero(counts)
     for at in range(0, len(used), 1 << 16):
         k = used[at : at + (1 << 16)]
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(counts[k])], ["counter", "sets"])
 
 
-def prefixes(s: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
-    """The rarest shingles of a set, and how many of them do for pairs in which it is the smaller set.
+def prefixes(s: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The rarest shingles of a set, their places, and up to which place they do for pairs in which it is the smaller set.
 
     Similar sets x and y, y not the larger, share at least t|x| and at least 2t/(1+t) |y| shingles. So one of x's
     first |x| - t|x| + 1 is one of y's first |y| - 2t/(1+t) |y| + 1, in any order that is the same for all sets.
@@ -226,23 +223,23 @@ def prefixes(s: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
     n = len(s)
     common = counts[(s % COUNTERS).astype(np.int64)]
     order = np.lexsort((s, common))[: n - -(-PERCENT * n // 100) + 1]
-    smaller = n - -(-2 * PERCENT * n // (100 + PERCENT)) + 1
     shared = common[order] > 1
-    return s[order][shared], int(shared[:smaller].sum())
+    return s[order][shared], np.flatnonzero(shared), n - -(-2 * PERCENT * n // (100 + PERCENT)) + 1
 
 
-def _prefix_rows(counts: np.ndarray):
+def _prefix_rows(shared_counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared_counts.value
         for batch in sliced(batches):
             for at in range(0, batch.num_rows, 64):
                 some = batch.slice(at, 64)
-                sets = [_unpack48(b) for b in some.column(2).to_pylist()]
+                sets = [_unpacked(b) for b in some.column(2).to_pylist()]
                 found = [prefixes(s, counts) for s in sets]
-                many = [len(p) for p, _ in found]
+                many = [len(p) for p, _, _ in found]
                 spread = lambda x: np.repeat(np.asarray(x, np.int64), many)  # noqa: B023, E731
-                index = np.concatenate([np.arange(len(p)) < k for p, k in found])
-                cols = [np.concatenate([p for p, _ in found]).astype(np.int64), spread(some.column(0).to_pylist()), spread(some.column(1).to_pylist()), spread([len(s) for s in sets])]
-                yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in cols], pa.array(index)], ["shingle", "doc_id", "label", "n", "smaller"])
+                place = np.concatenate([at for _, at, _ in found])
+                cols = [np.concatenate([p for p, _, _ in found]).astype(np.int64), spread(some.column(0).to_pylist()), spread(some.column(1).to_pylist()), spread([len(s) for s in sets]), place]
+                yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in cols], pa.array(place < spread([k for _, _, k in found]))], ["shingle", "doc_id", "label", "n", "place", "smaller"])
 
     return run
 
@@ -252,14 +249,18 @@ def prefix_pairs(sets: DataFrame, scratch: Scratch) -> DataFrame:
     found = sets.select("shingles").mapInArrow(_counted, "counter int, sets long").groupBy("counter").agg(F.sum("sets").alias("sets")).toArrow()
     counts = np.zeros(COUNTERS, np.int32)
     counts[found.column(0).to_numpy()] = np.minimum(found.column(1).to_numpy(), 2**31 - 1)
-    rows = scratch.table(sets.select("doc_id", "label", "shingles").mapInArrow(_prefix_rows(counts), "shingle long, doc_id long, label long, n long, smaller boolean"), "prefixes")
+    counts = sets.sparkSession.sparkContext.broadcast(counts)
+    rows = scratch.table(sets.select("doc_id", "label", "shingles").mapInArrow(_prefix_rows(counts), "shingle long, doc_id long, label long, n long, place long, smaller boolean"), "prefixes")
     groups = rows.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("smaller").alias("any"), F.count("*").alias("rows"))
     groups = groups.where("lo <> hi AND any").select("shingle", F.ceil(F.col("rows") / SLICE).cast("int").alias("slices"))
     mixed = scratch.table(rows.join(groups, "shingle"), "mixed")
-    one = mixed.where("smaller").select("shingle", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("doc_id").alias("y"), F.col("label").alias("q"), F.col("n").alias("m"))
-    two = mixed.select("shingle", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int").alias("slice"), F.col("doc_id").alias("x"), F.col("label").alias("p"), "n")
+    one = mixed.where("smaller").select("shingle", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("doc_id").alias("y"), F.col("label").alias("q"), F.col("n").alias("m"), F.col("place").alias("o"))
+    two = mixed.select("shingle", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int").alias("slice"), F.col("doc_id").alias("x"), F.col("label").alias("p"), "n", "place")
     size = (F.col("n") > F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("x") > F.col("y")))
-    both = one.join(two, ["shingle", "slice"]).where((F.col("p") != F.col("q")) & size & (100 * F.col("m") >= PERCENT * F.col("n")))
+    # at their first common shingle, sets that share enough have enough left in both orders
+    left = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("o"))
+    enough = (100 + PERCENT) * left >= PERCENT * (F.col("n") + F.col("m"))
+    both = one.join(two, ["shingle", "slice"]).where((F.col("p") != F.col("q")) & size & enough)
     out = scratch.table(both.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("shared")).select("a", "b"), "pairs")
     scratch.drop(rows, mixed)
     return out
@@ -279,7 +280,9 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         scratch.drop(labels)
         labels = now
         if not moved:
-            return labels.select("doc_id", "component")
+            out = labels.select("doc_id", "component")
+            out.sylvan_path = labels.sylvan_path
+            return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -300,7 +303,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     need = F.broadcast(ids) if many <= BROADCAST_IDS else ids
     wanted = texts.join(need, texts["doc_id"] == need["want"], "left_semi")
     sets = scratch.table(wanted.mapInArrow(_shingle_sets, "doc_id long, shingles binary"), "sets")
-    links, labels, tried = None, None, []
+    links, labels, tried, spent = None, None, [], [seen, ids, sets]
     for stage in ("forest", "crowds"):
         if stage == "crowds":
             own = sets.join(crowded, sets["doc_id"] == crowded["in_crowd"], "left_semi")
@@ -309,7 +312,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 own = own.join(of, own["doc_id"] == of["i"], "left").select("doc_id", "shingles", F.coalesce("component", "doc_id").alias("label"))
             else:
                 own = own.withColumn("label", F.col("doc_id"))
-            left = prefix_pairs(own, scratch)
+            spent.append(left := prefix_pairs(own, scratch))
             for t in tried:
                 left = left.join(t.select("a", "b"), ["a", "b"], "left_anti")
         for last in (False, True):
@@ -320,10 +323,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             tried.append(checked)
             new = checked.where("linked").select("a", "b")
             links = new if links is None else links.unionByName(new)
+            if labels is not None:
+                spent.append(labels)
             labels = components(links, scratch)
             if not last:
-                left = scratch.table(_apart(left.join(checked, ["a", "b"], "left_anti"), labels), "apart")
-    scratch.drop(sets)
+                spent.append(left := scratch.table(_apart(left.join(checked, ["a", "b"], "left_anti"), labels), "apart"))
+    scratch.drop(*spent, *tried)
     whole = reps.select("n_shingles", "f1", "f2", "rep", "copies")
     if labels is not None:
         whole = whole.join(labels, whole["rep"] == labels["doc_id"], "left").select("n_shingles", "f1", "f2", F.coalesce("component", "rep").alias("component"), "copies", F.col("component").isNotNull().alias("linked"))
@@ -336,9 +341,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b and both sets. b's set travels with the pair to a."""
+    """a, b and both sets. b's set travels with the pair to a; a document with very many pairs is copied over tasks."""
+    hubs = pairs.groupBy("a").count().where(F.col("count") > HUB).select(F.col("a").alias("hub"), F.ceil(F.col("count") / HUB).cast("int").alias("slices"))
     one = sets.select(F.col("doc_id").alias("i"), F.col("shingles").alias("x"))
     two = sets.select(F.col("doc_id").alias("j"), F.col("shingles").alias("y"))
+    if not hubs.isEmpty():
+        slices = F.coalesce("slices", F.lit(1))
+        pairs = pairs.join(hubs, F.col("a") == F.col("hub"), "left").select("a", "b", F.pmod(F.xxhash64("b"), slices).cast("int").alias("s"))
+        one = one.join(hubs, F.col("i") == F.col("hub"), "left").select("i", "x", F.explode(F.sequence(F.lit(0), slices - 1)).alias("k"))
+        return pairs.join(two, F.col("b") == F.col("j")).join(one, (F.col("a") == F.col("i")) & (F.col("s") == F.col("k"))).select("a", "b", "x", "y")
     return pairs.join(two, F.col("b") == F.col("j")).join(one, F.col("a") == F.col("i")).select("a", "b", "x", "y")
 
 
@@ -351,7 +362,17 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group of near duplicates, that with the least doc_id."""
+    """docs with one document of each group of near duplicates, that with the least doc_id.
+
+    In a table with null or repeated ids, every row counts as a document of its own and the first row of a group
+    stays, so repeated rows and copies without an id go as well. Texts without words all stay.
+    """
     scratch = Scratch(docs.sparkSession, "kept")
-    gone = scratch.table(near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("gone_id")), "ids")
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    if docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty():
+        gone = scratch.table(near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("gone_id")), "ids")
+        return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    rows = scratch.table(docs.toDF(*names).withColumn("row_number", F.monotonically_increasing_id()), "rows")
+    gone = near_duplicates(rows.select(F.col("row_number").alias("doc_id"), F.col(names[docs.columns.index("text")]).alias("text")))
+    gone = scratch.table(gone.where("NOT kept").select(F.col("doc_id").alias("gone_id")), "ids")
+    return rows.join(gone, rows["row_number"] == gone["gone_id"], "left_anti").select(*names).toDF(*docs.columns)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +17,11 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """The cluster's shared folder: spark.checkpoint.dir, or a folder of our own where that is unset on a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-sylvan-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,6 +36,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/sylvan/{name}-{uuid.uuid4().hex}"
         self.made = 0
+        if _temporary:
+            _temporary[-1].append(self)
 
     def path(self, name: str) -> str:
         self.made += 1
@@ -47,8 +53,46 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later step reads."""
         for t in tables:
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(t.sylvan_path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            self._delete(t.sylvan_path)
+
+    def drop_all(self) -> None:
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+_temporary: list[list[Scratch]] = []
+
+
+@contextmanager
+def temporary():
+    """Delete the tables that operators write inside, once the block has ended. Lazy frames that read them must be
+    written before."""
+    _temporary.append(own := [])
+    try:
+        yield
+    finally:
+        _temporary.remove(own)
+        for s in own:
+            s.drop_all()
+
+
+def without_rows(docs: DataFrame, scratch: Scratch, gone: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """docs without the rows whose ids are in gone(docs with doc_id), a frame whose first column holds them.
+
+    In a table with null or repeated ids the rows are numbered (and written, so that their numbers stay) and judged
+    by number, so that no row goes or stays for another's sake.
+    """
+    if docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty():
+        out = scratch.table(gone(docs).toDF("gone_id"), "gone")
+        return docs.join(out, docs["doc_id"] == out["gone_id"], "left_anti")
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    rows = scratch.table(docs.toDF(*names).withColumn("row_number", F.monotonically_increasing_id()), "rows")
+    as_docs = rows.select(*[F.col("row_number" if c == "doc_id" else k).alias(c) for k, c in zip(names, docs.columns, strict=True)])
+    out = scratch.table(gone(as_docs).toDF("gone_id"), "gone")
+    return rows.join(out, rows["row_number"] == out["gone_id"], "left_anti").select(*names).toDF(*docs.columns)
 
 
 def lower_ascii(text: Column) -> Column:
@@ -163,23 +207,19 @@ def _split(group: list[bytes], table: np.ndarray) -> list[np.ndarray]:
     return np.split(hashes, np.cumsum(counts)[:-1])
 
 
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-BATCH_ROWS = 2000
-
-
-def bounded(docs: DataFrame) -> DataFrame:
-    """docs, whose whole texts reach Python by at most 2,000 rows, where the session sets no number of its own."""
-    conf = docs.sparkSession.conf
-    if conf.get(BATCH, None) is None:
-        conf.set(BATCH, BATCH_ROWS)
-    return docs
-
-
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same rows in short batches: a task holds Python copies of few texts at a time."""
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in short batches, of few rows and few bytes of text: a task holds Python copies of little at a time."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        held = np.zeros(batch.num_rows, np.int64)
+        for c in batch.columns:
+            if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_binary(c.type):
+                held += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, at = np.cumsum(held), 0
+        while at < batch.num_rows:
+            fit = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+            end = min(batch.num_rows, at + rows, max(fit, at + 1))
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def utf8(column: pa.Array) -> list:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _block_hashes, bounded, byte_table, mix, sliced, utf8
+from .common import _block_hashes, byte_table, mix, sliced, utf8
 
 BUCKETS = 1 << 16
 _TABLE = byte_table(bytes(c for c in range(128) if not chr(c).isalpha()))
@@ -132,7 +132,7 @@ class LanguageModel:
 
 def fit(docs: DataFrame, sample: int = 2000, most_languages: int = 1000) -> LanguageModel:
     """Learn from the rows with a language that are not held out: about `sample` of each, chosen by a hash."""
-    train = bounded(docs).select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    train = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     if not sizes:
         return LanguageModel([], np.zeros((0, 2, BUCKETS), np.float32), np.zeros((0, SCRIPTS), bool))
@@ -183,7 +183,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.string())], ["doc_id", "lang_pred", "score", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return bounded(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, spans string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, spans string")
 
 
 _ASCII_LETTERS = bytes(c for c in range(128) if chr(c).isalpha())
@@ -210,7 +210,7 @@ def keep_identified(docs: DataFrame, least: float = 0.5, sample: int = 2000) ->
             verdict = [_told(model, text, scores, least) for text, scores in _scored(model, utf8(batch.column(names.index("text"))))]
             yield from table.filter(pa.array(verdict, pa.bool_())).to_batches()
 
-    return bounded(docs).mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def _told(model: LanguageModel, text: bytes, scores: np.ndarray, least: float) -> bool:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE, Scratch, batches_of_words, bounded, byte_table, mix, shingle_hashes, sliced, utf8
+from .common import WHITESPACE, Scratch, batches_of_words, byte_table, mix, shingle_hashes, sliced, utf8, without_rows
 
 HASHES, TREES, DEPTH, DEEPEST, CROWD = 64, 24, 3, 8, 8
 PERCENT = 75
@@ -289,7 +289,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs. doc_id is an integer."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
-    texts = bounded(docs).select(F.col("doc_id").cast("long"), "text")
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
     sketches = scratch.table(texts.mapInArrow(_sketch, "doc_id long, n_shingles long, f1 long, f2 long, signature binary"), "sketches")
     full = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = scratch.table(full.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature")), "representatives")
@@ -367,12 +367,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     In a table with null or repeated ids, every row counts as a document of its own and the first row of a group
     stays, so repeated rows and copies without an id go as well. Texts without words all stay.
     """
-    scratch = Scratch(docs.sparkSession, "kept")
-    if docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty():
-        gone = scratch.table(near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("gone_id")), "ids")
-        return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
-    names = [f"c{k}" for k in range(len(docs.columns))]
-    rows = scratch.table(docs.toDF(*names).withColumn("row_number", F.monotonically_increasing_id()), "rows")
-    gone = near_duplicates(rows.select(F.col("row_number").alias("doc_id"), F.col(names[docs.columns.index("text")]).alias("text")))
-    gone = scratch.table(gone.where("NOT kept").select(F.col("doc_id").alias("gone_id")), "ids")
-    return rows.join(gone, rows["row_number"] == gone["gone_id"], "left_anti").select(*names).toDF(*docs.columns)
+    return without_rows(docs, Scratch(docs.sparkSession, "kept"), lambda d: near_duplicates(d).where("NOT kept").select("doc_id"))

@@ -15,22 +15,22 @@ m AS (
 SELECT u.page_id, u.host, u.path, m.rule, coalesce(m.verdict, 'allow') AS verdict
 FROM u LEFT JOIN m ON u.page_id IS NOT DISTINCT FROM m.page_id AND u.host = m.host AND u.path = m.path""",
     "op5_decontamination": r"""
-WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS words FROM documents),
+WITH w AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS words FROM documents),
 b AS (
   SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS words FROM benchmark),
 g AS (
   SELECT DISTINCT item_id, least(10, len(words)) AS k, array_to_string(list_slice(words, pos, pos + least(10, len(words)) - 1), ' ') AS gram
   FROM (SELECT item_id, words, unnest(range(1, len(words) - least(10, len(words)) + 2)) AS pos FROM b WHERE len(words) > 0)),
 d AS (
-  SELECT doc_id, pos, k, array_to_string(list_slice(words, pos, pos + k - 1), ' ') AS gram
-  FROM (SELECT doc_id, words, k, unnest(range(1, len(words) - k + 2)) AS pos FROM w CROSS JOIN (SELECT DISTINCT k FROM g) WHERE len(words) >= k)),
-h AS (SELECT doc_id, pos, d.k, item_id FROM d JOIN g ON d.gram = g.gram AND d.k = g.k),
-c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + k)) AS p FROM (SELECT DISTINCT doc_id, pos, k FROM h)) GROUP BY doc_id),
-i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
+  SELECT r, pos, k, array_to_string(list_slice(words, pos, pos + k - 1), ' ') AS gram
+  FROM (SELECT r, words, k, unnest(range(1, len(words) - k + 2)) AS pos FROM w CROSS JOIN (SELECT DISTINCT k FROM g) WHERE len(words) >= k)),
+h AS (SELECT r, pos, d.k, item_id FROM d JOIN g ON d.gram = g.gram AND d.k = g.k),
+c AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(pos, pos + k)) AS p FROM (SELECT DISTINCT r, pos, k FROM h)) GROUP BY r),
+i AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM h) GROUP BY r)
 SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM w LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)""",
+FROM w LEFT JOIN c USING (r) LEFT JOIN i USING (r)""",
     "op7_warc": r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 s AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest FROM p),

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded, sliced
+from .common import Scratch, sliced
 
 WINDOW = 4096
 END = (2).to_bytes(4, "little")
@@ -132,7 +132,7 @@ def tokenise(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), *[pa.array(x, pa.int64()) for x in (starts, lengths, sums, totals)]], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return bounded(docs).select("doc_id", "text").mapInArrow(run, PIECES.format(id=kind))
+    return docs.select("doc_id", "text").mapInArrow(run, PIECES.format(id=kind))
 
 
 class OpenWindows:

@@ -12,12 +12,11 @@ gives one output row; repeated rows repeat. An empty table gives no rows.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, without_rows
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 8
@@ -104,5 +103,4 @@ def quality_rules(docs: DataFrame, rules: QualityRules = QualityRules()) -> Data
 
 def apply_quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
-    kept = quality_rules(docs, rules).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, reduce(lambda a, b: a & b, [docs["doc_id"].eqNullSafe(kept["kept_id"])]), "left_semi")
+    return without_rows(docs, Scratch(docs.sparkSession, "bad"), lambda d: quality_rules(d, rules).where("NOT kept").select("doc_id"))

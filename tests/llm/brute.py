@@ -51,7 +51,7 @@ def contamination(text, items):
         own = of(item)
         n = min(10, len(own))
         grams = {tuple(own[i : i + n]) for i in range(len(own) - n + 1)} if n else set()
-        for i in range(len(words) - n + 1):
+        for i in range(len(words) - n + 1 if grams else 0):
             if tuple(words[i : i + n]) in grams:
                 hit |= set(range(i, i + n))
                 found.add(str(key))

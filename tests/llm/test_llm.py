@@ -1,5 +1,6 @@
 import re
 import sys
+from collections import Counter
 from itertools import product
 from pathlib import Path
 
@@ -158,16 +159,19 @@ def test_best_fit_matches_a_plain_search():
 
 
 def test_decontamination(spark, docs, odd, texts, empty):
-    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()] + [(900, "One two THREE"), (901, None), (902, "..."), (903, "one, two. three"), (904, "line a line")]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()] + [(900, "One two THREE"), (901, None), (902, "..."), (903, "one, two. three"), (904, "line a line"), (905, "w5 x w6 x"), (906, "w8999 x w0 x w1 x w2 x w3 x w4")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for frame, of in ((docs, texts), (odd, {r[0]: r[1] for r in ODD})):
-        got = decontamination.decontaminate(frame, bench).collect()
-        assert len(got) == len(of)
-        for r in got:
-            if r["doc_id"] not in (6, 7) or frame is docs:
-                assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == brute.contamination(of[r["doc_id"]], items)
-    same = decontamination.decontaminate(docs, bench, max_broadcast=0)
-    assert same.exceptAll(decontamination.decontaminate(docs, bench)).count() == 0
+    extra = [(20, "One two three"), (20, "nothing of that kind"), (20, "One two three"), (None, "one two three four"), (None, None), (21, " ".join(f"w{i}" for i in range(20_000)) + " one two three")]
+    more = spark.createDataFrame([(*r, "en", "a", None, "clash", 1, "clash", "clash", "clash") for r in extra], SCHEMA)
+    for frame, rows in ((docs, list(texts.items())), (odd.unionByName(more), [(r[0], r[1]) for r in ODD] + extra)):
+        want = Counter((k, *brute.contamination(t, items)) for k, t in rows)
+        for limit in (5_000_000, 0):
+            got = decontamination.decontaminate(frame, bench, max_broadcast=limit).collect()
+            assert Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got) == want
+    kept = decontamination.remove_contaminated(more, bench).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept if r["text"]) == [("20", "nothing of that kind")]
+    assert len(kept) == 2
+    assert kept[0].asDict().keys() == set(more.columns)
     assert decontamination.decontaminate(empty, bench).count() == 0
     assert decontamination.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
 

@@ -6,7 +6,7 @@ small shuffle. They are dealt by hash into shards of about shard_pieces, which f
 repeated run of a lost task give the same sequences. In a shard, a segment tree indexed by remaining capacity finds
 the tightest open window for the next longest piece. Each shard leaves about one window unfilled.
 
-Null or empty text is the end id alone. Each input row is packed; repeated rows are packed as often as they occur.
+Null or empty text is the end id alone. A mark such as <|endoftext|> in a text is the tokenizer's id for it. Each input row is packed; repeated rows are packed as often as they occur.
 An empty table gives no rows.
 """
 
@@ -29,8 +29,8 @@ from .common import Scratch, sliced
 WINDOW = 4096
 END = (2).to_bytes(4, "little")
 VOCABULARY = "word_bpe_49k.json"
-#: Entries that a task keeps of text chunks and of words before it starts anew: bounds its memory.
-CACHE = 700_000
+#: Bytes that a task keeps of chunks and words, by rough count of their objects, before it starts anew.
+CACHE = 64 << 20
 #: Chunks of one text that are looked up, and encoded where new, at a time.
 LOT = 5_000
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long"
@@ -39,9 +39,10 @@ PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long"
 class WordTokenizer:
     """Ids of whole texts as little-endian 32-bit integers, equal to the tokenizer's own.
 
-    The tokenizer never joins text across white space, so each chunk between white space has ids of its own, which
-    are kept. That holds for characters which need no normalisation but lower case; a text with
-    any other character goes through the tokenizer whole.
+    Marks such as <|endoftext|> are ids of their own wherever they occur in a text, as the tokenizer reads them. What
+    lies between is never joined across ASCII white space, so each chunk between white space has ids of its own,
+    which are kept. A chunk whose characters need no normalisation but lower case is put together from its words;
+    any other goes through the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -49,7 +50,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.base = Tokenizer.from_file(path)
-        self.base.encode_special_tokens = True
+        marks = {t.content: i for i, t in self.base.get_added_tokens_decoder().items()}
+        self.marks = {m: i.to_bytes(4, "little") for m, i in marks.items()}
+        self.split = re.compile("(" + "|".join(map(re.escape, marks)) + ")") if marks else None
         plain = [chr(c) for c in [*range(0x20, 0x7F), *range(0xA1, 0x180), 0x2013, 0x2014, 0x2018, 0x2019, 0x201C, 0x201D, 0x2026] if c not in (0xAD, 0x130)]
         of = lambda k: "".join(re.escape(c) for c in plain if unicodedata.category(c)[0] == k)
         self.plain = re.compile(f"[{''.join(map(re.escape, plain))}\\t\\n\\x0b\\x0c\\r]*")
@@ -59,20 +62,19 @@ class WordTokenizer:
         self.closes[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.chunks: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
-    def _ids(self, text: str) -> bytes:
-        return np.asarray(self.base.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.base.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: list[str]) -> None:
-        if len(self.chunks) > CACHE:
-            self.chunks.clear()
-        if len(self.known) > CACHE:
-            self.known.clear()
-        parts = [self.words.findall(c) for c in chunks]
+        plain = [c for c in chunks if self.plain.fullmatch(c)]
+        other = list(set(chunks).difference(plain))
+        parts = [self.words.findall(c) for c in plain]
         new = list({w for p in parts for w in p if w not in self.known})
         if new:
             # one call for all: each word's last id is one that closes a word
-            ids = np.array(self.base.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.frombuffer(self._ids([" ".join(new)])[0], "<u4")
             ends = (np.flatnonzero(self.closes[ids]) + 1) * 4
             if len(ends) == len(new):
                 data, at = ids.tobytes(), 0
@@ -80,20 +82,32 @@ class WordTokenizer:
                     self.known[w] = data[at:end]
                     at = end
             else:
-                self.known |= {w: self._ids(w) for w in new}
-        for c, p in zip(chunks, parts, strict=True):
+                self.known |= dict(zip(new, self._ids(new), strict=True))
+        for c, p in zip(plain, parts, strict=True):
             self.chunks[c] = b"".join(map(self.known.__getitem__, p))
+        if other:
+            self.chunks |= dict(zip(other, self._ids(other), strict=True))
+        self.held += sum(map(len, new)) + sum(map(len, chunks)) + sum(len(self.chunks[c]) for c in chunks) + 250 * (len(new) + len(chunks))
 
-    def encode(self, text: str) -> bytes:
-        if not self.plain.fullmatch(text):
-            return self._ids(text)
-        chunks, out = text.lower().split(), []
+    def _between(self, text: str) -> Iterator[bytes]:
+        """Ids of a text without marks, by lots of chunks."""
+        chunks = text.lower().split() if self.plain.fullmatch(text) else [c.lower() if self.plain.fullmatch(c) else c for c in _SPACE.split(text)]
         for at in range(0, len(chunks), LOT):
             part = chunks[at : at + LOT]
-            while new := set(part).difference(self.chunks):  # again only if the cache began anew
+            if new := set(part).difference(self.chunks):
                 self._learn(list(new))
-            out.append(b"".join(map(self.chunks.__getitem__, part)))
-        return b"".join(out)
+            yield b"".join(map(self.chunks.__getitem__, part))
+            if self.held > CACHE:
+                self.chunks.clear()
+                self.known.clear()
+                self.held = 0
+
+    def encode(self, text: str) -> bytes:
+        parts = self.split.split(text) if self.split else [text]
+        return b"".join(self.marks[p] if p in self.marks else b"".join(self._between(p)) for p in parts)
+
+
+_SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
 @lru_cache(2)
@@ -186,9 +200,9 @@ def best_fit_decreasing(lengths: list[int], window: int = WINDOW) -> list[tuple[
 def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, shard_pieces: int = 20_000) -> DataFrame:
     """All pieces with sequence_id (long: shard and window) and offset."""
     scratch = Scratch(docs.sparkSession, "packing")
-    pieces = scratch.table(tokenise(docs, window, vocabulary), "pieces")
+    pieces = scratch.table(tokenise(docs, window, vocabulary).withColumn("piece", F.monotonically_increasing_id()), "pieces")
     shards = max(1, -(-pieces.count() // shard_pieces))
-    shard = F.pmod(F.xxhash64("doc_id", "start", "doc_tokens", "ids_crc32"), F.lit(shards)).cast("long")
+    shard = F.pmod(F.xxhash64("piece"), F.lit(shards)).cast("long")  # by piece, so that repeated rows spread as well
 
     def fill(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")])
@@ -197,4 +211,4 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, sh
         return rows.drop_columns("shard").append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(placed[:, 1].copy()))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return pieces.withColumn("shard", shard).groupBy("shard").applyInArrow(fill, PIECES.format(id=kind) + ", sequence_id long, offset long")
+    return pieces.withColumn("shard", shard).drop("piece").groupBy("shard").applyInArrow(fill, PIECES.format(id=kind) + ", sequence_id long, offset long")

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from functools import lru_cache
 
 
 def lower(text):
@@ -90,13 +91,16 @@ def near(docs):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-def tokens(text):
+@lru_cache
+def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    return [*t.encode(text or "", add_special_tokens=False).ids, 2]
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def tokens(text):
+    return [*tokenizer().encode(text or "", add_special_tokens=False).ids, 2]
 
 
 def crc(ids):

@@ -145,6 +145,33 @@ def test_packing(docs, odd, texts, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_tokenizer_equals_the_library():
+    own = packing.WordTokenizer(packing.vocabulary_path())
+    rng = np.random.default_rng(6)
+    pieces = ["hello", " ", "\n", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "É", "e\u0301", "\u0308", "数字", "it's", "12", "\x1c", "\xa0", "\u2028", "İ", "😀", "\x00", "ǅ", "'LL", "ß"]
+    texts = ["hello <|endoftext|> x", "<|endoftext|>", "a<|startoftext|>b<|endoftext|><|endoftext|> c"] + ["".join(rng.choice(pieces, 12)) for _ in range(1500)]
+    for text in texts:
+        want = brute.tokens(text)[:-1]
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == want, text
+    assert brute.tokens("hello <|endoftext|> x") == [3306, 49407, 343, 2]
+
+
+def test_tokenizer_starts_anew(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 20_000)
+    own = packing.WordTokenizer(packing.vocabulary_path())
+    text = " ".join(f"word{i % 700}x{i % 11}" for i in range(30_000))
+    assert np.frombuffer(own.encode(text), "<u4").tolist() == brute.tokens(text)[:-1]
+    assert len(own.chunks) < 7700
+
+
+def test_packing_spreads_repeated_rows(spark):
+    rows = packing.pack(spark.createDataFrame([(1, "the same words in every row " * 20)] * 900, "doc_id long, text string"), shard_pieces=100).collect()
+    assert len(rows) == 900
+    per_shard = Counter(r["sequence_id"] >> 32 for r in rows)
+    assert len(per_shard) == 9
+    assert max(per_shard.values()) < 160
+
+
 def test_best_fit_matches_a_plain_search():
     rng = np.random.default_rng(2)
     lengths = sorted(rng.integers(1, 65, 400).tolist(), reverse=True)

@@ -1,5 +1,7 @@
+import random
 import re
 import sys
+import time
 from collections import Counter
 from itertools import product
 from pathlib import Path
@@ -351,14 +353,43 @@ def test_field_decoding_against_all_paths():
         assert abs(value(field.decode(e)) - max(map(value, product(range(3), repeat=6)))) < 1e-6
 
 
-def test_field_learns(spark):
-    field = secret_scan.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
-    text = "the config says\nkey = 9f8e7d6c5b4a39281706f5e4d3c2b1a0ffee\nand then some words of prose"
-    places = next(iter(secret_scan.stretches(text)))
-    e = [secret_scan.token_features([text[a:b] for a, b in places], k, secret_scan.file_features(text)) for k in range(len(places))]
-    pinned = np.array([not secret_scan._is_odd(text[a:b]) for a, b in places])
-    tags = field.decode(field.scores(e, pinned))
-    assert [text[a:b] for (a, b), t in zip(places, tags, strict=True) if t != secret_scan.O] == ["9f8e7d6c5b4a39281706f5e4d3c2b1a0ffee"]
+def test_stretches_read_whole_tokens():
+    long = "k" * 90 + "1"
+    for text in (f"key = {long}", f"see {long} here", "x " * 100 + "pwd: Tr0ub4dor", "Q" + "a" * 5000 + "7"):
+        tokens = {text[a:b] for places in secret_scan.stretches(text) for a, b in places}
+        assert text.split()[-1] in tokens or long in tokens
+    assert not list(secret_scan.stretches("only plain words of prose, internationalisation among them. Twice."))
+
+
+@pytest.fixture(scope="module")
+def field(spark):
+    return secret_scan.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def test_field_finds_more_than_the_patterns(spark, field):
+    rng = random.Random(21)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    draw = lambda n: "".join(rng.choice(alphabet) for _ in range(n)) + "7"
+    prose = "The river was low and they walked along the other bank until it was dark. "
+    forms = ("pwd: {}", "bearer {}", "credential = {}", "my passphrase is {}", "PRIVATE_KEY='{}'", "auth {}", "db_pwd=\"{}\"")
+    planted = [(f.format(v), v) for f in forms for v in (draw(rng.randint(9, 40)) for _ in range(30))] + [(v, v) for v in (draw(rng.randint(24, 44)) for _ in range(60))] + [("pwd: Tr0ub4dor", "Tr0ub4dor"), ("bearer qWxKzPvLmNbTyRdF", "qWxKzPvLmNbTyRdF"), ("credential = hunter2", "hunter2"), ("key = " + "vwxyz" * 10 + "0123456789", "vwxyz" * 10 + "0123456789")]
+    found = 0
+    for text, value in planted:
+        whole = prose + text + " " + prose
+        assert not secret_scan.base_spans(whole)
+        found += any(whole[a:b] == value for a, b, _ in secret_scan.find_spans(whole, field))
+    assert found / len(planted) > 0.9
+    clean = ["the key to the house", "password reset page", "a token of love", "version 1.2.3-beta4", "call 555-123-4567 on 2024-05-06T10:00", "see www.example.com/page/12345", "secret: none", "key: value", "The Bearer of this letter", "uuid 123e4567-e89b-12d3-a456-426614174000", "ISBN 978-3-16-148410-0", "src/main/app2.py", "module_name_123", "Structured Streaming", "Donaudampfschifffahrtsgesellschaft"]
+    assert sum(bool(secret_scan.find_spans(prose + c + " " + prose, field)) for c in clean) <= 1
+    rows = secret_scan.find_secrets(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), field).where("n_assign + n_access + n_hex = 0")
+    assert rows.where("spans <> ''").count() <= 0.002 * rows.count()
+
+
+def test_secrets_are_linear(field):
+    for text in ("a1" * 400_000, "key " * 100_000, "password=" * 60_000, "AKIA" * 200_000, "x=y1;" * 60_000):
+        began = time.time()
+        secret_scan.find_spans(text, field)
+        assert time.time() - began < 40
 
 
 def test_pipeline(spark):

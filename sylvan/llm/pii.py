@@ -2,10 +2,12 @@
 
 One Aho-Corasick pass over a whole text finds anchors: at-signs, plus signs, digits, schemes and identifier cues.
 From each anchor a deterministic local parser reads the exact boundaries and validates what it finds. Parsers
-never look back past their last match, so each kind's matches are leftmost and do not overlap, and the work is
-linear in the text. Tasks are independent: the operator is a scan without shuffle.
+never look back past their last match, and one that fails remembers the run of digits that it has read or reads a
+bounded number of characters, so each kind's matches are leftmost and do not overlap, and the work is linear in
+the text. Tasks are independent: the operator is a scan without shuffle.
 
-Null or empty text has no spans. Each input row gives one output row.
+Null or empty text has no spans; very long texts are read whole. Each input row gives one output row, repeated rows
+the same one. An empty table gives no rows. Spans with equal starts are ordered by kind, as listed, then by end.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import sliced
+
 KINDS = ("email", "ip", "card", "phone", "address", "account")
 #: Words that announce an account or identity number, and schemes that announce an address: fixed values.
 CUES = ("iban", "account", "acct", "konto", "compte", "cuenta", "ssn", "passport")
@@ -26,13 +30,18 @@ SCHEMA = "doc_id {id}, n_email long, n_ip long, n_card long, n_phone long, base_
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_DOTTED = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+_DIGITS = re.compile(r"[0-9]++")
+_DOTTED = re.compile(r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _AUTHORITY = re.compile(r"[^\s/?#\"'<>]*@[A-Za-z0-9.-]+(?::[0-9]+)?")
 _TARGET = re.compile(r"[A-Za-z0-9._%+@-]*[A-Za-z0-9]")
 _SCHEME_NAME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{0,15}$")
-_NUMBER = re.compile(r"[\s:#.=-]{0,4}(?:no|nr|num|number)?[\s:#.=-]{0,4}((?:[A-Z]{2}[0-9]{2})?[0-9A-Z](?:[ -]?[0-9A-Z])*)")
+#: What may stand between a cue and its number: signs, and a word for number.
+_LEAD = re.compile(r"[\s:#.=-]{0,4}(?:(?ai:no|nr|num|number)(?![A-Za-z0-9]))?[\s:#.=-]{0,4}")
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[ -]?[0-9A-Z]){11,40}")
+_NUMBER = re.compile(r"[0-9](?:[ -]?[0-9]){5,20}(?![0-9A-Za-z])")
+IBAN_READS = 64  # characters that hold any account number: at most 34 signs, with one separator after each but the last
 
 
 @lru_cache(1)
@@ -64,15 +73,14 @@ def iban(code: str) -> bool:
 
 
 def _account(text: str, at: int) -> tuple[int, int] | None:
-    """The number after a cue: a valid IBAN, or 6 to 17 digits."""
-    if not (m := _NUMBER.match(text, at)):
-        return None
-    code = re.sub("[ -]", "", m[1])
-    if code.isdigit():
-        return (m.start(1), m.end(1)) if 6 <= len(code) <= 17 else None
-    # the longest leading groups that check as an IBAN
-    ends = [k.end() for k in re.finditer(r"[0-9A-Z]+", m[1][:50])]
-    return next(((m.start(1), m.start(1) + e) for e in reversed(ends) if iban(re.sub("[ -]", "", m[1][:e]))), None)
+    """The number after a cue: a valid IBAN, the longest of its leading groups that checks, or 6 to 17 digits."""
+    at = _LEAD.match(text, at).end()
+    read = text[at : at + 2 * IBAN_READS]
+    if m := _IBAN.match(read):
+        ends = [k.end() for k in re.finditer(r"[0-9A-Z]+", m[0])]
+        return next(((at, at + e) for e in reversed(ends) if iban(re.sub("[ -]", "", m[0][:e]))), None)
+    m = _NUMBER.match(read)
+    return (at, at + m.end()) if m and 6 <= sum(map(str.isdigit, m[0])) <= 17 else None
 
 
 def find_spans(text: str) -> list[tuple[int, int, str]]:
@@ -86,9 +94,11 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
                 digits = m[0].replace(" ", "").replace("-", "")
                 if 14 <= len(digits) <= 19 and luhn(digits):
                     spans.append((at, m.end(), "card"))
-            if at >= done["ip"] and (m := _DOTTED.match(text, at)):
-                done["ip"] = m.end()
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if at >= done["ip"]:
+                m = _DOTTED.match(text, at)
+                # no address begins inside a run of digits whose first digit begins none
+                done["ip"] = (m or _DIGITS.match(text, at)).end()
+                if m and all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
                     spans.append((at, m.end(), "ip"))
         elif what == "@":
             first = at
@@ -117,7 +127,7 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         counts, digests, texts = [[], [], [], []], [], []
         for text in batch.column(1).to_pylist():
             spans = find_spans(text) if text else []

@@ -39,6 +39,40 @@ def pii(text):
     return sorted(((m.start(), m.end(), k) for k, p, ok in kinds for m in re.finditer(p, text) if ok(m)), key=lambda s: (s[0], ["email", "ip", "card", "phone"].index(s[2])))
 
 
+def _iban(code):
+    return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
+
+
+def account_and_address(text):
+    """Each cue and scheme by itself, from left to right, with plain substring search."""
+    found, done = set(), 0
+    cues = sorted((m.start(), m.end()) for c in ("iban", "account", "acct", "konto", "compte", "cuenta", "ssn", "passport") for f in (c, c.upper(), c.capitalize()) for m in re.finditer(f, text))
+    for start, end in cues:
+        if start < done or text[start - 1 : start].isalpha():
+            continue
+        at = re.match(r"[\s:#.=-]{0,4}((?ai:no|nr|num|number)(?![A-Za-z0-9]))?[\s:#.=-]{0,4}", text[end:]).end() + end
+        rest, hit = text[at:], None
+        if re.match(r"[A-Z]{2}[0-9]{2}([ -]?[0-9A-Z]){11}", rest):
+            ends = [n for n in range(1, len(rest) + 1) if re.fullmatch(r"[A-Z]{2}[0-9]{2}([ -]?[0-9A-Z]){11,40}", rest[:n]) and not re.match("[0-9A-Z]", rest[n:])]
+            hit = max((n for n in ends if _iban(re.sub("[ -]", "", rest[:n]))), default=None)
+        elif m := re.match(r"[0-9]([ -]?[0-9])*(?![0-9A-Za-z])", rest):
+            hit = m.end() if 6 <= len(re.sub("[^0-9]", "", m[0])) <= 17 else None
+        if hit:
+            found.add((at, at + hit, "account"))
+            done = at + hit
+    done = 0
+    schemes = sorted((m.start(), m.end(), c) for c in ("://", "mailto:", "tel:", "sip:") for m in re.finditer(c, text))
+    for start, end, c in sorted(schemes, key=lambda s: s[1]):
+        web = c == "://"
+        name = re.search(r"[A-Za-z][A-Za-z0-9+.-]{0,15}$", text[max(0, start - 16) : start]) if web else None
+        first = start - len(name[0]) if name else start
+        m = re.match(r"[^\s/?#\"'<>]*@[A-Za-z0-9.-]+(:[0-9]+)?" if web else r"[A-Za-z0-9._%+@-]*[A-Za-z0-9]", text[end:])
+        if m and first >= done and (web or "@" in m[0] or len(re.findall("[0-9]", m[0])) >= 7):
+            found.add((first, end + m.end(), "address"))
+            done = end + m.end()
+    return found
+
+
 def secrets(text):
     text = text or ""
     kinds = [("assign", r"(?ai:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", lambda m: len(m[1]) >= 6), ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24)]

@@ -122,6 +122,32 @@ def test_pii_random():
         assert [s for s in pii.find_spans(text) if s[2] in pii.KINDS[:4]] == brute.pii(text)
 
 
+def test_pii_is_linear():
+    for unit in ("1", "1.", "IBAN ", "+1 ", "a@", "konto 12 ", "mailto:a", "://a", "1 ", "DE89 IBAN ", "+1(", "a@a."):
+        text = unit * (1_000_000 // len(unit))
+        began = time.time()
+        pii.find_spans(text)
+        assert time.time() - began < 25, unit
+
+
+def test_account_and_address_spans():
+    cases = [
+        ("IBAN: DE89 3704 0044 0532 0130 00 ok", {("account", "DE89 3704 0044 0532 0130 00")}), ("iban GB82WEST12345698765432", {("account", "GB82WEST12345698765432")}), ("IBAN DE89 3704 0044 0532 0130 01", set()), ("IBAN DE89 3704 0044 0532 0130 00 AND MORE", {("account", "DE89 3704 0044 0532 0130 00")}),
+        ("KONTO NR. 12345678 UND", {("account", "12345678")}), ("account no: 12-345-678", {("account", "12-345-678")}), ("IBAN NO93 8601 1117 947", {("account", "NO93 8601 1117 947")}), ("account 12345", set()), ("account 123456789012345678", set()), ("accounted 12345678", set()), ("myaccount 12345678", set()), ("ssn=123-45-6789", {("account", "123-45-6789")}),
+        ("ftp://user:pw@host.org/x", {("address", "ftp://user:pw@host.org")}), ("http://host.org/x@y", set()), ("mailto:a@b.cd", {("address", "mailto:a@b.cd")}), ("tel:+14155550199", {("address", "tel:+14155550199")}), ("tel:12", set()), ("sip:joe@x.org;", {("address", "sip:joe@x.org")}), ("://a@b", {("address", "://a@b")}),
+    ]
+    for text, want in cases:
+        assert {(k, text[a:b]) for a, b, k in pii.find_spans(text) if k in pii.KINDS[4:]} == want, text
+
+
+def test_account_and_address_spans_against_a_plain_version():
+    rng = np.random.default_rng(12)
+    parts = ["account ", "IBAN", ": ", "no ", "12345678", "12 34-567", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "://", "mailto:", "http", "u@h.org", "a:b@c", " ", "/", "9" * 20, "AB12", "x"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts, 7))
+        assert {s for s in pii.find_spans(text) if s[2] in pii.KINDS[4:]} == brute.account_and_address(text), text
+
+
 def test_packing(docs, odd, texts, empty):
     for frame, of in ((docs, texts), (odd, {r[0]: r[1] for r in ODD})):
         rows = packing.pack(frame).collect()

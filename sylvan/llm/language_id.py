@@ -1,13 +1,16 @@
 """Language identification of whole, possibly mixed texts.
 
 The model holds log probabilities of byte trigrams inside words, of words, and the scripts that each language uses.
-It is fitted by a distributed count over at most about `sample` labelled documents of each language, so its
-size depends on the languages alone. A word's script range first narrows its candidate languages; its score for each
-is the sum of its features. Viterbi decoding over the words with a penalty for each switch labels the spans. A text
-in which no other language can gain half the penalty over any stretch is constant by proof, and is not decoded.
-
-Scoring is a scan without shuffle. A null text or one without letters is `und` with score 0. Each input row gives one
-output row. Without any labelled document every text is `und`.
+It is fitted by a distributed count over about `sample` labelled documents of each language. Every language is
+learned; the tables of all together take at most model_bytes, with fewer buckets each where languages are many, and
+are broadcast. A word's script range first narrows its candidate languages; its score for each is the sum of its
+features. Viterbi decoding over the words with a penalty for each switch labels the spans. A text in which no other
+language can gain half the penalty over any stretch is constant by proof, and is not decoded.
+
+`lang_pred` is the language with most words (of equal ones the first by name) and `score` its share of the words: 1
+for a text in one language throughout. Scoring is a scan without shuffle. A null text or one without letters is `und`
+with score 0; very long texts are read whole, by blocks. Each input row gives one output row, repeated rows the
+same one. An empty table gives no rows. Without any labelled document every text is `und`.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import _block_hashes, byte_table, mix, sliced, utf8
 
-BUCKETS = 1 << 16
+BUCKETS, FEWEST = 1 << 16, 1 << 8
 _TABLE = byte_table(bytes(c for c in range(128) if not chr(c).isalpha()))
 _BLOCK = 1 << 19
 TRIGRAM, WORD, SCRIPT = 0, 1, 2
@@ -57,24 +60,29 @@ def _features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return tri, first, (mix(hashes) & np.uint64(BUCKETS - 1)).astype(np.int64), script, np.diff(np.searchsorted(begin, ends), prepend=0)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, list[np.ndarray]] = {}
-    for batch in sliced(batches):
-        for lang, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-            own = counts.setdefault(lang, [np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), np.zeros(SCRIPTS, np.int64)])
-            for at in range(0, len(text), _BLOCK):
-                tri, _, words, scripts, _ = _features([text[at : at + _BLOCK]])
-                for into, what in zip(own, (tri, words, scripts), strict=True):
-                    into += np.bincount(what.astype(np.int64), minlength=len(into))
-    for lang, own in counts.items():
-        for kind, n in enumerate(own):
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(np.full(len(some), kind, np.int32)), pa.array(some.astype(np.int32)), pa.array(n[some])], ["lang", "kind", "bucket", "n"])
+def _counted(buckets: int):
+    """Counts of features for each language of a slice of rows, so that a task holds few languages' at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            found: dict[str, list[list[np.ndarray]]] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+                own = found.setdefault(lang, [[], [], []])
+                for at in range(0, len(text), _BLOCK):
+                    tri, _, words, scripts, _ = _features([text[at : at + _BLOCK]])
+                    for into, what in zip(own, (tri & (buckets - 1), words & (buckets - 1), scripts), strict=True):
+                        into.append(what.astype(np.int64))
+            for lang, own in found.items():
+                for kind, parts in enumerate(own):
+                    some, n = np.unique(np.concatenate([*parts, np.empty(0, np.int64)]), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(np.full(len(some), kind, np.int32)), pa.array(some.astype(np.int32)), pa.array(n.astype(np.int64))], ["lang", "kind", "bucket", "n"])
+
+    return run
 
 
 @dataclass
 class LanguageModel:
-    """languages; logs: languages x 2 x BUCKETS; uses: languages x SCRIPTS; penalty of a switch."""
+    """languages; logs: languages x 2 x buckets; uses: languages x SCRIPTS; penalty of a switch."""
 
     languages: list[str]
     logs: np.ndarray
@@ -84,14 +92,18 @@ class LanguageModel:
 
     def word_scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         tri, first, words, script, counts = _features(texts)
-        out = np.empty((len(self.languages), len(words)), np.float32)
-        for k in range(len(self.languages)):
-            if len(words):
-                out[k] = np.add.reduceat(self.logs[k, TRIGRAM][tri], first) + self.logs[k, WORD][words]
+        out = np.full((len(self.languages), len(words)), -1e3, np.float32)
         if len(words) and self.languages:
-            known = self.uses[:, script]
-            out[:, known.any(axis=0)] -= 1e3 * ~known[:, known.any(axis=0)]
-            out[:, ~known.any(axis=0)] = 0
+            buckets = self.logs.shape[2]
+            tri, words, known = tri & (buckets - 1), words & (buckets - 1), self.uses[:, script]
+            lengths = np.diff(first, append=len(tri))
+            for k in range(len(self.languages)):
+                own = known[k]
+                if own.all():
+                    out[k] = np.add.reduceat(self.logs[k, TRIGRAM][tri], first) + self.logs[k, WORD][words]
+                elif own.any():  # only the words in a script that the language uses
+                    begin = np.cumsum(lengths[own]) - lengths[own]
+                    out[k, own] = np.add.reduceat(self.logs[k, TRIGRAM][tri[np.repeat(own, lengths)]], begin) + self.logs[k, WORD][words[own]]
             out -= out.max(axis=0)
             np.maximum(out, -self.most, out=out)
         return out, counts
@@ -130,30 +142,43 @@ class LanguageModel:
         return path
 
 
-def fit(docs: DataFrame, sample: int = 2000, most_languages: int = 1000) -> LanguageModel:
-    """Learn from the rows with a language that are not held out: about `sample` of each, chosen by a hash."""
+def fit(docs: DataFrame, sample: int = 2000, model_bytes: int = 64 << 20) -> LanguageModel:
+    """Learn from the rows with a language that are not held out: about `sample` of each, chosen by a hash.
+
+    More languages than model_bytes holds with FEWEST buckets each (32,768 by default) are an error.
+    """
     train = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
-    if not sizes:
-        return LanguageModel([], np.zeros((0, 2, BUCKETS), np.float32), np.zeros((0, SCRIPTS), bool))
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, sample / n))) for k, n in sizes.items()], F.lit(0.0))
-    train = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    rows = train.select("lang", "text").mapInArrow(_counted, "lang string, kind int, bucket int, n long").groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    most = model_bytes // (8 * FEWEST)
+    sizes = train.groupBy("lang").agg(F.count("*").alias("n")).limit(most + 1).toArrow()
+    if sizes.num_rows > most:
+        raise ValueError(f"more than {most} languages: give a larger model_bytes")
+    if not sizes.num_rows:
+        return LanguageModel([], np.zeros((0, 2, FEWEST), np.float32), np.zeros((0, SCRIPTS), bool))
+    buckets = BUCKETS
+    while 8 * buckets * sizes.num_rows > model_bytes:
+        buckets //= 2
+    share = F.broadcast(docs.sparkSession.createDataFrame(sizes).select(F.col("lang").alias("of"), F.least(F.lit(1.0), sample / F.col("n")).alias("share")))
+    train = train.join(share, F.col("lang") == F.col("of")).where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    rows = train.select("lang", "text").mapInArrow(_counted(buckets), "lang string, kind int, bucket int, n long").groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(rows["lang"].to_pylist()))
     at = {k: i for i, k in enumerate(names)}
     lang = np.array([at[k] for k in rows["lang"].to_pylist()], np.int64)
     kind, bucket, n = (rows[c].to_numpy() for c in ("kind", "bucket", "n"))
-    logs, uses = np.zeros((len(names), 2, BUCKETS), np.float32), np.zeros((len(names), SCRIPTS), bool)
+    logs, uses = np.zeros((len(names), 2, buckets), np.float32), np.zeros((len(names), SCRIPTS), bool)
+    order = np.lexsort((kind, lang))
+    lang, kind, bucket, n = lang[order], kind[order], bucket[order], n[order]
     for k in range(len(names)):
-        for what in (TRIGRAM, WORD):
-            c = np.full(BUCKETS, 0.5)
-            own = (lang == k) & (kind == what)
-            c[bucket[own]] += n[own]
-            logs[k, what] = np.log(c / c.sum())
-        c = np.zeros(SCRIPTS)
-        own = (lang == k) & (kind == SCRIPT)
-        c[bucket[own]] = n[own]
-        uses[k] = c > 0.001 * c.sum()
+        lo, hi = np.searchsorted(lang, (k, k + 1))
+        for what in (TRIGRAM, WORD, SCRIPT):
+            a, b = np.searchsorted(kind[lo:hi], (what, what + 1)) + lo
+            if what == SCRIPT:
+                c = np.zeros(SCRIPTS)
+                c[bucket[a:b]] = n[a:b]
+                uses[k] = c > 0.001 * c.sum()
+            else:
+                c = np.full(buckets, 0.5)
+                c[bucket[a:b]] += n[a:b]
+                logs[k, what] = np.log(c / c.sum())
     return LanguageModel(names, logs, uses)
 
 
@@ -163,8 +188,9 @@ def _has_letter(text: bytes) -> bool:
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, lang_pred, score and spans (language:first word:end) of every row."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def describe(text: bytes | None, scores: np.ndarray) -> tuple[str, float, str]:
+    def describe(model: LanguageModel, text: bytes | None, scores: np.ndarray) -> tuple[str, float, str]:
         n = scores.shape[1]
         if not text or not n or not model.languages or not _any_ascii_letter(text) and not _has_letter(text):
             return "und", 0.0, ""
@@ -177,8 +203,9 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
         return model.languages[top], float(share[top] / n), ",".join(f"{model.languages[labels[a]]}:{a}:{b}" for a, b in zip(cuts, cuts[1:], strict=False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in sliced(batches):
-            out = [describe(text, scores) for text, scores in _scored(model, utf8(batch.column(1)))]
+            out = [describe(model, text, scores) for text, scores in _scored(model, utf8(batch.column(1)))]
             cols = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.string())], ["doc_id", "lang_pred", "score", "spans"])
 
@@ -200,11 +227,15 @@ def identify(docs: DataFrame, sample: int = 2000) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, sample: int = 2000) -> DataFrame:
-    """docs without those whose language cannot be told: no letters, or no language with `least` of the words."""
-    model = fit(docs, sample)
+    """docs without those whose language cannot be told: no letters, or no language with `least` of the words.
+
+    Each row is judged by itself: null texts go, repeated rows stay or go together.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, sample))
     names = docs.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in sliced(batches):
             table = pa.Table.from_batches([batch])
             verdict = [_told(model, text, scores, least) for text, scores in _scored(model, utf8(batch.column(names.index("text"))))]

@@ -139,3 +139,42 @@ def tokens(text):
 
 def crc(ids):
     return zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+
+
+def language_words(text):
+    """Words: runs of ASCII letters and bytes beyond ASCII, lower-cased."""
+    return re.findall(rb"[a-z\x80-\xff]+", re.sub(b"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+
+
+def language_scores(model, words):
+    """word -> the score of each language, one feature at a time."""
+    from sylvan.llm import language_id as L
+    from sylvan.llm.common import mix, word_hashes
+
+    mask, out, n = (1 << 32) - 1, [], model.logs.shape[2]
+    for w in words:
+        padded = [0, *[c + 1 for c in w], 0]
+        tri = []
+        for a, b, c in zip(padded, padded[1:], padded[2:], strict=False):
+            x = (a * 0x9E3779B1 & mask) ^ (b * 0x85EBCA77 & mask) ^ (c * 0xC2B2AE3D & mask)
+            tri.append((((x ^ x >> 15) * 0x2C1B3C6D & mask) >> 16) % n)
+        own = int(mix(word_hashes(w, L._TABLE))[0]) % n
+        script = max(next(s for lo, hi, s in L._LEADS if lo <= c <= hi) if not 0x80 <= c < 0xC0 else 0 for c in w)
+        known = [k for k in range(len(model.languages)) if model.uses[k, script]]
+        raw = [sum(float(model.logs[k, 0, t]) for t in tri) + float(model.logs[k, 1, own]) if k in known else -1e3 for k in range(len(model.languages))]
+        best = max(raw)
+        out.append([max(-model.most, x - best) for x in raw])
+    return out
+
+
+def viterbi(scores, penalty):
+    """The best path's value and the path, by all pairs of states at every step."""
+    value, back = list(scores[0]), []
+    for row in scores[1:]:
+        ways = [max((value[j] - penalty * (j != k), j == k, -j) for j in range(len(row))) for k in range(len(row))]
+        back.append([-w[2] for w in ways])
+        value = [w[0] + x for w, x in zip(ways, row, strict=True)]
+    path = [value.index(max(value))]
+    for step in reversed(back):
+        path.append(step[path[-1]])
+    return max(value), path[::-1]

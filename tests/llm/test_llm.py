@@ -243,6 +243,63 @@ def test_language(spark, odd, empty):
     assert set(language_id.keep_identified(docs).columns) == set(docs.columns)
 
 
+def test_language_against_brute_force(spark, docs, odd):
+    """Every document of two tables, and mixtures of two languages, by all paths over all words."""
+    model = language_id.fit(docs)
+    by_lang = {}
+    for r in docs.where("lang IS NOT NULL AND length(text) > 300").orderBy("doc_id").collect():
+        by_lang.setdefault(r["lang"], []).append(r["text"][:1500])
+    mixed = [(k, f"{by_lang[a][k]} {by_lang[b][k][:500]} {by_lang[a][k + 1]}") for k, (a, b) in enumerate(zip("en de fr es".split(), "fr en es de".split(), strict=True))]
+    mixed = spark.createDataFrame(mixed + [(9, "Привет мир дом " * 4 + "the house and the river of the land " * 3), (10, "数字 " * 20)], "doc_id long, text string")
+    for frame in (docs, odd.where("doc_id NOT IN (6, 7) OR doc_id IS NULL"), mixed):
+        texts_of = Counter()
+        rows = {}
+        for r in frame.collect():
+            rows[r["doc_id"]] = r["text"]
+            texts_of[r["doc_id"]] += 1
+        got = language_id.predict(frame, model).collect()
+        assert Counter(r["doc_id"] for r in got) == texts_of
+        for r in got:
+            words = brute.language_words(rows[r["doc_id"]])
+            if not words or not any(c.isalpha() for c in rows[r["doc_id"]]):
+                assert (r["lang_pred"], r["score"], r["spans"]) == ("und", 0.0, "")
+                continue
+            scores = brute.language_scores(model, words)
+            best, _ = brute.viterbi(scores, model.penalty)
+            spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r["spans"].split(","))]
+            path = [model.languages.index(k) for k, a, b in spans for _ in range(a, b)]
+            assert len(path) == len(words)
+            value = sum(s[k] for s, k in zip(scores, path, strict=True)) - model.penalty * sum(x != y for x, y in zip(path, path[1:], strict=False))
+            assert abs(value - best) < 0.01 + 1e-5 * len(words)
+            share = Counter(path)
+            assert r["lang_pred"] == min(model.languages[k] for k, n in share.items() if n == max(share.values()))
+            assert r["score"] == pytest.approx(max(share.values()) / len(path))
+
+
+def test_language_spans_of_mixed_text(spark, docs):
+    model = language_id.fit(docs)
+    one, two = ([r["text"] for r in docs.where(f"lang = '{k}' AND length(text) BETWEEN 800 AND 3000").orderBy("doc_id").limit(8).collect()] for k in ("en", "de"))
+    rows = [(k, f"{a} {b}") for k, (a, b) in enumerate(zip(one, two, strict=True))]
+    for r in language_id.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect():
+        spans = [x.split(":") for x in r["spans"].split(",")]
+        turn = len(brute.language_words(one[r["doc_id"]]))
+        assert [s[0] for s in spans] == ["en", "de"]
+        assert abs(int(spans[0][2]) - turn) <= 4
+
+
+def test_language_learns_every_language(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(10 * k + i, " ".join(letters[k % 26] + letters[k // 26] + letters[(k + i + j) % 26] for j in range(40)), f"l{k:04d}") for k in range(300) for i in range(4)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(d, model_bytes=4 << 20)
+    assert len(model.languages) == d.where(~language_id.held_out(F.col("doc_id"))).select("lang").distinct().count() > 290
+    assert model.logs.nbytes <= 4 << 20
+    got = language_id.predict(d, model).join(d.select("doc_id", "lang"), "doc_id")
+    assert got.where("lang = lang_pred").count() > 0.85 * len(rows)
+    with pytest.raises(ValueError, match="languages"):
+        language_id.fit(d, model_bytes=100_000)
+
+
 def test_viterbi_against_all_paths():
     rng = np.random.default_rng(3)
     model = language_id.LanguageModel(["a", "b", "c"], np.zeros((3, 2, 1)), np.ones((3, 1), bool), penalty=1.5)

@@ -4,9 +4,13 @@ Windows of 8 words, 4 words apart, hold every 5-word shingle of a text whole. A
 with 32 bands of one MinHash value each, a window that holds a single shingle of a template meets the template
 with a chance of 1 - (3/4)^32 > 0.9999. Templates are cut into windows at every word. Retrieved templates are then
 verified: the share of the template's distinct shingles found near the window, exactly counted, must reach 0.75.
+A template is a section of a licence or one of its usual notices (license_texts), so that a text that holds only
+the warranty, say, is found as well; the parameter `templates` takes others.
 
-The bands of the templates are a constant of the code, a few thousand numbers; the corpus is only scanned. Null or
-empty text holds no licence. Each input row gives one output row.
+The bands of the templates are a few thousand numbers; the corpus is only scanned. Words are compared without
+regard to case and punctuation. Null or empty text holds no licence; very long texts are read whole. Each input row
+gives one output row, repeated rows the same one. An empty table gives no rows. Spans with equal starts are ordered
+by their end and then by the licence's name; names are listed once, sorted.
 """
 
 from __future__ import annotations
@@ -18,22 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import SHINGLE_WORDS, batches_of_words, byte_table, shingle_hashes, utf8, word_hashes
-
-#: Notices of well-known licences: fixed values.
-TEMPLATES = {
-    "MIT": ("Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
-    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    "GPL-2.0": ("under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License",),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    "BSD": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",),
-    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",),
-    "Unlicense": ("This is free and unencumbered software released into the public domain",),
-}
+from .common import SHINGLE_WORDS, batches_of_words, byte_table, shingle_hashes, sliced, utf8, word_hashes
+from .license_texts import TEMPLATES
+
 WINDOW, STEP, BANDS, SHARE = 8, 4, 32, 0.75
 _TABLE = byte_table(bytes(c for c in range(128) if not chr(c).isalnum()))
 _rng = np.random.Generator(np.random.PCG64(11))
@@ -41,11 +32,11 @@ _A = _rng.integers(0, 2**64, BANDS, dtype=np.uint64) | np.uint64(1)
 _FILTER_BITS = 20
 
 
-@lru_cache(1)
-def retrieval() -> tuple[list, list[np.ndarray], list[dict[int, list[int]]], np.ndarray]:
+@lru_cache(2)
+def retrieval(templates: tuple = tuple(TEMPLATES.items())) -> tuple[list, list[np.ndarray], list[dict[int, list[int]]], np.ndarray]:
     """Templates' (licence, words), their shingles, each band's value -> templates, and a bit filter over all bands."""
     names, sets, bands = [], [], [{} for _ in range(BANDS)]
-    for name, texts in TEMPLATES.items():
+    for name, texts in templates:
         for text in texts:
             words = word_hashes(text.encode(), _TABLE)
             names.append((name, len(words)))
@@ -65,9 +56,9 @@ def window_minima(shingles: np.ndarray, k: int) -> np.ndarray:
     return np.minimum.reduceat(shingles * _A[k], np.arange(0, len(shingles), STEP))
 
 
-def scan_words(words: np.ndarray) -> list[tuple[str, float, int, int]]:
+def scan_words(words: np.ndarray, templates: tuple = tuple(TEMPLATES.items())) -> list[tuple[str, float, int, int]]:
     """(licence, containment, first word, end word) of verified matches, by place."""
-    names, sets, bands, bits = retrieval()
+    names, sets, bands, bits = retrieval(templates)
     if len(words) < SHINGLE_WORDS:
         return []
     shingles = shingle_hashes(words)
@@ -95,19 +86,20 @@ def scan_words(words: np.ndarray) -> list[tuple[str, float, int, int]]:
     return sorted(set(found), key=lambda f: (f[2], f[3], f[0]))
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for keys, texts in batches_of_words(batch.column(0).to_pylist(), utf8(batch.column(1)), _TABLE):
-            names, shares, spans = [], [], []
-            for words in texts:
-                found = scan_words(words)
-                names.append(",".join(sorted({f[0] for f in found})))
-                shares.append(max((f[1] for f in found), default=0.0))
-                spans.append(",".join(f"{n}:{a}:{b}" for n, _, a, b in found))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), pa.array(names, pa.string()), pa.array(shares, pa.float64()), pa.array(spans, pa.string())], ["doc_id", "licenses", "containment", "spans"])
+def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """doc_id, licenses (comma-joined, sorted), the largest containment and spans in words. templates: texts by licence."""
+    chosen = tuple((templates or TEMPLATES).items())
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            for keys, texts in batches_of_words(batch.column(0).to_pylist(), utf8(batch.column(1)), _TABLE):
+                names, shares, spans = [], [], []
+                for words in texts:
+                    found = scan_words(words, chosen)
+                    names.append(",".join(sorted({f[0] for f in found})))
+                    shares.append(max((f[1] for f in found), default=0.0))
+                    spans.append(",".join(f"{n}:{a}:{b}" for n, _, a, b in found))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), pa.array(names, pa.string()), pa.array(shares, pa.float64()), pa.array(spans, pa.string())], ["doc_id", "licenses", "containment", "spans"])
 
-def scan_licenses(docs: DataFrame) -> DataFrame:
-    """doc_id, licenses (comma-joined, sorted), the largest containment and spans in words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_scan, f"doc_id {kind}, licenses string, containment double, spans string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, licenses string, containment double, spans string")

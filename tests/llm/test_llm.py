@@ -347,8 +347,19 @@ def test_licenses(spark, docs, odd, texts, empty):
         assert set(filter(None, r["licenses"].split(","))) == {n for n, g in grams if len(g & here) >= 0.75 * len(g)}
     assert license_scan.scan_licenses(odd).count() == len(ODD)
     assert license_scan.scan_licenses(empty).count() == 0
-    text = "x " * 50 + license_scan.TEMPLATES["BSD"][0].replace("binary", "object") + " y" * 50
-    assert license_scan.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["licenses"] in ("", "BSD")
+    some = lambda text: set(filter(None, license_scan.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["licenses"].split(",")))
+    prose = " ".join(f"word{i} about things" for i in range(60))
+    for name, own in license_scan.TEMPLATES.items():
+        assert name in some(f"{prose} {own[-1].upper()} {prose}"), name
+    disclaimer = license_scan.TEMPLATES["BSD"][3].split()
+    # one word of a long section changed: 5 shingles of many are lost; every tenth word: half of them
+    assert some(" ".join([*disclaimer[:40], "other", *disclaimer[41:]])) == {"BSD"}
+    assert some(" ".join("other" if i % 5 == 0 else w for i, w in enumerate(disclaimer))) == set()
+    assert some(" ".join(disclaimer[: len(disclaimer) // 2])) == set()
+    assert some(license_scan.TEMPLATES["MIT"][4]) == {"MIT"}
+    assert some("Redistribution and use in source and object forms with other words") == set()
+    found = license_scan.scan_licenses(spark.createDataFrame([(1, f"{prose} one two three four five six {prose}")], "doc_id long, text string"), {"own": ("one two three four five six",)}).first()
+    assert (found["licenses"], found["containment"], found["spans"]) == ("own", 1.0, "own:180:186")
 
 
 def brute_grams(text):

@@ -5,7 +5,11 @@ sketches of the statistics are built for each (language, source), partly on the
 a third of the rows costs no more than any other. Sketches merge, and small groups borrow their language's.
 The thresholds then join the statistics back, by size-checked broadcast or by a sort-merge join that splits skew.
 
-Null text has no words and fails the base rule. A null language or source is a group of its own. Each input row
+A sketch of up to about 200 values is exact. A larger one errs by about 1 % of a group's ranks, by random bits of
+the library, so that a document within that of a bound may get another verdict in another run.
+
+Null text has no words and fails the base rule; very long texts are read whole. Equal values of a statistic are
+judged alike. A null language or source is a group of its own. Each input row
 gives one output row; repeated rows repeat. An empty table gives no rows.
 """
 

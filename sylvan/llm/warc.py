@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
-from .common import Scratch
+from .common import Scratch, sliced
 
 SCHEMA = "record_type string, record_id string, target_uri string, date string, payload_digest string, payload_bytes long, refers_to string, payload binary"
 #: Header names of the columns: fixed values. X-Payload-Length is our own: a revisit keeps the length of the full payload.
@@ -75,16 +75,15 @@ class WarcWriter(DataSourceArrowWriter):
         fs, root = opened(self.path)
         fs.create_dir(root)
         files, out, size = [], None, 0
-        for batch in iterator:
-            for row in batch.to_pylist():
-                if out is None:
-                    name, size = uuid.uuid4().hex, 0
-                    out = fs.open_output_stream(f"{root}/_{name}.tmp", compression=None)
-                    files.append(name)
-                size += out.write(data := record(row)) or len(data)
-                if size >= self.limit:
-                    out.close()
-                    out = None
+        for row in (r for part in sliced(iterator) for r in part.to_pylist()):  # few payloads as objects at a time
+            if out is None:
+                name, size = uuid.uuid4().hex, 0
+                out = fs.open_output_stream(f"{root}/_{name}.tmp", compression=None)
+                files.append(name)
+            size += out.write(data := record(row)) or len(data)
+            if size >= self.limit:
+                out.close()
+                out = None
         if out is not None:
             out.close()
         return Written(files)
@@ -238,20 +237,26 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcDataSource)
 
 
-def page_records(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
+#: Revisits up to this number are broadcast: a page_id, a digest and a page_id each.
+BROADCAST_ROWS = 500_000
+
+
+def page_records(pages: DataFrame, scratch: Scratch, least_bytes: int = 100) -> DataFrame:
     """The record of each page. Of equal payloads of at least least_bytes the smallest page_id is the response; the
-    others revisit it. Payloads meet by digest in an aggregate with map-side combine; the payload itself is moved
-    once at most, by page."""
+    others revisit it. Payloads meet by digest in an aggregate with map-side combine. The revisits are written once
+    and joined to the pages by broadcast while they are few, so that payloads are not moved."""
     payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
-    seen = p.select("page_id", F.sha2("payload", 256).alias("digest"), F.length("payload").alias("n")).where(F.col("n") >= least_bytes)
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    seen = p.select("page_id", "digest", F.length("payload").alias("n")).where(F.col("n") >= least_bytes)
     first = seen.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select(F.col("digest").alias("of"), "first")
-    again = seen.join(first, (F.col("digest") == F.col("of")) & (F.col("page_id") != F.col("first"))).select(F.col("page_id").alias("again"), "first").distinct()
-    p = p.join(again, F.col("page_id") == F.col("again"), "left")
+    again = seen.join(first, (F.col("digest") == F.col("of")) & (F.col("page_id") != F.col("first"))).select(F.col("page_id").alias("again"), "of", "first").distinct()
+    again = scratch.table(again, "revisits")
+    again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+    p = p.join(again, (F.col("page_id") == F.col("again")) & (F.col("digest") == F.col("of")), "left")
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     return p.select(
         F.when(F.col("first").isNull(), "response").otherwise("revisit").alias("record_type"), F.coalesce(urn(F.col("page_id")), F.lit("<urn:page:none>")).alias("record_id"), F.col("url").alias("target_uri"),
-        F.lit("2024-01-01T00:00:00Z").alias("date"), F.concat(F.lit("sha256:"), F.sha2("payload", 256)).alias("payload_digest"), F.length("payload").cast("long").alias("payload_bytes"),
+        F.lit("2024-01-01T00:00:00Z").alias("date"), F.concat(F.lit("sha256:"), F.col("digest")).alias("payload_digest"), F.length("payload").cast("long").alias("payload_bytes"),
         urn(F.col("first")).alias("refers_to"), F.when(F.col("first").isNull(), F.col("payload")).alias("payload"),
     )
 
@@ -259,13 +264,14 @@ def page_records(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
 def archive_pages(pages: DataFrame) -> DataFrame:
     """Write the pages to archives in the shared folder, read them back and describe each record.
 
-    Null html is an empty payload; a null url has no target header. A null page_id gives a null page_id and
-    never serves as a response that others refer to. A repeated page_id repeats its record.
+    Null html is an empty payload; a null url has no target header; very long payloads are written and read whole.
+    page_id is an integer. A null page_id gives a null page_id and never serves as a response that others refer to.
+    A repeated page_id repeats its record, and each payload under it is judged by itself. An empty table gives no rows.
     """
-    spark = pages.sparkSession
+    spark, scratch = pages.sparkSession, Scratch(pages.sparkSession, "warc")
     register(spark)
-    path = Scratch(spark, "warc").path("archives")
-    page_records(pages).write.format("warc").mode("append").save(path)
+    path = scratch.path("archives")
+    page_records(pages, scratch).write.format("warc").mode("append").save(path)
     page = lambda c: F.regexp_extract(c, r"([0-9-]+)>$", 1).try_cast("long")
     full = spark.read.format("warc").load(path).where("record_type = 'response'")
     full = full.select("record_id", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", F.lit(None).cast("string").alias("refers_to"))

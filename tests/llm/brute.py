@@ -178,3 +178,34 @@ def viterbi(scores, penalty):
     for step in reversed(back):
         path.append(step[path[-1]])
     return max(value), path[::-1]
+
+
+def quality_verdicts(rows, rules):
+    """Counter of (doc_id, kept, broken rules), with each group's quantiles read off its sorted values."""
+    import math
+    from collections import Counter
+
+    facts = []
+    for key, text, lang, source in rows:
+        n, chars, symbols, dup, repeat, failed = quality(text)
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        lines = len([x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)])
+        share = lambda a, b: max(0, a) / b if b else 0.0
+        facts.append((key, lang, source, failed, {
+            "mean_word": share(chars, n), "symbol_share": share(symbols, chars), "dup_line_share": share(dup - 1, lines), "repeat_share": share(repeat - 16, n),
+            "bare_share": share(sum(len(w) <= 1 for w in words), n), "upper_share": share(len(re.findall("[A-Z]", text or "")), chars),
+        }))
+    out = Counter()
+    for key, lang, source, failed, own in facts:
+        group = [f for f in facts if f[1:3] == (lang, source) and not f[3]]
+        if len(group) < rules.min_rows:
+            group = [f for f in facts if f[1] == lang and not f[3]]
+        broken = []
+        for name, slack in rules.slack if group else ():
+            values = sorted(f[4][name] for f in group)
+            low, q1, q3, high = (values[max(0, math.ceil(q * len(values)) - 1)] for q in (rules.outer, 0.25, 0.75, 1 - rules.outer))
+            reach = max(slack, rules.spread * (q3 - q1))
+            if not low - reach <= own[name] <= high + reach:
+                broken.append(name)
+        out[(key, not failed and not broken, tuple(sorted(broken)) if not failed else ())] += 1
+    return out

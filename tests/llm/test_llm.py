@@ -59,6 +59,15 @@ def test_quality(docs, odd, texts, empty):
     assert set(quality_rules.apply_quality(docs).columns) == set(docs.columns)
 
 
+def test_quality_verdict_against_brute_force(docs, odd):
+    """Bounds from all sorted values, in groups so small that sketches are exact."""
+    rules = quality_rules.QualityRules()
+    for frame in (docs, odd.where("doc_id NOT IN (6, 7) OR doc_id IS NULL")):
+        want = brute.quality_verdicts([(r["doc_id"], r["text"], r["lang"], r["source"]) for r in frame.collect()], rules)
+        got = Counter((r["doc_id"], r["kept"], tuple(sorted(r["broken_rules"])) if not r["base_failed"] else ()) for r in quality_rules.quality_rules(frame).collect())
+        assert got == want
+
+
 def test_quality_keeps_good_documents(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
     rows = quality_rules.quality_rules(d).join(d.select("doc_id", "quality"), "doc_id").where("NOT base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()
@@ -87,7 +96,10 @@ def test_quality_rules_fire_in_a_clean_group(spark):
 def test_urls(spark):
     rows = [(1, "https://example.org/es/1"), (2, "HTTP://Blog.Example.ORG/en/12?x#y"), (3, None), (4, "no scheme"), (5, "http://com/fr/x"), (6, "http://a.com/de/"), (7, "http://xcom/de/"), (8, "http://notexample.org/es/"), (9, "a://b://c/d"), (10, "http://org"), (5, "http://com/fr/x"), (None, "http://x.org/"), (11, "http://example.org/es?/")]
     rules = (*url_filters.RULES, ("block", "org/a/"), ("allow", "org/a/b/"), ("block", "org/a/b/"))
-    got = url_filters.filter_urls(spark.createDataFrame(rows + [(20 + i, f"http://h{i}.org/a/{'b/' * (i % 3)}") for i in range(9)], "page_id long, url string"), rules).collect()
+    frame = spark.createDataFrame(rows + [(20 + i, f"http://h{i}.org/a/{'b/' * (i % 3)}") for i in range(9)], "page_id long, url string")
+    for name in ("html", "host", "path", "rule", "verdict", "host_key", "key", "slice", "probe", "labels"):
+        frame = frame.withColumn(name, F.lit("clash"))
+    got = url_filters.filter_urls(frame, rules).collect()
     assert len(got) == len(rows) + 9
     strength = {}
     for v, r in rules:
@@ -324,7 +336,7 @@ def test_warc(spark, tmp_path):
             assert got[k]["payload_digest"] == hashlib.sha256((html or "").encode()).hexdigest()
             assert got[k]["payload_bytes"] == len((html or "").encode())
     path = f"file://{tmp_path}/w"
-    warc.page_records(pages).write.format("warc").mode("append").save(path)
+    warc.page_records(pages, common.Scratch(spark, "test")).write.format("warc").mode("append").save(path)
     some = spark.read.format("warc").option("payload", "false").load(path).where("record_type = 'revisit'")
     assert {r["payload"] for r in some.collect()} == {None}
     assert warc.archive_pages(pages.limit(0)).count() == 0
@@ -338,6 +350,52 @@ def test_warc(spark, tmp_path):
     assert sorted(len(r["payload"]) for r in spark.read.format("warc").load(f"file://{plain}").collect()) == [0, 5, 300_000]
 
 
+def test_warc_pushdown(spark, tmp_path):
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In, IsNotNull, StringStartsWith
+
+    big = bytes(np.random.default_rng(1).integers(0, 256, 300_000, dtype=np.uint8)).hex()
+    rows = [(k, f"http://h{k % 3}/{k}", f"{k} {big}") for k in range(6)] + [(9, None, f"9 {big}")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1)
+    path = f"file://{tmp_path}/w"
+    warc.register(spark)
+    warc.page_records(pages, common.Scratch(spark, "test")).write.format("warc").mode("append").save(path)
+    frame = spark.read.format("warc").load(path)
+    assert {r["record_id"] for r in frame.where("record_id IN ('<urn:page:1>', '<urn:page:4>')").collect()} == {"<urn:page:1>", "<urn:page:4>"}
+    assert frame.where("target_uri LIKE 'http://h1/%'").count() == 2
+    assert frame.where("target_uri IS NOT NULL").count() == 6
+    assert frame.where("payload_bytes > 10 AND record_type = 'response'").count() == 7
+    assert len({r["payload"] for r in frame.collect()}) == 7
+    pushed = (EqualTo(("record_type",), "response"), In(("record_id",), ("<urn:page:2>", "<urn:page:5>")), StringStartsWith(("target_uri",), "http://h2/"), IsNotNull(("target_uri",)))
+    reader = warc.WarcReader({"path": path})
+    assert [type(f) for f in reader.pushFilters([*pushed, GreaterThan(("payload_bytes",), 1), EqualTo(("payload",), b"")])] == [GreaterThan, EqualTo]
+
+    class Counted:
+        def __init__(self, file):
+            self.file, self.bytes = file, 0
+
+        def __getattr__(self, name):
+            return getattr(self.file, name)
+
+        def read(self, n):
+            out = self.file.read(n)
+            self.bytes += len(out)
+            return out
+
+    (archive,) = (tmp_path / "w").glob("*.warc.gz")
+    for wanted, payload, most in ((reader.wanted, True, 2), (reader.wanted, False, 0), (lambda head: True, True, 7)):
+        with warc.opened(path)[0].open_input_file(str(archive)) as file:
+            source = Counted(file)
+            found = list(warc.records(source, wanted, payload))
+            assert len(found) == (7 if most == 7 else 2)
+            assert source.bytes < (most + 0.2) * archive.stat().st_size / 7 + 7 * 3 * warc.HEAD_BYTES + most * (1 << 16)  # unwanted payloads are not read
+
+
+def test_warc_of_one_id_with_two_payloads(spark):
+    rows = [(1, "a" * 150), (2, "a" * 150), (2, "b" * 150), (3, "b" * 150), (3, "b" * 150)]
+    got = Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.archive_pages(spark.createDataFrame([(k, "u", h) for k, h in rows], "page_id long, url string, html string")).collect())
+    assert got == {(1, "response", None): 1, (2, "revisit", 1): 1, (2, "response", None): 1, (3, "revisit", 2): 2}
+
+
 def test_licenses(spark, docs, odd, texts, empty):
     rows = license_scan.scan_licenses(docs).collect()
     assert len(rows) == docs.count()
@@ -488,16 +546,58 @@ def test_secrets_are_linear(field):
 
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = docs
+    kept, counts = docs, []
     for _, stage in corpus_pipeline.STAGES[:-1]:
+        before = kept
         kept = common.Scratch(spark, "test").table(stage(spark, kept, SF), "stage")
         assert kept.columns == docs.columns
+        counts.append((before, kept))
     assert 0 < kept.count() < docs.count()
+    texts = lambda d: {r["doc_id"]: r["text"] for r in d.collect()}
+    # language: what stays has one language by brute force over every word
+    model = language_id.fit(docs)
+    stays = {}
+    for i, t in texts(docs).items():
+        words = brute.language_words(t)
+        if words and any(c.isalpha() for c in t):
+            share = Counter(brute.viterbi(brute.language_scores(model, words), model.penalty)[1])
+            stays[i] = max(share.values()) / len(words) >= 0.5
+    assert set(texts(counts[0][1])) == {i for i, ok in stays.items() if ok}
+    # near duplicates: the least id of each component of all pairs
+    whole = brute.near(list(texts(counts[1][0]).items()))
+    assert set(texts(counts[1][1])) == {i for i, (_, c) in whole.items() if i == c}
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    rows = [(r["doc_id"], r["text"]) for r in kept.collect()]
-    assert not any(brute.contamination(t, bench)[4] for _, t in rows)
-    assert not any(brute.secrets(t) for _, t in rows)
-    before = {r["doc_id"]: c for r in docs.collect() for c in [None]}
-    assert {i for i, _ in rows} <= set(before)
-    packed = corpus_pipeline.run(spark, SF)
-    assert {r[0] for r in packed.select("doc_id").distinct().collect()} == {i for i, _ in rows}
+    assert set(texts(counts[2][1])) == {i for i, t in texts(counts[2][0]).items() if not brute.contamination(t, bench)[4]}
+    before, after = texts(counts[3][0]), texts(kept)
+    assert before.keys() == after.keys()
+    assert not any(brute.secrets(t) for t in after.values())
+    assert all(after[i] == t for i, t in before.items() if not brute.secrets(t))
+    packed = corpus_pipeline.run(spark, SF).collect()
+    assert {r["doc_id"] for r in packed} == set(after)
+    for r in packed:
+        ids = brute.tokens(after[r["doc_id"]])
+        assert (r["doc_tokens"], r["ids_crc32"]) == (len(ids), brute.crc(ids[r["start"] : r["start"] + r["length"]]))
+
+
+def _pipeline_dir(spark, tmp_path, rows, schema):
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    english = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en' AND length(text) BETWEEN 400 AND 2000").orderBy("doc_id").limit(12).collect()]
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(english)] + [(0, english[0], "en", "a", 1), (None, english[1], "en", None, 1), (None, english[1], "en", None, 1), (50, None, "en", "a", None), (51, "", None, "a", 0), (52, "1234 5678", "en", "a", 9), (None, None, None, None, None)]
+    rows = [(*r, "clash", 1, "clash", "clash", "clash") for r in rows]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    kept = frame
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = common.Scratch(spark, "test").table(stage(spark, kept, SF), "stage")
+        assert kept.columns == frame.columns
+    texts = Counter(r["text"] for r in kept.collect())
+    assert set(texts.values()) <= {1}  # repeated rows and copies without an id are gone
+    assert None not in texts
+    assert "" not in texts
+    packed = corpus_pipeline.run(spark, _pipeline_dir(spark, tmp_path / "odd", rows, SCHEMA))
+    assert packed.select("doc_tokens").where("start = 0").count() == sum(texts.values())
+    assert corpus_pipeline.run(spark, _pipeline_dir(spark, tmp_path / "none", [], SCHEMA)).count() == 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schemas import EARTH_KM, KM_PER_DEGREE, LEAST_COS
+from ..schemas import EARTH_KM, KM_PER_DEGREE, LEAST_COS, MOST_CIRCLES
 
 
 def col(x) -> Column:
@@ -44,13 +44,15 @@ def planar(lat, lng, ref_lat: Column) -> tuple[Column, Column]:
 
 
 def along_segment(lat, lng, start: tuple, end: tuple) -> tuple[Column, Column]:
-    """(progress, offset) in km of a point against a segment; a segment without length counts distance alone."""
-    ref = (col(start[0]) + col(end[0])) / 2
+    """(progress, offset) in km of a point against a segment, on the plane that touches its start. Progress is a share of
+    the great-circle length; for a segment without length it is the distance from the start."""
+    ref, whole = col(start[0]), haversine_km(*start, *end)
     (ax, ay), (bx, by), (px, py) = planar(*start, ref), planar(*end, ref), planar(lat, lng, ref)
     dx, dy = bx - ax, by - ay
     square = dx * dx + dy * dy
     t = F.when(square == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide((px - ax) * dx + (py - ay) * dy, square))))
-    return t * F.sqrt(square), F.hypot(px - (ax + t * dx), py - (ay + t * dy))
+    offset = F.hypot(px - (ax + t * dx), py - (ay + t * dy))
+    return F.when(whole == 0, offset).otherwise(t * whole), offset
 
 
 def cell_index(x, cell: float) -> Column:
@@ -85,14 +87,17 @@ def tiles(min_lat, min_lng, max_lat, max_lng, tile: float) -> Column:
     return F.flatten(F.transform(steps(min_lat, max_lat), lambda i: F.transform(steps(min_lng, max_lng), lambda j: box(i, j))))
 
 
-def query_circles(lat, lng, radius_km, circle_km: float) -> Column:
-    """Centres of circles on a grid that together cover a disk: those whose circle reaches the disk."""
+def query_circles(lat, lng, radius_km, circle_km: float, most: int = MOST_CIRCLES) -> Column:
+    """Centres of circles on a grid as wide as their radius that together cover a disk: those whose circle reaches the
+    disk and, of these, the `most` nearest to its centre (in the grid's order where distances are equal)."""
     lat, lng, r = col(lat), col(lng), col(radius_km)
-    step = circle_km * 2**0.5
-    dlat, dlng = reach(lat, step)
-    n = F.ceil(r / step).cast("int")
-    grid = F.flatten(F.transform(F.sequence(-n, n), lambda i: F.transform(F.sequence(-n, n), lambda j: F.struct((lat + i * dlat).alias("lat"), (lng + j * dlng).alias("lng")))))
-    return F.filter(grid, lambda c: haversine_km(lat, lng, c["lat"], c["lng"]) <= r + circle_km)
+    dlat, dlng = reach(lat, circle_km)
+    n = F.greatest(F.lit(1), F.ceil(r / circle_km).cast("int"))
+    at = lambda i, j: F.struct((lat + i * dlat).alias("lat"), (lng + j * dlng).alias("lng"))
+    grid = F.flatten(F.transform(F.sequence(-n, n), lambda i: F.transform(F.sequence(-n, n), lambda j: at(i, j))))
+    far = F.transform(grid, lambda c, k: F.struct(haversine_km(lat, lng, c["lat"], c["lng"]).alias("km"), k.alias("k"), c.alias("c")))
+    near = F.filter(far, lambda c: c["km"] <= r + circle_km)
+    return F.transform(F.when(F.size(near) > most, F.slice(F.array_sort(near), 1, most)).otherwise(near), lambda c: c["c"])
 
 
 def thin(vertices, most: int = 60) -> Column:

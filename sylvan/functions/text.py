@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
+import html
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .geo import col
 
-#: Common HTML entities; numeric ones are decoded by rule. `&amp;` must come last. Fixed values.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&nbsp;": " ", "&ndash;": "–", "&mdash;": "—", "&rsquo;": "’", "&lsquo;": "‘", "&rdquo;": "”", "&ldquo;": "“", "&hellip;": "…", "&deg;": "°", "&eacute;": "é", "&#160;": " ", "&amp;": "&"}
-#: Phrases that mark a site as free; the sign also occurs in "$0.50", which counts. Fixed values.
-FREE_MARKERS = ("no fee", "free", "no charge", "no cost", "$0", "none")
+#: Phrases that mark a site as free; "$0" also occurs in "$0.50", which counts. Fixed values.
+FREE_MARKERS = ("no fee", "no charge", "free of charge", "fee: none", "$0", "$0.00")
 #: Address keys from the most to the least telling: fixed values.
-PLACE_KEYS = ("national_park", "protected_area", "forest", "park", "natural", "peak", "town", "village", "city", "county")
+PLACE_KEYS = ("national_park", "protected_area", "forest", "state_forest", "nature_reserve", "city", "town", "village", "hamlet", "county")
+
+
+@F.pandas_udf(StringType())
+def _decoded(texts: pd.Series) -> pd.Series:
+    """All character references of HTML decoded, and each run of white space of any kind as one blank."""
+    return texts.map(lambda t: None if t is None else " ".join(html.unescape(t).split()))
 
 
 def clean_html(text) -> Column:
-    """Tags become spaces, then entities are decoded, white space collapses and an empty text is null."""
-    bare = F.regexp_replace(col(text), "<[^>]+>", " ")
-    plain = reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), bare)
-    tidy = F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))
-    return F.when(tidy != "", tidy)
+    """Tags become blanks, then character references are decoded, white space collapses and an empty text is null."""
+    return F.nullif(_decoded(F.regexp_replace(col(text), "<[^>]+>", " ")), F.lit(""))
 
 
 def free_from_fee(fee) -> Column:
@@ -32,18 +36,38 @@ def free_from_fee(fee) -> Column:
 
 
 def fee_tag(tag) -> Column:
-    """`no` is free; any other text is a fee; no text is unknown."""
-    t = F.nullif(col(tag), F.lit(""))
+    """`no`, in any case and between blanks, is free; any other text is a fee; no text is unknown."""
+    t = F.nullif(F.lower(F.regexp_replace(col(tag), r"(?U)^\s+|\s+$", "")), F.lit(""))
     return F.struct(F.when(t == "no", F.lit(True)).alias("free"), F.when(t != "no", F.lit("fee required")).alias("fee"))
 
 
 def parse_coordinates(text) -> Column:
-    """struct(lat, lng) of "lat, lng" within range, else null."""
-    pattern = r"^\s*(-?[0-9]+(?:\.[0-9]+)?)\s*,\s*(-?[0-9]+(?:\.[0-9]+)?)\s*$"
+    """struct(lat, lng) of "lat, lng" or "lat lng" within range, else null."""
+    pattern = r"^\s*(-?[0-9]+(?:\.[0-9]+)?)\s*[, ]\s*(-?[0-9]+(?:\.[0-9]+)?)\s*$"
     lat, lng = (F.regexp_extract(col(text), pattern, k).try_cast("double") for k in (1, 2))
     return F.when(lat.between(-90, 90) & lng.between(-180, 180), F.struct(lat.alias("lat"), lng.alias("lng")))
 
 
+def months_of(text: str | None, current: int) -> list[int]:
+    """The months of a request: absent means the current one, empty all twelve; others than 1 to 12 are an error."""
+    if text is None:
+        return [current]
+    months = [int(x) for x in text.split(",") if x.strip()]
+    if not all(1 <= m <= 12 for m in months):
+        raise ValueError("months must be 1-12")
+    return months or list(range(1, 13))
+
+
+def taxa_of(text: str | None, selected: list[int]) -> list[int]:
+    """The taxa of a request: `all` or nothing means the device's selection; no taxon at all means no filter."""
+    return list(selected) if not text or text == "all" else [int(x) for x in text.split(",") if x.strip()]
+
+
+def or_default(value, default):
+    """0 and nothing mean the default."""
+    return value or default
+
+
 def lenient_date(text) -> Column:
     return F.try_to_date(F.substring(col(text), 1, 10), "yyyy-MM-dd")
 
@@ -54,7 +78,7 @@ def first_text(*parts) -> Column:
 
 
 def notable_place(address) -> Column:
-    return first_text(*[F.element_at(col(address), k) for k in PLACE_KEYS])
+    return first_text(*[F.try_element_at(col(address), F.lit(k)) for k in PLACE_KEYS])
 
 
 def property_of(properties, name: str) -> Column:
@@ -69,4 +93,5 @@ def obscured_by_accuracy(accuracy, low: int, high: int) -> Column:
 
 
 def node_id(trailhead) -> Column:
+    """The number in a trailhead's id; null for the id of anything else."""
     return F.nullif(F.regexp_extract(col(trailhead), "^osm:node/([0-9]+)$", 1), F.lit("")).try_cast("long")

@@ -56,6 +56,31 @@ def recent_page(observations: DataFrame, cell: float, offset: int, size: int) ->
     return rows.offset(offset).limit(size + 1)
 
 
+def alerts_near(recent: DataFrame, genera: DataFrame, lat: float, lng: float, radius_km: float) -> DataFrame:
+    """The alerts of regions whose recent centre lies in a disk, with centre, distance and total of the region, names, and
+    the region's place by its total."""
+    regions = alert_regions(recent).withColumn("exact_km", haversine_km(lat, lng, "center_lat", "center_lng")).where(F.col("exact_km") <= radius_km)
+    regions = regions.withColumn("place", F.row_number().over(Window.orderBy(F.desc("total"), "region_id")))  # grid cells of a disk
+    rows = alerts(recent).join(regions, "region_id").join(genera.select("taxon_id", "name", "common_name"), "taxon_id", "left")
+    return rows.select(
+        "place", "region_id", "center_lat", "center_lng", F.round("exact_km", 1).alias("distance_km"), "total", "taxon_id", F.coalesce("name", F.col("taxon_id").cast("string")).alias("name"), "common_name",
+        "cnt", "last_observed", "place_guess", "uri", F.coalesce("obscured", F.lit(False)).alias("obscured"),
+    )
+
+
+def with_photos(page: DataFrame, photos: DataFrame) -> DataFrame:
+    """A page of observations, each with its open photos, an empty array where it has none."""
+    own = photos.select(F.col("id").alias("of"), "photos")
+    empty = F.array().cast(photos.schema["photos"].dataType)
+    return page.join(own, page["id"] == own["of"], "left").select(*page.columns, F.coalesce("photos", empty).alias("photos"))
+
+
+def points_in_order(points: DataFrame, genera: DataFrame) -> DataFrame:
+    """Points with names, newest first (those without a day before all others)."""
+    rows = points.join(genera.select("taxon_id", "name", "common_name"), "taxon_id", "left").withColumn("name", F.coalesce("name", F.col("taxon_id").cast("string")))
+    return rows.orderBy(F.desc_nulls_first("observed_on"), "id")
+
+
 def precise_points(observations: DataFrame, lat: float, lng: float, radius_km: float) -> DataFrame:
     """Research-grade points that are known to be exact, within a disk."""
     rows = observations.where((F.col("quality_grade") == "research") & (F.col("obscured") == F.lit(False)) & in_box("lat", "lng", lat, lng, radius_km))

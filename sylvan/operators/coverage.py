@@ -6,21 +6,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km
+from ..schemas import EARTH_KM
 
 
 def covered(areas: DataFrame, log: DataFrame, prefix: str, ending: str = "") -> DataFrame:
     """Per area (key, a_lat, a_lng, a_radius): whether one logged disk holds it whole. Logged disks meet areas by
-    2-degree cells that the disk's centre can reach; the log is first narrowed to distinct disks."""
+    2-degree cells that the disk can reach: by its height, and by its width where it is nearest to a pole (all round
+    if it reaches one). The log is first narrowed to distinct disks."""
     disks = log.where(F.startswith("key", F.lit(prefix)) & F.endswith("key", F.lit(ending)) & F.col("lat").isNotNull()).groupBy("lat", "lng").agg(F.max("radius_km").alias("radius_km"))
     cell = lambda c: F.floor(F.col(c) / 2).cast("int")
     # an area lies inside a disk only if its centre does
-    span = lambda c, km: F.explode(F.sequence(F.floor((F.col(c) - F.col("radius_km") / km) / 2).cast("int"), F.floor((F.col(c) + F.col("radius_km") / km) / 2).cast("int")))
-    wide = disks.withColumn("i", span("lat", 110.0)).withColumn("j", span("lng", 110.0 * 0.25))
-    hits = areas.withColumn("i", cell("a_lat")).withColumn("j", cell("a_lng")).join(wide, ["i", "j"])
+    high = F.degrees(F.col("radius_km") / EARTH_KM) * 1.001
+    ring = F.sin(F.radians(high)) / F.cos(F.radians("lat"))
+    half = F.when((F.abs("lat") + high >= 90) | (ring >= 1), F.lit(180.0)).otherwise(F.degrees(F.asin(ring)) * 1.001)
+    span = lambda c, d: F.sequence(F.floor((F.col(c) - d) / 2).cast("int"), F.floor((F.col(c) + d) / 2).cast("int"))
+    wide = disks.withColumn("i", F.explode(span("lat", high)))
+    wide = wide.withColumn("j", F.explode(F.array_distinct(F.transform(span("lng", half), lambda j: F.pmod(j, F.lit(180))))))
+    hits = areas.withColumn("i", cell("a_lat")).withColumn("j", F.pmod(cell("a_lng"), F.lit(180))).join(wide, ["i", "j"])
     inside = hits.where(haversine_km("a_lat", "a_lng", "lat", "lng") + F.col("a_radius") <= F.col("radius_km")).select("area").distinct()
     return areas.select("area").join(inside.withColumn("covered", F.lit(True)), "area", "left").select("area", F.coalesce("covered", F.lit(False)).alias("covered"))
 
 
+def is_ingested(log: DataFrame, keys: DataFrame) -> DataFrame:
+    """Each asked key, and whether the log has it."""
+    there = log.select(F.col("key").alias("logged")).distinct()
+    return keys.join(there, F.col("key") == F.col("logged"), "left").select("key", F.col("logged").isNotNull().alias("ingested"))
+
+
+def region_titles(asked: DataFrame, places: DataFrame, looked_up: DataFrame) -> DataFrame:
+    """region_id, place_name, state of each asked region: the cached name, a null one included; else what a lookup found,
+    to be cached; else null, to be asked again (`looked_up` has no row where the lookup failed)."""
+    cached = places.select("region_id", F.col("place_name").alias("kept"), F.lit(True).alias("is_kept"))
+    rows = asked.join(cached, "region_id", "left").join(looked_up.select("region_id", F.col("place_name").alias("found"), F.lit(True).alias("is_found")), "region_id", "left")
+    state = F.when(F.col("is_kept"), "cached").when(F.col("is_found"), "found").otherwise("failed")
+    return rows.select("region_id", F.when(F.col("is_kept"), F.col("kept")).otherwise(F.col("found")).alias("place_name"), state.alias("state"))
+
+
 def latest_by_place(log: DataFrame) -> DataFrame:
     """The last end date of each place's keys obs:fungi:place:<id>:<start>:<end>."""
     rows = log.where(F.startswith("key", F.lit("obs:fungi:place:")))

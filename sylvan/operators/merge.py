@@ -26,6 +26,13 @@ def overwrite_merge(stored: DataFrame, batch: DataFrame, key: str, order: str) -
     return stored.join(last, key, "left_anti").select(key, *columns).unionByName(last)
 
 
+def record_ingest(log: DataFrame, runs: DataFrame, as_of: str) -> DataFrame:
+    """The log with a row for each finished run (key, row_count, lat, lng, radius_km and seq, the last of a key counts),
+    stamped as_of. A run that was broken off is not among `runs`, so that its window is read again."""
+    stamped = runs.withColumn("fetched_at", F.lit(as_of).cast("timestamp"))
+    return overwrite_merge(log, stamped, "key", "seq")
+
+
 def first_wins_merge(stored: DataFrame, batch: DataFrame, key: str, order: str) -> DataFrame:
     columns = [c for c in stored.columns if c != key]
     first = batch.groupBy(key).agg(F.min_by(F.struct(*columns), order).alias("row")).select(key, "row.*")

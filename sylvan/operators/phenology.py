@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import region_id
+from ..sources.versions import publish
 
 
 def binned(observations: DataFrame, cell: float) -> DataFrame:
@@ -35,6 +36,11 @@ def build_regions(observations: DataFrame, cell: float) -> DataFrame:
     return rows.groupBy("region_id").agg(mean("lat").alias("center_lat"), mean("lng").alias("center_lng"), F.sum("n").alias("n_obs"), F.count("taxon_id").alias("n_taxa"))
 
 
+def publish_phenology(observations: DataFrame, cell: float, root: str) -> str:
+    """Both tables as one version under root; readers see both new or both old ones."""
+    return publish(observations.sparkSession, {"phenology": build_phenology(observations, cell), "regions": build_regions(observations, cell)}, root)
+
+
 def recent_counts(observations: DataFrame, cell: float, as_of: str, weeks: int, taxa: list[int] = ()) -> DataFrame:
     """Observations per region in the trailing weeks, whatever the months or the radius."""
     rows = binned(observations, cell).where(F.col("observed_on") >= F.date_sub(F.lit(as_of).cast("date"), 7 * weeks))

@@ -1,18 +1,16 @@
 """Searches around a point, and nearest-site joins on grid cells.
 
 A join between two large layers never compares all pairs: sites are bucketed by cell, and a point looks only into
-its own and the adjoining cells. If the best site there is nearer than the unsearched rest can be, it is the
-nearest of all; otherwise the point goes on to the next coarser grid.
+its own and the adjoining cells, of a size that is known to hold the nearest site.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import box_overlaps, cell_index, haversine_km, in_box, reach
+from ..schemas import KM_PER_DEGREE
 
 
 def camps_near(camps: DataFrame, lat: float, lng: float, radius_km: float, free_only: bool = False) -> DataFrame:
@@ -42,35 +40,63 @@ def first_trails(trails: DataFrame, limit: int) -> DataFrame:
 
 def nearest_vertex(trails: DataFrame, lat: float, lng: float, max_km: float) -> DataFrame:
     """The path or route with the vertex nearest to a point. trails: id, kind, extent and vertices (lat, lng)."""
-    rows = trails.where(F.col("kind").isin("path", "route") & box_overlaps(lat, lng, max_km)).select("id", "name", F.explode("vertices").alias("v"))
+    rows = trails.where(F.col("kind").isin("path", "route") & box_overlaps(lat, lng, max_km)).select("id", "name", "kind", F.explode("vertices").alias("v"))
     rows = rows.withColumn("km", haversine_km(lat, lng, "v.lat", "v.lng")).where(F.col("km") <= max_km)
-    return rows.orderBy("km", "id").limit(1).select("id", "name", F.round("km", 1).alias("distance_km"))
-
-
-def nearest_site(points: DataFrame, sites: DataFrame, cells=(0.5, 4.0, 32.0)) -> DataFrame:
-    """For each point (key, lat, lng): the distance to the nearest site (site, s_lat, s_lng), or null without sites."""
-    done, left = [], points.select("key", "lat", "lng")
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    for cell in cells:
-        own = sites.select("site", "s_lat", "s_lng", cell_index("s_lat", cell).alias("i"), F.pmod(cell_index("s_lng", cell), F.lit(int(360 / cell))).alias("j"))
-        look = left.withColumn("di", F.explode(around)).withColumn("dj", F.explode(around))
-        look = look.select("key", "lat", "lng", (cell_index("lat", cell) + F.col("di")).alias("i"), F.pmod(cell_index("lng", cell) + F.col("dj"), F.lit(int(360 / cell))).alias("j")).distinct()
-        found = look.join(own, ["i", "j"]).groupBy("key").agg(F.min(haversine_km("lat", "lng", "s_lat", "s_lng")).alias("km"))
-        # what lies outside the 3 x 3 cells is at least a cell away, at the latitude where a cell is narrowest
-        sure = cell * 111.19 * F.greatest(F.lit(0.0), F.cos(F.radians(F.least(F.lit(90.0), F.abs("lat") + 2 * cell)))) * 0.99
-        level = left.join(found, "key", "left").withColumn("sure", F.coalesce(F.col("km") <= sure, F.lit(False)))
-        done.append(level.where("sure").select("key", "km"))
-        left = level.where("NOT sure").select("key", "lat", "lng")
-    # the few that are far from every site look at all of them
-    rest = left.withColumn("all", F.lit(1)).join(sites.select("s_lat", "s_lng", F.lit(1).alias("all")), "all", "left").groupBy("key").agg(F.min(haversine_km("lat", "lng", "s_lat", "s_lng")).alias("km"))
-    return reduce(DataFrame.unionByName, [*done, rest])
-
-
-def best_within(points: DataFrame, sites: DataFrame, radius_km: float, prefer: list[str], cell: float = 1.0) -> DataFrame:
+    return rows.orderBy("km", "id").limit(1).select("id", "name", "kind", F.round("km", 1).alias("distance_km"))
+
+
+#: Edges of cells on the unit sphere: 2 holds all of it, the last is about 3 km.
+EDGES = tuple(2.0 * 4.0**-k for k in range(7))
+
+
+def _cells(frame: DataFrame, lat: str, lng: str) -> DataFrame:
+    """frame for each level, with the cell (i, j, k) of its point on the unit sphere, which has no poles and no date line."""
+    a, b = F.radians(lat), F.radians(lng)
+    at = frame.withColumns({"x": F.cos(a) * F.cos(b), "y": F.cos(a) * F.sin(b), "z": F.sin(a)})
+    levels = F.array(*[F.struct(F.lit(n).alias("level"), *[F.floor(F.col(c) / e).cast("int").alias(o) for c, o in zip("xyz", "ijk", strict=True)]) for n, e in enumerate(EDGES)])
+    return at.select(*frame.columns, F.inline(levels))
+
+
+def nearest_site(points: DataFrame, sites: DataFrame) -> DataFrame:
+    """For each point (key, lat, lng): the distance to the nearest site (site, s_lat, s_lng), or null without sites.
+
+    A site in the 27 cells around a point's own is nearer than 4 edges. So the finest level with such a site tells that
+    the nearest one lies in the 27 cells of the level above it, and only those sites are compared.
+    """
+    step = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    around = _cells(sites.select("s_lat", "s_lng").distinct(), "s_lat", "s_lng")
+    for c in "ijk":
+        around = around.withColumn(f"d{c}", F.explode(step)).withColumn(c, F.col(c) + F.col(f"d{c}")).drop(f"d{c}")
+    own = _cells(points.select("key", "lat", "lng"), "lat", "lng")
+    cell = ["level", "i", "j", "k"]
+    finest = own.join(around.select(*cell).distinct(), cell).groupBy("key").agg(F.greatest(F.lit(0), F.max("level") - 1).alias("search"))
+    look = own.join(finest.withColumnRenamed("key", "of"), (F.col("key") == F.col("of")) & (F.col("level") == F.col("search"))).select("key", "lat", "lng", *cell)
+    found = look.join(around, cell).groupBy(F.col("key").alias("of")).agg(F.min(haversine_km("lat", "lng", "s_lat", "s_lng")).alias("km"))
+    return points.select("key").join(found, F.col("key") == F.col("of"), "left").select("key", "km")
+
+
+def trail_by_id(trails: DataFrame, trail_id: str) -> DataFrame:
+    return trails.where(F.col("id") == trail_id)
+
+
+def resolve_network(trails: DataFrame, live: DataFrame, trail_id: str, at: tuple[float, float], max_km: float = 2.0) -> DataFrame:
+    """The trail of a trailhead: what its own network says (live: trail_id, name, kind), else the path or route with the
+    nearest vertex within max_km of the trailhead's place, which is no more than a guess. No row if neither is there or
+    the id is not a trailhead's."""
+    head = trail_by_id(trails, trail_id).where(F.col("kind") == "trailhead").select("id")
+    own = head.join(live.where(F.col("trail_id") == trail_id).limit(1), F.col("id") == F.col("trail_id")).select("id", "name", "kind", F.lit(True).alias("authoritative"))
+    near = nearest_vertex(trails, *at, max_km)
+    near = head.withColumnRenamed("id", "head").join(near, how="cross").select("id", "name", "kind", F.lit(False).alias("authoritative"))  # one row each
+    both = own.unionByName(near)
+    return both.orderBy(F.desc("authoritative")).limit(1)
+
+
+def best_within(points: DataFrame, sites: DataFrame, radius_km: float, prefer: list[str], cell: float | None = None) -> DataFrame:
     """For each point (key, lat, lng) the first site within its box and disk, by `prefer` and then distance.
 
-    sites: site, s_lat, s_lng and the columns of prefer, smaller first.
+    sites: site, s_lat, s_lng and the columns of prefer, smaller first. Cells are as high as the radius by default.
     """
+    cell = cell or max(radius_km / KM_PER_DEGREE, 0.01)
     dlat, dlng = reach("lat", radius_km)
     span = lambda x, d: F.explode(F.sequence(cell_index(F.col(x) - d, cell), cell_index(F.col(x) + d, cell)))
     look = points.select("key", "lat", "lng", span("lat", dlat).alias("i")).withColumn("j", span("lng", dlng))

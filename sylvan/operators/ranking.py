@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import along_segment, haversine_km
@@ -34,8 +34,7 @@ def rank(rows: DataFrame, recent: DataFrame) -> DataFrame:
     r = rows.groupBy("region_id").agg(F.sum(F.col("w_pheno") * F.log1p("month_count")).alias("base"), F.count("*").alias("n_species"), F.min_by(F.struct("lat", "lng", "distance_km"), "taxon_id").alias("at"))
     r = r.join(recent, "region_id", "left").withColumn("recent_count", F.coalesce("recent_count", F.lit(0)))
     r = r.withColumn("score", F.col("base") * (1 + 0.1 * (F.col("n_species") - 1)) * (1 + F.log1p("recent_count")))
-    top = r.agg(F.max("score").alias("top"))
-    r = r.join(F.broadcast(top))  # one row
+    r = r.withColumn("top", F.max("score").over(Window.partitionBy()))  # a row for each grid cell, after all aggregation
     return r.select("region_id", F.col("at.lat").alias("center_lat"), F.col("at.lng").alias("center_lng"), F.round("at.distance_km", 1).alias("distance_km"), "n_species", "recent_count", "score", F.coalesce(F.round(F.try_divide("score", "top"), 4), F.lit(0.0)).alias("score_norm"))
 
 
@@ -51,3 +50,17 @@ def corridor(phenology: DataFrame, recent: DataFrame, months, taxa, start: tuple
     """As radial, but along a segment: distance_km is the progress from its start."""
     progress, offset = along_segment("lat", "lng", start, end)
     return rank(candidates(phenology, months, taxa, offset <= corridor_km, progress), recent)
+
+
+def corridor_to(phenology: DataFrame, recent: DataFrame, months, taxa, start: tuple, destination: DataFrame, corridor_km: float) -> DataFrame:
+    """As corridor, to the one row of `destination` (center_lat, center_lng); without a row there is no region."""
+    end = destination.select(F.col("center_lat").alias("end_lat"), F.col("center_lng").alias("end_lng")).limit(1)
+    progress, offset = along_segment("lat", "lng", start, ("end_lat", "end_lng"))
+    rows = candidates(phenology, months, taxa, F.lit(True), F.lit(0.0)).join(F.broadcast(end))  # one row
+    rows = rows.withColumn("distance_km", progress).where(offset <= corridor_km)
+    return rank(rows, recent)
+
+
+def in_order(ranked: DataFrame) -> DataFrame:
+    """Regions from the best score down, with their place."""
+    return ranked.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "region_id"))).orderBy("place")

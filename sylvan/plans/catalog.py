@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
@@ -48,24 +48,32 @@ def _rank_sql(rows: str) -> str:
 FROM (SELECT region_id, sum(w_pheno*ln(1+month_count)) AS b, count(*) AS n_species, arg_min(lat,taxon_id) AS center_lat, arg_min(lng,taxon_id) AS center_lng, round(arg_min(distance_km,taxon_id),1) AS distance_km FROM {rows} GROUP BY 1) LEFT JOIN recent USING (region_id)))"""
 
 
-def _segment_sql() -> str:
-    k = f"(111.0::DOUBLE*greatest(abs(cos(radians({(START[0] + END[0]) / 2}::DOUBLE))),0.01::DOUBLE))"
-    return f"""SELECT *, month_count/total_count AS w_pheno, t*sqrt(dx*dx+dy*dy) AS distance_km, sqrt(pow(px-(ax+t*dx),2)+pow(py-(ay+t*dy),2)) AS off_km FROM
-(SELECT *, least(1.0::DOUBLE,greatest(0.0::DOUBLE,((px-ax)*dx+(py-ay)*dy)/(dx*dx+dy*dy))) AS t FROM (SELECT *, {START[1]}::DOUBLE*{k} AS ax, {START[0]}::DOUBLE*111 AS ay, {END[1] - START[1]}::DOUBLE*{k} AS dx, {END[0] - START[0]}::DOUBLE*111 AS dy, lng*{k} AS px, lat*111 AS py FROM base WHERE month_count>0))"""
+def _segment_sql(start: str, end_lat: str, end_lng: str, rows: str = "base") -> str:
+    """Progress and offset on the plane that touches the start; progress is a share of the great-circle length."""
+    lat, lng = start
+    k = f"(111.0::DOUBLE*greatest(abs(cos(radians({lat}))),0.01::DOUBLE))"
+    return f"""SELECT *, month_count/total_count AS w_pheno, CASE WHEN whole=0 THEN off_km ELSE t*whole END AS distance_km FROM (SELECT *, sqrt(pow(px-t*dx,2)+pow(py-t*dy,2)) AS off_km FROM
+(SELECT *, CASE WHEN dx*dx+dy*dy=0 THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE,greatest(0.0::DOUBLE,(px*dx+py*dy)/(dx*dx+dy*dy))) END AS t FROM
+(SELECT *, (({end_lng})-({lng}))*{k} AS dx, (({end_lat})-({lat}))*111 AS dy, (lng-({lng}))*{k} AS px, (lat-({lat}))*111 AS py, {hav(lat, lng, end_lat, end_lng)} AS whole FROM {rows} WHERE month_count>0)))"""
 
 
-MORE["along"] = _segment_sql()
+START_SQL, END_SQL = tuple(f"({x}::DOUBLE)" for x in START), tuple(f"({x}::DOUBLE)" for x in END)
+MORE["along"] = _segment_sql(START_SQL, *END_SQL)
+MORE["around"] = _segment_sql(START_SQL, *START_SQL)
 MORE["ranked"] = f"SELECT * FROM {_rank_sql('radial')}"
+MORE["auto"] = f"SELECT region_id, center_lat, center_lng, distance_km, score FROM ranked WHERE {hav(LAT_SQL, LNG_SQL, 'center_lat', 'center_lng')}>=50 ORDER BY ranked.score DESC, region_id LIMIT 1"
+MORE["toward"] = _segment_sql((LAT_SQL, LNG_SQL), "center_lat", "center_lng", "(SELECT b.*, d.center_lat, d.center_lng FROM base b CROSS JOIN auto d)")
+MORE["autocorr"] = f"SELECT * FROM {_rank_sql(f'(SELECT region_id, taxon_id, lat, lng, month_count, w_pheno, distance_km FROM toward WHERE off_km <= {CORRIDOR})')}"
 MORE["corr"] = f"SELECT * FROM {_rank_sql(f'(SELECT * FROM along WHERE off_km <= {CORRIDOR})')}"
 
 
-def query(name: str, sql: str = "", uses: str = ""):
-    """Register a query, with its SQL over the named views; round() is written as r6()."""
+def query(name: str, sql: str = "", uses: str = "", more: str = ""):
+    """Register a query, with its SQL over the named views and `more` ones; round() is written as r6()."""
 
     def put(f: Callable) -> Callable:
         _queries[name] = f
         if sql:
-            ctes = [f"{v} AS ({views.SQL.get(v) or MORE[v]})" for v in uses.split()]
+            ctes = [f"{v} AS ({views.SQL.get(v) or MORE[v]})" for v in uses.split()] + ([more] if more else [])
             _sql[name] = ("WITH RECURSIVE " + ", ".join(ctes) + " " if ctes else "") + sql
         return f
 
@@ -115,6 +123,17 @@ def _(s, d):
     return _ranked(s, d).select(*RANK, *r6("center_lat", "center_lng", "score"))
 
 
+@query("destinations_in_order", "SELECT row_number() OVER (ORDER BY score DESC, region_id)::INT AS place, region_id, score_norm FROM ranked", PHEN + " recent base radial ranked")
+def _(s, d):
+    return ranking.in_order(_ranked(s, d)).select("place", "region_id", "score_norm")
+
+
+@query("rank_around_a_point", f"SELECT {', '.join(RANK)}, round(score,6) AS score FROM {_rank_sql(f'(SELECT * FROM around WHERE off_km <= {CORRIDOR})')}", PHEN + " recent base around")
+def _(s, d):
+    rows = ranking.corridor(_phenology(s, d), _recent(s, d), MONTHS, TAXA, START, START, CORRIDOR)  # start = end
+    return rows.select(*RANK, *r6("score"))
+
+
 @query("rank_destinations_species", "SELECT region_id, taxon_id, coalesce(name, taxon_id::VARCHAR) AS name, common_name, month_count, total_count, round(w_pheno,6) AS w_pheno FROM radial LEFT JOIN genera USING (taxon_id)", PHEN + " base radial genera")
 def _(s, d):
     rows = ranking.radial_rows(_phenology(s, d), MONTHS, TAXA, LAT, LNG, RADIUS)
@@ -165,6 +184,32 @@ def _(s, d):
     return calendar.alert_regions(calendar.recent_rows(views.order_observations(s, d), CELL, AS_OF, WEEKS)).select("region_id", *r6("center_lat", "center_lng"), "total", F.round("weight", 6).alias("weight"))
 
 
+@query("alerts_near", f"""SELECT dense_rank() OVER (ORDER BY total DESC, region_id)::INT AS place, region_id, round(km,1) AS distance_km, total, taxon_id, coalesce(name, taxon_id::VARCHAR) AS name, cnt, last_observed, coalesce(obscured,false) AS obscured
+FROM (SELECT region_id, taxon_id, count(*) AS cnt, max(observed_on) AS last_observed, max_by(ROW(obscured), ROW(observed_on,id))[1] AS obscured FROM {RECENT} GROUP BY 1,2)
+JOIN (SELECT *, {hav(LAT_SQL, LNG_SQL, 'center_lat', 'center_lng')} AS km FROM (SELECT region_id, {CENTER.format('lat')} AS center_lat, {CENTER.format('lng')} AS center_lng, count(*) AS total FROM {RECENT} GROUP BY 1)) USING (region_id)
+LEFT JOIN genera USING (taxon_id) WHERE km<={RADIUS}""", "oobs obinned genera")
+def _(s, d):
+    recent = calendar.recent_rows(views.order_observations(s, d), CELL, AS_OF, WEEKS)
+    return calendar.alerts_near(recent, views.genera(s, d), LAT, LNG, RADIUS).select("place", "region_id", "distance_km", "total", "taxon_id", "name", "cnt", "last_observed", "obscured")
+
+
+PHOTOS = "CASE WHEN o_orderkey%3>0 THEN array(named_struct('url', concat('p/', o_orderkey), 'license_code', CASE o_orderkey%4 WHEN 0 THEN 'CC-BY' WHEN 1 THEN 'all-rights' WHEN 2 THEN 'cc0' END, 'attribution', o_orderpriority)) ELSE array() END"
+
+
+@query("recent_page_photos", "SELECT id, observed_on, (id%3>0 AND id%4 IN (0,2))::INT AS n_photos, CASE WHEN id%3>0 AND id%4 IN (0,2) THEN 'p/'||id END AS url FROM obinned ORDER BY observed_on DESC NULLS FIRST, id DESC LIMIT 100", "oobs obinned")
+def _(s, d):
+    given = views.table(s, d, "orders").select(F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.expr(PHOTOS).alias("photos"))).alias("json"))
+    photos = payloads.open_photos(payloads.parsed(given, "json", payloads.OBSERVATION).select(F.struct("*").alias("o")))
+    page = calendar.recent_page(views.order_observations(s, d), CELL, 0, 99).select("id", "observed_on")
+    return calendar.with_photos(page, photos).select("id", "observed_on", F.size("photos").alias("n_photos"), F.get("photos", F.lit(0))["url"].alias("url"))
+
+
+@query("points_in_order", f"SELECT row_number() OVER (ORDER BY observed_on DESC NULLS FIRST, id)::INT AS place, id, coalesce(name, taxon_id::VARCHAR) AS name, observed_on FROM (SELECT *, {hav(LAT_SQL, LNG_SQL, 'lat', 'lng')} AS km FROM oobs WHERE quality_grade='research' AND obscured=false AND {boxed(LAT_SQL, LNG_SQL, '60.0::DOUBLE')}) LEFT JOIN genera USING (taxon_id) WHERE km<=60", "oobs genera")
+def _(s, d):
+    rows = calendar.points_in_order(calendar.precise_points(views.order_observations(s, d), LAT, LNG, 60.0), views.genera(s, d))
+    return rows.select(F.row_number().over(Window.orderBy(F.desc_nulls_first("observed_on"), "id")).alias("place"), "id", "name", "observed_on")
+
+
 @query("recent_observations_page", "SELECT id, taxon_id, region_id, observed_on, place_guess FROM obinned ORDER BY observed_on DESC NULLS FIRST, id DESC LIMIT 13 OFFSET 24", "oobs obinned")
 def _(s, d):
     return calendar.recent_page(views.order_observations(s, d), CELL, 24, 12).select("id", "taxon_id", "region_id", "observed_on", "place_guess")
@@ -215,7 +260,40 @@ def _(s, d):
 
 @query("nearest_trail_vertex", f"SELECT id, name, round(km,1) AS distance_km FROM (SELECT id, name, {hav(LAT_SQL, LNG_SQL, '(min_lat+i/1024.0::DOUBLE)', '(min_lng+i/1024.0::DOUBLE)')} AS km FROM (SELECT *, unnest(range(0,steps+1)) AS i FROM trails WHERE kind IN ('path','route') AND {boxed(LAT_SQL, LNG_SQL, '50.0::DOUBLE', True)})) WHERE km<=50 ORDER BY km, id LIMIT 1", "trails")
 def _(s, d):
-    return proximity.nearest_vertex(views.vertices(views.trails(s, d)), LAT, LNG, 50.0)
+    return proximity.nearest_vertex(views.vertices(views.trails(s, d)), LAT, LNG, 50.0).drop("kind")
+
+
+@query("trail_by_id", "SELECT id, name, kind FROM trails WHERE id='7'", "trails")
+def _(s, d):
+    return proximity.trail_by_id(views.trails(s, d), "7").select("id", "name", "kind")
+
+
+NETWORK = "SELECT p_partkey::VARCHAR AS trail_id, 'Way '||p_partkey AS name, 'path' AS kind FROM part WHERE p_partkey%6=0"
+VERTEX_KM = hav(LAT_SQL, LNG_SQL, "(min_lat+i/1024.0::DOUBLE)", "(min_lng+i/1024.0::DOUBLE)")
+
+
+def _network(s, d: str, trail_id: str) -> DataFrame:
+    k = F.col("p_partkey")
+    live = views.table(s, d, "part").where("p_partkey % 6 = 0").select(k.cast("string").alias("trail_id"), F.concat(F.lit("Way "), k.cast("string")).alias("name"), F.lit("path").alias("kind"))
+    return proximity.resolve_network(views.vertices(views.trails(s, d)), live, trail_id, (LAT, LNG), 50.0)
+
+
+@query("trail_network_own", f"SELECT trail_id AS id, name, kind, true AS authoritative FROM ({NETWORK}) WHERE trail_id='6'")
+def _(s, d):
+    return _network(s, d, "6")
+
+
+@query("trail_network_nearest", f"SELECT id, name, kind, false AS authoritative FROM (SELECT id, name, kind, {VERTEX_KM} AS km FROM (SELECT *, unnest(range(0,steps+1)) AS i FROM trails WHERE kind IN ('path','route') AND {boxed(LAT_SQL, LNG_SQL, '50.0::DOUBLE', True)})) WHERE km<=50 ORDER BY km, id LIMIT 1", "trails")
+def _(s, d):
+    return _network(s, d, "3")  # a trailhead without a network of its own
+
+
+@query("trails_near_with_camp", f"SELECT t.id, t.distance_km, round(min({hav('t.center_lat', 't.center_lng', 'c.lat', 'c.lng')}),1) AS camp_km FROM {TRAILS} t LEFT JOIN camps c ON true GROUP BY 1,2", "trails camps")
+def _(s, d):
+    near = proximity.trails_near(views.trails(s, d), LAT, LNG, 90.0)
+    sites = views.camps(s, d).select(F.col("id").alias("site"), F.col("lat").alias("s_lat"), F.col("lng").alias("s_lng"))
+    km = proximity.nearest_site(near.select(F.col("id").alias("key"), F.col("center_lat").alias("lat"), F.col("center_lng").alias("lng")), sites)
+    return near.join(km, F.col("id") == F.col("key"), "left").select("id", "distance_km", F.round("km", 1).alias("camp_km"))
 
 
 @query("thin_vertices", "SELECT id, count(*) AS n, round(sum(min_lat+round_even(i*steps/19.0,0)/1024.0::DOUBLE),6) AS sum_lat FROM (SELECT *, unnest(range(0,20)) AS i FROM trails WHERE steps+1>20) GROUP BY 1", "trails")
@@ -226,7 +304,7 @@ def _(s, d):
 
 @query("union_bbox", "SELECT agency, min(min_lat) AS min_lat, min(min_lng) AS min_lng, max(max_lat) AS max_lat, max(max_lng) AS max_lng FROM land GROUP BY 1", "land")
 def _(s, d):
-    return views.land(s, d).groupBy("agency").agg(F.min("min_lat").alias("min_lat"), F.min("min_lng").alias("min_lng"), F.max("max_lat").alias("max_lat"), F.max("max_lng").alias("max_lng"))
+    return payloads.union_bbox(views.land(s, d), "agency")
 
 
 @query("tile_bboxes", "SELECT id, min_lat+i*0.25::DOUBLE AS min_lat, min_lng+j*0.25::DOUBLE AS min_lng, least(max_lat,min_lat+(i+1)*0.25::DOUBLE) AS max_lat, least(max_lng,min_lng+(j+1)*0.25::DOUBLE) AS max_lng FROM (SELECT *, unnest(range(0,ceil(size/0.25)::INT)) AS j FROM (SELECT *, unnest(range(0,ceil(size/0.25)::INT)) AS i FROM land))", "land")
@@ -234,12 +312,23 @@ def _(s, d):
     return views.land(s, d).select("id", F.inline(geo.tiles("min_lat", "min_lng", "max_lat", "max_lng", 0.25)))
 
 
-@query("query_centers", f"SELECT id, round(clat,6) AS lat, round(clng,6) AS lng FROM (SELECT id, lat, lng, lat+i*(30*sqrt(2.0::DOUBLE)/111.0::DOUBLE) AS clat, lng+j*(30*sqrt(2.0::DOUBLE)/(111.0::DOUBLE*greatest(abs(cos(radians(lat))),0.01::DOUBLE))) AS clng FROM camps CROSS JOIN range(-3,4) a(i) CROSS JOIN range(-3,4) b(j)) WHERE {hav('lat', 'lng', 'clat', 'clng')} <= 130", "camps")
+def _circles_sql(r: float, q: float, n: int) -> str:
+    return f"""SELECT id, round(clat,6) AS lat, round(clng,6) AS lng FROM (SELECT id, clat, clng, km, i, j FROM (SELECT *, {hav('lat', 'lng', 'clat', 'clng')} AS km FROM (SELECT id, lat, lng, i, j, lat+i*({q}::DOUBLE/111.0::DOUBLE) AS clat, lng+j*({q}::DOUBLE/(111.0::DOUBLE*greatest(abs(cos(radians(lat))),0.01::DOUBLE))) AS clng
+FROM camps CROSS JOIN range({-n},{n + 1}) a(i) CROSS JOIN range({-n},{n + 1}) b(j))) WHERE km <= {r + q}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY km, i, j)<=200"""
+
+
+@query("query_centers", _circles_sql(100.0, 30.0, 4), "camps")
 def _(s, d):
     rows = views.camps(s, d).select("id", F.explode(geo.query_circles("lat", "lng", 100.0, 30.0)).alias("c"))
     return rows.select("id", F.round("c.lat", 6).alias("lat"), F.round("c.lng", 6).alias("lng"))
 
 
+@query("query_centers_capped", f"SELECT id, count(*) AS n, round(sum(lat),3) AS lat FROM ({_circles_sql(500.0, 45.5, 11)}) GROUP BY 1", "camps")
+def _(s, d):
+    rows = views.camps(s, d).select("id", F.explode(geo.query_circles("lat", "lng", 500.0, 45.5)).alias("c"))
+    return rows.groupBy("id").agg(F.count("*").alias("n"), F.round(F.sum(F.round("c.lat", 6)), 3).alias("lat"))
+
+
 @query("region_center", "SELECT DISTINCT region_id, split_part(region_id,'_',1)::INT+0.5::DOUBLE AS lat, split_part(region_id,'_',2)::INT+0.5::DOUBLE AS lng FROM binned", "lobs binned")
 def _(s, d):
     lat, lng = geo.region_center("region_id", CELL)
@@ -279,12 +368,35 @@ UNION ALL SELECT o.n, o.region_id, CASE WHEN {LEG}>170 THEN w.lat ELSE o.lat END
 
 @query("plan_route", f"""SELECT (row_number() OVER (ORDER BY n)-1)::INT AS pos, region_id, round(leg,4) AS leg_km, round(total,4) AS total_km, (SELECT max(skipped) FROM walk)::INT AS skipped FROM walk WHERE n>0 AND took""", PLAN + " ordered walk")
 def _(s, d):
-    return planner.walk(_stops(s, d), START, 170.0)
+    return planner.walk(_stops(s, d), START, 170.0).select("pos", "region_id", "leg_km", "total_km", "skipped")
+
+
+def _trip_sql(corridor: str) -> str:
+    """stops, ordered and walk of a plan over a corridor, with all that a stop carries."""
+    sites = f"{_site('camps', 'lat', 'lng', 60.0, 'coalesce(free,false) DESC, km, id', ', coalesce(free,false) AS f')} c ON true {_site('trails', 'center_lat', 'center_lng', 60.0, 'km, id', '')} t ON true"
+    leg = hav("w.lat", "w.lng", "o.center_lat", "o.center_lng")
+    return f"""stops AS (SELECT k.*, c.id AS camp_id, c.f AS camp_free, t.id AS trail_id, round(t.km,1) AS trail_km FROM {corridor} k {sites} ORDER BY k.score DESC, k.region_id LIMIT 8),
+ordered AS (SELECT *, row_number() OVER (ORDER BY distance_km, score DESC, region_id) AS n FROM stops),
+walk AS (SELECT 0::BIGINT AS n, {LAT_SQL} AS lat, {LNG_SQL} AS lng, 0.0::DOUBLE AS leg, 0.0::DOUBLE AS total, 0 AS skipped, true AS took
+UNION ALL SELECT o.n, CASE WHEN {leg}>150 THEN w.lat ELSE o.center_lat END, CASE WHEN {leg}>150 THEN w.lng ELSE o.center_lng END, {leg}, CASE WHEN {leg}>150 THEN w.total ELSE w.total+{leg} END, CASE WHEN {leg}>150 THEN w.skipped+1 ELSE w.skipped END, {leg}<=150 FROM walk w JOIN ordered o ON o.n=w.n+1)"""
 
 
-@query("auto_destination", "SELECT region_id, distance_km, round(score,6) AS score FROM ranked WHERE distance_km>=50 ORDER BY ranked.score DESC, region_id LIMIT 1", PHEN + " recent base radial ranked")
+AUTO = PHEN + " recent base radial ranked auto toward autocorr"
+
+
+@query("plan_trip", f"SELECT (row_number() OVER (ORDER BY w.n)-1)::INT AS pos, region_id, distance_km AS progress_km, score_norm, n_species, recent_count, camp_id, camp_free, trail_id, trail_km, round(leg,1) AS leg_km, round(total,1) AS total_km, (SELECT max(skipped) FROM walk)::INT AS skipped FROM walk w JOIN ordered o ON o.n=w.n WHERE took", AUTO + " camps trails", _trip_sql("autocorr"))
 def _(s, d):
-    return planner.destination(_ranked(s, d), 50.0).select("region_id", "distance_km", F.round("score", 6).alias("score"))
+    p, recent = _phenology(s, d), _recent(s, d)
+    goal = planner.destination(ranking.radial(p, recent, MONTHS, TAXA, LAT, LNG, RADIUS), (LAT, LNG), 50.0)
+    corridor = ranking.corridor_to(p, recent, MONTHS, TAXA, (LAT, LNG), goal, CORRIDOR)
+    chosen = planner.stops(corridor, views.camps(s, d), views.trails(s, d), 60.0, 60.0, 0.0, False, 8)
+    rows = planner.walk(chosen, (LAT, LNG), 150.0)
+    return rows.select("pos", "region_id", "progress_km", "score_norm", "n_species", "recent_count", "camp_id", "camp_free", "trail_id", "trail_km", F.round("leg_km", 1).alias("leg_km"), F.round("total_km", 1).alias("total_km"), "skipped")
+
+
+@query("auto_destination", "SELECT region_id, distance_km, round(score,6) AS score FROM auto", PHEN + " recent base radial ranked auto")
+def _(s, d):
+    return planner.destination(_ranked(s, d), (LAT, LNG), 50.0).select("region_id", "distance_km", F.round("score", 6).alias("score"))
 
 
 @query("search_genera", "SELECT taxon_id, name, common_name, observations_count FROM genera WHERE name ILIKE '%on_1%' OR coalesce(common_name ILIKE '%on_1%',false) ORDER BY observations_count DESC NULLS LAST, name, taxon_id LIMIT 20", "genera")
@@ -298,6 +410,36 @@ def _(s, d):
     return picks.join(views.genera(s, d), "taxon_id").select("device_id", "taxon_id", "name")
 
 
+@query("selected_in_order", "SELECT device_id, row_number() OVER (PARTITION BY device_id ORDER BY name, taxon_id)::INT AS place, taxon_id, name FROM (SELECT DISTINCT 'device-'||(c_custkey%100) AS device_id, (c_custkey%40)::BIGINT AS taxon_id FROM customer) JOIN genera USING (taxon_id)", "genera")
+def _(s, d):
+    picks = views.table(s, d, "customer").select(F.concat(F.lit("device-"), (F.col("c_custkey") % 100).cast("string")).alias("device_id"), (F.col("c_custkey") % 40).alias("taxon_id")).distinct()
+    rows = picks.join(views.genera(s, d), "taxon_id")
+    return rows.select("device_id", F.row_number().over(Window.partitionBy("device_id").orderBy("name", "taxon_id")).alias("place"), "taxon_id", "name")
+
+
+@query("is_ingested", "SELECT key, key IN (SELECT key FROM log) AS ingested FROM (SELECT 'obs:fungi:place:'||n_nationkey||':2015-01-01:2024-01-15' AS key FROM nation)", "log")
+def _(s, d):
+    keys = views.table(s, d, "nation").select(F.concat(F.lit("obs:fungi:place:"), F.col("n_nationkey").cast("string"), F.lit(":2015-01-01:2024-01-15")).alias("key"))
+    return coverage.is_ingested(views.ingest_log(s, d), keys)
+
+
+@query("region_titles", "SELECT region_id, CASE WHEN kept THEN place WHEN n_nationkey%3=1 THEN 'F'||n_nationkey END AS place_name, CASE WHEN kept THEN 'cached' WHEN n_nationkey%3<2 THEN 'found' ELSE 'failed' END AS state FROM (SELECT n_nationkey, n_nationkey||'_0' AS region_id, n_nationkey%4=0 AS kept, CASE WHEN n_nationkey%8=0 THEN n_name END AS place FROM nation)")
+def _(s, d):
+    n, k = views.table(s, d, "nation"), F.col("n_nationkey")
+    region = F.concat(k.cast("string"), F.lit("_0")).alias("region_id")
+    kept = n.where("n_nationkey % 4 = 0").select(region, F.when(k % 8 == 0, F.col("n_name")).alias("place_name"))
+    found = n.where("n_nationkey % 3 < 2").select(region, F.when(k % 3 == 1, F.concat(F.lit("F"), k.cast("string"))).alias("place_name"))
+    return coverage.region_titles(n.select(region), kept, found)
+
+
+@query("record_ingest", "SELECT coalesce(r.key,l.key) AS key, CASE WHEN r.key IS NULL THEN l.row_count ELSE r.row_count END AS row_count, CASE WHEN r.key IS NULL THEN l.fetched_at ELSE TIMESTAMP '2001-06-29' END AS fetched_at FROM (SELECT key, row_count, fetched_at FROM log QUALIFY row_number() OVER (PARTITION BY key ORDER BY row_count DESC)=1) l FULL JOIN (SELECT 'obs:fungi:place:'||n_nationkey||':2015-01-01:2024-01-15' AS key, n_nationkey::BIGINT AS row_count FROM nation) r ON l.key=r.key", "log")
+def _(s, d):
+    k = F.col("n_nationkey").cast("long")
+    runs = views.table(s, d, "nation").select(F.concat(F.lit("obs:fungi:place:"), k.cast("string"), F.lit(":2015-01-01:2024-01-15")).alias("key"), k.alias("row_count"), *[F.lit(None).cast("double").alias(c) for c in ("lat", "lng", "radius_km")], F.lit(1).alias("seq"))
+    log = payloads.dedupe_last(views.ingest_log(s, d).withColumn("seq", F.col("row_count")), "key", "seq")
+    return merge.record_ingest(log, runs, AS_OF).select("key", "row_count", "fetched_at")
+
+
 @query("duplicate_genus_names", "SELECT name, count(*) AS n, sum(stored)::BIGINT AS stored FROM (SELECT name, taxon_id, count(*) AS stored FROM oobs JOIN genera USING (taxon_id) GROUP BY 1,2) GROUP BY 1 HAVING count(*)>1", "oobs genera")
 def _(s, d):
     counts = phenology.species_counts(views.order_observations(s, d)).join(views.genera(s, d), "taxon_id")
@@ -336,6 +478,13 @@ def _(s, d):
     return coverage.covered(areas, views.ingest_log(s, d), "obs:fungi:")
 
 
+@query("covered_area_north", f"SELECT c.id AS area, bool_or({hav('(c.lat+36)', '(c.lng-50)', '(l.lat+36)', '(l.lng-60)')}+10<=l.radius_km*3) AS covered FROM camps c CROSS JOIN (SELECT DISTINCT lat,lng,radius_km FROM log WHERE lat IS NOT NULL) l GROUP BY 1", "log camps")
+def _(s, d):
+    areas = views.camps(s, d).select(F.col("id").alias("area"), (F.col("lat") + 36).alias("a_lat"), (F.col("lng") - 50).alias("a_lng"), F.lit(10.0).alias("a_radius"))
+    log = views.ingest_log(s, d).withColumns({"lat": F.col("lat") + 36, "lng": F.col("lng") - 60, "radius_km": F.col("radius_km") * 3})
+    return coverage.covered(areas, log, "obs:fungi:")
+
+
 MERGED = ["taxon_id", "observed_on", "place_guess", "uri", "obscured"]
 MORE["stored"] = "SELECT id, taxon_id, observed_on, place_guess, uri, obscured FROM oobs WHERE id%3>0"
 MORE["batch"] = "SELECT id//2 AS id, id AS seq, CASE WHEN id%5>0 THEN taxon_id END AS taxon_id, CASE WHEN id%4>0 THEN observed_on END AS observed_on, CASE WHEN id%2>0 THEN place_guess END AS place_guess, uri, obscured FROM oobs"
@@ -391,7 +540,7 @@ def _(s, d):
     return payloads.resolve_genus(rows, views.genera(s, d)).select("key", "genus_id")
 
 
-@query("bulk_filter", "SELECT p_partkey AS id, g.taxon_id, (p_partkey%90)::DOUBLE AS lat, (p_partkey*1000)::INT AS positional_accuracy, CASE WHEN p_partkey*1000 BETWEEN 26000 AND 31000 THEN true END AS obscured FROM part JOIN (SELECT name, min(taxon_id) AS taxon_id FROM genera GROUP BY 1) g ON g.name='NATION_'||(p_partkey%30) WHERE p_partkey%5>0 AND p_partkey%7>0 AND p_partkey<2000000", "genera")
+@query("bulk_filter", "SELECT p_partkey AS id, g.taxon_id, (p_partkey%90)::DOUBLE AS lat, TRY_CAST(p_partkey::BIGINT*1000 AS INT) AS positional_accuracy, CASE WHEN p_partkey::BIGINT*1000 BETWEEN 26000 AND 31000 THEN true END AS obscured FROM part JOIN (SELECT name, min(taxon_id) AS taxon_id FROM genera GROUP BY 1) g ON g.name='NATION_'||(p_partkey%30) WHERE p_partkey%5>0 AND p_partkey%7>0", "genera")
 def _(s, d):
     k = F.col("p_partkey").cast("long")
     t = lambda c: c.cast("string")
@@ -404,30 +553,39 @@ def _(s, d):
     return views.order_observations(s, d).select("id", text.obscured_by_accuracy("positional_accuracy", *OBSCURED_ACCURACY).alias("obscured"))
 
 
+#: Character references that the tables' pages and the ones added here hold: fixed values. `&amp;`, which
+#: also counts without its end, must come last.
+REFERENCES = {"&copy;": "©", "&middot;": "·", "&ndash;": "–", "&mdash;": "—", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”", "&hellip;": "…", "&eacute;": "é", "&uuml;": "ü", "&#8217;": "’", "&#x27;": "'", "&#39;": "'", "&quot;": '"', "&lt;": "<", "&gt;": ">", "&nbsp;": " ", "&amp;": "&"}
+
+
 def _replaced(x: str) -> str:
-    for k, v in text.ENTITIES.items():
-        x = f"replace({x}, '{k.replace(chr(39), chr(39) * 2)}', '{v.replace(chr(39), chr(39) * 2)}')"
+    for k, v in REFERENCES.items():
+        x = f"replace({x}, '{k}', '{v.replace(chr(39), chr(39) * 2)}')" if k != "&amp;" else f"regexp_replace({x}, '&amp;?', '&', 'g')"
     return x
 
 
-@query("clean_html", f"SELECT page_id, nullif(trim(regexp_replace(replace({_replaced(chr(39).join(['regexp_replace(html, ', '<[^>]+>', ', ', ' ', ', ', 'g', ')']))}, chr(160), ' '), '\\s+', ' ', 'g')),'') AS text FROM pages")
+ADDED = "'<p>caf&eacute;&#8217;s &uuml;ber&#x27;s&nbsp; &amp;lt; <br>'||page_id||'</p>'"
+
+
+@query("clean_html", "SELECT page_id, nullif(trim(regexp_replace(replace(" + _replaced(f"regexp_replace(html||{ADDED}, '<[^>]+>', ' ', 'g')") + ", chr(160), ' '), '\\s+', ' ', 'g')),'') AS text FROM pages")
 def _(s, d):
-    return views.table(s, d, "pages").select("page_id", text.clean_html("html").alias("text"))
+    page = F.concat(F.col("html"), F.lit("<p>caf&eacute;&#8217;s &uuml;ber&#x27;s&nbsp; &amp;lt; <br>"), F.col("page_id").cast("string"), F.lit("</p>"))
+    return views.table(s, d, "pages").select("page_id", text.clean_html(page).alias("text"))
 
 
-FEE = "CASE p_partkey%6 WHEN 0 THEN 'No Fee here' WHEN 1 THEN '$0.50 a night' WHEN 2 THEN '$20' WHEN 3 THEN '' WHEN 4 THEN NULL ELSE 'no' END"
+FEE = "CASE p_partkey%16 WHEN 0 THEN 'No Fee here' WHEN 1 THEN '$0.50 a night' WHEN 2 THEN '$20' WHEN 3 THEN '' WHEN 4 THEN NULL WHEN 5 THEN 'no' WHEN 6 THEN 'Smoke-free area, $20 per night. Tax: none' WHEN 7 THEN 'Free of charge' WHEN 8 THEN 'FEE: NONE' WHEN 9 THEN 'no charge in winter' WHEN 10 THEN 'free' WHEN 11 THEN ' No ' WHEN 12 THEN 'toll-free number' WHEN 13 THEN 'yes' WHEN 14 THEN '  ' ELSE 'No cost' END"
 
 
 def _fees(s, d: str) -> DataFrame:
     return views.table(s, d, "part").select("p_partkey", F.expr(FEE).alias("fee"))
 
 
-@query("free_from_fee", f"SELECT p_partkey, CASE WHEN lower(fee) LIKE '%no fee%' OR lower(fee) LIKE '%free%' OR contains(fee,'$0') THEN true END AS free FROM (SELECT p_partkey, {FEE} AS fee FROM part)")
+@query("free_from_fee", f"SELECT p_partkey, CASE WHEN regexp_matches(lower(fee), 'no fee|no charge|free of charge|fee: none|\\$0|\\$0\\.00') THEN true END AS free FROM (SELECT p_partkey, {FEE} AS fee FROM part)")
 def _(s, d):
     return _fees(s, d).select("p_partkey", text.free_from_fee("fee").alias("free"))
 
 
-@query("fee_tag", f"SELECT p_partkey, CASE WHEN fee='no' THEN true END AS free, CASE WHEN fee<>'' AND fee<>'no' THEN 'fee required' END AS fee FROM (SELECT p_partkey, {FEE} AS fee FROM part)")
+@query("fee_tag", f"SELECT p_partkey, CASE WHEN lower(trim(fee))='no' THEN true END AS free, CASE WHEN trim(fee)<>'' AND lower(trim(fee))<>'no' THEN 'fee required' END AS fee FROM (SELECT p_partkey, {FEE} AS fee FROM part)")
 def _(s, d):
     return _fees(s, d).select("p_partkey", text.fee_tag("fee").alias("t")).select("p_partkey", "t.free", "t.fee")
 
@@ -435,17 +593,134 @@ def _(s, d):
 @query("parse_coords", "SELECT c_custkey, CASE WHEN ok THEN (c_custkey%100)::DOUBLE END AS lat, CASE WHEN ok THEN (-(c_custkey%170))::DOUBLE END AS lng FROM (SELECT c_custkey, c_custkey%4>0 AND c_custkey%100<=90 AS ok FROM customer)")
 def _(s, d):
     k = F.col("c_custkey")
-    raw = F.concat((k % 100).cast("string"), F.when(k % 4 > 0, F.lit(" , ")).otherwise(F.lit(";")), (-(k % 170)).cast("string"))
+    sign = F.when(k % 4 == 1, F.lit(" , ")).when(k % 4 == 2, F.lit(",")).when(k % 4 == 3, F.lit("   ")).otherwise(F.lit(";"))
+    raw = F.concat((k % 100).cast("string"), sign, (-(k % 170)).cast("string"), F.lit(" "))
     return views.table(s, d, "customer").select("c_custkey", text.parse_coordinates(raw).alias("p")).select("c_custkey", "p.lat", "p.lng")
 
 
-@query("notable_place", "SELECT c_custkey, CASE WHEN c_custkey%3=0 THEN 'F'||c_custkey WHEN c_custkey%2=0 THEN c_name END AS place FROM customer")
+PLACES = ["national_park", "protected_area", "forest", "state_forest", "nature_reserve", "city", "town", "village", "hamlet", "county"]
+
+
+@query("notable_place", "SELECT c_custkey, (SELECT min_by(k||c_custkey, n) FROM (VALUES " + ",".join(f"({n},'{k}')" for n, k in enumerate(PLACES)) + ") x(n,k) WHERE (c_custkey>>n)%2=1 AND (c_custkey+n)%5>0) AS place FROM customer")
 def _(s, d):
-    k = F.col("c_custkey")
-    address = F.create_map(F.lit("city"), F.when(k % 2 == 0, F.col("c_name")), F.lit("forest"), F.when(k % 3 == 0, F.concat(F.lit("F"), k.cast("string"))).otherwise(""))
+    k = F.col("c_custkey").cast("int")
+    # in the map's order the least telling come first; some are there but empty
+    address = F.map_from_entries(F.filter(F.array(*[F.when(F.shiftright(k, n) % 2 == 1, F.struct(F.lit(p), F.when((k + n) % 5 > 0, F.concat(F.lit(p), k.cast("string"))).otherwise(""))) for n, p in reversed(list(enumerate(PLACES)))]), lambda e: e.isNotNull()))
     return views.table(s, d, "customer").select("c_custkey", text.notable_place(address).alias("place"))
 
 
+OBSERVED = "named_struct('id', o_orderkey, 'geojson', CASE WHEN o_orderkey%3=0 THEN named_struct('coordinates', array(-120.5D, 45.25D)) END, 'location', CASE o_orderkey%3 WHEN 1 THEN '46.5,-121.5' END, 'observed_on', CASE WHEN o_orderkey%7>0 THEN concat(date_format(o_orderdate,'yyyy-MM-dd'),'T10:00') ELSE 'bad' END, 'quality_grade', 'research', 'taxon', named_struct('id', o_custkey%25, 'rank', CASE WHEN o_orderkey%4=0 THEN 'genus' ELSE 'species' END, 'iconic_taxon_id', CASE WHEN o_orderkey%5>0 THEN 47170 ELSE 1 END, 'ancestor_ids', array(24, (o_orderkey*7)%30, (o_orderkey*3)%25)))"
+INGESTED = "SELECT o_orderkey AS id, CASE WHEN o_orderkey%4=0 THEN o_custkey%25 ELSE (SELECT min_by(g.taxon_id,p) FROM genera g JOIN (VALUES (0,24::BIGINT),(1,(o_orderkey*7)%30),(2,(o_orderkey*3)%25)) x(p,anc) ON g.taxon_id=anc) END AS taxon_id, CASE WHEN o_orderkey%3=0 THEN 45.25::DOUBLE ELSE 46.5::DOUBLE END AS lat, CASE WHEN o_orderkey%3=0 THEN -120.5::DOUBLE ELSE -121.5::DOUBLE END AS lng, o_orderdate::DATE AS observed_on, month(o_orderdate)::SMALLINT AS month FROM orders WHERE o_orderkey%3<2 AND o_orderkey%7>0 AND o_orderkey%5>0"
+
+
+def _payloads(s, d: str) -> DataFrame:
+    given = views.table(s, d, "orders").select(F.to_json(F.expr(OBSERVED)).alias("json"))
+    return payloads.parsed(given, "json", payloads.OBSERVATION).select(F.struct("*").alias("o"))
+
+
+@query("ingest_observations", f"SELECT * FROM ({INGESTED}) WHERE taxon_id IS NOT NULL", "genera")
+def _(s, d):
+    return payloads.observation_rows(_payloads(s, d), views.genera(s, d)).select("id", "taxon_id", "lat", "lng", "observed_on", "month")
+
+
+@query("ingest_tallies", f"SELECT (SELECT count(*) FROM orders) AS scanned, count(*) AS stored, count(DISTINCT taxon_id) AS genera FROM ({INGESTED}) WHERE taxon_id IS NOT NULL", "genera")
+def _(s, d):
+    given = _payloads(s, d)
+    return payloads.ingest_tallies(given, payloads.observation_rows(given, views.genera(s, d)))
+
+
+@query("genus_catalogue", "SELECT n_nationkey::BIGINT AS taxon_id, n_name AS name, CASE WHEN n_nationkey%2=0 THEN 'c'||n_nationkey END AS common_name, (n_nationkey*3)::INT AS observations_count FROM nation WHERE n_nationkey%3>0 AND n_nationkey%4>0")
+def _(s, d):
+    row = "named_struct('id', n_nationkey, 'name', n_name, 'rank', CASE WHEN n_nationkey%3>0 THEN 'genus' ELSE 'species' END, 'preferred_common_name', CASE WHEN n_nationkey%2=0 THEN concat('c', n_nationkey) END, 'observations_count', n_nationkey*3, 'ancestor_ids', CASE WHEN n_nationkey%4>0 THEN array(1, 47170, n_nationkey) ELSE array(1) END)"
+    given = views.table(s, d, "nation").select(F.to_json(F.expr(row)).alias("json"))
+    return payloads.genus_catalogue(payloads.parsed(given, "json", payloads.TAXA))
+
+
+@query("campground_rows", f"SELECT 'ridb:'||p_partkey AS id, CASE WHEN p_partkey%3>0 THEN p_name ELSE 'Facility '||p_partkey END AS name, 'campground' AS kind, nullif(trim(fee),'') AS fee, CASE WHEN regexp_matches(lower(fee), 'no fee|no charge|free of charge|fee: none|\\$0') THEN true END AS free, (p_partkey%90)::DOUBLE AS lat, (p_partkey%4)::DOUBLE AS lng, 'https://www.recreation.gov/camping/campgrounds/'||p_partkey AS url FROM (SELECT *, {FEE} AS fee FROM part) WHERE p_partkey%11>0 AND NOT (p_partkey%90=0 AND p_partkey%4=0)")
+def _(s, d):
+    row = f"named_struct('RECDATA', array(named_struct('FacilityID', string(p_partkey), 'FacilityName', CASE WHEN p_partkey%3>0 THEN p_name ELSE '' END, 'FacilityLatitude', CASE WHEN p_partkey%11>0 THEN double(p_partkey%90) END, 'FacilityLongitude', double(p_partkey%4), 'FacilityUseFeeDescription', concat('<b>', {FEE}, '</b>'))))"
+    given = views.table(s, d, "part").select(F.to_json(F.expr(row)).alias("json"))
+    return payloads.campgrounds(payloads.parsed(given, "json", payloads.CAMPGROUNDS)).drop("source")
+
+
+TYPED = "CASE k%3 WHEN 0 THEN 'node' WHEN 1 THEN 'way' ELSE 'relation' END"
+
+
+@query("reported_sites", f"SELECT 'osm:'||kind||'/'||k AS id, CASE WHEN k%5=0 THEN s_name WHEN k%7=0 THEN 'Backcountry campsite (OSM)' WHEN k%11=0 THEN 'Camp pitch (OSM)' ELSE 'Campsite (OSM)' END AS name, CASE WHEN k%4=0 THEN true END AS free, CASE WHEN k%4=1 THEN 'fee required' END AS fee, (k%50)::DOUBLE AS lat, (k%60)::DOUBLE AS lng, 'https://www.openstreetmap.org/'||kind||'/'||k AS url FROM (SELECT s_suppkey AS k, s_name, {TYPED} AS kind FROM (SELECT *, s_suppkey AS k FROM supplier)) WHERE k%13>0")
+def _(s, d):
+    tags = "map_filter(map('name', CASE WHEN k%5=0 THEN s_name END, 'backcountry', CASE WHEN k%7=0 THEN 'yes' END, 'tourism', CASE WHEN k%11=0 THEN 'camp_pitch' END, 'fee', CASE k%4 WHEN 0 THEN ' No' WHEN 1 THEN '$5' WHEN 2 THEN ' ' END), (a, b) -> b IS NOT NULL)"
+    row = f"named_struct('elements', array(named_struct('type', {TYPED}, 'id', k, 'lat', CASE WHEN k%3=0 AND k%13>0 THEN double(k%50) END, 'lon', CASE WHEN k%3=0 THEN double(k%60) END, 'center', CASE WHEN k%3>0 AND k%13>0 THEN named_struct('lat', double(k%50), 'lon', double(k%60)) END, 'tags', {tags})))"
+    given = views.table(s, d, "supplier").withColumnRenamed("s_suppkey", "k").select(F.to_json(F.expr(row)).alias("json"))
+    return payloads.reported_sites(payloads.parsed(given, "json", payloads.ELEMENTS)).select("id", "name", "free", "fee", "lat", "lng", "url")
+
+
+@query("trail_rows", f"""SELECT 'osm:'||kind||'/'||k AS id, CASE WHEN k%5=0 THEN p_name WHEN k%4=0 AND k%3>0 THEN 'R'||k WHEN k%3=0 THEN 'Trailhead (OSM)' WHEN k%3=1 THEN 'Trail (OSM)' ELSE 'Hiking route (OSM)' END AS name, CASE k%3 WHEN 0 THEN 'trailhead' WHEN 1 THEN 'path' ELSE 'route' END AS kind,
+CASE k%3 WHEN 0 THEN 1.5::DOUBLE ELSE 0.0::DOUBLE END AS min_lat, CASE k%3 WHEN 0 THEN 1.5::DOUBLE WHEN 1 THEN p_size/8.0::DOUBLE ELSE 3.0::DOUBLE END AS max_lat, CASE k%3 WHEN 0 THEN 1.5::DOUBLE WHEN 1 THEN round_even(least(p_size+1,60)//2*(CASE WHEN p_size+1>60 THEN p_size/59.0::DOUBLE ELSE 1.0::DOUBLE END),0)/8 ELSE 2.0::DOUBLE END AS center_lat,
+CASE k%3 WHEN 0 THEN 'Point' WHEN 1 THEN 'LineString' ELSE 'MultiLineString' END AS shape FROM (SELECT p_partkey AS k, p_name, p_size*3 AS p_size, {TYPED} AS kind FROM (SELECT *, p_partkey AS k FROM part))""")
+def _(s, d):
+    line = "transform(sequence(0, p_size*3), i -> named_struct('lat', i/8D, 'lon', 2D))"
+    members = "array(named_struct('type', 'way', 'geometry', array(named_struct('lat', 0D, 'lon', 1D), named_struct('lat', 1D, 'lon', 1D))), named_struct('type', 'node', 'geometry', null), named_struct('type', 'way', 'geometry', array(named_struct('lat', 2D, 'lon', 1D), named_struct('lat', 3D, 'lon', 1D))))"
+    tags = "map_filter(map('name', CASE WHEN k%5=0 THEN p_name END, 'ref', CASE WHEN k%4=0 THEN concat('R', k) END), (a, b) -> b IS NOT NULL)"
+    row = f"named_struct('elements', array(named_struct('type', {TYPED}, 'id', k, 'lat', CASE WHEN k%3=0 THEN 1.5D END, 'lon', CASE WHEN k%3=0 THEN 2.5D END, 'tags', {tags}, 'geometry', CASE WHEN k%3=1 THEN {line} END, 'members', CASE WHEN k%3=2 THEN {members} END)))"
+    given = views.table(s, d, "part").withColumnRenamed("p_partkey", "k").select(F.to_json(F.expr(row)).alias("json"))
+    rows = payloads.trail_rows(payloads.parsed(given, "json", payloads.ELEMENTS))
+    return rows.select("id", "name", "kind", "min_lat", "max_lat", "center_lat", F.get_json_object("geojson", "$.type").alias("shape"))
+
+
+@query("land_rows", """SELECT 'usfs:'||c_custkey AS id, 'USFS' AS agency, CASE WHEN c_custkey%3=0 THEN 'National Forest' ELSE c_name END AS unit, c_custkey%50-0.5::DOUBLE AS min_lat, (0-c_custkey%100)::DOUBLE AS min_lng, CASE c_custkey%4 WHEN 0 THEN c_custkey%50-0.5::DOUBLE ELSE c_custkey%50+2.0::DOUBLE END AS max_lat, CASE c_custkey%4 WHEN 0 THEN (0-c_custkey%100)::DOUBLE ELSE 1.0-c_custkey%100 END AS max_lng FROM customer WHERE c_custkey%7>0""")
+def _(s, d):
+    # a point, a line with heights, a polygon and a multipolygon
+    a, b = "concat('[', -(k%100), ',', k%50-0.5, '{0}]')", "concat('[', 1-k%100, ',', k%50+2, '{0}]')"
+    shapes = [("Point", a.format(",100")), ("LineString", f"concat('[', {a.format(',100')}, ',', {b.format(',9e3')}, ']')"), ("Polygon", f"concat('[[', {a.format('')}, ',', {b.format('')}, ']]')"), ("MultiPolygon", f"concat('[[[', {b.format('')}, ']],[[', {a.format(',7')}, ']]]')")]
+    pick = lambda i: "CASE k%4 " + " ".join(f"WHEN {n} THEN {x if i else repr(t)}" for n, (t, x) in enumerate(shapes)) + " END"
+    props = "concat('{\"objectid\":', CASE WHEN k%7>0 THEN string(k) ELSE 'null' END, ',\"forestname\":\"', CASE WHEN k%3=0 THEN '' ELSE concat(' ', c_name, ' ') END, '\"}')"
+    text_of = F.expr(f"concat('{{\"features\":[{{\"properties\":', {props}, ',\"geometry\":{{\"type\":\"', {pick(0)}, '\",\"coordinates\":', {pick(1)}, '}}}}]}}')")
+    given = views.table(s, d, "customer").withColumnRenamed("c_custkey", "k").select(text_of.alias("json"))
+    return payloads.land_rows(payloads.parsed(given, "json", payloads.FEATURES), "usfs").drop("geojson", "source")
+
+
+@query("bulk_scan_text", "SELECT p_partkey::BIGINT AS id, g.taxon_id, (p_partkey%90)::DOUBLE AS lat, DATE '2020-01-05' AS observed_on FROM part JOIN (SELECT name, min(taxon_id) AS taxon_id FROM genera GROUP BY 1) g ON g.name='NATION_'||(p_partkey%30) WHERE p_partkey%5>0 AND p_partkey%7>0 AND p_partkey%6>0", "genera")
+def _(s, d):
+    k = F.col("p_partkey")
+    t = lambda c: c.cast("string")
+    values = {0: t(k), 16: F.lit("2020-01-05T10:00"), 20: F.when(k % 7 > 0, t(k % 90)).otherwise(""), 21: t(-k % 180), 22: t(k % 40000), 24: F.when(k % 5 > 0, "US").otherwise("CA"), 29: F.lit('"a, b"'), 37: F.concat(F.lit("NATION_"), t(k % 30))}
+    line = F.concat_ws(",", *[values.get(n, F.lit("")) for n in range(38)])
+    lines = views.table(s, d, "part").select(F.when(k % 6 > 0, line).otherwise(F.concat(t(k), F.lit(",short"))).alias("line"))
+    return payloads.bulk_rows(payloads.bulk_lines(lines, "line", 38), views.genera(s, d)).select("id", "taxon_id", "lat", "observed_on")
+
+
+LINES = "SELECT p_partkey::BIGINT AS id, (p_partkey%25)::BIGINT AS taxon_id, CASE WHEN p_partkey%3>0 THEN (p_partkey*10)%40000 END::INT AS positional_accuracy, DATE '2020-01-01'+(p_partkey%300)::INT AS observed_on FROM part WHERE p_partkey%9>0"
+
+
+def _loaded(s, d: str) -> DataFrame:
+    row = "named_struct('inat_id', p_partkey, 'taxon_id', p_partkey%25, 'lat', 1.5D, 'lng', 2.5D, 'coordinate_uncertainty_m', CASE WHEN p_partkey%3>0 THEN concat((p_partkey*10)%40000, '.7') END, 'event_date', CASE WHEN p_partkey%9>0 THEN concat(date_add(DATE'2020-01-01', int(p_partkey%300)), 'T1') END)"
+    given = views.table(s, d, "part").select(F.to_json(F.expr(row)).alias("json"))
+    return payloads.load_bulk(payloads.parsed(given, "json", payloads.BULK_LINE), "obs/")
+
+
+@query("load_bulk", f"SELECT id, taxon_id, positional_accuracy, observed_on, month(observed_on)::SMALLINT AS month, 'obs/'||id AS uri, CASE WHEN positional_accuracy BETWEEN 26000 AND 31000 THEN true END AS obscured FROM ({LINES})")
+def _(s, d):
+    return _loaded(s, d).select("id", "taxon_id", "positional_accuracy", "observed_on", "month", "uri", "obscured")
+
+
+@query("bulk_tallies", f"SELECT taxon_id, count(*) AS loaded, max(observed_on) AS last_day, max(max(observed_on)) OVER () AS end_date FROM ({LINES}) GROUP BY 1")
+def _(s, d):
+    return payloads.bulk_tallies(_loaded(s, d))
+
+
+@query("last_row_wins", "SELECT l_orderkey AS id, max_by(l_quantity, l_extendedprice*100000+l_linenumber*100+l_quantity)::DOUBLE AS quantity FROM lineitem GROUP BY 1")
+def _(s, d):
+    rows = views.table(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_quantity").cast("double").alias("quantity"), (F.col("l_extendedprice") * 100000 + F.col("l_linenumber") * 100 + F.col("l_quantity")).alias("seq"))
+    return payloads.dedupe_last(rows, "id", "seq")
+
+
+@query("trailhead_nodes", "SELECT p_partkey, CASE WHEN p_partkey%3=0 THEN p_partkey::BIGINT END AS node FROM part")
+def _(s, d):
+    k = F.col("p_partkey")
+    trail = F.concat(F.when(k % 3 == 0, "osm:node/").when(k % 3 == 1, "osm:way/").otherwise("osm:node/x"), k.cast("string"))
+    return views.table(s, d, "part").select("p_partkey", text.node_id(trail).alias("node"))
+
+
 @query("species_counts", "SELECT taxon_id, count(*) AS cnt FROM lobs GROUP BY 1", "lobs")
 def _(s, d):
     return phenology.species_counts(views.line_observations(s, d))

@@ -19,3 +19,4 @@ OBSCURED_ACCURACY = (26000, 31000)
 OPEN_LICENCES = ("cc0", "cc-by", "cc-by-sa", "cc-by-nc", "cc-by-nc-sa")
 HOME = (47.6062, -122.3321, 150.0)
 CELL_DEGREES, RECENT_WEEKS = 0.25, 4
+MOST_CIRCLES = 200

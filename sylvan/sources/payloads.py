@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -14,6 +12,8 @@ OBSERVATION = "id long, geojson struct<coordinates array<double>>, location stri
 CAMPGROUNDS = "RECDATA array<struct<FacilityID string, FacilityName string, FacilityLatitude double, FacilityLongitude double, FacilityUseFeeDescription string>>"
 ELEMENTS = "elements array<struct<type string, id long, lat double, lon double, center struct<lat double, lon double>, tags map<string,string>, geometry array<struct<lat double, lon double>>, members array<struct<type string, geometry array<struct<lat double, lon double>>>>>>"
 FEATURES = "features array<struct<properties map<string,string>, geometry struct<type string, coordinates string>>>"
+TAXA = "id long, name string, rank string, preferred_common_name string, observations_count int, ancestor_ids array<long>"
+BULK_LINE = "inat_id long, genus string, taxon_id long, lat double, lng double, coordinate_uncertainty_m string, event_date string"
 #: Places of the bulk archive's columns: fixed values.
 BULK_COLUMNS = {"id": 0, "event_date": 16, "lat": 20, "lng": 21, "accuracy": 22, "country": 24, "taxon": 29, "genus": 37}
 
@@ -22,6 +22,16 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def parsed(rows: DataFrame, column: str, schema: str) -> DataFrame:
+    """Rows from a column of JSON texts, one each; texts that are no JSON give no row."""
+    return rows.select(F.from_json(column, schema).alias("parsed")).where("parsed IS NOT NULL").select("parsed.*")
+
+
+def write_lines(rows: DataFrame, path: str) -> None:
+    """One JSON object a line."""
+    rows.write.mode("overwrite").json(path)
+
+
 def coordinates(observation: str = "o") -> tuple[Column, Column]:
     """GeoJSON order first, then a "lat,lng" or "[lat,lng]" location."""
     c = lambda name: F.col(f"{observation}.{name}")
@@ -58,23 +68,34 @@ def open_photos(payloads: DataFrame) -> DataFrame:
 
 def campgrounds(pages: DataFrame) -> DataFrame:
     f = pages.select(F.explode("RECDATA").alias("f")).select("f.*")
-    f = f.where("FacilityLatitude IS NOT NULL AND FacilityLongitude IS NOT NULL AND NOT (FacilityLatitude = 0 AND FacilityLongitude = 0)")
+    f = f.where("FacilityID <> '' AND FacilityLatitude IS NOT NULL AND FacilityLongitude IS NOT NULL AND NOT (FacilityLatitude = 0 AND FacilityLongitude = 0)")
     fee = tx.clean_html("FacilityUseFeeDescription")
-    return f.select(F.concat(F.lit("ridb:"), "FacilityID").alias("id"), tx.first_text("FacilityName", F.lit("Campground")).alias("name"), F.lit("campground").alias("kind"), fee.alias("fee"), tx.free_from_fee(fee).alias("free"), F.col("FacilityLatitude").alias("lat"), F.col("FacilityLongitude").alias("lng"), F.lit("ridb").alias("source"))
+    f = f.withColumn("fee", fee)
+    return f.select(F.concat(F.lit("ridb:"), "FacilityID").alias("id"), tx.first_text("FacilityName", F.concat(F.lit("Facility "), "FacilityID")).alias("name"), F.lit("campground").alias("kind"), "fee", tx.free_from_fee("fee").alias("free"), F.col("FacilityLatitude").alias("lat"), F.col("FacilityLongitude").alias("lng"), F.lit("ridb").alias("source"), F.concat(F.lit("https://www.recreation.gov/camping/campgrounds/"), "FacilityID").alias("url"))
 
 
 def _elements(pages: DataFrame) -> DataFrame:
-    return pages.select(F.explode("elements").alias("e")).select("e.*").withColumn("key", F.concat(F.lit("osm:"), "type", F.lit("/"), F.col("id").cast("string")))
+    e = pages.select(F.explode("elements").alias("e")).select("e.*").where(F.col("type").isin("node", "way", "relation") & F.col("id").isNotNull())
+    path = F.concat("type", F.lit("/"), F.col("id").cast("string"))
+    return e.withColumn("key", F.concat(F.lit("osm:"), path)).withColumn("url", F.concat(F.lit("https://www.openstreetmap.org/"), path))
+
+
+def _tag(name: str) -> Column:
+    return F.try_element_at("tags", F.lit(name))
 
 
 def reported_sites(pages: DataFrame) -> DataFrame:
-    e = _elements(pages).select("key", "tags", F.coalesce("lat", "center.lat").alias("lat"), F.coalesce("lon", "center.lon").alias("lng"))
-    fee = tx.fee_tag(F.try_element_at("tags", F.lit("fee")))
-    return e.dropna(subset=["lat", "lng"]).select(F.col("key").alias("id"), tx.first_text(F.try_element_at("tags", F.lit("name")), F.lit("Reported campsite")).alias("name"), F.lit("reported").alias("kind"), fee["fee"].alias("fee"), fee["free"].alias("free"), "lat", "lng", F.lit("osm").alias("source"))
+    """Names by tag where there is none: fixed values."""
+    own = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    place = F.when(own, F.struct("lat", "lon")).otherwise(F.struct(F.col("center.lat").alias("lat"), F.col("center.lon").alias("lon")))
+    e = _elements(pages).select("key", "url", "tags", place.alias("p")).where("p.lat IS NOT NULL AND p.lon IS NOT NULL")
+    fee = tx.fee_tag(_tag("fee"))
+    unnamed = F.when(_tag("backcountry") == "yes", "Backcountry campsite (OSM)").when(_tag("tourism") == "camp_pitch", "Camp pitch (OSM)").otherwise("Campsite (OSM)")
+    return e.select(F.col("key").alias("id"), tx.first_text(_tag("name"), unnamed).alias("name"), F.lit("reported").alias("kind"), fee["fee"].alias("fee"), fee["free"].alias("free"), F.col("p.lat").alias("lat"), F.col("p.lon").alias("lng"), F.lit("osm").alias("source"), "url")
 
 
 def trail_rows(pages: DataFrame, most: int = 60) -> DataFrame:
-    """Trailheads, ways and relations with thinned geometry, extent and middle vertex."""
+    """Trailheads, ways and relations with thinned geometry, extent and middle vertex. Names without a tag: fixed values."""
     from ..functions.geo import thin
 
     whole = lambda line: F.filter(line, lambda v: v["lat"].isNotNull() & v["lon"].isNotNull())
@@ -92,16 +113,53 @@ def trail_rows(pages: DataFrame, most: int = 60) -> DataFrame:
         .otherwise(F.to_json(F.struct(F.lit("MultiLineString").alias("type"), F.transform("lines", lambda x: F.transform(x, pair)).alias("coordinates"))))
     )
     kind = F.when(F.col("type") == "node", "trailhead").when(F.col("type") == "way", "path").otherwise("route")
-    return e.select(F.col("key").alias("id"), tx.first_text(F.try_element_at("tags", F.lit("name")), F.lit("Unnamed trail")).alias("name"), kind.alias("kind"), F.array_min(lat).alias("min_lat"), F.array_min(lng).alias("min_lng"), F.array_max(lat).alias("max_lat"), F.array_max(lng).alias("max_lng"), middle["lat"].alias("center_lat"), middle["lon"].alias("center_lng"), shape.alias("geojson"), F.lit("osm").alias("source"))
+    unnamed = F.when(F.col("type") == "node", "Trailhead (OSM)").when(F.col("type") == "way", "Trail (OSM)").otherwise("Hiking route (OSM)")
+    ref = F.when(F.col("type") != "node", _tag("ref"))
+    return e.select(F.col("key").alias("id"), tx.first_text(_tag("name"), ref, unnamed).alias("name"), kind.alias("kind"), F.array_min(lat).alias("min_lat"), F.array_min(lng).alias("min_lng"), F.array_max(lat).alias("max_lat"), F.array_max(lng).alias("max_lng"), middle["lat"].alias("center_lat"), middle["lon"].alias("center_lng"), shape.alias("geojson"), F.lit("osm").alias("source"), "url")
 
 
-def land_rows(pages: DataFrame, agency: str, id_property: str, unit_property: str) -> DataFrame:
-    """Units with the bounds of coordinates nested to any depth, read as the numbers of their text, in turn lng and lat."""
+#: Sources of land units: agency, property with the id, property with the name, name where there is none. Fixed values.
+LAND_SOURCES = {"blm": ("BLM", "OBJECTID", "ADMIN_UNIT_NAME", "BLM land"), "usfs": ("USFS", "OBJECTID", "FORESTNAME", "National Forest"), "tribal": ("Tribal", "OBJECTID", "NAME", "Tribal land")}
+#: How deep each geometry nests its positions.
+_NESTED = {"Point": 0, "LineString": 1, "MultiPoint": 1, "Polygon": 2, "MultiLineString": 2, "MultiPolygon": 3}
+
+
+def _positions(kind: Column, coordinates: Column) -> Column:
+    """The positions of a geometry of any type, each as an array of two numbers or more."""
+    flat = None
+    for name, depth in _NESTED.items():
+        read = F.from_json(coordinates, "array<" * (depth + 1) + "double" + ">" * (depth + 1))
+        for _ in range(depth - 1):
+            read = F.flatten(read)
+        read = F.array(read) if depth == 0 else read
+        flat = F.when(kind == name, read) if flat is None else flat.when(kind == name, read)
+    return F.filter(flat, lambda p: F.size(p) >= 2)
+
+
+def land_rows(pages: DataFrame, source: str) -> DataFrame:
+    """Units with the bounds of their positions, whatever their nesting and number of dimensions; without an id or a
+    position there is no unit. The geometry is kept as GeoJSON."""
+    agency, id_property, unit_property, unnamed = LAND_SOURCES[source]
     f = pages.select(F.explode("features").alias("f")).select("f.properties", "f.geometry")
-    numbers = F.transform(F.regexp_extract_all(F.col("geometry.coordinates"), F.lit(r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"), F.lit(0)), lambda x: x.cast("double"))
-    f = f.withColumn("numbers", numbers).where(F.size("numbers") >= 2)
-    lng, lat = F.filter("numbers", lambda x, i: i % 2 == 0), F.filter("numbers", lambda x, i: i % 2 == 1)
-    return f.select(F.concat(F.lit(f"{agency}:"), tx.property_of("properties", id_property)).alias("id"), F.lit(agency).alias("agency"), tx.first_text(tx.property_of("properties", unit_property), F.lit(agency)).alias("unit"), F.array_min(lat).alias("min_lat"), F.array_min(lng).alias("min_lng"), F.array_max(lat).alias("max_lat"), F.array_max(lng).alias("max_lng"), F.to_json("geometry").alias("geojson"))
+    f = f.withColumn("at", _positions(F.col("geometry.type"), F.col("geometry.coordinates"))).withColumn("key", tx.property_of("properties", id_property))
+    f = f.where((F.size("at") > 0) & (F.coalesce("key", F.lit("")) != ""))
+    lng, lat = F.transform("at", lambda p: F.get(p, F.lit(0))), F.transform("at", lambda p: F.get(p, F.lit(1)))
+    given = tx.property_of("properties", unit_property)
+    unit = F.when(F.coalesce(given, F.lit("")) != "", F.regexp_replace(given, r"(?U)^\s+|\s+$", "")).otherwise(unnamed)
+    shape = F.concat(F.lit('{"type":"'), "geometry.type", F.lit('","coordinates":'), "geometry.coordinates", F.lit("}"))
+    return f.select(F.concat(F.lit(f"{source}:"), "key").alias("id"), F.lit(agency).alias("agency"), unit.alias("unit"), F.array_min(lat).alias("min_lat"), F.array_min(lng).alias("min_lng"), F.array_max(lat).alias("max_lat"), F.array_max(lng).alias("max_lng"), shape.alias("geojson"), F.lit(source).alias("source"))
+
+
+def union_bbox(regions: DataFrame, *group: str) -> DataFrame:
+    """The box around all boxes of each group (of all rows without one); a null box counts for none, and no box at all
+    gives nulls."""
+    return regions.groupBy(*group).agg(F.min("min_lat").alias("min_lat"), F.min("min_lng").alias("min_lng"), F.max("max_lat").alias("max_lat"), F.max("max_lng").alias("max_lng"))
+
+
+def genus_catalogue(taxa: DataFrame) -> DataFrame:
+    """Genera of the catalogue from taxa in JSON (TAXA): the genus rank under the root, the last row of an id."""
+    t = taxa.where((F.col("rank") == "genus") & F.exists(F.coalesce("ancestor_ids", F.array().cast("array<long>")), lambda a: a == ROOT_TAXON))
+    return t.select(F.col("id").alias("taxon_id"), "name", F.col("preferred_common_name").alias("common_name"), "observations_count")
 
 
 def bulk_scan(spark: SparkSession, path: str, width: int) -> DataFrame:
@@ -111,6 +169,14 @@ def bulk_scan(spark: SparkSession, path: str, width: int) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("mode", "DROPMALFORMED").option("columnPruning", False).csv(path)
 
 
+def bulk_lines(lines: DataFrame, column: str, width: int) -> DataFrame:
+    """As bulk_scan, from a column of CSV lines; lines of another width are dropped."""
+    names = {at: name for name, at in BULK_COLUMNS.items()}
+    schema = ", ".join(f"{names.get(k, f'c{k}')} string" for k in range(width)) + ", bad string"
+    rows = lines.select(F.from_csv(column, schema, {"columnNameOfCorruptRecord": "bad", "mode": "PERMISSIVE"}).alias("r")).select("r.*")
+    return rows.where("bad IS NULL").drop("bad")
+
+
 def bulk_rows(scan: DataFrame, genera: DataFrame, country: str = "US") -> DataFrame:
     """Rows of a country with a place and a genus of the catalogue."""
     known = genera.groupBy(F.col("name").alias("genus")).agg(F.min("taxon_id").alias("taxon_id"))
@@ -119,11 +185,31 @@ def bulk_rows(scan: DataFrame, genera: DataFrame, country: str = "US") -> DataFr
     return rows.select(F.col("id").try_cast("long").alias("id"), "taxon_id", F.col("lat").try_cast("double").alias("lat"), F.col("lng").try_cast("double").alias("lng"), tx.lenient_date("event_date").alias("observed_on"), accuracy.alias("positional_accuracy"), tx.obscured_by_accuracy(accuracy, *OBSCURED_ACCURACY).alias("obscured"))
 
 
+def load_bulk(lines: DataFrame, url: str) -> DataFrame:
+    """Observations from the lines that the bulk scan left (BULK_LINE); lines without a day are dropped. url: what stands
+    before the id in a link."""
+    accuracy = F.col("coordinate_uncertainty_m").try_cast("double").cast("int")
+    day = tx.lenient_date("event_date")
+    rows = lines.withColumn("observed_on", day).where("observed_on IS NOT NULL").withColumn("positional_accuracy", accuracy)
+    return rows.select(
+        F.col("inat_id").alias("id"), "taxon_id", "lat", "lng", "observed_on", F.month("observed_on").cast("short").alias("month"), F.lit("research").alias("quality_grade"), "positional_accuracy", F.lit(None).cast("string").alias("place_guess"),
+        F.concat(F.lit(url), F.col("inat_id").cast("string")).alias("uri"), tx.obscured_by_accuracy("positional_accuracy", *OBSCURED_ACCURACY).alias("obscured"),
+    )
+
+
+def bulk_tallies(rows: DataFrame) -> DataFrame:
+    """How many observations of each taxon were loaded, its last day, and the last day of all, to which the place counts
+    as read."""
+    own = rows.groupBy("taxon_id").agg(F.count("*").alias("loaded"), F.max("observed_on").alias("last_day"))
+    return own.withColumn("end_date", F.max("last_day").over(Window.partitionBy()))  # a row for each genus
+
+
+def ingest_tallies(payloads: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row: how many observations were scanned, how many became rows, and of how many genera."""
+    return payloads.agg(F.count("*").alias("scanned")).join(rows.agg(F.count("*").alias("stored"), F.count_distinct("taxon_id").alias("genera")), how="cross")  # one row each
+
+
 def dedupe_last(rows: DataFrame, key: str, order: str) -> DataFrame:
     """One row per key, the last by order: a struct maximum, combined on the map side."""
     rest = [c for c in rows.columns if c not in (key, order)]
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("row")).select(key, "row.*")
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

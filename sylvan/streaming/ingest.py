@@ -7,22 +7,30 @@ from pyspark.sql import functions as F
 
 from ..operators.merge import coalesce_merge
 from ..schemas import OBSERVATIONS
+from ..sources.versions import current, publish
 
 MERGED = ["taxon_id", "lat", "lng", "observed_on", "month", "quality_grade", "positional_accuracy", "place_guess", "uri", "obscured"]
 
 
+def stored(spark: SparkSession, root: str) -> DataFrame:
+    """The table as of its last whole batch."""
+    found = current(spark, root)
+    return spark.read.schema(OBSERVATIONS).parquet(f"{found[0]}/observations") if found else spark.createDataFrame([], OBSERVATIONS)
+
+
 def merge_stream(spark: SparkSession, source: DataFrame, root: str, checkpoint: str):
-    """Start a query that folds each batch into a new version of the table under root.
+    """Start a query that folds each batch into the table under root and publishes the result as its next version.
 
-    A version's folder is complete before the next batch starts; a repeated batch id rewrites the same version. The
-    table is the folder with the highest number. source: the observation columns.
+    A version is marked with its checkpoint and batch, so that a batch that is given again is not merged twice, and a
+    new checkpoint goes on from the table that is there. source: the observation columns.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
+        mark, found = f"{checkpoint} {number}", current(spark, root)
+        if found and found[1] == mark:
+            return
         # rows keep the order in which the batch holds them
         batch = batch.withColumn("seq", F.monotonically_increasing_id())
-        old = spark.read.schema(OBSERVATIONS).parquet(f"{root}/v={number - 1}") if number else spark.createDataFrame([], OBSERVATIONS)
-        coalesce_merge(old, batch, "id", "seq", MERGED).write.mode("overwrite").parquet(f"{root}/v={number}")
+        publish(spark, {"observations": coalesce_merge(stored(spark, root), batch, "id", "seq", MERGED)}, root, mark)
 
     return source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-

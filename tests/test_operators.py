@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,8 +8,8 @@ from sylvan.functions import geo, text
 from sylvan.operators import calendar, coverage, merge, phenology, planner, proximity, ranking
 from sylvan.plans import catalog
 from sylvan.schemas import CAMPSITES, GENERA, INGEST_LOG, OBSERVATIONS, TRAILS
-from sylvan.sources import payloads
-from sylvan.streaming.ingest import MERGED, merge_stream
+from sylvan.sources import payloads, versions
+from sylvan.streaming.ingest import MERGED, merge_stream, stored
 
 DAY = dt.date
 
@@ -139,13 +140,30 @@ def test_segment(spark):
     progress, offset = geo.along_segment(45.0, -121.0, (44.0, -121.0), (48.0, -121.0))
     same, away = geo.along_segment(45.0, -121.0, (44.0, -121.0), (44.0, -121.0))
     got = spark.range(1).select(progress, offset, same, away).first()
-    assert tuple(got) == pytest.approx((111.0, 0.0, 0.0, 111.0))
+    # a quarter of the great circle; without length, the distance from the start
+    assert tuple(got) == pytest.approx((math.radians(4) * 6371.0 / 4, 0.0, 111.0, 111.0))
+
+
+def test_circles_are_capped(spark):
+    far = spark.range(1).select(geo.query_circles(F.lit(47.6), F.lit(-122.3), 2000.0, 80.0).alias("c"), geo.query_circles(F.lit(47.6), F.lit(-122.3), 150.0, 80.0).alias("d")).first()
+    assert len(far["c"]) == 200
+    assert 9 <= len(far["d"]) < 60
+    assert (far["c"][0]["lat"], far["c"][0]["lng"]) == (47.6, -122.3)  # the nearest come first
 
 
 def test_text(spark):
-    f = spark.createDataFrame([("<p>A&nbsp;&amp; B</p>\xa0 c", "Free!", "47.6, -122.3"), ("<br>", "$20", "99,0")], "h string, fee string, at string")
-    a, b = f.select(text.clean_html("h").alias("h"), text.free_from_fee("fee").alias("free"), text.parse_coordinates("at").alias("at"), text.lenient_date(F.lit("2024-02-30")).alias("d")).collect()
-    assert (a["h"], a["free"], a["at"]["lat"], a["d"]) == ("A & B c", True, 47.6, None)
+    f = spark.createDataFrame([("<p>A&nbsp;&amp; B</p>\xa0 c &#8217;&#x27;&uuml;&CounterClockwiseContourIntegral;&amp;lt;", "Free of charge!", "47.6 -122.3"), ("<br>", "Smoke-free, $20. Tax: none", "99,0"), (None, None, None)], "h string, fee string, at string")
+    a, b, c = f.select(text.clean_html("h").alias("h"), text.free_from_fee("fee").alias("free"), text.parse_coordinates("at").alias("at"), text.lenient_date(F.lit("2024-02-30")).alias("d")).collect()
+    assert (a["h"], a["free"], a["at"]["lat"], a["d"]) == ("A & B c ’'ü∳&lt;", True, 47.6, None)
+    assert tuple(c) == (None, None, None, None)
+    tags = spark.createDataFrame([("No",), (" no ",), ("yes",), ("",), (" ",), (None,)], "t string").select(text.fee_tag("t").alias("t")).select("t.*").collect()
+    assert [tuple(t) for t in tags] == [(True, None), (True, None), (None, "fee required"), (None, None), (None, None), (None, None)]
+    assert text.months_of(None, 7) == [7]
+    assert text.months_of("", 7) == list(range(1, 13))
+    assert text.months_of("4, 5", 7) == [4, 5]
+    with pytest.raises(ValueError, match="1-12"):
+        text.months_of("13", 7)
+    assert (text.taxa_of("all", [1]), text.taxa_of(",", [1]), text.taxa_of("2,3", [1]), text.or_default(0, 150.0), text.or_default(5, 150.0)) == ([1], [], [2, 3], 150.0, 5)
     assert (b["h"], b["free"], b["at"]) == (None, None, None)
 
 
@@ -167,9 +185,11 @@ def test_payloads(spark, tmp_path, genera):
     assert len(json.loads(t["osm:way/5"]["geojson"])["coordinates"]) == 60
     assert (json.loads(t["osm:relation/7"]["geojson"])["type"], json.loads(t["osm:node/6"]["geojson"])["coordinates"], t["osm:relation/7"]["center_lat"]) == ("MultiLineString", [4.0, 3.0], 3.0)
     assert payloads.reported_sites(e).where("id = 'osm:node/6'").first()["free"]
-    g = payloads.read_json(spark, land("g.json", {"features": [{"properties": {"unit_nm": "U", "OBJECTID": "3"}, "geometry": {"type": "Polygon", "coordinates": [[[-1.5, 2], [3, 4e0], [0, 1]]]}}]}), payloads.FEATURES)
-    u = payloads.land_rows(g, "blm", "objectid", "UNIT_NM").first()
-    assert (u["id"], u["unit"], u["min_lat"], u["min_lng"], u["max_lat"], u["max_lng"]) == ("blm:3", "U", 1.0, -1.5, 4.0, 3.0)
+    polygon = {"type": "Polygon", "coordinates": [[[-1.5, 2, 100], [3, 4e0, 100], [0, 1, 100]]]}
+    g = payloads.read_json(spark, land("g.json", {"features": [{"properties": {"forestname": " U ", "OBJECTID": "3"}, "geometry": polygon}, {"properties": {"forestname": "no id"}, "geometry": polygon}, {"properties": {"objectid": 4}, "geometry": {"type": "Point", "coordinates": [5, 6]}}, {"properties": {"objectid": 5}, "geometry": {"type": "Polygon", "coordinates": []}}, {"properties": {"objectid": 6}, "geometry": None}]}), payloads.FEATURES)
+    u = {r["id"]: r for r in payloads.land_rows(g, "usfs").collect()}
+    assert {k: (r["unit"], r["min_lat"], r["min_lng"], r["max_lat"], r["max_lng"]) for k, r in u.items()} == {"usfs:3": ("U", 1.0, -1.5, 4.0, 3.0), "usfs:4": ("National Forest", 6.0, 5.0, 6.0, 5.0)}
+    assert json.loads(u["usfs:3"]["geojson"]) == polygon
     cells = [[""] * 38 for _ in range(3)]
     for i, r in enumerate(cells):
         for k, v in ((0, str(i)), (16, "2020-05-01T1"), (20, "47.5"), (21, "-121"), (22, "27000"), (24, "US" if i else "CA"), (37, "Alpha")):
@@ -181,15 +201,46 @@ def test_payloads(spark, tmp_path, genera):
 
 
 def test_stream_merges_once(spark, tmp_path, base):
-    source, root = tmp_path / "in", tmp_path / "out"
-    base.limit(5).write.parquet(str(source))
-    for _ in range(2):
+    source, root = tmp_path / "in", str(tmp_path / "out")
+    base.limit(5).coalesce(1).write.parquet(str(source))
+    for state in ("state", "state", "other"):  # a new checkpoint goes on from the table that is there
         stream = spark.readStream.schema(OBSERVATIONS).parquet(str(source))
-        merge_stream(spark, stream, str(root), str(tmp_path / "state")).awaitTermination()
-    last = max(root.glob("v=*"), key=lambda p: int(p.name[2:]))
-    rows = spark.read.schema(OBSERVATIONS).parquet(str(last))
-    assert rows.count() == 5
-    assert set(MERGED) < set(rows.columns)
+        merge_stream(spark, stream, root, str(tmp_path / state)).awaitTermination()
+        assert stored(spark, root).count() == 5
+    base.where("id BETWEEN 4 AND 9").coalesce(1).write.mode("append").parquet(str(source))
+    merge_stream(spark, spark.readStream.schema(OBSERVATIONS).parquet(str(source)), root, str(tmp_path / "other")).awaitTermination()
+    assert sorted(r["id"] for r in stored(spark, root).collect()) == list(range(1, 10))
+    assert len([p for p in (tmp_path / "out").iterdir() if p.name.startswith("v-")]) == 2
+    assert set(MERGED) < set(stored(spark, root).columns)
+
+
+def test_publish_swaps_whole_versions(spark, tmp_path, base):
+    root = str(tmp_path / "tables")
+    assert versions.current(spark, root) is None
+    first = phenology.publish_phenology(base, 0.5, root)
+    assert versions.current(spark, root)[0] == first
+    rows = spark.read.parquet(f"{first}/phenology").count()
+    broken = base.withColumn("lat", F.raise_error(F.lit("lost")).cast("double"))
+    with pytest.raises(Exception, match="lost"):
+        phenology.publish_phenology(broken, 0.5, root)
+    assert versions.current(spark, root)[0] == first
+    second = phenology.publish_phenology(base, 0.5, root)
+    assert versions.current(spark, root)[0] == second != first
+    assert spark.read.parquet(f"{second}/phenology").count() == rows
+    assert spark.read.parquet(f"{second}/regions").count() == 2
+
+
+def test_lines_round_trip(spark, tmp_path):
+    payloads.write_lines(spark.createDataFrame([(1, "Alpha", 111, 1.0, 2.0, "27000.9", "2024-02-03T1"), (2, "Beta", 222, 1.0, 2.0, None, "bad"), (3, "Beta", 222, 1.0, 2.0, None, "2024-01-01")], payloads.BULK_LINE), str(tmp_path / "lines"))
+    rows = payloads.load_bulk(payloads.read_json(spark, str(tmp_path / "lines"), payloads.BULK_LINE), "obs/")
+    assert sorted((r["id"], r["positional_accuracy"], r["obscured"], r["uri"]) for r in rows.collect()) == [(1, 27000, True, "obs/1"), (3, None, None, "obs/3")]
+    assert {r["taxon_id"]: (r["loaded"], str(r["end_date"])) for r in payloads.bulk_tallies(rows).collect()} == {111: (1, "2024-02-03"), 222: (1, "2024-02-03")}
+
+
+def test_coverage_near_the_pole_and_the_date_line(spark):
+    log = spark.createDataFrame([("obs:fungi:a", None, 1, 80.0, 0.0, 500.0), ("obs:fungi:b", None, 1, 0.0, 179.5, 300.0), ("obs:fungi:c", None, 1, 89.5, 10.0, 400.0)], INGEST_LOG)
+    areas = spark.createDataFrame([("north", 80.0, 20.0, 10.0), ("line", 0.0, -179.5, 50.0), ("over", 88.0, -170.0, 10.0), ("out", 70.0, 90.0, 10.0)], "area string, a_lat double, a_lng double, a_radius double")
+    assert {r["area"]: r["covered"] for r in coverage.covered(areas, log, "obs:fungi:").collect()} == {"north": True, "line": True, "over": True, "out": False}
 
 
 def test_bulk_filter_keeps_parts_of_any_id(spark, tmp_path):

@@ -30,7 +30,7 @@ WINDOW = 4096
 END = (2).to_bytes(4, "little")
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes that a task keeps of chunks and words, by rough count of their objects, before it starts anew.
-CACHE = 64 << 20
+CACHE = 128 << 20
 #: Chunks of one text that are looked up, and encoded where new, at a time.
 LOT = 5_000
 PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long"

@@ -15,7 +15,8 @@
    bound what the sets can share in all, and a pair is made only where that reaches the threshold. Only pairs of
    different components are made; a shingle whose documents are all in one component makes none, and a common one
    is spread over tasks.
-5. Components follow from minimum labels with pointer jumping, one written table for each step.
+5. Components follow from minimum labels with pointer jumping, one written table for each step. Later links are
+   followed between the components that are there already, so a round costs what it joins.
 
 Sets are compared as 64-bit shingle hashes. A pair at exactly the threshold, outside crowded regions, shares no
 tree's first values with a chance of about 2e-5.
@@ -285,6 +286,26 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             return out
 
 
+def merged(labels: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """The labels of components after further links (a, b). Only components that a link joins are gone through again."""
+    if labels is None:
+        return components(links, scratch)
+    one = labels.select(F.col("doc_id").alias("i"), F.col("component").alias("p"))
+    two = labels.select(F.col("doc_id").alias("j"), F.col("component").alias("q"))
+    ends = links.join(one, F.col("a") == F.col("i"), "left").join(two, F.col("b") == F.col("j"), "left")
+    ends = scratch.table(ends.select(F.coalesce("p", "a").alias("a"), F.coalesce("q", "b").alias("b")).where("a <> b").distinct(), "joined")
+    if ends.isEmpty():
+        scratch.drop(ends)
+        return labels
+    moved = components(ends, scratch)
+    to = moved.select(F.col("doc_id").alias("of"), F.col("component").alias("now"))
+    kept = labels.join(to, F.col("component") == F.col("of"), "left").select("doc_id", F.coalesce("now", "component").alias("component"))
+    added = moved.join(labels.select(F.col("doc_id").alias("i")), F.col("doc_id") == F.col("i"), "left_anti").select("doc_id", "component")
+    out = scratch.table(kept.unionByName(added), "labels")
+    scratch.drop(ends, moved)
+    return out
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs. doc_id is an integer."""
     spark = docs.sparkSession
@@ -303,7 +324,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     need = F.broadcast(ids) if many <= BROADCAST_IDS else ids
     wanted = texts.join(need, texts["doc_id"] == need["want"], "left_semi")
     sets = scratch.table(wanted.mapInArrow(_shingle_sets, "doc_id long, shingles binary"), "sets")
-    links, labels, tried, spent = None, None, [], [seen, ids, sets]
+    labels, tried, spent = None, [], [seen, ids, sets]
     for stage in ("forest", "crowds"):
         if stage == "crowds":
             own = sets.join(crowded, sets["doc_id"] == crowded["in_crowd"], "left_semi")
@@ -322,10 +343,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             checked = scratch.table(_with_sets(take, sets).mapInArrow(_verify, "a long, b long, linked boolean"), "verified")
             tried.append(checked)
             new = checked.where("linked").select("a", "b")
-            links = new if links is None else links.unionByName(new)
-            if labels is not None:
-                spent.append(labels)
-            labels = components(links, scratch)
+            was, labels = labels, merged(labels, new, scratch)
+            if was is not None and was is not labels:
+                spent.append(was)
             if not last:
                 spent.append(left := scratch.table(_apart(left.join(checked, ["a", "b"], "left_anti"), labels), "apart"))
     scratch.drop(*spent, *tried)

@@ -437,6 +437,28 @@ def test_near(spark, odd, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_components_grow_by_rounds_of_links(spark):
+    draw, scratch, labels, every = random.Random(7), near_dedup.Scratch(spark, "rounds"), None, []
+    # the third round repeats a link, the fourth is empty, the last makes one chain of many components
+    rounds = [[tuple(sorted(draw.sample(range(400), 2))) for _ in range(n)] for n in (90, 60)]
+    rounds += [rounds[0][:1], [], [(k, k + 1) for k in range(0, 300, 1)]]
+    for links in rounds:
+        every += links
+        labels = near_dedup.merged(labels, spark.createDataFrame(links, "a long, b long"), scratch)
+        parent = {x: x for pair in every for x in pair}
+
+        def root(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in every:
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+        assert {(r.doc_id, r.component) for r in labels.collect()} == {(x, root(x)) for x in parent}
+        assert labels.count() == len(parent)
+
+
 def test_near_in_crowded_regions(spark):
     rng = np.random.default_rng(5)
     base = [f"b{i}" for i in range(120)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, license_scan, near_dedup, packing, pii, quality_rules, secret_scan, url_filters, warc
+from . import bpe, conversation_repair, decontamination, language_id, license_scan, near_dedup, packing, pii, quality_rules, secret_scan, url_filters, vector_codes, warc
 from .oracles import ORACLES
 
 
@@ -52,8 +52,20 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_conversations(_table(spark, sf_dir, "conversations"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    own = [op1_quality_rules, op2_url_filters, op3_pii, op4_packing, op5_decontamination, op6_language_id, op7_warc, op8_license_scans, op9_near_dedup, op10_secret_scans]
+    own = [op1_quality_rules, op2_url_filters, op3_pii, op4_packing, op5_decontamination, op6_language_id, op7_warc, op8_license_scans, op9_near_dedup, op10_secret_scans, op11_conversation_repair, op12_bpe, op13_vector_codes]
     return {f.__name__: f for f in own}
 
 

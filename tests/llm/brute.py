@@ -209,3 +209,87 @@ def quality_verdicts(rows, rules):
                 broken.append(name)
         out[(key, not failed and not broken, tuple(sorted(broken)) if not failed else ())] += 1
     return out
+
+
+CRC_STATES = {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (3, "u"): 2, (2, "a"): 3}
+
+
+def damage(rows):
+    """Rows (conv, turn, role, text) of one conversation after damage, in order."""
+    out, sp = [], lambda x: " " if x is None else x
+    for conv, turn, role, text in rows:
+        d = zlib.crc32(f"{sp(conv)}:{sp(turn)}".encode()) % 20
+        role, text = "user" if d == 4 else sp(role), "" if d == 1 else re.sub("[.!?]", "", sp(text)) if d == 2 else sp(text)
+        out += [(turn, role, text)] * (0 if d == 0 else 2 if d == 3 else 1)
+    return sorted(out, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+
+
+def faults(rows):
+    seen, out = set(), []
+    for _, role, text in rows:
+        tail = re.sub(r"[\x20\x09-\x0D]+\Z", "", text)
+        out.append("blank" if not tail else "duplicate" if (role, text) in seen else "truncated" if tail[-1] not in ".!?" else "")
+        seen.add((role, text))
+    return out
+
+
+def audit_ends(kinds):
+    """(cost, edits, state) of every state after the rows, by plain dynamic programming over whole strings."""
+    insert = lambda best: [best.update({t: min(best.get(t, (9e9,)), (best[s][0] + 2, best[s][1] + "I"))}) for _ in range(3) for (s, r), t in CRC_STATES.items() if s in best and r != "s"]
+    best = {0: (0, "")}
+    for role, fault in kinds:
+        insert(best)
+        after = {}
+        for s, (cost, audit) in best.items():
+            ways = [(s, 3, "D")]
+            if fault not in ("blank", "duplicate"):
+                more = fault == "truncated"
+                ways += [(t, more if r == role[:1] else 2 + more, "K" if r == role[:1] else "R") for (a, r), t in CRC_STATES.items() if a == s and (r == role[:1] or r != "s")]
+            for t, c, e in ways:
+                after[t] = min(after.get(t, (9e9,)), (cost + c, audit + e))
+        best = after
+    insert(best)
+    return min(best[s] for s in (0, 3) if s in best)
+
+
+def mend(rows):
+    """All of op11 for one conversation but its id."""
+    rows = damage(rows)
+    found = faults(rows)
+    turns = {t for t, _, _ in rows if t is not None}
+    initials = [r[:1] or "?" for _, r, _ in rows]
+    cost, audit = audit_ends([(r, f) for (_, r, _), f in zip(rows, found, strict=True)])
+    left, out = iter(rows), []
+    for e in audit:
+        _, role, text = next(left) if e != "I" else (None, None, "")
+        if e == "K":
+            out.append((role, text))
+        elif e != "D":
+            out.append(("assistant" if out and out[-1][0][0] == "u" else "user", text))
+    assert re.fullmatch("(s?(ua)+)?", "".join(r[0] for r, _ in out))
+    sha = hashlib.sha256("\n".join(f"{r}:{t}" for r, t in out).encode()).hexdigest()
+    illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
+    return max(turns) - min(turns) + 1 - len(turns) if turns else 0, found.count("blank"), found.count("duplicate"), found.count("truncated"), illegal, cost, audit, sha
+
+
+def product_codes(rows, rounds=6, entries=16, parts=8):
+    """rows (vec_id, vector, label) with kept vectors only -> {vec_id: (code, error, label_error, digest)}, by whole scans."""
+    x = {i: [int(v * 4096 // 1) for v in vector] for i, vector, _ in rows}
+    w = len(next(iter(x.values()))) // parts
+    cut = {i: [v[p * w : p * w + w] for p in range(parts)] for i, v in x.items()}
+    books = [[list(cut[i][p]) for i in sorted(cut)[:entries]] for p in range(parts)]
+    near = lambda v, book: min((sum((a - b) ** 2 for a, b in zip(v, e, strict=True)), k) for k, e in enumerate(book))
+    for _ in range(rounds):
+        for p, book in enumerate(books):
+            of = {}
+            for i in cut:
+                of.setdefault(near(cut[i][p], book)[1], []).append(cut[i][p])
+            for k, own in of.items():
+                book[k] = [sum(c) // len(own) for c in zip(*own, strict=True)]
+    got = {i: [near(cut[i][p], books[p]) for p in range(parts)] for i in cut}
+    error = {i: sum(d for d, _ in g) for i, g in got.items()}
+    by = {}
+    for i, _, label in rows:
+        by[label] = by.get(label, 0) + error[i]
+    sha = hashlib.sha256(",".join(str(c) for book in books for e in book for c in e).encode()).hexdigest()
+    return {i: ("".join(f"{k:02x}" for _, k in got[i]), error[i], by[label], sha) for i, _, label in rows}

@@ -83,6 +83,11 @@ def _account(text: str, at: int) -> tuple[int, int] | None:
     return (at, at + m.end()) if m and 6 <= sum(map(str.isdigit, m[0])) <= 17 else None
 
 
+def _octet(digits: str) -> bool:
+    """At most 255, without leading zeros: a part of any length costs its reading once."""
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def find_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind), by start and then in the order of KINDS; ends are exclusive code points."""
     done, spans = dict.fromkeys(KINDS, 0), []
@@ -98,7 +103,7 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
                 m = _DOTTED.match(text, at)
                 # no address begins inside a run of digits whose first digit begins none
                 done["ip"] = (m or _DIGITS.match(text, at)).end()
-                if m and all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+                if m and all(_octet(p.lstrip("0")) for p in m[0].split(".")):
                     spans.append((at, m.end(), "ip"))
         elif what == "@":
             first = at

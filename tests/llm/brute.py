@@ -33,7 +33,7 @@ def pii(text):
     text = text or ""
     digits = lambda m: re.sub("[^0-9]", "", m[0])
     kinds = [
-        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m[0].split("."))),
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(len(q := p.lstrip("0")) <= 3 and int("0" + q) <= 255 for p in m[0].split("."))),
         ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 14 <= len(digits(m)) <= 19 and luhn(digits(m))), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(digits(m)) <= 15),
     ]
     return sorted(((m.start(), m.end(), k) for k, p, ok in kinds for m in re.finditer(p, text) if ok(m)), key=lambda s: (s[0], ["email", "ip", "card", "phone"].index(s[2])))

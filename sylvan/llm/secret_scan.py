@@ -45,7 +45,8 @@ NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CUES = ("password", "passwd", "passphrase", "pwd", "secret", "token", "key", "apikey", "auth", "bearer", "credential", "credentials", "private", "signature")
 
 B, I, O = 0, 1, 2  # noqa: E741
-_TOKEN = re.compile(r"[^\s\"'`:=,;(){}\[\]<>#$%&*|!?]+")
+_BETWEEN = r"\s\"'`:=,;(){}\[\]<>#$%&*|!?"
+_TOKEN, _GAP = re.compile(f"[^{_BETWEEN}]+"), re.compile(f"[{_BETWEEN}]")
 #: Runs that may be keys; _may_be_key then looks at all of a run.
 _RUN = re.compile(r"[A-Za-z0-9+/_.-]{12,}=*")
 _CUE = re.compile(r"(?ai:(?<![a-z])(?:" + "|".join(CUES) + ")(?![a-z]))")
@@ -133,23 +134,32 @@ def features(text: str, places: list[tuple[int, int]], of_file: tuple[str, ...])
     return out
 
 
+def _token_end(text: str, at: int) -> int:
+    """The end of the token that holds the character before `at`, or `at` itself."""
+    if at >= len(text) or _GAP.match(text, at - 1):
+        return at
+    return m.start() if (m := _GAP.search(text, at)) else len(text)
+
+
 def stretches(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Token places of the stretches around runs that may be keys and around cues; stretches that touch are one."""
+    """Token places of the stretches around runs that may be keys and around cues.
+
+    A stretch begins and ends with whole tokens, and stretches that touch are one, so that no token is in two.
+    """
     seen = sorted([m.span() for m in _RUN.finditer(text) if _may_be_key(m[0])] + [m.span() for m in _CUE.finditer(text)])
     lo = hi = -1
-    for start, end in [*seen, (len(text) + 4 * AROUND, 0)]:
+    for start, end in seen:
         a, b = max(0, start - AROUND), min(len(text), end + AROUND)
-        if hi >= a and end:
-            hi = max(hi, b)
+        if hi >= a:
+            hi = _token_end(text, b) if b > hi else hi
             continue
         if hi >= 0:
-            # whole tokens only: a stretch does not begin or end inside one
-            while lo > 0 and not text[lo - 1].isspace() and not text[lo].isspace():
-                lo -= 1
-            if places := [t.span() for t in _TOKEN.finditer(text, lo, hi)]:
-                places[-1] = _TOKEN.match(text, places[-1][0]).span()
-                yield places
-        lo, hi = a, b
+            yield [t.span() for t in _TOKEN.finditer(text, lo, hi)]
+        while a > 0 and not _GAP.match(text, a - 1) and not _GAP.match(text, a):
+            a -= 1
+        lo, hi = a, _token_end(text, b)
+    if hi >= 0:
+        yield [t.span() for t in _TOKEN.finditer(text, lo, hi)]
 
 
 @dataclass
@@ -235,7 +245,7 @@ def train(examples: list[tuple[list[list[int]], list[int]]], rounds: int = 50, r
 # ---------------------------------------------------------------- training material
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _NAMES = (*CUES, "api_key", "client_secret", "DB_PASSWORD", "access_token", "private_key", "auth_token")
-_SIGNS = ("=", " = ", ": ", ":", " := ", " => ", " is ", " ", "=\"", ": '", " = \"")
+_SIGNS = ("=", " = ", ": ", ":", " := ", " => ", " is ", " ", "=\"", ": '", " = \"", '":"')
 
 
 def _drawn(rng: random.Random, alphabet: str, low: int, high: int) -> str:
@@ -271,6 +281,12 @@ def _lookalike(rng: random.Random, words: list[str]) -> str:
     ))()
 
 
+def _fields(rng: random.Random, words: list[str]) -> str:
+    """An object without white space, of numbered names and short ids."""
+    value = lambda: rng.choice((rng.choice(words), str(rng.randint(0, 9999)), _drawn(rng, "0123456789abcdef", 6, 10), _lookalike(rng, words)))
+    return "{" + ",".join(f'"{rng.choice(words)}{rng.choice(("", rng.randint(0, 999)))}":"{value()}"' for _ in range(rng.randint(1, 4))) + "}"
+
+
 def examples_of(stretch: str, secrets: list[tuple[int, int]], of_file: tuple[str, ...]) -> list[tuple[list, list]]:
     """The stretch itself and changed forms of it, each with its features and tags."""
     rng = random.Random(hashlib.sha256(stretch.encode()).digest())
@@ -289,11 +305,11 @@ def examples_of(stretch: str, secrets: list[tuple[int, int]], of_file: tuple[str
         head = before + name + sign
         second = rng.choice(("", "", "", "", ":" + _drawn(rng, _LOWER + _UPPER + _DIGIT, 12, 24)))
         forms.append((head + value + second + quote + " " + after, [(len(head), len(head) + len(value) + len(second))]))
-    for _ in range(4):
+    for _ in range(5):
         # names in prose, names with ordinary words, and odd tokens of other kinds
         name, word = rng.choice(_NAMES), rng.choice(words)
         odd = _lookalike(rng, words)
-        text = rng.choice((f"{name} {word} {rng.choice(words)}", f"{name}: {word} {rng.choice(words)}", f"{word} {name} {word}", odd, odd, f"{word} {odd}", f"{rng.choice(words)}: {odd}"))
+        text = rng.choice((f"{name} {word} {rng.choice(words)}", f"{name}: {word} {rng.choice(words)}", f"{word} {name} {word}", odd, odd, f"{word} {odd}", f"{rng.choice(words)}: {odd}", _fields(rng, words), _fields(rng, words)))
         forms.append((f"{before}{text} {after}", []))
     out = []
     for text, spans in forms:

@@ -87,8 +87,11 @@ def scan_words(words: np.ndarray, templates: tuple = tuple(TEMPLATES.items())) -
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """doc_id, licenses (comma-joined, sorted), the largest containment and spans in words. templates: texts by licence."""
+    """doc_id, licenses (comma-joined, sorted), the largest containment and spans in words. templates: texts by licence,
+    each of at least five words."""
     chosen = tuple((templates or TEMPLATES).items())
+    if short := [n for n, texts in chosen for t in texts if len(word_hashes(t.encode(), _TABLE)) < SHINGLE_WORDS]:
+        raise ValueError(f"templates of under {SHINGLE_WORDS} words match nothing: {', '.join(short)}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):

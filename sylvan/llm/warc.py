@@ -69,7 +69,7 @@ class Written(WriterCommitMessage):
 
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
-        self.path, self.limit = options["path"].rstrip("/"), int(options.get("maxbytes", 256 << 20))
+        self.path, self.limit, self.overwrite, self.job = options["path"].rstrip("/"), int(options.get("maxbytes", 256 << 20)), overwrite, uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, root = opened(self.path)
@@ -77,7 +77,7 @@ class WarcWriter(DataSourceArrowWriter):
         files, out, size = [], None, 0
         for row in (r for part in sliced(iterator) for r in part.to_pylist()):  # few payloads as objects at a time
             if out is None:
-                name, size = uuid.uuid4().hex, 0
+                name, size = f"{self.job}-{uuid.uuid4().hex}", 0
                 out = fs.open_output_stream(f"{root}/_{name}.tmp", compression=None)
                 files.append(name)
             size += out.write(data := record(row)) or len(data)
@@ -89,15 +89,29 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(files)
 
     def commit(self, messages: list) -> None:
+        """New archives get their names first; then the old ones go where they are overwritten, and what lost attempts left."""
         fs, root = opened(self.path)
         fs.create_dir(root)
+        old = archives(fs, root) if self.overwrite else []
         for name in (f for m in messages if m for f in m.files):
             fs.move(f"{root}/_{name}.tmp", f"{root}/{name}.warc.gz")
+        for path in old:
+            fs.delete_file(path)
+        self.abort(messages)
 
     def abort(self, messages: list) -> None:
         fs, root = opened(self.path)
-        for name in (f for m in messages if m for f in m.files):
-            fs.delete_file(f"{root}/_{name}.tmp")
+        for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+            if f.base_name.startswith(f"_{self.job}-"):
+                fs.delete_file(f.path)
+
+
+def archives(fs, root: str) -> list[str]:
+    """The archives of a folder. Names that begin with _ or . are no data; any other file is an error, not passed over."""
+    found = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if f.type == pafs.FileType.File and f.base_name[0] not in "_.")
+    if other := [f for f in found if not f.endswith((".warc.gz", ".warc"))]:
+        raise ValueError(f"neither .warc nor .warc.gz: {', '.join(other[:5])}")
+    return found
 
 
 @dataclass
@@ -136,8 +150,7 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Archive]:
         fs, root = opened(self.path)
-        found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
-        return [Archive(f.path) for f in sorted(found, key=lambda f: f.path) if f.path.endswith(".warc.gz")] or [Archive("")]
+        return [Archive(f) for f in archives(fs, root)] or [Archive("")]
 
     def read(self, partition: Archive) -> Iterator[pa.RecordBatch]:
         if not partition.path:
@@ -145,7 +158,7 @@ class WarcReader(DataSourceReader):
         fs, _ = opened(self.path)
         rows, held = [], 0
         with fs.open_input_file(partition.path) as source:
-            for head, body in records(source, self.wanted, self.payload):
+            for head, body in (records if partition.path.endswith(".gz") else plain_records)(source, self.wanted, self.payload):
                 rows.append((*[head.get(HEADERS[c].lower()) for c in HEADERS], body))
                 held += len(body or b"")
                 if held > 8 << 20 or len(rows) >= 5000:
@@ -178,7 +191,7 @@ def records(source, wanted, payload: bool) -> Iterator[tuple[dict, bytes | None]
                 break
             block += inflate.decompress(more, HEAD_BYTES)
         text, _, rest = bytes(block).partition(b"\r\n\r\n")
-        head = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in text.decode("utf-8", "replace").split("\r\n")[1:])}
+        head = _headers(text)
         take = wanted(head)
         body = None
         if length is None or take and payload:
@@ -191,13 +204,39 @@ def records(source, wanted, payload: bool) -> Iterator[tuple[dict, bytes | None]
             if length is None:
                 length = source.tell() - len(inflate.unused_data) + 8 - at
             if take and payload:
-                content = b"".join(parts)[: int(head.get("content-length", 0))]
-                body = content.partition(b"\r\n\r\n")[2] if content.startswith(b"HTTP/") else content
+                body = _payload(b"".join(parts)[: int(head.get("content-length", 0))])
         at += length
         if take:
             yield head, body
 
 
+def _headers(text: bytes) -> dict[str, str]:
+    return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in text.decode("utf-8", "replace").split("\r\n")[1:])}
+
+
+def _payload(content: bytes) -> bytes:
+    return content.partition(b"\r\n\r\n")[2] if content.startswith(b"HTTP/") else content
+
+
+def plain_records(source, wanted, payload: bool) -> Iterator[tuple[dict, bytes | None]]:
+    """The same of an archive that is not compressed; unwanted payloads are not read."""
+    size, at = source.size(), 0
+    while at < size:
+        source.seek(at)
+        block = source.read(HEAD_BYTES)
+        while b"\r\n\r\n" not in block and (more := source.read(HEAD_BYTES)):
+            block += more
+        text = block.partition(b"\r\n\r\n")[0]
+        if not text.strip():
+            return
+        head, begin = _headers(text), at + len(text) + 4
+        length = int(head.get("content-length", 0))
+        if wanted(head):
+            source.seek(begin)
+            yield head, _payload(source.read(length)) if payload else None
+        at = begin + length + 4
+
+
 def _member_length(start: bytes) -> tuple[int | None, int]:
     """The member's length if its extra field names it, and where its deflated data begin."""
     flags, skip, length = start[3], 10, None

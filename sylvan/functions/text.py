@@ -69,7 +69,18 @@ def or_default(value, default):
 
 
 def lenient_date(text) -> Column:
-    return F.try_to_date(F.substring(col(text), 1, 10), "yyyy-MM-dd")
+    """The day that the first ten characters write: YYYY-MM-DD, YYYYMMDD, or the ISO week as YYYY-Www-D, YYYYWwwD, YYYY-Www
+    or YYYYWww; else null. A form of eight signs without dashes may have two more behind it, of a time."""
+    day = F.substring(col(text), 1, 10)
+    plain = F.when(F.rlike(day, F.lit(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")), F.try_to_date(day, "yyyy-MM-dd")).when(F.rlike(day, F.lit("^[0-9]{8}(..)?$")), F.try_to_date(F.substring(day, 1, 8), "yyyyMMdd"))
+    packed = F.replace(day, F.lit("-"), F.lit(""))
+    part = lambda at, n: F.substring(packed, at, n).try_cast("int")
+    year, week, weekday = part(1, 4), part(6, 2), F.coalesce(part(8, 1), F.lit(1))
+    # the fourth of January lies in the first week
+    monday = F.date_add(F.trunc(F.try_to_date(F.concat(F.substring(packed, 1, 4), F.lit("-01-04")), "yyyy-MM-dd"), "week"), (week - 1) * 7)
+    there = week.between(1, 52) | (week == 53) & (F.weekofyear(monday) == 53)
+    of_week = F.when(F.rlike(day, F.lit("^([0-9]{4}-W[0-9]{2}(-[1-7])?|[0-9]{4}W[0-9]{2}([1-7](..)?)?)$")) & there & (year > 0), F.date_add(monday, weekday - 1))
+    return F.coalesce(plain, of_week)
 
 
 def first_text(*parts) -> Column:

@@ -625,8 +625,12 @@ def _(s, d):
 
 @query("ingest_tallies", f"SELECT (SELECT count(*) FROM orders) AS scanned, count(*) AS stored, count(DISTINCT taxon_id) AS genera FROM ({INGESTED}) WHERE taxon_id IS NOT NULL", "genera")
 def _(s, d):
-    given = _payloads(s, d)
-    return payloads.ingest_tallies(given, payloads.observation_rows(given, views.genera(s, d)))
+    return payloads.ingest_tallies(payloads.classified(_payloads(s, d), views.genera(s, d)))
+
+
+@query("ingest_counts", "SELECT fate, CASE WHEN fate<>'no genus' THEN genus END AS taxon_id, count(*) AS n FROM (SELECT genus, CASE WHEN genus IS NULL THEN 'no genus' WHEN o_orderkey%3=2 OR o_orderkey%7=0 THEN 'no place or day' ELSE 'stored' END AS fate FROM (SELECT o_orderkey, CASE WHEN o_orderkey%5=0 THEN NULL WHEN o_orderkey%4=0 THEN o_custkey%25 ELSE (SELECT min_by(g.taxon_id,p) FROM genera g JOIN (VALUES (0,24::BIGINT),(1,(o_orderkey*7)%30),(2,(o_orderkey*3)%25)) x(p,anc) ON g.taxon_id=anc) END AS genus FROM orders)) GROUP BY 1,2", "genera")
+def _(s, d):
+    return payloads.ingest_counts(payloads.classified(_payloads(s, d), views.genera(s, d)))
 
 
 @query("genus_catalogue", "SELECT n_nationkey::BIGINT AS taxon_id, n_name AS name, CASE WHEN n_nationkey%2=0 THEN 'c'||n_nationkey END AS common_name, (n_nationkey*3)::INT AS observations_count FROM nation WHERE n_nationkey%3>0 AND n_nationkey%4>0")
@@ -676,7 +680,7 @@ def _(s, d):
     props = "concat('{\"objectid\":', CASE WHEN k%7>0 THEN string(k) ELSE 'null' END, ',\"forestname\":\"', CASE WHEN k%3=0 THEN '' ELSE concat(' ', c_name, ' ') END, '\"}')"
     text_of = F.expr(f"concat('{{\"features\":[{{\"properties\":', {props}, ',\"geometry\":{{\"type\":\"', {pick(0)}, '\",\"coordinates\":', {pick(1)}, '}}}}]}}')")
     given = views.table(s, d, "customer").withColumnRenamed("c_custkey", "k").select(text_of.alias("json"))
-    return payloads.land_rows(payloads.parsed(given, "json", payloads.FEATURES), "usfs").drop("geojson", "source")
+    return payloads.land_rows(payloads.parsed(given, "json", payloads.FEATURES), "usfs").drop("geojson", "source", "url")
 
 
 @query("bulk_scan_text", "SELECT p_partkey::BIGINT AS id, g.taxon_id, (p_partkey%90)::DOUBLE AS lat, DATE '2020-01-05' AS observed_on FROM part JOIN (SELECT name, min(taxon_id) AS taxon_id FROM genera GROUP BY 1) g ON g.name='NATION_'||(p_partkey%30) WHERE p_partkey%5>0 AND p_partkey%7>0 AND p_partkey%6>0", "genera")

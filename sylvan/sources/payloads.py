@@ -23,8 +23,12 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def parsed(rows: DataFrame, column: str, schema: str) -> DataFrame:
-    """Rows from a column of JSON texts, one each; texts that are no JSON give no row."""
-    return rows.select(F.from_json(column, schema).alias("parsed")).where("parsed IS NOT NULL").select("parsed.*")
+    """Rows from a column of JSON texts, one each; null texts give no row, and what is no JSON a row of nulls.
+
+    The parsed value is a generator's output, which the optimiser refers to, where it would copy a call of from_json into
+    every field and filter.
+    """
+    return rows.select(F.explode(F.array(F.from_json(column, schema))).alias("parsed")).where("parsed IS NOT NULL").select("parsed.*")
 
 
 def write_lines(rows: DataFrame, path: str) -> None:
@@ -43,21 +47,36 @@ def coordinates(observation: str = "o") -> tuple[Column, Column]:
 def resolve_genus(rows: DataFrame, genera: DataFrame) -> DataFrame:
     """Adds genus_id: a genus counts as itself, else the first ancestor that the catalogue knows; others are null.
 
-    rows: key, taxon_id, rank, iconic_taxon_id, ancestor_ids.
+    rows: taxon_id, rank, iconic_taxon_id, ancestor_ids and any others. They are read once: each meets the catalogue with
+    its ancestors beside it, and is put together again by partial aggregation.
     """
-    wanted = rows.where((F.col("iconic_taxon_id") == ROOT_TAXON) & (F.coalesce("rank", F.lit("")) != "genus"))
-    steps = wanted.select("key", F.posexplode("ancestor_ids").alias("pos", "ancestor"))
-    first = steps.join(genera.select(F.col("taxon_id").alias("ancestor")).distinct(), "ancestor").groupBy("key").agg(F.min_by("ancestor", "pos").alias("found"))
-    out = rows.join(first, "key", "left")
-    return out.withColumn("genus_id", F.when((F.col("iconic_taxon_id") == ROOT_TAXON) & (F.col("rank") == "genus"), F.col("taxon_id")).otherwise(F.col("found"))).drop("found")
+    of_root = F.col("iconic_taxon_id") == ROOT_TAXON
+    wanted = F.when(of_root & (F.coalesce("rank", F.lit("")) != "genus"), F.col("ancestor_ids"))
+    steps = rows.withColumn("_row", F.monotonically_increasing_id()).select("_row", F.struct(*rows.columns).alias("_rest"), F.posexplode_outer(wanted).alias("_pos", "_ancestor"))
+    known = steps.join(genera.select(F.col("taxon_id").alias("_known")).distinct(), F.col("_ancestor") == F.col("_known"), "left")
+    out = known.groupBy("_row").agg(F.first("_rest").alias("_rest"), F.min_by("_known", F.when(F.col("_known").isNotNull(), F.col("_pos"))).alias("_found")).select("_rest.*", "_found")
+    return out.withColumn("genus_id", F.when(of_root & (F.col("rank") == "genus"), F.col("taxon_id")).otherwise(F.col("_found"))).drop("_found")
+
+
+#: What an observation becomes: fixed values.
+STORED, NO_GENUS, INCOMPLETE = "stored", "no genus", "no place or day"
+
+
+def classified(payloads: DataFrame, genera: DataFrame) -> DataFrame:
+    """JSON observations (a column `o`) as rows with their fate: stored, without a genus, or without place or day."""
+    lat, lng = coordinates()
+    p = payloads.select(
+        F.col("o.id").alias("id"), lat.alias("lat"), lng.alias("lng"), tx.lenient_date("o.observed_on").alias("observed_on"), F.col("o.taxon.id").alias("taxon_id"), F.col("o.taxon.rank").alias("rank"), F.col("o.taxon.iconic_taxon_id").alias("iconic_taxon_id"),
+        F.col("o.taxon.ancestor_ids").alias("ancestor_ids"), *[F.col(f"o.{c}").alias(c) for c in ("quality_grade", "positional_accuracy", "place_guess", "uri", "obscured")],
+    )
+    fate = F.when(F.col("genus_id").isNull(), NO_GENUS).when(F.col("lat").isNull() | F.col("lng").isNull() | F.col("observed_on").isNull(), INCOMPLETE).otherwise(STORED)
+    rows = resolve_genus(p, genera).withColumn("fate", fate)
+    return rows.select("id", F.col("genus_id").alias("taxon_id"), "lat", "lng", "observed_on", F.month("observed_on").cast("short").alias("month"), "quality_grade", "positional_accuracy", "place_guess", "uri", "obscured", "fate")
 
 
 def observation_rows(payloads: DataFrame, genera: DataFrame) -> DataFrame:
     """Rows from JSON observations (a column `o`); those without place, date or genus are dropped."""
-    lat, lng = coordinates()
-    p = payloads.select(F.col("o.id").alias("key"), "o", lat.alias("lat"), lng.alias("lng"), tx.lenient_date("o.observed_on").alias("observed_on"), F.col("o.taxon.id").alias("taxon_id"), F.col("o.taxon.rank").alias("rank"), F.col("o.taxon.iconic_taxon_id").alias("iconic_taxon_id"), F.col("o.taxon.ancestor_ids").alias("ancestor_ids"))
-    p = resolve_genus(p.dropna(subset=["lat", "lng", "observed_on"]), genera).where("genus_id IS NOT NULL")
-    return p.select(F.col("key").alias("id"), F.col("genus_id").alias("taxon_id"), "lat", "lng", "observed_on", F.month("observed_on").cast("short").alias("month"), "o.quality_grade", "o.positional_accuracy", "o.place_guess", "o.uri", "o.obscured")
+    return classified(payloads, genera).where(F.col("fate") == STORED).drop("fate")
 
 
 def open_photos(payloads: DataFrame) -> DataFrame:
@@ -75,7 +94,9 @@ def campgrounds(pages: DataFrame) -> DataFrame:
 
 
 def _elements(pages: DataFrame) -> DataFrame:
-    e = pages.select(F.explode("elements").alias("e")).select("e.*").where(F.col("type").isin("node", "way", "relation") & F.col("id").isNotNull())
+    """Elements with their place in the pages' order: that of a column `page`, else that in which the pages are read."""
+    page = F.col("page") if "page" in pages.columns else F.monotonically_increasing_id()
+    e = pages.select(page.alias("page"), F.posexplode("elements").alias("place", "e")).select(F.struct("page", "place").alias("seq"), "e.*").where(F.col("type").isin("node", "way", "relation") & F.col("id").isNotNull())
     path = F.concat("type", F.lit("/"), F.col("id").cast("string"))
     return e.withColumn("key", F.concat(F.lit("osm:"), path)).withColumn("url", F.concat(F.lit("https://www.openstreetmap.org/"), path))
 
@@ -95,7 +116,8 @@ def reported_sites(pages: DataFrame) -> DataFrame:
 
 
 def trail_rows(pages: DataFrame, most: int = 60) -> DataFrame:
-    """Trailheads, ways and relations with thinned geometry, extent and middle vertex. Names without a tag: fixed values."""
+    """Trailheads, ways and relations with thinned geometry, extent and middle vertex; the last row of an id stays.
+    Names without a tag: fixed values."""
     from ..functions.geo import thin
 
     whole = lambda line: F.filter(line, lambda v: v["lat"].isNotNull() & v["lon"].isNotNull())
@@ -115,39 +137,47 @@ def trail_rows(pages: DataFrame, most: int = 60) -> DataFrame:
     kind = F.when(F.col("type") == "node", "trailhead").when(F.col("type") == "way", "path").otherwise("route")
     unnamed = F.when(F.col("type") == "node", "Trailhead (OSM)").when(F.col("type") == "way", "Trail (OSM)").otherwise("Hiking route (OSM)")
     ref = F.when(F.col("type") != "node", _tag("ref"))
-    return e.select(F.col("key").alias("id"), tx.first_text(_tag("name"), ref, unnamed).alias("name"), kind.alias("kind"), F.array_min(lat).alias("min_lat"), F.array_min(lng).alias("min_lng"), F.array_max(lat).alias("max_lat"), F.array_max(lng).alias("max_lng"), middle["lat"].alias("center_lat"), middle["lon"].alias("center_lng"), shape.alias("geojson"), F.lit("osm").alias("source"), "url")
+    rows = e.select("seq", F.col("key").alias("id"), tx.first_text(_tag("name"), ref, unnamed).alias("name"), kind.alias("kind"), F.array_min(lat).alias("min_lat"), F.array_min(lng).alias("min_lng"), F.array_max(lat).alias("max_lat"), F.array_max(lng).alias("max_lng"), middle["lat"].alias("center_lat"), middle["lon"].alias("center_lng"), shape.alias("geojson"), F.lit("osm").alias("source"), "url")
+    return dedupe_last(rows, "id", "seq")
 
 
-#: Sources of land units: agency, property with the id, property with the name, name where there is none. Fixed values.
-LAND_SOURCES = {"blm": ("BLM", "OBJECTID", "ADMIN_UNIT_NAME", "BLM land"), "usfs": ("USFS", "OBJECTID", "FORESTNAME", "National Forest"), "tribal": ("Tribal", "OBJECTID", "NAME", "Tribal land")}
-#: How deep each geometry nests its positions.
-_NESTED = {"Point": 0, "LineString": 1, "MultiPoint": 1, "Polygon": 2, "MultiLineString": 2, "MultiPolygon": 3}
+#: Sources of land units: agency, property with the id, property with the name, name where there is none, address. Fixed values.
+LAND_SOURCES = {
+    "blm": ("BLM", "OBJECTID", "ADMIN_UNIT_NAME", "BLM land", "https://gis.blm.gov/arcgis/rest/services/lands/BLM_Natl_SMA_LimitedScale/MapServer/1"),
+    "usfs": ("USFS", "OBJECTID", "FORESTNAME", "National Forest", "https://apps.fs.usda.gov/arcx/rest/services/EDW/EDW_ForestSystemBoundaries_01/MapServer/0"),
+    "tribal": ("Tribal", "OBJECTID", "NAME", "Tribal land", "https://tigerweb.geo.census.gov/arcgis/rest/services/TIGERweb/AIANNHA/MapServer/2"),
+}
+_NUMBER = r"(-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)"
+#: An array that begins with two numbers is a position, however deep it stands.
+_POSITION = r"\[\s*" + _NUMBER + r"\s*,\s*" + _NUMBER + r"\s*[,\]]"
 
 
-def _positions(kind: Column, coordinates: Column) -> Column:
-    """The positions of a geometry of any type, each as an array of two numbers or more."""
-    flat = None
-    for name, depth in _NESTED.items():
-        read = F.from_json(coordinates, "array<" * (depth + 1) + "double" + ">" * (depth + 1))
-        for _ in range(depth - 1):
-            read = F.flatten(read)
-        read = F.array(read) if depth == 0 else read
-        flat = F.when(kind == name, read) if flat is None else flat.when(kind == name, read)
-    return F.filter(flat, lambda p: F.size(p) >= 2)
+def bounds(coordinates: Column) -> Column:
+    """struct of the extent of coordinates in JSON, of any nesting, ragged or not, whatever their type is said to be;
+    null without a position."""
+    axis = lambda k: F.transform(F.regexp_extract_all(coordinates, F.lit(_POSITION), F.lit(k)), lambda x: x.cast("double"))
+    lng, lat = axis(1), axis(2)
+    return F.when(F.size(lng) > 0, F.struct(F.array_min(lat).alias("min_lat"), F.array_min(lng).alias("min_lng"), F.array_max(lat).alias("max_lat"), F.array_max(lng).alias("max_lng")))
 
 
 def land_rows(pages: DataFrame, source: str) -> DataFrame:
-    """Units with the bounds of their positions, whatever their nesting and number of dimensions; without an id or a
-    position there is no unit. The geometry is kept as GeoJSON."""
-    agency, id_property, unit_property, unnamed = LAND_SOURCES[source]
-    f = pages.select(F.explode("features").alias("f")).select("f.properties", "f.geometry")
-    f = f.withColumn("at", _positions(F.col("geometry.type"), F.col("geometry.coordinates"))).withColumn("key", tx.property_of("properties", id_property))
-    f = f.where((F.size("at") > 0) & (F.coalesce("key", F.lit("")) != ""))
-    lng, lat = F.transform("at", lambda p: F.get(p, F.lit(0))), F.transform("at", lambda p: F.get(p, F.lit(1)))
+    """Units with the bounds of their positions; without an id or a position there is no unit, and the last row of an id
+    stays. The geometry is kept as GeoJSON."""
+    agency, id_property, unit_property, unnamed, url = LAND_SOURCES[source]
+    page = F.col("page") if "page" in pages.columns else F.monotonically_increasing_id()
+    f = pages.select(page.alias("page"), F.posexplode("features").alias("place", "f")).select(F.struct("page", "place").alias("seq"), "f.properties", "f.geometry")
+    f = f.withColumn("key", tx.property_of("properties", id_property)).where(F.coalesce("key", F.lit("")) != "")
+    f = f.select("*", F.explode(F.array(bounds(F.col("geometry.coordinates")))).alias("b")).where("b IS NOT NULL")
     given = tx.property_of("properties", unit_property)
     unit = F.when(F.coalesce(given, F.lit("")) != "", F.regexp_replace(given, r"(?U)^\s+|\s+$", "")).otherwise(unnamed)
     shape = F.concat(F.lit('{"type":"'), "geometry.type", F.lit('","coordinates":'), "geometry.coordinates", F.lit("}"))
-    return f.select(F.concat(F.lit(f"{source}:"), "key").alias("id"), F.lit(agency).alias("agency"), unit.alias("unit"), F.array_min(lat).alias("min_lat"), F.array_min(lng).alias("min_lng"), F.array_max(lat).alias("max_lat"), F.array_max(lng).alias("max_lng"), shape.alias("geojson"), F.lit(source).alias("source"))
+    rows = f.select("seq", F.concat(F.lit(f"{source}:"), "key").alias("id"), F.lit(agency).alias("agency"), unit.alias("unit"), "b.*", shape.alias("geojson"), F.lit(source).alias("source"), F.lit(url).alias("url"))
+    return dedupe_last(rows, "id", "seq")
+
+
+def geometry(geojson) -> Column:
+    """GeoJSON text as a VARIANT, whose parts are read by path whatever their nesting; null where it is no JSON."""
+    return F.try_parse_json(geojson)
 
 
 def union_bbox(regions: DataFrame, *group: str) -> DataFrame:
@@ -204,9 +234,16 @@ def bulk_tallies(rows: DataFrame) -> DataFrame:
     return own.withColumn("end_date", F.max("last_day").over(Window.partitionBy()))  # a row for each genus
 
 
-def ingest_tallies(payloads: DataFrame, rows: DataFrame) -> DataFrame:
-    """One row: how many observations were scanned, how many became rows, and of how many genera."""
-    return payloads.agg(F.count("*").alias("scanned")).join(rows.agg(F.count("*").alias("stored"), F.count_distinct("taxon_id").alias("genera")), how="cross")  # one row each
+def ingest_tallies(rows: DataFrame) -> DataFrame:
+    """One row: how many classified observations were scanned, how many are stored, and of how many genera."""
+    kept = F.col("fate") == STORED
+    by = rows.groupBy("fate", "taxon_id").agg(F.count("*").alias("n"))
+    return by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("scanned"), F.coalesce(F.sum(F.when(kept, F.col("n"))), F.lit(0)).alias("stored"), F.count_if(kept).alias("genera"))
+
+
+def ingest_counts(rows: DataFrame) -> DataFrame:
+    """How many classified observations of each genus are stored, and how many are left out for each reason."""
+    return rows.groupBy("fate", F.when(F.col("fate") != NO_GENUS, F.col("taxon_id")).alias("taxon_id")).agg(F.count("*").alias("n"))
 
 
 def dedupe_last(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -56,6 +56,43 @@ def recent_page(observations: DataFrame, cell: float, offset: int, size: int) ->
     return rows.offset(offset).limit(size + 1)
 
 
+def page_after(observations: DataFrame, days: DataFrame, cell: float, size: int, after: tuple | None = None) -> DataFrame:
+    """The page behind a cursor, the (observed_on, id) of the last row that was shown, in the order of recent_page; with one
+    row more than the page. Without a cursor it is the first page.
+
+    days: how many research-grade observations each day has (observed_on, n; null for undated ones). They tell how far back
+    a page can reach, so that a deep page reads no more than the days it shows.
+    """
+    day, key = after or (None, None)
+    at = F.lit(day).cast("date")
+    undated = after is None or day is None  # undated rows come first
+    rest = days if undated else days.where(F.col("observed_on") <= at)
+    # a day that was begun may hold no further row
+    begun = F.lit(False) if after is None else F.col("observed_on").eqNullSafe(at)
+    before = F.coalesce(F.sum(F.when(begun, 0).otherwise(F.col("n"))).over(Window.orderBy(F.desc_nulls_first("observed_on")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each day
+    low = rest.withColumn("before", before).where(F.col("before") <= size).agg(F.min("observed_on").alias("low")).first()["low"]
+    dated = (F.col("observed_on") >= F.lit(low).cast("date")) if low else F.lit(False)
+    dated = dated if undated else dated & (F.col("observed_on") <= at)
+    rows = binned(observations.where(dated | F.col("observed_on").isNull() if undated else dated), cell)
+    if after is not None:
+        same = F.col("observed_on").eqNullSafe(at) & (F.col("id") < key)
+        rows = rows.where(same | (F.col("observed_on").isNotNull() if day is None else F.col("observed_on") < at))
+    return rows.orderBy(F.desc_nulls_first("observed_on"), F.desc("id")).limit(size + 1)
+
+
+def days_of(observations: DataFrame) -> DataFrame:
+    """Research-grade observations by day, for page_after."""
+    return observations.where(F.col("quality_grade") == "research").groupBy("observed_on").agg(F.count("*").alias("n"))
+
+
+def with_places(points: DataFrame) -> DataFrame:
+    """Points with their place in the order of points_in_order: that of their day, and that within it."""
+    days = points.groupBy(F.col("observed_on").alias("day")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc_nulls_first("day")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each day
+    rows = points.join(days.select("day", before.alias("before")), F.col("observed_on").eqNullSafe(F.col("day")))
+    return rows.withColumn("place", (F.col("before") + F.row_number().over(Window.partitionBy("observed_on").orderBy("id"))).cast("int")).drop("day", "before")
+
+
 def alerts_near(recent: DataFrame, genera: DataFrame, lat: float, lng: float, radius_km: float) -> DataFrame:
     """The alerts of regions whose recent centre lies in a disk, with centre, distance and total of the region, names, and
     the region's place by its total."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import region_id
-from ..sources.versions import publish
+from ..sources.versions import make_current, new_version
 
 
 def binned(observations: DataFrame, cell: float) -> DataFrame:
@@ -36,9 +36,30 @@ def build_regions(observations: DataFrame, cell: float) -> DataFrame:
     return rows.groupBy("region_id").agg(mean("lat").alias("center_lat"), mean("lng").alias("center_lng"), F.sum("n").alias("n_obs"), F.count("taxon_id").alias("n_taxa"))
 
 
-def publish_phenology(observations: DataFrame, cell: float, root: str) -> str:
-    """Both tables as one version under root; readers see both new or both old ones."""
-    return publish(observations.sparkSession, {"phenology": build_phenology(observations, cell), "regions": build_regions(observations, cell)}, root)
+def build_daily(observations: DataFrame, cell: float) -> DataFrame:
+    """How many observations of each taxon a region had on each day: what recency needs of them."""
+    return binned(observations, cell).where("observed_on IS NOT NULL").groupBy("region_id", "taxon_id", "observed_on").agg(F.count("*").alias("cnt"))
+
+
+def write_seasons(observations: DataFrame, cell: float, folder: str) -> None:
+    """phenology, regions and daily below folder; daily in order of days, so that a trailing window reads its end."""
+    build_phenology(observations, cell).write.parquet(f"{folder}/phenology")
+    build_regions(observations, cell).write.parquet(f"{folder}/regions")
+    build_daily(observations, cell).repartitionByRange("observed_on").sortWithinPartitions("observed_on", "region_id").write.parquet(f"{folder}/daily")
+
+
+def publish_phenology(observations: DataFrame, cell: float, root: str, mark: str = "") -> str:
+    """The tables as one version under root; readers see all new or all old ones."""
+    folder = new_version(root)
+    write_seasons(observations, cell, folder)
+    return make_current(observations.sparkSession, folder, mark)
+
+
+def recent_from_daily(daily: DataFrame, as_of: str, weeks: int, taxa: list[int] = ()) -> DataFrame:
+    """As recent_counts, from daily counts."""
+    rows = daily.where(F.col("observed_on") >= F.date_sub(F.lit(as_of).cast("date"), 7 * weeks))
+    rows = rows.where(F.col("taxon_id").isin(*taxa)) if taxa else rows
+    return rows.groupBy("region_id").agg(F.sum("cnt").alias("recent_count"))
 
 
 def recent_counts(observations: DataFrame, cell: float, as_of: str, weeks: int, taxa: list[int] = ()) -> DataFrame:

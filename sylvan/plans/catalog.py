@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geo, text
 from ..operators import calendar, coverage, merge, phenology, planner, proximity, ranking
 from ..schemas import OBSCURED_ACCURACY, ROOT_TAXON
-from ..sources import payloads, views
+from ..sources import payloads, stored, views
 
 CELL, AS_OF, WEEKS, MONTHS, TAXA = 1.0, "2001-06-29", 26, [4, 5, 10], [1, 2, 3, 5, 8, 13, 21, 24]
 LAT, LNG, RADIUS = 46.0, -121.0, 200.0
@@ -89,11 +89,11 @@ def s6(*names: str) -> str:
 
 
 def _phenology(spark, d: str) -> DataFrame:
-    return phenology.build_phenology(views.line_observations(spark, d), CELL)
+    return stored.season_table(spark, d, "phenology", CELL)
 
 
 def _recent(spark, d: str) -> DataFrame:
-    return phenology.recent_counts(views.line_observations(spark, d), CELL, AS_OF, WEEKS, TAXA)
+    return phenology.recent_from_daily(stored.season_table(spark, d, "daily", CELL), AS_OF, WEEKS, TAXA)
 
 
 def _ranked(spark, d: str) -> DataFrame:
@@ -109,10 +109,25 @@ PHEN = "lobs binned phen"
 
 
 @query("build_phenology", f"SELECT region_id, taxon_id, month, cnt, {s6('center_lat', 'center_lng')} FROM phen", PHEN)
+def _(s, d):
+    return phenology.build_phenology(views.line_observations(s, d), CELL).select("region_id", "taxon_id", "month", "cnt", *r6("center_lat", "center_lng"))
+
+
+@query("published_phenology", f"SELECT region_id, taxon_id, month, cnt, {s6('center_lat', 'center_lng')} FROM phen", PHEN)
 def _(s, d):
     return _phenology(s, d).select("region_id", "taxon_id", "month", "cnt", *r6("center_lat", "center_lng"))
 
 
+@query("published_regions", f"SELECT region_id, round({CENTER.format('lat')},6) AS center_lat, round({CENTER.format('lng')},6) AS center_lng, count(*) AS n_obs, count(DISTINCT taxon_id) AS n_taxa FROM binned GROUP BY 1", "lobs binned")
+def _(s, d):
+    return stored.season_table(s, d, "regions", CELL).select("region_id", *r6("center_lat", "center_lng"), "n_obs", "n_taxa")
+
+
+@query("published_daily", "SELECT region_id, taxon_id, observed_on, count(*) AS cnt FROM binned GROUP BY ALL", "lobs binned")
+def _(s, d):
+    return stored.season_table(s, d, "daily", CELL)
+
+
 @query("build_regions", f"SELECT region_id, round({CENTER.format('lat')},6) AS center_lat, round({CENTER.format('lng')},6) AS center_lng, count(*) AS n_obs, count(DISTINCT taxon_id) AS n_taxa FROM binned GROUP BY 1", "lobs binned")
 def _(s, d):
     return phenology.build_regions(views.line_observations(s, d), CELL).select("region_id", *r6("center_lat", "center_lng"), "n_obs", "n_taxa")
@@ -146,6 +161,11 @@ def _(s, d):
 
 
 @query("recent_counts", "SELECT * FROM recent", "lobs binned recent")
+def _(s, d):
+    return phenology.recent_counts(views.line_observations(s, d), CELL, AS_OF, WEEKS, TAXA)
+
+
+@query("recent_counts_from_daily", "SELECT * FROM recent", "lobs binned recent")
 def _(s, d):
     return _recent(s, d)
 
@@ -206,8 +226,8 @@ def _(s, d):
 
 @query("points_in_order", f"SELECT row_number() OVER (ORDER BY observed_on DESC NULLS FIRST, id)::INT AS place, id, coalesce(name, taxon_id::VARCHAR) AS name, observed_on FROM (SELECT *, {hav(LAT_SQL, LNG_SQL, 'lat', 'lng')} AS km FROM oobs WHERE quality_grade='research' AND obscured=false AND {boxed(LAT_SQL, LNG_SQL, '60.0::DOUBLE')}) LEFT JOIN genera USING (taxon_id) WHERE km<=60", "oobs genera")
 def _(s, d):
-    rows = calendar.points_in_order(calendar.precise_points(views.order_observations(s, d), LAT, LNG, 60.0), views.genera(s, d))
-    return rows.select(F.row_number().over(Window.orderBy(F.desc_nulls_first("observed_on"), "id")).alias("place"), "id", "name", "observed_on")
+    rows = calendar.points_in_order(calendar.precise_points(stored.points_near(s, d, LAT, LNG, 60.0), LAT, LNG, 60.0), views.genera(s, d))
+    return calendar.with_places(rows).select("place", "id", "name", "observed_on")
 
 
 @query("recent_observations_page", "SELECT id, taxon_id, region_id, observed_on, place_guess FROM obinned ORDER BY observed_on DESC NULLS FIRST, id DESC LIMIT 13 OFFSET 24", "oobs obinned")
@@ -215,9 +235,23 @@ def _(s, d):
     return calendar.recent_page(views.order_observations(s, d), CELL, 24, 12).select("id", "taxon_id", "region_id", "observed_on", "place_guess")
 
 
+@query("recent_page_by_cursor", "SELECT id, taxon_id, region_id, observed_on, place_guess FROM obinned ORDER BY observed_on DESC NULLS FIRST, id DESC LIMIT 13 OFFSET 36", "oobs obinned")
+def _(s, d):
+    folder = stored.sightings(s, d)
+    rows, days, cursor = s.read.parquet(f"{folder}/by_day"), s.read.parquet(f"{folder}/days"), None
+    for _ in range(3):  # three pages on, each from the last row of the one before
+        page = calendar.page_after(rows, days, CELL, 12, cursor).select("observed_on", "id").collect()
+        cursor = tuple(page[min(11, len(page) - 1)])
+    return calendar.page_after(rows, days, CELL, 12, cursor).select("id", "taxon_id", "region_id", "observed_on", "place_guess")
+
+
 @query("precise_observations", f"SELECT id, taxon_id, round(km,6) AS distance_km FROM (SELECT *, {hav(LAT_SQL, LNG_SQL, 'lat', 'lng')} AS km FROM oobs WHERE quality_grade='research' AND obscured=false AND {boxed(LAT_SQL, LNG_SQL, '60.0::DOUBLE')}) WHERE km<=60", "oobs")
 def _(s, d):
-    return calendar.precise_points(views.order_observations(s, d), LAT, LNG, 60.0).select("id", "taxon_id", *r6("distance_km"))
+    return calendar.precise_points(stored.points_near(s, d, LAT, LNG, 60.0), LAT, LNG, 60.0).select("id", "taxon_id", *r6("distance_km"))
+
+
+def _near(s, d: str, name: str, radius_km: float) -> DataFrame:
+    return stored.place_table(s, d, name, LAT, LNG, radius_km)
 
 
 CAMPS = f"(SELECT *, round(km,1) AS distance_km FROM (SELECT *, {hav(LAT_SQL, LNG_SQL, 'lat', 'lng')} AS km FROM camps WHERE {boxed(LAT_SQL, LNG_SQL, f'{RADIUS}::DOUBLE')}) WHERE km<={RADIUS})"
@@ -225,17 +259,17 @@ CAMPS = f"(SELECT *, round(km,1) AS distance_km FROM (SELECT *, {hav(LAT_SQL, LN
 
 @query("camps_near", f"SELECT id, name, free, distance_km FROM {CAMPS}", "camps")
 def _(s, d):
-    return proximity.camps_near(views.camps(s, d), LAT, LNG, RADIUS).select("id", "name", "free", "distance_km")
+    return proximity.camps_near(_near(s, d, "camps", RADIUS), LAT, LNG, RADIUS).select("id", "name", "free", "distance_km")
 
 
 @query("camps_near_free_only", f"SELECT id, name, free, distance_km FROM {CAMPS} WHERE coalesce(free,false) ORDER BY km, id LIMIT 10", "camps")
 def _(s, d):
-    return proximity.first_camps(proximity.camps_near(views.camps(s, d), LAT, LNG, RADIUS, True), 10).select("id", "name", "free", "distance_km")
+    return proximity.first_camps(proximity.camps_near(_near(s, d, "camps", RADIUS), LAT, LNG, RADIUS, True), 10).select("id", "name", "free", "distance_km")
 
 
 @query("land_near", f"SELECT id, agency, unit FROM land WHERE {boxed(LAT_SQL, LNG_SQL, '40.0::DOUBLE', True)}", "land")
 def _(s, d):
-    return proximity.land_near(views.land(s, d), LAT, LNG, 40.0).select("id", "agency", "unit")
+    return proximity.land_near(_near(s, d, "land", 40.0), LAT, LNG, 40.0).select("id", "agency", "unit")
 
 
 TRAILS = f"(SELECT *, round(km,1) AS distance_km FROM (SELECT *, {hav(LAT_SQL, LNG_SQL, 'center_lat', 'center_lng')} AS km FROM trails WHERE {boxed(LAT_SQL, LNG_SQL, '90.0::DOUBLE', True)}) WHERE km<=90)"
@@ -243,12 +277,12 @@ TRAILS = f"(SELECT *, round(km,1) AS distance_km FROM (SELECT *, {hav(LAT_SQL, L
 
 @query("trails_near", f"SELECT id, name, kind, distance_km FROM {TRAILS}", "trails")
 def _(s, d):
-    return proximity.trails_near(views.trails(s, d), LAT, LNG, 90.0).select("id", "name", "kind", "distance_km")
+    return proximity.trails_near(_near(s, d, "trails", 90.0), LAT, LNG, 90.0).select("id", "name", "kind", "distance_km")
 
 
 @query("trails_near_kind_limit", f"SELECT id, name, kind, distance_km FROM {TRAILS} WHERE kind='trailhead' ORDER BY km, id LIMIT 8", "trails")
 def _(s, d):
-    return proximity.first_trails(proximity.trails_near(views.trails(s, d), LAT, LNG, 90.0, "trailhead"), 8).select("id", "name", "kind", "distance_km")
+    return proximity.first_trails(proximity.trails_near(_near(s, d, "trails", 90.0), LAT, LNG, 90.0, "trailhead"), 8).select("id", "name", "kind", "distance_km")
 
 
 @query("trails_nearest_camp", f"SELECT t.id, round(min({hav('t.center_lat', 't.center_lng', 'c.lat', 'c.lng')}),6) AS camp_km FROM trails t LEFT JOIN camps c ON true GROUP BY 1", "trails camps")
@@ -260,7 +294,7 @@ def _(s, d):
 
 @query("nearest_trail_vertex", f"SELECT id, name, round(km,1) AS distance_km FROM (SELECT id, name, {hav(LAT_SQL, LNG_SQL, '(min_lat+i/1024.0::DOUBLE)', '(min_lng+i/1024.0::DOUBLE)')} AS km FROM (SELECT *, unnest(range(0,steps+1)) AS i FROM trails WHERE kind IN ('path','route') AND {boxed(LAT_SQL, LNG_SQL, '50.0::DOUBLE', True)})) WHERE km<=50 ORDER BY km, id LIMIT 1", "trails")
 def _(s, d):
-    return proximity.nearest_vertex(views.vertices(views.trails(s, d)), LAT, LNG, 50.0).drop("kind")
+    return proximity.nearest_vertex(views.vertices(_near(s, d, "trails", 50.0)), LAT, LNG, 50.0).drop("kind")
 
 
 @query("trail_by_id", "SELECT id, name, kind FROM trails WHERE id='7'", "trails")
@@ -290,7 +324,7 @@ def _(s, d):
 
 @query("trails_near_with_camp", f"SELECT t.id, t.distance_km, round(min({hav('t.center_lat', 't.center_lng', 'c.lat', 'c.lng')}),1) AS camp_km FROM {TRAILS} t LEFT JOIN camps c ON true GROUP BY 1,2", "trails camps")
 def _(s, d):
-    near = proximity.trails_near(views.trails(s, d), LAT, LNG, 90.0)
+    near = proximity.trails_near(_near(s, d, "trails", 90.0), LAT, LNG, 90.0)
     sites = views.camps(s, d).select(F.col("id").alias("site"), F.col("lat").alias("s_lat"), F.col("lng").alias("s_lng"))
     km = proximity.nearest_site(near.select(F.col("id").alias("key"), F.col("center_lat").alias("lat"), F.col("center_lng").alias("lng")), sites)
     return near.join(km, F.col("id") == F.col("key"), "left").select("id", "distance_km", F.round("km", 1).alias("camp_km"))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
-from ..operators import calendar, coverage, merge, phenology, planner, proximity, ranking
+from ..operators import calendar, coverage, merge, phenology, planner, proximity, ranking, runs
 from ..schemas import OBSCURED_ACCURACY, ROOT_TAXON
-from ..sources import payloads, stored, views
+from ..sources import payloads, stored, versions, views
 
 CELL, AS_OF, WEEKS, MONTHS, TAXA = 1.0, "2001-06-29", 26, [4, 5, 10], [1, 2, 3, 5, 8, 13, 21, 24]
 LAT, LNG, RADIUS = 46.0, -121.0, 200.0
@@ -667,6 +669,58 @@ def _(s, d):
     return payloads.ingest_counts(payloads.classified(_payloads(s, d), views.genera(s, d)))
 
 
+#: Two runs whose windows overlap by a week; the second finds other grades, and moved rows of one genus rank.
+FIRST_END, SECOND_END, HOME = dt.date(1999, 6, 30), dt.date(2001, 12, 31), runs.Area(LAT, LNG, 80.0)
+HOME_KM = hav(LAT_SQL, LNG_SQL, "lat", "lng")
+RUNS = f"""r1 AS (SELECT * FROM ({INGESTED}) WHERE taxon_id IS NOT NULL AND observed_on BETWEEN DATE '1996-01-01' AND DATE '1999-06-30' AND {HOME_KM}<=80),
+r2 AS (SELECT * FROM ({INGESTED}) WHERE taxon_id IS NOT NULL AND observed_on BETWEEN DATE '1999-06-23' AND DATE '2001-12-31' AND {HOME_KM}<=80)"""
+
+
+def _scratch(s, name: str) -> str:
+    return f"{versions.shared_dir(s)}/sylvan-runs/{name}-{uuid.uuid4().hex}"
+
+
+def _two_runs(s, d: str) -> str:
+    root, genera, given = _scratch(s, "ingest"), views.genera(s, d), _payloads(s, d)
+    later = given.select(F.col("o").withField("quality_grade", F.lit("casual")).withField("uri", F.concat(F.lit("u"), F.col("o.id").cast("string"))).alias("o"))
+    for rows, end, at in ((given, FIRST_END, "1999-07-01"), (later, SECOND_END, "2002-01-01")):
+        runs.ingest(s, root, rows, genera, HOME, dt.date(1996, 1, 1), end, at)
+    return root
+
+
+@query("ingest_two_runs", "SELECT coalesce(r2.id, r1.id) AS id, coalesce(r2.taxon_id, r1.taxon_id) AS taxon_id, coalesce(r2.observed_on, r1.observed_on) AS observed_on, CASE WHEN r2.id IS NULL THEN 'research' ELSE 'casual' END AS quality_grade, CASE WHEN r2.id IS NOT NULL THEN 'u'||r2.id END AS uri FROM r1 FULL JOIN r2 ON r1.id=r2.id", "genera", RUNS)
+def _(s, d):
+    return runs.tables(s, _two_runs(s, d))[0].select("id", "taxon_id", "observed_on", "quality_grade", "uri")
+
+
+@query("ingest_two_runs_log", "SELECT 'obs:fungi:46.0:-121.0:80.0:1996-01-01:1999-06-30' AS key, TIMESTAMP '1999-07-01' AS fetched_at, count(*) AS row_count FROM r1 UNION ALL SELECT 'obs:fungi:46.0:-121.0:80.0:1999-06-23:2001-12-31', TIMESTAMP '2002-01-01', count(*) FROM r2", "genera", RUNS)
+def _(s, d):
+    return runs.tables(s, _two_runs(s, d))[1].select("key", "fetched_at", "row_count")
+
+
+def _resynced(s, d: str, size: int, batches: int) -> tuple[str, list]:
+    """The stored observations after some batches, against JSON in which every tenth is gone."""
+    root, k = _scratch(s, "resync"), F.col("o.id")
+    rows = views.order_observations(s, d).withColumn("revalidated_at", F.col("revalidated_at").cast("timestamp")).withColumn("month", F.col("month").cast("short"))
+    runs.commit(s, versions.new_version(root), rows, s.createDataFrame([], runs.INGEST_LOG))
+    return root, runs.resync_until_done(s, root, _payloads(s, d).where(k % 10 != 3), views.genera(s, d), size, AS_OF, batches)
+
+
+RESYNC = f"asked AS (SELECT * FROM oobs ORDER BY revalidated_at NULLS FIRST, id LIMIT 4000), live AS (SELECT * FROM ({INGESTED}) WHERE taxon_id IS NOT NULL AND id%10<>3)"
+
+
+@query("resync_two_batches", f"SELECT o.id, coalesce(l.taxon_id, o.taxon_id) AS taxon_id, coalesce(l.lat, o.lat) AS lat, coalesce(l.observed_on, o.observed_on) AS observed_on, CASE WHEN l.id IS NULL THEN o.revalidated_at ELSE DATE '{AS_OF}' END AS revalidated_at FROM oobs o LEFT JOIN (SELECT * FROM live WHERE id IN (SELECT id FROM asked)) l ON o.id=l.id WHERE l.id IS NOT NULL OR o.id NOT IN (SELECT id FROM asked)", "oobs genera", RESYNC)
+def _(s, d):
+    root, _ = _resynced(s, d, 2000, 2)
+    return runs.tables(s, root)[0].select("id", "taxon_id", "lat", "observed_on", F.col("revalidated_at").cast("date").alias("revalidated_at"))
+
+
+@query("resync_counts", "SELECT count(*) AS checked, count(*) FILTER (WHERE l.id IS NULL) AS purged, count(*) FILTER (WHERE l.taxon_id<>a.taxon_id) AS reassigned FROM asked a LEFT JOIN live l ON a.id=l.id", "oobs genera", RESYNC)
+def _(s, d):
+    _, done = _resynced(s, d, 2000, 2)
+    return s.createDataFrame([tuple(sum(getattr(b, c) for b in done) for c in ("checked", "purged", "reassigned"))], "checked long, purged long, reassigned long")
+
+
 @query("genus_catalogue", "SELECT n_nationkey::BIGINT AS taxon_id, n_name AS name, CASE WHEN n_nationkey%2=0 THEN 'c'||n_nationkey END AS common_name, (n_nationkey*3)::INT AS observations_count FROM nation WHERE n_nationkey%3>0 AND n_nationkey%4>0")
 def _(s, d):
     row = "named_struct('id', n_nationkey, 'name', n_name, 'rank', CASE WHEN n_nationkey%3>0 THEN 'genus' ELSE 'species' END, 'preferred_common_name', CASE WHEN n_nationkey%2=0 THEN concat('c', n_nationkey) END, 'observations_count', n_nationkey*3, 'ancestor_ids', CASE WHEN n_nationkey%4>0 THEN array(1, 47170, n_nationkey) ELSE array(1) END)"

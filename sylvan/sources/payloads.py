@@ -63,15 +63,16 @@ STORED, NO_GENUS, INCOMPLETE = "stored", "no genus", "no place or day"
 
 
 def classified(payloads: DataFrame, genera: DataFrame) -> DataFrame:
-    """JSON observations (a column `o`) as rows with their fate: stored, without a genus, or without place or day."""
+    """JSON observations (a column `o`) as rows with their fate: stored, without a genus, or without place or day. A column
+    `seq` is carried along."""
     lat, lng = coordinates()
     p = payloads.select(
         F.col("o.id").alias("id"), lat.alias("lat"), lng.alias("lng"), tx.lenient_date("o.observed_on").alias("observed_on"), F.col("o.taxon.id").alias("taxon_id"), F.col("o.taxon.rank").alias("rank"), F.col("o.taxon.iconic_taxon_id").alias("iconic_taxon_id"),
-        F.col("o.taxon.ancestor_ids").alias("ancestor_ids"), *[F.col(f"o.{c}").alias(c) for c in ("quality_grade", "positional_accuracy", "place_guess", "uri", "obscured")],
+        F.col("o.taxon.ancestor_ids").alias("ancestor_ids"), *[F.col(f"o.{c}").alias(c) for c in ("quality_grade", "positional_accuracy", "place_guess", "uri", "obscured")], *[c for c in payloads.columns if c == "seq"],
     )
     fate = F.when(F.col("genus_id").isNull(), NO_GENUS).when(F.col("lat").isNull() | F.col("lng").isNull() | F.col("observed_on").isNull(), INCOMPLETE).otherwise(STORED)
     rows = resolve_genus(p, genera).withColumn("fate", fate)
-    return rows.select("id", F.col("genus_id").alias("taxon_id"), "lat", "lng", "observed_on", F.month("observed_on").cast("short").alias("month"), "quality_grade", "positional_accuracy", "place_guess", "uri", "obscured", "fate")
+    return rows.select("id", F.col("genus_id").alias("taxon_id"), "lat", "lng", "observed_on", F.month("observed_on").cast("short").alias("month"), "quality_grade", "positional_accuracy", "place_guess", "uri", "obscured", "fate", *[c for c in payloads.columns if c == "seq"])
 
 
 def observation_rows(payloads: DataFrame, genera: DataFrame) -> DataFrame:

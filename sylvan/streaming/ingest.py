@@ -6,16 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.merge import coalesce_merge
-from ..schemas import OBSERVATIONS
-from ..sources.versions import current, publish
-
-MERGED = ["taxon_id", "lat", "lng", "observed_on", "month", "quality_grade", "positional_accuracy", "place_guess", "uri", "obscured"]
+from ..operators.runs import MERGED, commit, tables
+from ..sources.versions import current, new_version
 
 
 def stored(spark: SparkSession, root: str) -> DataFrame:
-    """The table as of its last whole batch."""
-    found = current(spark, root)
-    return spark.read.schema(OBSERVATIONS).parquet(f"{found[0]}/observations") if found else spark.createDataFrame([], OBSERVATIONS)
+    """The observations as of their last whole batch."""
+    return tables(spark, root)[0]
 
 
 def merge_stream(spark: SparkSession, source: DataFrame, root: str, checkpoint: str):
@@ -31,6 +28,7 @@ def merge_stream(spark: SparkSession, source: DataFrame, root: str, checkpoint:
             return
         # rows keep the order in which the batch holds them
         batch = batch.withColumn("seq", F.monotonically_increasing_id())
-        publish(spark, {"observations": coalesce_merge(stored(spark, root), batch, "id", "seq", MERGED)}, root, mark)
+        observations, log = tables(spark, root)
+        commit(spark, new_version(root), coalesce_merge(observations, batch, "id", "seq", MERGED), log, mark)
 
     return source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

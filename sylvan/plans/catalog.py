@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
-from ..operators import calendar, coverage, merge, phenology, planner, proximity, ranking, runs
+from ..operators import calendar, coverage, merge, network, phenology, planner, proximity, ranking, runs
 from ..schemas import OBSCURED_ACCURACY, ROOT_TAXON
 from ..sources import payloads, stored, versions, views
 
@@ -324,6 +324,38 @@ def _(s, d):
     return _network(s, d, "3")  # a trailhead without a network of its own
 
 
+#: Ways touch the trailheads one and, for some, four numbers below them; routes hold the ways one and four below.
+WAYS = """ways AS (SELECT p_partkey AS k, CASE WHEN p_partkey%4=0 THEN 'Way '||p_partkey END AS nm, CASE WHEN p_partkey%7>0 THEN 3 ELSE 0 END AS ln FROM part WHERE p_partkey%3=1 AND p_partkey%5>0),
+touch AS (SELECT k, k-1 AS head, nm, ln FROM ways WHERE k%2=0 UNION ALL SELECT k, k-4, nm, ln FROM ways WHERE k%10=0),
+rels AS (SELECT p_partkey AS r, CASE WHEN p_partkey%4=1 THEN 'Route '||p_partkey END AS nm FROM part WHERE p_partkey%3=2 AND p_partkey%11>0),
+via AS (SELECT DISTINCT head, r, rels.nm FROM touch JOIN rels ON r=k+1 OR r=k+4),
+own AS (SELECT head, coalesce((SELECT arg_max(nm,r) FROM via v WHERE v.head=h.head AND nm IS NOT NULL), (SELECT arg_min(nm,k) FROM touch t WHERE t.head=h.head AND nm IS NOT NULL AND ln>0), 'Trail (OSM)') AS name,
+  (SELECT count(*) FROM via v WHERE v.head=h.head) AS n_routes, (SELECT count(*) FROM touch t WHERE t.head=h.head AND ln>0) AS n_ways FROM (SELECT DISTINCT head FROM touch) h),
+heads AS (SELECT * FROM trails WHERE kind='trailhead')"""
+
+
+def _elements(s, d: str) -> DataFrame:
+    spot = lambda n: f"named_struct('lat', double(k%50)+{n}, 'lon', double(k%60)+{n})"
+    way = f"named_struct('type', 'way', 'id', k, 'nodes', filter(array(CASE WHEN k%2=0 THEN k-1 END, CASE WHEN k%10=0 THEN k-4 END, 9000000+k), x -> x IS NOT NULL), 'tags', map_filter(map('highway', CASE WHEN k%5>0 THEN 'path' END, 'name', CASE WHEN k%4=0 THEN concat('Way ', k) END), (a, b) -> b IS NOT NULL), 'geometry', CASE WHEN k%7>0 THEN array({spot(0)}, {spot(1)}, {spot(2)}) ELSE array() END)"
+    member = lambda n: f"named_struct('type', 'way', 'ref', k-{n}, 'geometry', array({spot(n)}, {spot(n + 1)}))"
+    rel = f"named_struct('type', 'relation', 'id', k, 'tags', map_filter(map('route', CASE WHEN k%11>0 THEN 'hiking' ELSE 'bicycle' END, 'name', CASE WHEN k%4=1 THEN concat('Route ', k) END), (a, b) -> b IS NOT NULL), 'members', array({member(1)}, named_struct('type', 'node', 'ref', 5L, 'geometry', null), {member(4)}))"
+    given = views.table(s, d, "part").select(F.col("p_partkey").cast("long").alias("k"))
+    json = F.expr(f"CASE WHEN k%3=1 THEN concat('{{\"elements\":[', to_json({way}), ']}}') WHEN k%3=2 THEN concat('{{\"elements\":[', to_json({rel}), ']}}') END")
+    return network.elements(payloads.parsed(given.select(json.alias("json")), "json", payloads.ELEMENTS))
+
+
+@query("trailhead_networks", f"""SELECT h.id AS asked, CASE WHEN o.n_routes+o.n_ways>0 THEN 'network' WHEN g.id IS NULL THEN 'none' ELSE 'nearest' END AS state, CASE WHEN o.n_routes+o.n_ways>0 THEN h.id ELSE g.id END AS id,
+CASE WHEN o.n_routes+o.n_ways>0 THEN o.name ELSE g.name END AS name, CASE WHEN o.n_routes>0 THEN 'route' WHEN o.n_ways>0 THEN 'path' ELSE g.kind END AS kind, CASE WHEN o.n_routes+o.n_ways>0 THEN 3*o.n_ways+4*o.n_routes END::INT AS vertices
+FROM heads h LEFT JOIN own o ON o.head=h.id::BIGINT LEFT JOIN (SELECT head, arg_min(id, ROW(km, id)) AS id, arg_min(name, ROW(km, id)) AS name, arg_min(kind, ROW(km, id)) AS kind FROM
+(SELECT h.id AS head, t.id, t.name, t.kind, {hav('h.center_lat', 'h.center_lng', '(t.min_lat+i/1024.0::DOUBLE)', '(t.min_lng+i/1024.0::DOUBLE)')} AS km FROM heads h JOIN (SELECT *, unnest(range(0,steps+1)) AS i FROM trails WHERE kind IN ('path','route')) t ON {boxed('h.center_lat', 'h.center_lng', '8.0::DOUBLE', True).replace('min_lat', 't.min_lat').replace('max_lat', 't.max_lat').replace('min_lng', 't.min_lng').replace('max_lng', 't.max_lng')}) WHERE km<=8 GROUP BY 1) g ON g.head=h.id""", "trails", WAYS)
+def _(s, d):
+    at = F.when(F.col("kind") == "trailhead", F.concat(F.lit("osm:node/"), "id")).otherwise(F.col("id"))
+    trails = views.vertices(views.trails(s, d)).withColumn("id", at)
+    rows = network.resolve(trails.where("kind = 'trailhead'").select("id"), trails, _elements(s, d), 8.0)
+    plain = lambda c: F.regexp_replace(c, "^osm:node/", "").alias(c)
+    return rows.select(plain("asked"), "state", plain("id"), "name", "kind", F.when(F.col("state") == "network", F.size(payloads.vertices_of("geojson"))).alias("vertices"))
+
+
 @query("trails_near_with_camp", f"SELECT t.id, t.distance_km, round(min({hav('t.center_lat', 't.center_lng', 'c.lat', 'c.lng')}),1) AS camp_km FROM {TRAILS} t LEFT JOIN camps c ON true GROUP BY 1,2", "trails camps")
 def _(s, d):
     near = proximity.trails_near(_near(s, d, "trails", 90.0), LAT, LNG, 90.0)

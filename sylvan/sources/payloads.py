@@ -10,7 +10,7 @@ from ..schemas import OBSCURED_ACCURACY, OPEN_LICENCES, ROOT_TAXON
 
 OBSERVATION = "id long, geojson struct<coordinates array<double>>, location string, observed_on string, quality_grade string, positional_accuracy int, place_guess string, uri string, obscured boolean, taxon struct<id long, rank string, ancestor_ids array<long>, iconic_taxon_id long>, photos array<struct<url string, license_code string, attribution string>>"
 CAMPGROUNDS = "RECDATA array<struct<FacilityID string, FacilityName string, FacilityLatitude double, FacilityLongitude double, FacilityUseFeeDescription string>>"
-ELEMENTS = "elements array<struct<type string, id long, lat double, lon double, center struct<lat double, lon double>, tags map<string,string>, geometry array<struct<lat double, lon double>>, members array<struct<type string, geometry array<struct<lat double, lon double>>>>>>"
+ELEMENTS = "elements array<struct<type string, id long, lat double, lon double, center struct<lat double, lon double>, tags map<string,string>, nodes array<long>, geometry array<struct<lat double, lon double>>, members array<struct<type string, ref long, geometry array<struct<lat double, lon double>>>>>>"
 FEATURES = "features array<struct<properties map<string,string>, geometry struct<type string, coordinates string>>>"
 TAXA = "id long, name string, rank string, preferred_common_name string, observations_count int, ancestor_ids array<long>"
 BULK_LINE = "inat_id long, genus string, taxon_id long, lat double, lng double, coordinate_uncertainty_m string, event_date string"
@@ -176,6 +176,12 @@ def land_rows(pages: DataFrame, source: str) -> DataFrame:
     return dedupe_last(rows, "id", "seq")
 
 
+def vertices_of(geojson) -> Column:
+    """All positions of GeoJSON text in order, as structs of lat and lng; a point is one vertex."""
+    axis = lambda k: F.transform(F.regexp_extract_all(F.col(geojson), F.lit(_POSITION), F.lit(k)), lambda x: x.cast("double"))
+    return F.zip_with(axis(2), axis(1), lambda lat, lng: F.struct(lat.alias("lat"), lng.alias("lng")))
+
+
 def geometry(geojson) -> Column:
     """GeoJSON text as a VARIANT, whose parts are read by path whatever their nesting; null where it is no JSON."""
     return F.try_parse_json(geojson)

@@ -9,9 +9,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import geo, text
-from ..operators import calendar, coverage, merge, network, phenology, planner, proximity, ranking, runs
-from ..schemas import OBSCURED_ACCURACY, ROOT_TAXON
+from ..operators import calendar, coverage, layers, merge, network, phenology, planner, proximity, ranking, runs
+from ..schemas import INGEST_LOG, OBSCURED_ACCURACY, ROOT_TAXON
+from ..sources import pages as paging
 from ..sources import payloads, stored, versions, views
 
 CELL, AS_OF, WEEKS, MONTHS, TAXA = 1.0, "2001-06-29", 26, [4, 5, 10], [1, 2, 3, 5, 8, 13, 21, 24]
@@ -734,7 +736,7 @@ def _resynced(s, d: str, size: int, batches: int) -> tuple[str, list]:
     """The stored observations after some batches, against JSON in which every tenth is gone."""
     root, k = _scratch(s, "resync"), F.col("o.id")
     rows = views.order_observations(s, d).withColumn("revalidated_at", F.col("revalidated_at").cast("timestamp")).withColumn("month", F.col("month").cast("short"))
-    runs.commit(s, versions.new_version(root), rows, s.createDataFrame([], runs.INGEST_LOG))
+    runs.commit(s, versions.new_version(root), rows, s.createDataFrame([], INGEST_LOG))
     return root, runs.resync_until_done(s, root, _payloads(s, d).where(k % 10 != 3), views.genera(s, d), size, AS_OF, batches)
 
 
@@ -753,6 +755,76 @@ def _(s, d):
     return s.createDataFrame([tuple(sum(getattr(b, c) for b in done) for c in ("checked", "purged", "reassigned"))], "checked long, purged long, reassigned long")
 
 
+def _landed(s, d: str) -> DataFrame:
+    """Pages of 200 orders, ten a query; some are no JSON, some were never landed."""
+    k = F.col("o_orderkey")
+    rows = views.table(s, d, "orders").select(F.floor(k / 2000).alias("query"), F.floor(k % 2000 / 200).cast("int").alias("page"), F.struct(k.alias("id")).alias("item"))
+    rows = rows.groupBy("query", "page").agg(F.to_json(F.struct(F.collect_list("item").alias("results"))).alias("json"))  # 200 each
+    return rows.where("NOT (query % 5 = 2 AND page = 6)").withColumn("json", F.when(F.expr("query % 3 = 1 AND page = 4"), "busy").otherwise(F.col("json")))
+
+
+PAGES = """counted AS (SELECT o_orderkey//2000 AS query, o_orderkey%2000//200 AS page, count(*) AS n FROM orders GROUP BY ALL),
+landed AS (SELECT *, query%3=1 AND page=4 AS bad FROM counted WHERE NOT (query%5=2 AND page=6)),
+stops AS (SELECT query, min(page) AS stop FROM landed l WHERE bad OR n<200 OR NOT EXISTS (SELECT 1 FROM landed m WHERE m.query=l.query AND m.page=l.page+1) GROUP BY 1)"""
+
+
+@query("page_report", "SELECT s.query, CASE WHEN bool_or(l.page=stop AND bad) THEN 'failed' WHEN bool_or(l.page=stop AND n<200) THEN 'complete' ELSE 'cut' END AS state, count(*) FILTER (WHERE l.page<=stop AND NOT bad) AS pages, coalesce(sum(n) FILTER (WHERE l.page<=stop AND NOT bad),0)::BIGINT AS items FROM stops s JOIN landed l USING (query) GROUP BY s.query", more=PAGES)
+def _(s, d):
+    return paging.report(_landed(s, d), paging.SOURCES["observations"], ["query"])
+
+
+@query("paged_observations", "SELECT o_orderkey AS id, query, page::INT AS page FROM orders JOIN stops ON query=o_orderkey//2000 JOIN landed USING (query) WHERE page=o_orderkey%2000//200 AND page<=stop AND NOT bad", more=PAGES)
+def _(s, d):
+    return paging.paged(_landed(s, d), paging.SOURCES["observations"], ["query"]).select("query", "page", F.explode("results.id").alias("id"))
+
+
+def _tiled(s, d: str) -> tuple[DataFrame, DataFrame]:
+    """Trails and log after the tiles of each land unit, in which two ways lie, one of them in all tiles."""
+    regions = views.land(s, d).select(F.col("id").cast("long").alias("place"), "min_lat", "min_lng", "max_lat", "max_lng")
+    log = regions.where("place % 6 = 0").select(F.concat(F.lit("trails:place:"), F.col("place").cast("string")).alias("key"), F.lit("2001-01-01").cast("timestamp").alias("fetched_at"), F.lit(1).cast("long").alias("row_count"), *[F.lit(None).cast("double").alias(c) for c in ("lat", "lng", "radius_km")])
+    way = "named_struct('type', 'way', 'id', {0}, 'geometry', array(named_struct('lat', double(tile), 'lon', 1D), named_struct('lat', double(tile), 'lon', 2D)))"
+    tile = regions.select("place", F.posexplode(geo.tiles("min_lat", "min_lng", "max_lat", "max_lng", 0.25)).alias("tile", "t"))
+    text_of = F.to_json(F.expr(f"named_struct('elements', array({way.format('place')}, {way.format('1000000 + place * 100 + tile')}))"))
+    given = tile.where("NOT (place % 10 = 7 AND tile = 0)").select("place", "tile", F.when(F.expr("place % 10 = 3 AND tile = 0"), "busy").otherwise(text_of).alias("json"))
+    return layers.ingest_trails(s.createDataFrame([], schemas.TRAILS), log, regions, given, AS_OF, 0.25)
+
+
+TILED = "tiled AS (SELECT id::BIGINT AS place, unnest(range((ceil(size/0.25)*ceil(size/0.25))::INT)) AS tile FROM land WHERE id::BIGINT%6>0), came AS (SELECT * FROM tiled WHERE NOT (place%10 IN (3,7) AND tile=0))"
+
+
+@query("layer_trails", "SELECT 'osm:way/'||place AS id, max(tile)::DOUBLE AS center_lat FROM came GROUP BY place UNION ALL SELECT 'osm:way/'||(1000000+place*100+tile), tile::DOUBLE FROM came", "land", TILED)
+def _(s, d):
+    return _tiled(s, d)[0].select("id", "center_lat")
+
+
+@query("layer_trails_log", "SELECT 'trails:place:'||id AS key, 1::BIGINT AS row_count FROM land WHERE id::BIGINT%6=0 UNION ALL SELECT 'trails:place:'||place, 2*count(*) FROM came WHERE place%10 NOT IN (3,7) GROUP BY place", "land", TILED)
+def _(s, d):
+    return _tiled(s, d)[1].select("key", "row_count")
+
+
+def _circled(s, d: str) -> tuple[DataFrame, DataFrame]:
+    """Sites and log after nine circles around each camp, which give it and a far one; some circles never came."""
+    camps = views.camps(s, d).select(F.col("id").cast("long").alias("area"), "lat", "lng", F.lit(30.0).alias("radius_km"))
+    log = camps.where("area % 5 = 0").select(F.concat(F.lit("camps:ridb:"), F.col("area").cast("string")).alias("key"), F.lit("2001-01-01").cast("timestamp").alias("fetched_at"), F.lit(1).cast("long").alias("row_count"), "lat", "lng", F.lit(60.0).alias("radius_km"))
+    site = "named_struct('FacilityID', string(area + {0}), 'FacilityName', concat('c', circle), 'FacilityLatitude', lat + {1}, 'FacilityLongitude', lng)"
+    text_of = F.to_json(F.expr(f"named_struct('RECDATA', array({site.format(0, '0D')}, {site.format(1000000, '1D')}))"))
+    given = camps.select("*", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("circle")).where("NOT (area % 7 = 0 AND circle = 4)").select("area", "circle", F.lit(0).alias("page"), text_of.alias("json"))
+    return layers.ingest_campgrounds(s.createDataFrame([], schemas.CAMPSITES), log, camps, given, AS_OF, 30.0)
+
+
+FREE = f"open AS (SELECT * FROM camps c WHERE NOT EXISTS (SELECT 1 FROM camps l WHERE l.id::BIGINT%5=0 AND {hav('c.lat', 'c.lng', 'l.lat', 'l.lng')}+30<=60))"
+
+
+@query("layer_camps", "SELECT 'ridb:'||id AS id, 'c8' AS name, lat, lng FROM open", "camps", FREE)
+def _(s, d):
+    return _circled(s, d)[0].select("id", "name", "lat", "lng")
+
+
+@query("layer_camps_log", "SELECT lat, lng, 60.0::DOUBLE AS radius_km, 1::BIGINT AS row_count FROM camps WHERE id::BIGINT%5=0 UNION ALL SELECT lat, lng, 30.0::DOUBLE, 1 FROM open WHERE id::BIGINT%7>0", "camps", FREE)
+def _(s, d):
+    return _circled(s, d)[1].select("lat", "lng", "radius_km", "row_count")
+
+
 @query("genus_catalogue", "SELECT n_nationkey::BIGINT AS taxon_id, n_name AS name, CASE WHEN n_nationkey%2=0 THEN 'c'||n_nationkey END AS common_name, (n_nationkey*3)::INT AS observations_count FROM nation WHERE n_nationkey%3>0 AND n_nationkey%4>0")
 def _(s, d):
     row = "named_struct('id', n_nationkey, 'name', n_name, 'rank', CASE WHEN n_nationkey%3>0 THEN 'genus' ELSE 'species' END, 'preferred_common_name', CASE WHEN n_nationkey%2=0 THEN concat('c', n_nationkey) END, 'observations_count', n_nationkey*3, 'ancestor_ids', CASE WHEN n_nationkey%4>0 THEN array(1, 47170, n_nationkey) ELSE array(1) END)"

@@ -87,17 +87,19 @@ def open_photos(payloads: DataFrame) -> DataFrame:
 
 
 def campgrounds(pages: DataFrame) -> DataFrame:
-    f = pages.select(F.explode("RECDATA").alias("f")).select("f.*")
+    """Facilities with a place. Where pages have an area, a circle and a page, rows carry the area and their order `seq`."""
+    own = {"area", "circle", "page"} <= set(pages.columns)
+    f = pages.select(*(["area", "circle", "page"] if own else []), F.posexplode("RECDATA").alias("place", "f")).select(*(["area", F.struct("circle", "page", "place").alias("seq")] if own else []), "f.*")
     f = f.where("FacilityID <> '' AND FacilityLatitude IS NOT NULL AND FacilityLongitude IS NOT NULL AND NOT (FacilityLatitude = 0 AND FacilityLongitude = 0)")
     fee = tx.clean_html("FacilityUseFeeDescription")
     f = f.withColumn("fee", fee)
-    return f.select(F.concat(F.lit("ridb:"), "FacilityID").alias("id"), tx.first_text("FacilityName", F.concat(F.lit("Facility "), "FacilityID")).alias("name"), F.lit("campground").alias("kind"), "fee", tx.free_from_fee("fee").alias("free"), F.col("FacilityLatitude").alias("lat"), F.col("FacilityLongitude").alias("lng"), F.lit("ridb").alias("source"), F.concat(F.lit("https://www.recreation.gov/camping/campgrounds/"), "FacilityID").alias("url"))
+    return f.select(*(["area", "seq"] if own else []), F.concat(F.lit("ridb:"), "FacilityID").alias("id"), tx.first_text("FacilityName", F.concat(F.lit("Facility "), "FacilityID")).alias("name"), F.lit("campground").alias("kind"), "fee", tx.free_from_fee("fee").alias("free"), F.col("FacilityLatitude").alias("lat"), F.col("FacilityLongitude").alias("lng"), F.lit("ridb").alias("source"), F.concat(F.lit("https://www.recreation.gov/camping/campgrounds/"), "FacilityID").alias("url"))
 
 
-def _elements(pages: DataFrame) -> DataFrame:
+def _elements(pages: DataFrame, by: list[str] = ()) -> DataFrame:
     """Elements with their place in the pages' order: that of a column `page`, else that in which the pages are read."""
     page = F.col("page") if "page" in pages.columns else F.monotonically_increasing_id()
-    e = pages.select(page.alias("page"), F.posexplode("elements").alias("place", "e")).select(F.struct("page", "place").alias("seq"), "e.*").where(F.col("type").isin("node", "way", "relation") & F.col("id").isNotNull())
+    e = pages.select(*by, page.alias("page"), F.posexplode("elements").alias("nth", "e")).select(*by, F.struct("page", "nth").alias("seq"), "e.*").where(F.col("type").isin("node", "way", "relation") & F.col("id").isNotNull())
     path = F.concat("type", F.lit("/"), F.col("id").cast("string"))
     return e.withColumn("key", F.concat(F.lit("osm:"), path)).withColumn("url", F.concat(F.lit("https://www.openstreetmap.org/"), path))
 
@@ -116,14 +118,14 @@ def reported_sites(pages: DataFrame) -> DataFrame:
     return e.select(F.col("key").alias("id"), tx.first_text(_tag("name"), unnamed).alias("name"), F.lit("reported").alias("kind"), fee["fee"].alias("fee"), fee["free"].alias("free"), F.col("p.lat").alias("lat"), F.col("p.lon").alias("lng"), F.lit("osm").alias("source"), "url")
 
 
-def trail_rows(pages: DataFrame, most: int = 60) -> DataFrame:
-    """Trailheads, ways and relations with thinned geometry, extent and middle vertex; the last row of an id stays.
-    Names without a tag: fixed values."""
+def trail_rows(pages: DataFrame, most: int = 60, by: list[str] = ()) -> DataFrame:
+    """Trailheads, ways and relations with thinned geometry, extent and middle vertex; the last row of an id stays,
+    or of an id and the columns `by` of the pages. Names without a tag: fixed values."""
     from ..functions.geo import thin
 
     whole = lambda line: F.filter(line, lambda v: v["lat"].isNotNull() & v["lon"].isNotNull())
     ways = F.filter(F.transform(F.col("members"), lambda m: F.when(m["type"] == "way", whole(m["geometry"]))), lambda m: F.size(m) > 0)
-    e = _elements(pages)
+    e = _elements(pages, by)
     point = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.array(F.array(F.struct("lat", "lon"))))
     lines = F.when(F.col("type") == "node", point).when(F.col("type") == "way", F.array(whole(F.col("geometry")))).otherwise(ways)
     e = e.withColumn("lines", F.transform(F.filter(lines, lambda x: F.size(x) > 0), lambda x: thin(x, most))).withColumn("flat", F.flatten("lines")).where(F.size("flat") > 0)
@@ -138,8 +140,8 @@ def trail_rows(pages: DataFrame, most: int = 60) -> DataFrame:
     kind = F.when(F.col("type") == "node", "trailhead").when(F.col("type") == "way", "path").otherwise("route")
     unnamed = F.when(F.col("type") == "node", "Trailhead (OSM)").when(F.col("type") == "way", "Trail (OSM)").otherwise("Hiking route (OSM)")
     ref = F.when(F.col("type") != "node", _tag("ref"))
-    rows = e.select("seq", F.col("key").alias("id"), tx.first_text(_tag("name"), ref, unnamed).alias("name"), kind.alias("kind"), F.array_min(lat).alias("min_lat"), F.array_min(lng).alias("min_lng"), F.array_max(lat).alias("max_lat"), F.array_max(lng).alias("max_lng"), middle["lat"].alias("center_lat"), middle["lon"].alias("center_lng"), shape.alias("geojson"), F.lit("osm").alias("source"), "url")
-    return dedupe_last(rows, "id", "seq")
+    rows = e.select("seq", *by, F.col("key").alias("id"), tx.first_text(_tag("name"), ref, unnamed).alias("name"), kind.alias("kind"), F.array_min(lat).alias("min_lat"), F.array_min(lng).alias("min_lng"), F.array_max(lat).alias("max_lat"), F.array_max(lng).alias("max_lng"), middle["lat"].alias("center_lat"), middle["lon"].alias("center_lng"), shape.alias("geojson"), F.lit("osm").alias("source"), "url")
+    return dedupe_last(rows.withColumn("own", F.struct("id", *by)), "own", "seq").drop("own") if by else dedupe_last(rows, "id", "seq")
 
 
 #: Sources of land units: agency, property with the id, property with the name, name where there is none, address. Fixed values.

@@ -14,7 +14,7 @@ from ..functions import geo, text
 from ..operators import calendar, coverage, layers, merge, network, phenology, planner, proximity, ranking, runs
 from ..schemas import INGEST_LOG, OBSCURED_ACCURACY, ROOT_TAXON
 from ..sources import pages as paging
-from ..sources import payloads, stored, versions, views
+from ..sources import archive, payloads, stored, versions, views
 
 CELL, AS_OF, WEEKS, MONTHS, TAXA = 1.0, "2001-06-29", 26, [4, 5, 10], [1, 2, 3, 5, 8, 13, 21, 24]
 LAT, LNG, RADIUS = 46.0, -121.0, 200.0
@@ -875,13 +875,28 @@ def _(s, d):
     return payloads.land_rows(payloads.parsed(given, "json", payloads.FEATURES), "usfs").drop("geojson", "source", "url")
 
 
-@query("bulk_scan_text", "SELECT p_partkey::BIGINT AS id, g.taxon_id, (p_partkey%90)::DOUBLE AS lat, DATE '2020-01-05' AS observed_on FROM part JOIN (SELECT name, min(taxon_id) AS taxon_id FROM genera GROUP BY 1) g ON g.name='NATION_'||(p_partkey%30) WHERE p_partkey%5>0 AND p_partkey%7>0 AND p_partkey%6>0", "genera")
-def _(s, d):
+BULK_TEXT = "SELECT p_partkey::BIGINT AS id, g.taxon_id, (p_partkey%90)::DOUBLE AS lat, DATE '2020-01-05' AS observed_on FROM part JOIN (SELECT name, min(taxon_id) AS taxon_id FROM genera GROUP BY 1) g ON g.name='NATION_'||(p_partkey%30) WHERE p_partkey%5>0 AND p_partkey%7>0 AND p_partkey%6>0"
+
+
+def _bulk_lines(s, d: str, quoted: str) -> DataFrame:
     k = F.col("p_partkey")
     t = lambda c: c.cast("string")
-    values = {0: t(k), 16: F.lit("2020-01-05T10:00"), 20: F.when(k % 7 > 0, t(k % 90)).otherwise(""), 21: t(-k % 180), 22: t(k % 40000), 24: F.when(k % 5 > 0, "US").otherwise("CA"), 29: F.lit('"a, b"'), 37: F.concat(F.lit("NATION_"), t(k % 30))}
+    values = {0: t(k), 16: F.lit("2020-01-05T10:00"), 20: F.when(k % 7 > 0, t(k % 90)).otherwise(""), 21: t(-k % 180), 22: t(k % 40000), 24: F.when(k % 5 > 0, "US").otherwise("CA"), 29: F.lit(f'"{quoted}"'), 37: F.concat(F.lit("NATION_"), t(k % 30))}
     line = F.concat_ws(",", *[values.get(n, F.lit("")) for n in range(38)])
-    lines = views.table(s, d, "part").select(F.when(k % 6 > 0, line).otherwise(F.concat(t(k), F.lit(",short"))).alias("line"))
+    return views.table(s, d, "part").select(F.when(k % 6 > 0, line).otherwise(F.concat(t(k), F.lit(",short"))).alias("line"))
+
+
+@query("bulk_scan_text", BULK_TEXT, "genera")
+def _(s, d):
+    return payloads.bulk_rows(payloads.bulk_lines(_bulk_lines(s, d, "a, b"), "line", 38), views.genera(s, d)).select("id", "taxon_id", "lat", "observed_on")
+
+
+@query("bulk_scan_zip", BULK_TEXT, "genera")
+def _(s, d):
+    archive.register(s)
+    path = _scratch(s, "zip")
+    _bulk_lines(s, d, "two\nlines, one record").write.format("zippedcsv").mode("append").option("headerLine", "h").save(path)
+    lines = s.read.format("zippedcsv").load(path)
     return payloads.bulk_rows(payloads.bulk_lines(lines, "line", 38), views.genera(s, d)).select("id", "taxon_id", "lat", "observed_on")
 
 

@@ -70,6 +70,11 @@ def region_center(region, cell: float) -> tuple[Column, Column]:
     return F.when(ok, part(1)), F.when(ok, part(2))
 
 
+def region_radius_km(cell: float) -> float:
+    """Half the height of a cell."""
+    return cell * KM_PER_DEGREE / 2
+
+
 def envelope(lat, lng, radius_km) -> Column:
     dlat, dlng = reach(lat, radius_km)
     lat, lng = col(lat), col(lng)

@@ -105,6 +105,13 @@ def alerts_near(recent: DataFrame, genera: DataFrame, lat: float, lng: float, ra
     )
 
 
+def alert_lists(near: DataFrame) -> DataFrame:
+    """The regions of alerts_near, each with its taxa as an array, the most frequent first."""
+    entry = F.struct((-F.col("cnt")).alias("fewer"), "taxon_id", "name", "common_name", "cnt", "last_observed", "place_guess", "uri", "obscured")
+    rows = near.groupBy("place", "region_id", "center_lat", "center_lng", "distance_km", "total").agg(F.array_sort(F.collect_list(entry)).alias("s"))  # at most the catalogue
+    return rows.withColumn("species", F.transform("s", lambda x: x.dropFields("fewer"))).drop("s")
+
+
 def with_photos(page: DataFrame, photos: DataFrame) -> DataFrame:
     """A page of observations, each with its open photos, an empty array where it has none."""
     own = photos.select(F.col("id").alias("of"), "photos")

@@ -46,3 +46,12 @@ def walk(chosen: DataFrame, start: tuple[float, float], max_drive_km: float) ->
 def destination(ranked: DataFrame, start: tuple[float, float], least_km: float) -> DataFrame:
     """The best region whose centre is far enough from the start, for plans without a destination."""
     return ranked.where(haversine_km(*start, "center_lat", "center_lng") >= least_km).orderBy(F.desc("score"), "region_id").limit(1)
+
+
+def header(walked: DataFrame, start: tuple[float, float], goal: DataFrame, corridor_km: float, months: list[int]) -> DataFrame:
+    """One row on a whole plan: where it goes, how many stops it keeps and skips, and how far it drives. Without a destination
+    (goal: at most one region) it ends where it starts, and the destination has no name."""
+    total = walked.agg(F.count("pos").alias("n_stops"), F.coalesce(F.round(F.max("total_km"), 1), F.lit(0.0)).alias("total_drive_km"), F.coalesce(F.max("skipped"), F.lit(0)).alias("skipped_unreachable"))
+    end = goal.select(F.col("center_lat").alias("g_lat"), F.col("center_lng").alias("g_lng"), F.col("region_id").alias("destination_name")).limit(1)
+    rows = total.join(end, how="left")  # one row, and one or none
+    return rows.select(F.lit(start[0]).alias("start_lat"), F.lit(start[1]).alias("start_lng"), F.coalesce("g_lat", F.lit(start[0])).alias("destination_lat"), F.coalesce("g_lng", F.lit(start[1])).alias("destination_lng"), "destination_name", F.lit(corridor_km).alias("corridor_km"), F.array(*[F.lit(m) for m in months]).alias("months"), "n_stops", "total_drive_km", "skipped_unreachable")

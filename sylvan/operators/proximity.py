@@ -58,21 +58,22 @@ def _cells(frame: DataFrame, lat: str, lng: str) -> DataFrame:
 
 
 def nearest_site(points: DataFrame, sites: DataFrame) -> DataFrame:
-    """For each point (key, lat, lng): the distance to the nearest site (site, s_lat, s_lng), or null without sites.
+    """For each point (key, lat, lng): the nearest site (site, s_lat, s_lng) and its distance km, or nulls without sites. Of
+    equally near ones, the least site.
 
     A site in the 27 cells around a point's own is nearer than 4 edges. So the finest level with such a site tells that
     the nearest one lies in the 27 cells of the level above it, and only those sites are compared.
     """
     step = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    around = _cells(sites.select("s_lat", "s_lng").distinct(), "s_lat", "s_lng")
+    around = _cells(sites.groupBy("s_lat", "s_lng").agg(F.min("site").alias("site")), "s_lat", "s_lng")
     for c in "ijk":
         around = around.withColumn(f"d{c}", F.explode(step)).withColumn(c, F.col(c) + F.col(f"d{c}")).drop(f"d{c}")
     own = _cells(points.select("key", "lat", "lng"), "lat", "lng")
     cell = ["level", "i", "j", "k"]
     finest = own.join(around.select(*cell).distinct(), cell).groupBy("key").agg(F.greatest(F.lit(0), F.max("level") - 1).alias("search"))
     look = own.join(finest.withColumnRenamed("key", "of"), (F.col("key") == F.col("of")) & (F.col("level") == F.col("search"))).select("key", "lat", "lng", *cell)
-    found = look.join(around, cell).groupBy(F.col("key").alias("of")).agg(F.min(haversine_km("lat", "lng", "s_lat", "s_lng")).alias("km"))
-    return points.select("key").join(found, F.col("key") == F.col("of"), "left").select("key", "km")
+    found = look.join(around, cell).groupBy(F.col("key").alias("of")).agg(F.min(F.struct(haversine_km("lat", "lng", "s_lat", "s_lng").alias("km"), "site")).alias("best"))
+    return points.select("key").join(found, F.col("key") == F.col("of"), "left").select("key", "best.site", "best.km")
 
 
 def trail_by_id(trails: DataFrame, trail_id: str) -> DataFrame:

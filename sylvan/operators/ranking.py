@@ -64,3 +64,12 @@ def corridor_to(phenology: DataFrame, recent: DataFrame, months, taxa, start: tu
 def in_order(ranked: DataFrame) -> DataFrame:
     """Regions from the best score down, with their place."""
     return ranked.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "region_id"))).orderBy("place")
+
+
+def with_species(ranked: DataFrame, rows: DataFrame, genera: DataFrame) -> DataFrame:
+    """Ranked regions, each with its kept species as an array, the most frequent of the season first. rows: the candidates that
+    were ranked. A region has no more of them than the catalogue."""
+    own = species(rows, genera).withColumn("fewer", -F.col("month_count"))
+    lists = own.groupBy("region_id").agg(F.array_sort(F.collect_list(F.struct("fewer", "taxon_id", "name", "common_name", "month_count", "total_count", "w_pheno"))).alias("s"))
+    listed = lists.select(F.col("region_id").alias("of"), F.transform("s", lambda x: x.dropFields("fewer")).alias("species"))
+    return ranked.join(listed, F.col("region_id") == F.col("of"), "left").drop("of")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import geo, text
-from ..operators import calendar, coverage, layers, merge, network, phenology, planner, proximity, ranking, runs
+from ..operators import calendar, coverage, devices, layers, merge, network, phenology, places, planner, proximity, ranking, runs
 from ..schemas import INGEST_LOG, OBSCURED_ACCURACY, ROOT_TAXON
 from ..sources import pages as paging
 from ..sources import archive, payloads, stored, versions, views
@@ -164,6 +164,13 @@ def _(s, d):
     return _corridor(s, d).select(*RANK, *r6("center_lat", "center_lng", "score"))
 
 
+@query("rank_destinations_lists", "SELECT region_id, score_norm, string_agg(coalesce(name, taxon_id::VARCHAR)||':'||month_count, ',' ORDER BY month_count DESC, taxon_id) AS species FROM ranked JOIN radial USING (region_id) LEFT JOIN genera USING (taxon_id) GROUP BY 1,2", PHEN + " recent base radial ranked genera")
+def _(s, d):
+    rows = ranking.radial_rows(_phenology(s, d), MONTHS, TAXA, LAT, LNG, RADIUS)
+    listed = ranking.with_species(ranking.rank(rows, _recent(s, d)), rows, views.genera(s, d))
+    return listed.select("region_id", "score_norm", F.array_join(F.transform("species", lambda x: F.concat(x["name"], F.lit(":"), x["month_count"].cast("string"))), ",").alias("species"))
+
+
 @query("recent_counts", "SELECT * FROM recent", "lobs binned recent")
 def _(s, d):
     return phenology.recent_counts(views.line_observations(s, d), CELL, AS_OF, WEEKS, TAXA)
@@ -217,6 +224,14 @@ def _(s, d):
     return calendar.alerts_near(recent, views.genera(s, d), LAT, LNG, RADIUS).select("place", "region_id", "distance_km", "total", "taxon_id", "name", "cnt", "last_observed", "obscured")
 
 
+@query("alert_lists", f"""SELECT region_id, total, string_agg(taxon_id||':'||cnt, ',' ORDER BY cnt DESC, taxon_id) AS species FROM (SELECT region_id, taxon_id, count(*) AS cnt FROM {RECENT} GROUP BY 1,2)
+JOIN (SELECT *, {hav(LAT_SQL, LNG_SQL, 'center_lat', 'center_lng')} AS km FROM (SELECT region_id, {CENTER.format('lat')} AS center_lat, {CENTER.format('lng')} AS center_lng, count(*) AS total FROM {RECENT} GROUP BY 1)) USING (region_id) WHERE km<={RADIUS} GROUP BY 1,2""", "oobs obinned")
+def _(s, d):
+    recent = calendar.recent_rows(views.order_observations(s, d), CELL, AS_OF, WEEKS)
+    rows = calendar.alert_lists(calendar.alerts_near(recent, views.genera(s, d), LAT, LNG, RADIUS))
+    return rows.select("region_id", "total", F.array_join(F.transform("species", lambda x: F.concat(x["taxon_id"].cast("string"), F.lit(":"), x["cnt"].cast("string"))), ",").alias("species"))
+
+
 PHOTOS = "CASE WHEN o_orderkey%3>0 THEN array(named_struct('url', concat('p/', o_orderkey), 'license_code', CASE o_orderkey%4 WHEN 0 THEN 'CC-BY' WHEN 1 THEN 'all-rights' WHEN 2 THEN 'cc0' END, 'attribution', o_orderpriority)) ELSE array() END"
 
 
@@ -464,6 +479,15 @@ def _(s, d):
     return rows.select("pos", "region_id", "progress_km", "score_norm", "n_species", "recent_count", "camp_id", "camp_free", "trail_id", "trail_km", F.round("leg_km", 1).alias("leg_km"), F.round("total_km", 1).alias("total_km"), "skipped")
 
 
+@query("plan_header", f"SELECT round(coalesce((SELECT center_lat FROM auto),{LAT}),6) AS destination_lat, (SELECT region_id FROM auto) AS destination_name, count(*) FILTER (WHERE n>0 AND took) AS n_stops, round(max(total),1) AS total_drive_km, max(skipped)::INT AS skipped_unreachable FROM walk", AUTO + " camps trails", _trip_sql("autocorr"))
+def _(s, d):
+    p, recent = _phenology(s, d), _recent(s, d)
+    goal = planner.destination(ranking.radial(p, recent, MONTHS, TAXA, LAT, LNG, RADIUS), (LAT, LNG), 50.0)
+    corridor = ranking.corridor_to(p, recent, MONTHS, TAXA, (LAT, LNG), goal, CORRIDOR)
+    walked = planner.walk(planner.stops(corridor, views.camps(s, d), views.trails(s, d), 60.0, 60.0, 0.0, False, 8), (LAT, LNG), 150.0)
+    return planner.header(walked, (LAT, LNG), goal, CORRIDOR, MONTHS).select(*r6("destination_lat"), "destination_name", "n_stops", "total_drive_km", "skipped_unreachable")
+
+
 @query("auto_destination", "SELECT region_id, distance_km, round(score,6) AS score FROM auto", PHEN + " recent base radial ranked auto")
 def _(s, d):
     return planner.destination(_ranked(s, d), (LAT, LNG), 50.0).select("region_id", "distance_km", F.round("score", 6).alias("score"))
@@ -487,6 +511,58 @@ def _(s, d):
     return rows.select("device_id", F.row_number().over(Window.partitionBy("device_id").orderBy("name", "taxon_id")).alias("place"), "taxon_id", "name")
 
 
+WORDS = "list_distinct([t FOR t IN regexp_split_to_array(lower({0}), '[^a-z0-9]+') IF t <> ''])"
+NAMED = f"""named AS (SELECT p_partkey::BIGINT AS place, p_name||' '||p_brand AS name, p_size AS weight, {WORDS.format("p_name||' '||p_brand")} AS t FROM part),
+asks AS (SELECT s_suppkey::BIGINT AS question, CASE WHEN s_suppkey%4=0 THEN 'nowhere '||p_name ELSE upper(p_brand)||', '||p_name END AS text FROM supplier JOIN part ON p_partkey=s_suppkey*13%200)"""
+
+
+def _named(s, d: str) -> tuple[DataFrame, DataFrame]:
+    part, k = views.table(s, d, "part"), F.col("s_suppkey")
+    named = part.select(F.col("p_partkey").cast("long").alias("place"), F.concat_ws(" ", "p_name", "p_brand").alias("name"), F.col("p_size").alias("weight"))
+    rows = views.table(s, d, "supplier").join(part, F.col("p_partkey") == k * 13 % 200)
+    return rows.select(k.cast("long").alias("question"), F.when(k % 4 == 0, F.concat(F.lit("nowhere "), "p_name")).otherwise(F.concat(F.upper("p_brand"), F.lit(", "), "p_name")).alias("text")), named
+
+
+@query("place_lookup", f"SELECT question, arg_min(place, ROW(len(t), -weight, place)) AS place FROM (SELECT question, place, n.t, weight FROM (SELECT *, {WORDS.format('text')} AS w FROM asks) a JOIN named n ON list_has_all(n.t, a.w)) GROUP BY 1", more=NAMED)
+def _(s, d):
+    asked, named = _named(s, d)
+    return places.lookup(asked, places.index(named)).select("question", "place")
+
+
+@query("nearest_place", f"SELECT t.id, arg_min(c.id, ROW(round({hav('t.center_lat', 't.center_lng', 'c.lat', 'c.lng')},9), c.id)) AS camp, round(min({hav('t.center_lat', 't.center_lng', 'c.lat', 'c.lng')}),6) AS km FROM trails t CROSS JOIN camps c GROUP BY 1", "trails camps")
+def _(s, d):
+    points = views.trails(s, d).select(F.col("id").alias("key"), F.col("center_lat").alias("lat"), F.col("center_lng").alias("lng"))
+    sites = views.camps(s, d).select(F.col("id").alias("site"), F.col("lat").alias("s_lat"), F.col("lng").alias("s_lng"))
+    return proximity.nearest_site(points, sites).select(F.col("key").alias("id"), F.col("site").alias("camp"), F.round("km", 6).alias("km"))
+
+
+DEVICE = "'device-'||(c_custkey%100)"
+
+
+def _devices(s, d: str) -> DataFrame:
+    return views.table(s, d, "customer").select(F.concat(F.lit("device-"), (F.col("c_custkey") % 100).cast("string")).alias("device_id"), F.col("c_custkey").cast("long").alias("k"))
+
+
+def _locations(s, d: str) -> DataFrame:
+    """Homes after some changes, of which some devices made several, and some deletions."""
+    rows = _devices(s, d).select("device_id", F.concat(F.lit("home "), F.col("k").cast("string")).alias("name"), (F.col("k") % 90).cast("double").alias("lat"), (-(F.col("k") % 180)).cast("double").alias("lng"), (F.col("k") % 4 * 50).cast("double").alias("radius_km"), F.col("k").alias("seq"))
+    saved = devices.save_locations(s.createDataFrame([], schemas.LOCATIONS), rows.where("seq % 3 > 0"))
+    return devices.delete_locations(saved, _devices(s, d).where("k % 50 = 7"))
+
+
+@query("device_homes", f"SELECT v.device_id, coalesce(l.name,'Seattle') AS name, coalesce(l.lat,47.5::DOUBLE) AS lat, coalesce(nullif(l.radius_km,0),150.0::DOUBLE) AS radius_km, l.name IS NOT NULL AS is_own FROM (SELECT DISTINCT {DEVICE} AS device_id FROM customer) v LEFT JOIN (SELECT {DEVICE} AS device_id, 'home '||max(c_custkey) AS name, (max(c_custkey)%90)::DOUBLE AS lat, (max(c_custkey)%4*50)::DOUBLE AS radius_km FROM customer WHERE c_custkey%3>0 GROUP BY 1 HAVING bool_and(c_custkey%50<>7)) l USING (device_id)")
+def _(s, d):
+    return devices.homes(_devices(s, d), _locations(s, d), ("Seattle", 47.5, -122.25, 150.0)).select("device_id", "name", "lat", "radius_km", "is_own")
+
+
+@query("device_genera", f"SELECT v.device_id, coalesce(taxa,'') AS taxa FROM (SELECT DISTINCT {DEVICE} AS device_id FROM customer) v LEFT JOIN (SELECT device_id, string_agg(taxon_id, ',' ORDER BY taxon_id) AS taxa FROM (SELECT DISTINCT {DEVICE} AS device_id, c_custkey%40 AS taxon_id FROM customer WHERE c_custkey%5<3 AND NOT (c_custkey%100<20 OR c_custkey%40=9)) GROUP BY 1) USING (device_id)")
+def _(s, d):
+    rows = _devices(s, d).select("device_id", (F.col("k") % 40).alias("taxon_id"), "k")
+    chosen = devices.add_genera(devices.add_genera(rows.where("k % 5 = 0"), rows.where("k % 5 = 1")), rows.where("k % 5 < 3"))
+    chosen = devices.remove_genera(chosen, rows.where("k % 100 < 20 OR taxon_id = 9"))
+    return devices.filters(_devices(s, d), chosen).select("device_id", F.array_join(F.col("taxa").cast("array<string>"), ",").alias("taxa"))
+
+
 @query("is_ingested", "SELECT key, key IN (SELECT key FROM log) AS ingested FROM (SELECT 'obs:fungi:place:'||n_nationkey||':2015-01-01:2024-01-15' AS key FROM nation)", "log")
 def _(s, d):
     keys = views.table(s, d, "nation").select(F.concat(F.lit("obs:fungi:place:"), F.col("n_nationkey").cast("string"), F.lit(":2015-01-01:2024-01-15")).alias("key"))

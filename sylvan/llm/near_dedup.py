@@ -50,6 +50,8 @@ COUNTERS = 1 << 21
 SLICE = 2000
 #: Pairs of one document that a task verifies: a document with more has its set copied to several tasks.
 HUB = 500
+#: Pairs for each document, on average, up to which all are verified at once: a first round would spare less than its jobs cost.
+FEW = 4
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _A = _rng.integers(0, 2**64, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -293,7 +295,7 @@ def merged(labels: DataFrame | None, links: DataFrame, scratch: Scratch) -> Data
     one = labels.select(F.col("doc_id").alias("i"), F.col("component").alias("p"))
     two = labels.select(F.col("doc_id").alias("j"), F.col("component").alias("q"))
     ends = links.join(one, F.col("a") == F.col("i"), "left").join(two, F.col("b") == F.col("j"), "left")
-    ends = scratch.table(ends.select(F.coalesce("p", "a").alias("a"), F.coalesce("q", "b").alias("b")).where("a <> b").distinct(), "joined")
+    ends = scratch.table(ends.select(F.coalesce("p", "a").alias("a"), F.coalesce("q", "b").alias("b")).where("a <> b"), "joined")
     if ends.isEmpty():
         scratch.drop(ends)
         return labels
@@ -336,11 +338,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             spent.append(left := prefix_pairs(own, scratch))
             for t in tried:
                 left = left.join(t.select("a", "b"), ["a", "b"], "left_anti")
-        for last in (False, True):
-            if not left.count():
+        pairs, most = _counts(left)
+        for last in (False, True) if pairs > FEW * many else (True,):
+            if not pairs:
                 break
             take = left if last else left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-            checked = scratch.table(_with_sets(take, sets).mapInArrow(_verify, "a long, b long, linked boolean"), "verified")
+            checked = scratch.table(_with_sets(take, sets, most > HUB).mapInArrow(_verify, "a long, b long, linked boolean"), "verified")
             tried.append(checked)
             new = checked.where("linked").select("a", "b")
             was, labels = labels, merged(labels, new, scratch)
@@ -348,6 +351,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 spent.append(was)
             if not last:
                 spent.append(left := scratch.table(_apart(left.join(checked, ["a", "b"], "left_anti"), labels), "apart"))
+                pairs, most = _counts(left)
     scratch.drop(*spent, *tried)
     whole = reps.select("n_shingles", "f1", "f2", "rep", "copies")
     if labels is not None:
@@ -360,12 +364,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _counts(pairs: DataFrame) -> tuple[int, int]:
+    """How many pairs there are, and how many the document a with most of them has."""
+    total, most = pairs.groupBy("a").count().agg(F.sum("count"), F.max("count")).first()
+    return total or 0, most or 0
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame, hubs_possible: bool) -> DataFrame:
     """a, b and both sets. b's set travels with the pair to a; a document with very many pairs is copied over tasks."""
-    hubs = pairs.groupBy("a").count().where(F.col("count") > HUB).select(F.col("a").alias("hub"), F.ceil(F.col("count") / HUB).cast("int").alias("slices"))
     one = sets.select(F.col("doc_id").alias("i"), F.col("shingles").alias("x"))
     two = sets.select(F.col("doc_id").alias("j"), F.col("shingles").alias("y"))
-    if not hubs.isEmpty():
+    if hubs_possible:
+        hubs = pairs.groupBy("a").count().where(F.col("count") > HUB).select(F.col("a").alias("hub"), F.ceil(F.col("count") / HUB).cast("int").alias("slices"))
         slices = F.coalesce("slices", F.lit(1))
         pairs = pairs.join(hubs, F.col("a") == F.col("hub"), "left").select("a", "b", F.pmod(F.xxhash64("b"), slices).cast("int").alias("s"))
         one = one.join(hubs, F.col("i") == F.col("hub"), "left").select("i", "x", F.explode(F.sequence(F.lit(0), slices - 1)).alias("k"))

@@ -459,7 +459,10 @@ def test_components_grow_by_rounds_of_links(spark):
         assert labels.count() == len(parent)
 
 
-def test_near_in_crowded_regions(spark):
+@pytest.mark.parametrize("few", [0, near_dedup.FEW])
+def test_near_in_crowded_regions(spark, monkeypatch, few):
+    """All pairs verified in one round, or in two, which a `few` of 0 forces."""
+    monkeypatch.setattr(near_dedup, "FEW", few)
     rng = np.random.default_rng(5)
     base = [f"b{i}" for i in range(120)]
     rows = []

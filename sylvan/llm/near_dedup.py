@@ -50,8 +50,8 @@ COUNTERS = 1 << 21
 SLICE = 2000
 #: Pairs of one document that a task verifies: a document with more has its set copied to several tasks.
 HUB = 500
-#: Pairs for each document, on average, up to which all are verified at once: a first round would spare less than its jobs cost.
-FEW = 4
+#: Pairs for each document, on average, up to which all are verified at once: that moves no more sets than a first round may.
+FEW = 1
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _A = _rng.integers(0, 2**64, HASHES, dtype=np.uint64) | np.uint64(1)

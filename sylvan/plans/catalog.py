@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import geo, text
-from ..operators import calendar, coverage, devices, layers, merge, network, phenology, places, planner, proximity, ranking, runs
+from ..operators import calendar, coverage, devices, layers, merge, network, phenology, places, planner, proximity, ranking, runs, seasons
 from ..schemas import INGEST_LOG, OBSCURED_ACCURACY, ROOT_TAXON
 from ..sources import pages as paging
 from ..sources import archive, payloads, stored, versions, views
@@ -1035,6 +1035,49 @@ def _(s, d):
     return rows.select("place", coverage.window_start(F.lit("2024-01-10").cast("date"), text.lenient_date("latest")).alias("start"))
 
 
+SEASONAL = ["taxon_id", "lat", "lng", "observed_on", "month", "quality_grade", "obscured"]
+REJECTED = "(SELECT l_orderkey FROM lineitem WHERE l_returnflag='R' AND l_linenumber=1)"
+FOLLOWED = f"""news AS (SELECT id//2 AS id, id AS seq, CASE WHEN id%5>0 THEN taxon_id END AS taxon_id, lat, lng, CASE WHEN id%4>0 THEN observed_on END AS observed_on, month, quality_grade, CASE WHEN id%2>0 THEN obscured END AS obscured FROM oobs),
+once AS (SELECT coalesce(s.id,b.id) AS id, {', '.join(f'coalesce(b.{c},s.{c}) AS {c}' for c in SEASONAL)} FROM (SELECT * FROM oobs WHERE id%3>0) s FULL JOIN (SELECT id, {', '.join(f'max_by({c},seq) FILTER (WHERE {c} IS NOT NULL) AS {c}' for c in SEASONAL)} FROM news GROUP BY 1) b ON s.id=b.id),
+binned AS (SELECT *, {REGION} AS region_id FROM once WHERE quality_grade='research' AND id NOT IN {REJECTED})"""
+
+
+def _followed(s, d: str, compacted: bool) -> str:
+    """A state that follows a merge of new values and then one that purges rows, without another full build."""
+    root, o, k = _scratch(s, "seasons"), views.order_observations(s, d), F.col("id")
+    stored_rows = o.where("id % 3 > 0").select("id", *SEASONAL)
+    news = o.select(F.floor(k / 2).cast("long").alias("id"), k.alias("seq"), F.when(k % 5 > 0, F.col("taxon_id")).alias("taxon_id"), "lat", "lng", F.when(k % 4 > 0, F.col("observed_on")).alias("observed_on"), "month", "quality_grade", F.when(k % 2 > 0, F.col("obscured")).alias("obscured"))
+    merge.coalesce_merge(stored_rows, news, "id", "seq", SEASONAL).write.parquet(f"{root}/observations")
+    merged = s.read.parquet(f"{root}/observations")
+    seasons.start(stored_rows, CELL, f"{root}/state")
+    seasons.follow(seasons.images(stored_rows, merged, news), CELL, f"{root}/state", 1)
+    gone = views.table(s, d, "lineitem").where("l_returnflag = 'R' AND l_linenumber = 1").select(F.col("l_orderkey").alias("id"))
+    seasons.follow(seasons.images(merged, merge.delete(merged, gone, "id"), gone), CELL, f"{root}/state", 2)
+    if compacted:
+        seasons.compact(s, f"{root}/state")
+    return f"{root}/state"
+
+
+@query("phenology_after_merges", f"SELECT region_id, taxon_id, month, cnt, {s6('center_lat', 'center_lng')} FROM ({MORE['phen']})", "oobs", FOLLOWED)
+def _(s, d):
+    return seasons.phenology(s, _followed(s, d, False)).select("region_id", "taxon_id", "month", "cnt", *r6("center_lat", "center_lng"))
+
+
+@query("regions_after_merges", f"SELECT region_id, round({CENTER.format('lat')},6) AS center_lat, round({CENTER.format('lng')},6) AS center_lng, count(*) AS n_obs, count(DISTINCT taxon_id) AS n_taxa FROM binned GROUP BY 1", "oobs", FOLLOWED)
+def _(s, d):
+    return seasons.regions(s, _followed(s, d, False)).select("region_id", *r6("center_lat", "center_lng"), "n_obs", "n_taxa")
+
+
+@query("daily_after_merges", "SELECT region_id, taxon_id, observed_on, count(*) AS cnt FROM binned WHERE observed_on IS NOT NULL GROUP BY ALL", "oobs", FOLLOWED)
+def _(s, d):
+    return seasons.daily(s, _followed(s, d, True))
+
+
+@query("phenology_changed_groups", f"SELECT p.region_id, p.taxon_id, p.month, cnt, {s6('center_lat', 'center_lng')} FROM ({MORE['phen']}) p WHERE EXISTS (SELECT 1 FROM once c WHERE quality_grade='research' AND id IN {REJECTED} AND {REGION}=p.region_id AND c.taxon_id IS NOT DISTINCT FROM p.taxon_id AND c.month IS NOT DISTINCT FROM p.month)", "oobs", FOLLOWED)
+def _(s, d):
+    return seasons.changed_groups(s, _followed(s, d, False), 2).select("region_id", "taxon_id", "month", "cnt", *r6("center_lat", "center_lng"))
+
+
 def queries() -> dict[str, Callable]:
     return dict(_queries)
 

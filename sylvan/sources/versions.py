@@ -64,6 +64,11 @@ def make_current(spark: SparkSession, folder: str, mark: str = "") -> str:
     return folder
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    at, fs = _files(spark, path)
+    fs.delete(at, True)
+
+
 def mark_of(spark: SparkSession, *paths: str) -> str:
     """A mark of the files below the paths, by name, length and time: another one once any of them has changed. Their
     contents are not read."""

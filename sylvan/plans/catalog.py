@@ -1078,6 +1078,13 @@ def _(s, d):
     return seasons.changed_groups(s, _followed(s, d, False), 2).select("region_id", "taxon_id", "month", "cnt", *r6("center_lat", "center_lng"))
 
 
+@query("region_reach", f"SELECT region_id, count(*) AS n, count(*) FILTER (WHERE {hav('lat', 'lng', 'c_lat', 'c_lng')} <= {CELL*111.0/2}) AS n_within, {CELL*111.0/2}::DOUBLE AS radius_km FROM (SELECT *, split_part(region_id,'_',1)::INT+0.5::DOUBLE AS c_lat, split_part(region_id,'_',2)::INT+0.5::DOUBLE AS c_lng FROM binned) GROUP BY 1", "lobs binned")
+def _(s, d):
+    rows, (c_lat, c_lng), radius = phenology.binned(views.line_observations(s, d), CELL), geo.region_center("region_id", CELL), geo.region_radius_km(CELL)
+    near = geo.haversine_km("lat", "lng", c_lat, c_lng) <= radius
+    return rows.groupBy("region_id").agg(F.count("*").alias("n"), F.count_if(near).alias("n_within"), F.lit(radius).alias("radius_km"))
+
+
 def queries() -> dict[str, Callable]:
     return dict(_queries)
 

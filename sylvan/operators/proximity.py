@@ -1,16 +1,16 @@
 """Searches around a point, and nearest-site joins on grid cells.
 
-A join between two large layers never compares all pairs: sites are bucketed by cell, and a point looks only into
-its own and the adjoining cells, of a size that is known to hold the nearest site.
+A join between two large layers never compares all pairs: bounds on the distances between a cell and a site tell which
+sites can be the nearest of a point in the cell, from large cells to small ones, and a point meets only those of its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import box_overlaps, cell_index, haversine_km, in_box, reach
-from ..schemas import KM_PER_DEGREE
+from ..schemas import EARTH_KM, KM_PER_DEGREE
 
 
 def camps_near(camps: DataFrame, lat: float, lng: float, radius_km: float, free_only: bool = False) -> DataFrame:
@@ -45,35 +45,71 @@ def nearest_vertex(trails: DataFrame, lat: float, lng: float, max_km: float) ->
     return rows.orderBy("km", "id").limit(1).select("id", "name", "kind", F.round("km", 1).alias("distance_km"))
 
 
-#: Edges of cells on the unit sphere: 2 holds all of it, the last is about 3 km.
-EDGES = tuple(2.0 * 4.0**-k for k in range(7))
+#: Levels of cells on the unit sphere, from half its radius to about 3 km: the edge of each is a fourth of that of the one above.
+LEVELS = 6
+LEAST_EDGE = 2.0**-11
+#: Slices in which a cell's sites are compared, by level: few cells hold many sites each, so these are not one group.
+SLICES = (64, 16, 4, 1, 1, 1)
+#: So many levels have cells whose number the sphere bounds (about 25,000), whatever the points.
+BOUNDED = 3
+#: Kilometres by which bounds on distances may err.
+SLACK_KM = 0.001
+CELL = ["i", "j", "k"]
 
 
-def _cells(frame: DataFrame, lat: str, lng: str) -> DataFrame:
-    """frame for each level, with the cell (i, j, k) of its point on the unit sphere, which has no poles and no date line."""
+def _on_sphere(frame: DataFrame, lat: str, lng: str) -> DataFrame:
+    """frame with its point on the unit sphere, which has no poles and no date line."""
     a, b = F.radians(lat), F.radians(lng)
-    at = frame.withColumns({"x": F.cos(a) * F.cos(b), "y": F.cos(a) * F.sin(b), "z": F.sin(a)})
-    levels = F.array(*[F.struct(F.lit(n).alias("level"), *[F.floor(F.col(c) / e).cast("int").alias(o) for c, o in zip("xyz", "ijk", strict=True)]) for n, e in enumerate(EDGES)])
-    return at.select(*frame.columns, F.inline(levels))
+    return frame.withColumns({"x": F.cos(a) * F.cos(b), "y": F.cos(a) * F.sin(b), "z": F.sin(a)})
 
 
-def nearest_site(points: DataFrame, sites: DataFrame) -> DataFrame:
-    """For each point (key, lat, lng): the nearest site (site, s_lat, s_lng) and its distance km, or nulls without sites. Of
-    equally near ones, the least site.
+def in_cells(points: DataFrame) -> DataFrame:
+    """points (lat, lng) with their finest cell (i, j, k); nulls without a place."""
+    at = _on_sphere(points, "lat", "lng")
+    return at.select(*points.columns, *[F.floor(F.col(c) / LEAST_EDGE).cast("int").alias(o) for c, o in zip("xyz", CELL, strict=True)])
 
-    A site in the 27 cells around a point's own is nearer than 4 edges. So the finest level with such a site tells that
-    the nearest one lies in the 27 cells of the level above it, and only those sites are compared.
+
+def _judged(pairs: DataFrame, level: int, within_km: float | None) -> DataFrame:
+    """The pairs of a cell and a site that may be best for some point of the cell."""
+    edge = LEAST_EDGE * 4.0 ** (LEVELS - 1 - level)
+    off = [F.abs(F.col(c) - (F.col(o) + 0.5) * edge) for c, o in zip("xyz", CELL, strict=True)]
+    km = lambda parts: 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(sum((p * p for p in parts[1:]), parts[0] * parts[0])) / 2))
+    rows = pairs.withColumns({"least_km": km([F.greatest(F.lit(0.0), d - edge / 2) for d in off]), "most_km": km([d + edge / 2 for d in off])})
+    rows = rows if within_km is None else rows.where(F.col("least_km") <= within_km + SLACK_KM)
+    slices = F.pmod(F.xxhash64("x", "y", "z"), F.lit(SLICES[level]))
+    best = F.max(F.col("lead") - F.col("most_km")).over(Window.partitionBy(*CELL, slices))
+    return rows.withColumn("best", best).where(F.col("lead") - F.col("least_km") >= F.col("best") - SLACK_KM).drop("least_km", "most_km", "best")
+
+
+def candidates(cells: DataFrame, sites: DataFrame, within_km: float | None = None) -> DataFrame:
+    """For each of the finest cells (i, j, k): the sites that can have the greatest lead less distance for a point in it.
+
+    sites: s_lat, s_lng, lead (km) and any others, a row for each place. With within_km, farther sites count for nothing.
+    Cells of half the sphere's radius meet all sites, and each level hands on to its parts only the sites that no other
+    one beats everywhere in the cell. So pairs stay in proportion to cells and sites, and no cell's sites are one group
+    while they are many.
     """
-    step = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    around = _cells(sites.groupBy("s_lat", "s_lng").agg(F.min("site").alias("site")), "s_lat", "s_lng")
-    for c in "ijk":
-        around = around.withColumn(f"d{c}", F.explode(step)).withColumn(c, F.col(c) + F.col(f"d{c}")).drop(f"d{c}")
-    own = _cells(points.select("key", "lat", "lng"), "lat", "lng")
-    cell = ["level", "i", "j", "k"]
-    finest = own.join(around.select(*cell).distinct(), cell).groupBy("key").agg(F.greatest(F.lit(0), F.max("level") - 1).alias("search"))
-    look = own.join(finest.withColumnRenamed("key", "of"), (F.col("key") == F.col("of")) & (F.col("level") == F.col("search"))).select("key", "lat", "lng", *cell)
-    found = look.join(around, cell).groupBy(F.col("key").alias("of")).agg(F.min(F.struct(haversine_km("lat", "lng", "s_lat", "s_lng").alias("km"), "site")).alias("best"))
-    return points.select("key").join(found, F.col("key") == F.col("of"), "left").select("key", "best.site", "best.km")
+    cells = cells.select(*CELL).where("i IS NOT NULL AND j IS NOT NULL AND k IS NOT NULL").distinct()
+    up = lambda level, names: [F.shiftright(c, 2 * (LEVELS - 1 - level)).alias(n) for c, n in zip(CELL, names, strict=True)]
+    pairs = _on_sphere(sites, "s_lat", "s_lng").where("x IS NOT NULL AND lead IS NOT NULL").crossJoin(F.broadcast(cells.select(*up(0, CELL)).distinct()))
+    pairs = _judged(pairs, 0, within_km)
+    above = ["above_i", "above_j", "above_k"]
+    for level in range(1, LEVELS):
+        parts = cells.select(*up(level, CELL)).distinct().select(*CELL, *[F.shiftright(c, 2).alias(n) for c, n in zip(CELL, above, strict=True)])
+        parts = F.broadcast(parts) if level < BOUNDED else parts.hint("merge")
+        pairs = _judged(pairs.withColumnsRenamed(dict(zip(CELL, above, strict=True))).join(parts, above).drop(*above), level, within_km)
+    return pairs.drop("x", "y", "z")
+
+
+def nearest_site(points: DataFrame, sites: DataFrame, within_km: float | None = None) -> DataFrame:
+    """For each point (key, lat, lng): the nearest site (site, s_lat, s_lng) and its distance km, or nulls without sites
+    (with within_km: without sites so near). Of equally near ones, the least site."""
+    own = in_cells(points.select("key", "lat", "lng"))
+    there = candidates(own, sites.groupBy("s_lat", "s_lng").agg(F.min("site").alias("site")).withColumn("lead", F.lit(0.0)), within_km)
+    pairs = own.join(there.hint("merge"), CELL).select("key", haversine_km("lat", "lng", "s_lat", "s_lng").alias("km"), "site")
+    pairs = pairs if within_km is None else pairs.where(F.col("km") <= within_km)
+    found = pairs.groupBy(F.col("key").alias("of")).agg(F.min(F.struct("km", "site")).alias("best"))
+    return points.select("key").join(found.hint("merge"), F.col("key") == F.col("of"), "left").select("key", "best.site", "best.km")
 
 
 def trail_by_id(trails: DataFrame, trail_id: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+from pyspark.sql import functions as F
 from sylvan.functions import geo
 from sylvan.operators import devices, places, planner, proximity
 from sylvan.schemas import LOCATIONS, SELECTED
@@ -32,6 +33,25 @@ def test_nearest_site_gives_the_least_of_equals(spark):
     assert [r["site"] for r in proximity.nearest_site(points, sites.limit(0)).collect()] == [None, None]
 
 
+def test_nearest_site_meets_few_sites_and_finds_the_nearest(spark):
+    rnd = random.Random(7)
+    some = lambda n: [(rnd.uniform(40, 41), rnd.uniform(-121, -120)) for _ in range(n)] + [(rnd.uniform(-90, 90), rnd.uniform(-180, 180)) for _ in range(n // 4)] + [(90.0, 0.0), (-90.0, 7.0), (0.0, 180.0), (0.0, -180.0)]
+    points, sites = list(enumerate(some(400))), list(enumerate(some(800)))
+    p = spark.createDataFrame([(k, *at) for k, at in points] + [(-1, None, None)], "key int, lat double, lng double")
+    s = spark.createDataFrame([(k, *at) for k, at in sites] + [(-1, None, None)], "site int, s_lat double, s_lng double")
+    pairs = p.alias("p").crossJoin(s.alias("s")).select("key", "site", geo.haversine_km("lat", "lng", "s_lat", "s_lng").alias("km")).where("km IS NOT NULL")
+    want = {r["key"]: r["km"] for r in pairs.groupBy("key").agg(F.min("km").alias("km")).collect()}
+    got = {r["key"]: r["km"] for r in proximity.nearest_site(p, s).collect()}
+    assert got == {**want, -1: None}
+    within = {r["key"]: r["km"] for r in proximity.nearest_site(p, s, 5.0).collect()}
+    assert within == {k: km if km is not None and km <= 5.0 else None for k, km in got.items()}
+    cells = proximity.in_cells(p)
+    there = proximity.candidates(cells, s.withColumn("lead", F.lit(0.0))).count()
+    assert there < 10 * cells.select("i", "j", "k").distinct().count()
+    plan = proximity.nearest_site(p, s)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan  # rows that Spark's sizes do not count, and so broadcasts
+
+
 def test_devices(spark):
     some = spark.createDataFrame([("a",), ("b",), ("c",), ("a",)], "device_id string")
     saved = devices.save_locations(spark.createDataFrame([("b", "old", 1.0, 2.0, 3.0)], LOCATIONS), spark.createDataFrame([("b", "new", 4.0, 5.0, 0.0, 2), ("b", "newer", 6.0, 7.0, 0.0, 3), ("c", "c", 8.0, 9.0, 10.0, 1)], LOCATIONS + ", seq int"))

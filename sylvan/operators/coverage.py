@@ -6,25 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km
-from ..schemas import EARTH_KM
+from .proximity import CELL, candidates, in_cells
 
 
 def covered(areas: DataFrame, log: DataFrame, prefix: str, ending: str = "") -> DataFrame:
-    """Per area (key, a_lat, a_lng, a_radius): whether one logged disk holds it whole. Logged disks meet areas by
-    2-degree cells that the disk can reach: by its height, and by its width where it is nearest to a pole (all round
-    if it reaches one). The log is first narrowed to distinct disks."""
-    disks = log.where(F.startswith("key", F.lit(prefix)) & F.endswith("key", F.lit(ending)) & F.col("lat").isNotNull()).groupBy("lat", "lng").agg(F.max("radius_km").alias("radius_km"))
-    cell = lambda c: F.floor(F.col(c) / 2).cast("int")
-    # an area lies inside a disk only if its centre does
-    high = F.degrees(F.col("radius_km") / EARTH_KM) * 1.001
-    ring = F.sin(F.radians(high)) / F.cos(F.radians("lat"))
-    half = F.when((F.abs("lat") + high >= 90) | (ring >= 1), F.lit(180.0)).otherwise(F.degrees(F.asin(ring)) * 1.001)
-    span = lambda c, d: F.sequence(F.floor((F.col(c) - d) / 2).cast("int"), F.floor((F.col(c) + d) / 2).cast("int"))
-    wide = disks.withColumn("i", F.explode(span("lat", high)))
-    wide = wide.withColumn("j", F.explode(F.array_distinct(F.transform(span("lng", half), lambda j: F.pmod(j, F.lit(180))))))
-    hits = areas.withColumn("i", cell("a_lat")).withColumn("j", F.pmod(cell("a_lng"), F.lit(180))).join(wide, ["i", "j"])
-    inside = hits.where(haversine_km("a_lat", "a_lng", "lat", "lng") + F.col("a_radius") <= F.col("radius_km")).select("area").distinct()
-    return areas.select("area").join(inside.withColumn("covered", F.lit(True)), "area", "left").select("area", F.coalesce("covered", F.lit(False)).alias("covered"))
+    """Per area (key, a_lat, a_lng, a_radius): whether one logged disk holds it whole. If any does, that one does whose
+    radius less its distance is greatest, so an area meets only the disks that can be that one in its cell."""
+    disks = log.where(F.startswith("key", F.lit(prefix)) & F.endswith("key", F.lit(ending)) & F.col("lat").isNotNull()).groupBy(F.col("lat").alias("s_lat"), F.col("lng").alias("s_lng")).agg(F.max("radius_km").alias("lead"))
+    own = in_cells(areas.select("area", F.col("a_lat").alias("lat"), F.col("a_lng").alias("lng"), "a_radius"))
+    hits = own.join(candidates(own, disks).hint("merge"), CELL)
+    inside = hits.where(haversine_km("lat", "lng", "s_lat", "s_lng") + F.col("a_radius") <= F.col("lead")).select("area").distinct()
+    return areas.select("area").join(inside.withColumn("covered", F.lit(True)).hint("merge"), "area", "left").select("area", F.coalesce("covered", F.lit(False)).alias("covered"))
 
 
 def is_ingested(log: DataFrame, keys: DataFrame) -> DataFrame:

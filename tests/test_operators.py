@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -251,3 +252,17 @@ def test_bulk_filter_keeps_parts_of_any_id(spark, tmp_path):
     part.drop("p_partkey").crossJoin(ids).write.parquet(str(tmp_path / "part.parquet"))
     got = catalog.queries()["bulk_filter"](spark, str(tmp_path)).collect()
     assert sorted((r["id"], r["positional_accuracy"]) for r in got) == [(1, 1000), (2_000_001, 2_000_001_000), (3_000_001, None)]
+
+
+def test_an_area_meets_the_disks_that_can_hold_it_and_no_others(spark):
+    rnd = random.Random(3)
+    disks = [(f"obs:fungi:{k}", rnd.uniform(44, 48), rnd.uniform(-124, -118), float(rnd.randrange(50, 90))) for k in range(600)] + [("obs:fungi:pole", 89.9, 10.0, 300.0), ("obs:fungi:none", 45.0, -120.0, None)]
+    asked = [(k, rnd.uniform(43, 49), rnd.uniform(-125, -117), float(rnd.randrange(20, 80))) for k in range(300)] + [(1000, 88.0, -170.0, 10.0), (1001, 45.0, None, 10.0)]
+    areas = spark.createDataFrame(asked, "area int, a_lat double, a_lng double, a_radius double")
+    log = spark.createDataFrame(disks, "key string, lat double, lng double, radius_km double")
+    held = areas.crossJoin(log).where(geo.haversine_km("a_lat", "a_lng", "lat", "lng") + F.col("a_radius") <= F.col("radius_km")).select("area").distinct()
+    want = {r["area"] for r in held.collect()}
+    assert want and {r["area"] for r in coverage.covered(areas, log, "obs:fungi:").where("covered").collect()} == want
+    cells = proximity.in_cells(areas.select(F.col("a_lat").alias("lat"), F.col("a_lng").alias("lng")))
+    there = proximity.candidates(cells, log.select(F.col("lat").alias("s_lat"), F.col("lng").alias("s_lng"), F.col("radius_km").alias("lead")))
+    assert there.count() < 5 * len(asked)

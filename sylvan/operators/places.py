@@ -24,14 +24,20 @@ def lookup(asked: DataFrame, indexed: DataFrame) -> DataFrame:
     """For each question (question, text) the place whose name holds all its words: that with the fewest other words, then the
     greatest weight, then the least id. No row where a word is in no name, or there is no word.
 
-    A question meets the places of its rarest word alone, so that frequent words are not joined.
+    Questions of the same words are one, and so are names, of which the first in that order stands for all. Such a question
+    meets the names with its rarest word alone, so that neither copies nor frequent words are joined.
     """
-    frequency = indexed.groupBy("token").agg(F.count("*").alias("places"))
-    words = asked.select("question", tokens("text").alias("wanted")).select("question", "wanted", F.explode("wanted").alias("token")).join(frequency, "token", "left")
-    rare = words.groupBy("question").agg(F.first("wanted").alias("wanted"), F.bool_and(F.col("places").isNotNull()).alias("known"), F.min_by("token", F.struct("places", "token")).alias("token")).where("known")
-    hits = rare.join(indexed, "token").where(F.size(F.array_except("wanted", "row.tokens")) == 0)
-    order = F.struct(F.size("row.tokens").alias("words"), (-F.col("row.weight")).alias("light"), F.col("row.place").alias("place"))
-    return hits.groupBy("question").agg(F.min_by("row", order).alias("row")).select("question", "row.*").drop("tokens")
+    once = indexed.where(F.col("token") == F.get("row.tokens", F.lit(0))).select("row", F.array_sort("row.tokens").alias("words"), (-F.col("row.weight")).alias("light"))
+    names = once.groupBy("words").agg(F.min_by("row", F.struct("light", F.col("row.place").alias("place"))).alias("row"))
+    spread = names.select(F.explode("words").alias("token"), "words", "row")
+    frequency = names.select(F.explode("words").alias("token")).groupBy("token").agg(F.count("*").alias("places"))
+    asks = asked.select("question", F.array_sort(tokens("text")).alias("wanted"))
+    words = asks.select("wanted").distinct().select("wanted", F.explode("wanted").alias("token")).join(frequency.hint("merge"), "token", "left")
+    rare = words.groupBy("wanted").agg(F.bool_and(F.col("places").isNotNull()).alias("known"), F.min_by("token", F.struct("places", "token")).alias("token")).where("known")
+    hits = rare.join(spread.hint("merge"), "token").where(F.size(F.array_except("wanted", "words")) == 0)
+    order = F.struct(F.size("words").alias("words"), (-F.col("row.weight")).alias("light"), F.col("row.place").alias("place"))
+    best = hits.groupBy("wanted").agg(F.min_by("row", order).alias("row"))
+    return asks.join(best.hint("merge"), "wanted").select("question", "row.*").drop("tokens")
 
 
 def resolve(asked: DataFrame, indexed: DataFrame) -> DataFrame:

@@ -519,7 +519,7 @@ asks AS (SELECT s_suppkey::BIGINT AS question, CASE WHEN s_suppkey%4=0 THEN 'now
 def _named(s, d: str) -> tuple[DataFrame, DataFrame]:
     part, k = views.table(s, d, "part"), F.col("s_suppkey")
     named = part.select(F.col("p_partkey").cast("long").alias("place"), F.concat_ws(" ", "p_name", "p_brand").alias("name"), F.col("p_size").alias("weight"))
-    rows = views.table(s, d, "supplier").join(part, F.col("p_partkey") == k * 13 % 200)
+    rows = views.table(s, d, "supplier").join(part.hint("merge"), F.col("p_partkey") == k * 13 % 200)
     return rows.select(k.cast("long").alias("question"), F.when(k % 4 == 0, F.concat(F.lit("nowhere "), "p_name")).otherwise(F.concat(F.upper("p_brand"), F.lit(", "), "p_name")).alias("text")), named
 
 

@@ -52,6 +52,17 @@ def test_nearest_site_meets_few_sites_and_finds_the_nearest(spark):
     assert "Generate" not in plan  # rows that Spark's sizes do not count, and so broadcasts
 
 
+def test_lookup_meets_copies_of_names_and_questions_once(spark):
+    named = [(k, ["Bear Lake", "lake bear", "Salmon Creek", "Salmon Creek North"][k % 4], k % 7) for k in range(400)]
+    asked = [(k, ["lake, bear", "BEAR lake", "salmon", "no salmon"][k % 4]) for k in range(200)]
+    rows = places.lookup(spark.createDataFrame(asked, "question int, text string"), places.index(spark.createDataFrame(named, "place long, name string, weight int")))
+    best = lambda names: min((-w, p) for p, n, w in named if n in names)[1]
+    want = [best(("Bear Lake", "lake bear")), best(("Bear Lake", "lake bear")), best(("Salmon Creek",))]
+    assert {r["question"]: r["place"] for r in rows.collect()} == {k: want[k % 4] for k in range(200) if k % 4 < 3}
+    made = rows._jdf.queryExecution().executedPlan()
+    assert "BroadcastHashJoin" not in made.toString() and "HashAggregate(keys=[wanted" in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_devices(spark):
     some = spark.createDataFrame([("a",), ("b",), ("c",), ("a",)], "device_id string")
     saved = devices.save_locations(spark.createDataFrame([("b", "old", 1.0, 2.0, 3.0)], LOCATIONS), spark.createDataFrame([("b", "new", 4.0, 5.0, 0.0, 2), ("b", "newer", 6.0, 7.0, 0.0, 3), ("c", "c", 8.0, 9.0, 10.0, 1)], LOCATIONS + ", seq int"))

@@ -13,6 +13,7 @@ from ..functions.geo import cell_index, haversine_km, reach, thin
 from ..functions.text import first_text, node_id
 from ..schemas import KM_PER_DEGREE
 from ..sources.payloads import dedupe_last, vertices_of
+from .proximity import nearest_site
 
 
 def _line(geometry) -> Column:
@@ -39,14 +40,14 @@ def networks(heads: DataFrame, found: DataFrame, most: int = 60) -> DataFrame:
     """
     roads = found.where((F.col("type") == "way") & _tag("highway").isNotNull())
     touching = roads.select(F.explode(F.array_distinct("nodes")).alias("node"), F.col("id").alias("way"), first_text(_tag("name"), _tag("ref")).alias("name"), _line(F.col("geometry")).alias("line"))
-    touching = touching.join(heads.select("node").distinct(), "node")
+    touching = touching.join(heads.select("node").distinct().hint("merge"), "node")
     routes = found.where((F.col("type") == "relation") & (_tag("route") == "hiking"))
     of_ways = F.transform(F.filter("members", lambda m: (m["type"] == "way") & m["ref"].isNotNull()), lambda m: m["ref"])
-    via = touching.select("node", "way").join(routes.select("id", F.explode(F.array_distinct(of_ways)).alias("way")), "way").select("node", "id").distinct()
+    via = touching.select("node", "way").join(routes.select("id", F.explode(F.array_distinct(of_ways)).alias("way")).hint("merge"), "way").select("node", "id").distinct()
     lines = F.filter(F.transform(F.filter("members", lambda m: m["type"] == "way"), lambda m: _line(m["geometry"])), lambda x: F.size(x) > 0)
     whole = routes.select("id", first_text(_tag("name"), _tag("ref")).alias("name"), F.coalesce(F.transform(lines, lambda x: thin(x, most)), F.array().cast("array<array<struct<lat:double,lon:double>>>")).alias("lines"))
     parts = touching.where(F.size("line") > 0).select("node", F.lit(0).alias("rank"), F.col("way").alias("id"), "name", F.array(thin("line", most)).alias("lines"))
-    parts = parts.unionByName(via.join(whole, "id").select("node", F.lit(1).alias("rank"), "id", "name", "lines"))
+    parts = parts.unionByName(via.join(whole.hint("merge"), "id").select("node", F.lit(1).alias("rank"), "id", "name", "lines"))
     one = parts.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "name", "lines"))).alias("parts"))  # the ways and routes of one node
     named = lambda rank: F.filter("parts", lambda p: (p["rank"] == rank) & p["name"].isNotNull())
     route_name, way_name = F.try_element_at(named(1), F.lit(-1))["name"], F.try_element_at(named(0), F.lit(1))["name"]
@@ -58,21 +59,35 @@ def networks(heads: DataFrame, found: DataFrame, most: int = 60) -> DataFrame:
     return one.select("node", "name", "kind", F.when(F.size("lines") == 1, single).otherwise(several).alias("geojson"))
 
 
+def _met_in_cells(points: DataFrame, vertices: DataFrame, max_km: float) -> DataFrame:
+    """key, km, trail of all pairs within max_km whose extent the point's box touches, by cells as high as max_km."""
+    cell = max(max_km / KM_PER_DEGREE, 0.01)
+    dlat, dlng = reach("lat", max_km)
+    span = lambda x, d: F.explode(F.sequence(cell_index(F.col(x) - d * 1.01, cell), cell_index(F.col(x) + d * 1.01, cell)))
+    look = points.select("key", "lat", "lng", span("lat", dlat).alias("i")).withColumn("j", span("lng", dlng))
+    own = vertices.withColumn("i", cell_index("v.lat", cell)).withColumn("j", cell_index("v.lng", cell))
+    touched = (F.col("min_lat") <= F.col("lat") + dlat) & (F.col("max_lat") >= F.col("lat") - dlat) & (F.col("min_lng") <= F.col("lng") + dlng) & (F.col("max_lng") >= F.col("lng") - dlng)
+    hits = look.join(own.hint("merge"), ["i", "j"]).where(touched).withColumn("km", haversine_km("lat", "lng", "v.lat", "v.lng"))
+    return hits.where(F.col("km") <= max_km).select("key", "km", "trail")
+
+
 def nearest_by_vertex(points: DataFrame, trails: DataFrame, max_km: float) -> DataFrame:
     """For each point (key, lat, lng) the path or route whose extent its box touches with the nearest vertex within max_km;
-    of equally near ones that with the least id. Points meet vertices in cells as high as max_km.
+    of equally near ones that with the least id.
+
+    A vertex inside its trail's extent and away from the poles and the date line is in the box of any point within max_km
+    (up to 100 km), so of those the nearest site is the answer; the others, and points off the map, are met in cells.
 
     trails: id, kind, extent and vertices (lat, lng).
     """
-    cell = max(max_km / KM_PER_DEGREE, 0.01)
-    dlat, dlng = reach("lat", max_km)
-    span = lambda x, d: F.explode(F.sequence(cell_index(F.col(x) - d * 1.01, cell), cell_index(F.col(x) + d * 1.01, cell)))
-    look = points.select("key", "lat", "lng", span("lat", dlat).alias("i")).withColumn("j", span("lng", dlng))
     own = trails.where(F.col("kind").isin("path", "route")).select(F.col("id").alias("trail"), "min_lat", "min_lng", "max_lat", "max_lng", F.explode("vertices").alias("v"))
-    own = own.withColumn("i", cell_index("v.lat", cell)).withColumn("j", cell_index("v.lng", cell))
-    touched = (F.col("min_lat") <= F.col("lat") + dlat) & (F.col("max_lat") >= F.col("lat") - dlat) & (F.col("min_lng") <= F.col("lng") + dlng) & (F.col("max_lng") >= F.col("lng") - dlng)
-    hits = look.join(own, ["i", "j"]).where(touched).withColumn("km", haversine_km("lat", "lng", "v.lat", "v.lng")).where(F.col("km") <= max_km)
-    return hits.groupBy("key").agg(F.min(F.struct("km", "trail")).alias("best")).select("key", F.col("best.trail").alias("trail"), F.col("best.km").alias("km"))
+    inside = F.col("v.lat").between(F.col("min_lat"), F.col("max_lat")) & F.col("v.lng").between(F.col("min_lng"), F.col("max_lng"))
+    plain = F.coalesce(inside & (F.abs("v.lat") <= 75) & (F.abs("v.lng") <= 180 - max_km / 18), F.lit(False)) if max_km <= 100 else F.lit(False)
+    on_map = F.coalesce((F.abs("lat") <= 90) & (F.abs("lng") <= 180), F.lit(False))
+    sites = own.where(plain).select(F.col("trail").alias("site"), F.col("v.lat").alias("s_lat"), F.col("v.lng").alias("s_lng"))
+    near = nearest_site(points.where(on_map), sites, max_km).where("km IS NOT NULL").select("key", "km", F.col("site").alias("trail"))
+    met = near.unionByName(_met_in_cells(points.where(on_map), own.where(~plain), max_km)).unionByName(_met_in_cells(points.where(~on_map), own, max_km))
+    return met.groupBy("key").agg(F.min(F.struct("km", "trail")).alias("best")).select("key", F.col("best.trail").alias("trail"), F.col("best.km").alias("km"))
 
 
 def resolve(asked: DataFrame, trails: DataFrame, found: DataFrame, max_km: float = 2.0) -> DataFrame:
@@ -84,14 +99,14 @@ def resolve(asked: DataFrame, trails: DataFrame, found: DataFrame, max_km: float
     """
     trails = trails if "vertices" in trails.columns else trails.withColumn("vertices", vertices_of("geojson"))
     heads = trails.where(F.col("kind") == "trailhead").select("id", "center_lat", "center_lng", node_id("id").alias("node")).where("node IS NOT NULL")
-    heads = asked.select(F.col("id").alias("asked")).distinct().join(heads, F.col("asked") == F.col("id"), "left")
+    heads = asked.select(F.col("id").alias("asked")).distinct().join(heads.hint("merge"), F.col("asked") == F.col("id"), "left")
     own = networks(heads.where("node IS NOT NULL").select("node"), found).select(F.col("node").alias("of"), "name", "kind", "geojson")
-    both = heads.join(own, F.col("node") == F.col("of"), "left")
+    both = heads.join(own.hint("merge"), F.col("node") == F.col("of"), "left")
     live = both.where("of IS NOT NULL").select("asked", F.lit("network").alias("state"), "id", "name", "kind", "center_lat", "center_lng", "geojson")
     left = both.where("of IS NULL")
     guess = nearest_by_vertex(left.where("node IS NOT NULL").select(F.col("asked").alias("key"), F.col("center_lat").alias("lat"), F.col("center_lng").alias("lng")), trails, max_km)
     shape = F.col("geojson") if "geojson" in trails.columns else F.lit(None).cast("string").alias("geojson")
     rows = trails.select("id", "name", "kind", "center_lat", "center_lng", shape)
     state = F.when(F.col("node").isNull(), "unknown").when(F.col("trail").isNull(), "none").otherwise("nearest")
-    rest = left.select("asked", "node").join(guess, F.col("asked") == F.col("key"), "left").join(rows, F.col("trail") == F.col("id"), "left")
+    rest = left.select("asked", "node").join(guess.hint("merge"), F.col("asked") == F.col("key"), "left").join(rows.hint("merge"), F.col("trail") == F.col("id"), "left")
     return live.unionByName(rest.select("asked", state.alias("state"), "id", "name", "kind", "center_lat", "center_lng", "geojson"))

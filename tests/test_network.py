@@ -1,9 +1,11 @@
 """Trailhead networks from topology, and the nearest trail where there is none."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
+from sylvan.functions import geo
 from sylvan.operators import network
 from sylvan.schemas import TRAILS
 from sylvan.sources import payloads
@@ -90,3 +92,21 @@ def test_long_lines_are_thinned(spark):
     got = networks(spark, [way(1, [1], line(*[(k / 10, 1.0) for k in range(500)]))])[1]
     at = json.loads(got["geojson"])["coordinates"]
     assert len(at) == 60 and (at[0][1], at[-1][1]) == (0.0, 49.9)
+
+
+def test_nearest_vertices_by_bounds_are_those_of_all_pairs(spark):
+    rnd = random.Random(5)
+    lines = [(f"p{k}", ["path", "route", "trailhead"][k % 3], [(a + i / 500, b + i / 500) for i in range(4)]) for k in range(240) for a, b in [(rnd.uniform(45, 46), rnd.uniform(-121, -120))]]
+    lines += [("pole", "path", [(88.0, 0.0)]), ("line", "path", [(0.0, 179.99)])]
+    rows = [(k, kind, min(v)[0] + (k == "p1"), min(x[1] for x in v), max(v)[0] + (k == "p1"), max(x[1] for x in v), v) for k, kind, v in lines]  # the extent of p1 is wrong
+    trails = spark.createDataFrame(rows, "id string, kind string, min_lat double, min_lng double, max_lat double, max_lng double, vertices array<struct<lat:double,lng:double>>")
+    asked = [(k, rnd.uniform(45, 46), rnd.uniform(-121, -120)) for k in range(80)] + [(100, 88.0, 5.0), (101, 0.0, -179.99), (102, 0.0, 180.0), (103, 0.0, 180.01), (104, None, 1.0), (105, lines[1][2][0][0], lines[1][2][0][1])]
+    points = spark.createDataFrame(asked, "key int, lat double, lng double")
+    dlat, dlng = geo.reach("lat", 8.0)
+    touched = "min_lat <= lat + dlat AND max_lat >= lat - dlat AND min_lng <= lng + dlng AND max_lng >= lng - dlng"
+    pairs = points.withColumns({"dlat": dlat, "dlng": dlng}).crossJoin(trails.where("kind <> 'trailhead'").selectExpr("*", "explode(vertices) AS v")).where(touched)
+    pairs = pairs.withColumn("km", geo.haversine_km("lat", "lng", "v.lat", "v.lng")).where("km <= 8")
+    want = {r["key"]: tuple(r["best"]) for r in pairs.groupBy("key").agg(F.min(F.struct("km", "id")).alias("best")).collect()}
+    found = network.nearest_by_vertex(points, trails, 8.0)
+    assert {r["key"]: (r["km"], r["trail"]) for r in found.collect()} == want and len(want) > 40
+    assert "BroadcastHashJoin [i#" not in found._jdf.queryExecution().executedPlan().toString()  # exploded rows stay distributed

@@ -23,7 +23,7 @@ def overwrite_merge(stored: DataFrame, batch: DataFrame, key: str, order: str) -
     """The batch's last row of a key replaces the stored one whole, nulls included."""
     columns = [c for c in stored.columns if c != key]
     last = batch.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("row")).select(key, "row.*")
-    return stored.join(last, key, "left_anti").select(key, *columns).unionByName(last)
+    return stored.join(last.select(key).hint("merge"), key, "left_anti").select(key, *columns).unionByName(last)
 
 
 def record_ingest(log: DataFrame, runs: DataFrame, as_of: str) -> DataFrame:

@@ -141,7 +141,10 @@ def trail_rows(pages: DataFrame, most: int = 60, by: list[str] = ()) -> DataFram
     unnamed = F.when(F.col("type") == "node", "Trailhead (OSM)").when(F.col("type") == "way", "Trail (OSM)").otherwise("Hiking route (OSM)")
     ref = F.when(F.col("type") != "node", _tag("ref"))
     rows = e.select("seq", *by, F.col("key").alias("id"), tx.first_text(_tag("name"), ref, unnamed).alias("name"), kind.alias("kind"), F.array_min(lat).alias("min_lat"), F.array_min(lng).alias("min_lng"), F.array_max(lat).alias("max_lat"), F.array_max(lng).alias("max_lng"), middle["lat"].alias("center_lat"), middle["lon"].alias("center_lng"), shape.alias("geojson"), F.lit("osm").alias("source"), "url")
-    return dedupe_last(rows.withColumn("own", F.struct("id", *by)), "own", "seq").drop("own") if by else dedupe_last(rows, "id", "seq")
+    if not by:
+        return dedupe_last(rows, "id", "seq")
+    rest = [c for c in rows.columns if c not in ("seq", "id", *by)]  # pages that are dealt by these columns stay where they are
+    return rows.groupBy("id", *by).agg(F.max_by(F.struct(*rest), "seq").alias("row")).select("id", *by, "row.*")
 
 
 #: Sources of land units: agency, property with the id, property with the name, name where there is none, address. Fixed values.

@@ -81,3 +81,14 @@ def test_trail_layer(spark):
     # 1 came whole and counts its shared way twice; 2 failed and 4 never came
     assert {r["key"]: r["row_count"] for r in after.collect()} == {"trails:place:3": 7, "trails:place:1": 4}
     assert after.where(F.col("key") == "trails:place:1").first()["lat"] is None
+
+
+def test_tiles_are_dealt_over_tasks_by_their_number(spark):
+    regions = spark.range(6).selectExpr("id AS place", "45.0D AS min_lat", "-121.0D AS min_lng", "45.5D AS max_lat", "-120.5D AS max_lng")
+    text = '{"elements":[{"type":"way","id":%d,"geometry":[{"lat":45.0,"lon":-121.0},{"lat":45.1,"lon":-121.0}]},{"type":"way","id":7,"geometry":[{"lat":%d.0,"lon":1.0}]}]}'
+    pages = spark.createDataFrame([(p, k, text % (100 + 4 * p + k, p + k)) for p in range(6) for k in range(4)], "place long, tile int, json string").coalesce(1)
+    log = spark.createDataFrame([], INGEST_LOG)
+    trails, logged = layers.ingest_trails(spark.createDataFrame([], TRAILS), log, regions, pages, "2001-06-29", 0.25, tiles_per_task=4)
+    assert {r["id"]: r["center_lat"] for r in trails.collect() if r["id"] == "osm:way/7"} == {"osm:way/7": 8.0} and trails.count() == 25
+    assert {r["key"]: r["row_count"] for r in logged.collect()} == {f"trails:place:{p}": 8 for p in range(6)}
+    assert trails.rdd.getNumPartitions() >= 6 and "BroadcastHashJoin" not in trails._jdf.queryExecution().executedPlan().toString()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,10 +14,21 @@ def col(x) -> Column:
     return x if isinstance(x, Column) else F.col(x) if isinstance(x, str) else F.lit(float(x))
 
 
+def _half_sine_squared(a: Column, b: Column) -> Column:
+    return F.pow(F.sin(F.radians(b - a) / 2), 2)
+
+
+def _cosines(lat1: Column, lat2: Column) -> Column:
+    return F.cos(F.radians(lat1)) * F.cos(F.radians(lat2))
+
+
+def _great_circle_km(h: Column) -> Column:
+    return 2 * EARTH_KM * F.when(h < 1, F.asin(F.sqrt(h))).when(h >= 1, F.asin(F.lit(1.0)))  # null without a place
+
+
 def haversine_km(lat1, lng1, lat2, lng2) -> Column:
     lat1, lng1, lat2, lng2 = map(col, (lat1, lng1, lat2, lng2))
-    h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lng2 - lng1) / 2), 2)
-    return 2 * EARTH_KM * F.when(h < 1, F.asin(F.sqrt(h))).when(h >= 1, F.asin(F.lit(1.0)))  # null without a place
+    return _great_circle_km(_half_sine_squared(lat1, lat2) + _cosines(lat1, lat2) * _half_sine_squared(lng1, lng2))
 
 
 def reach(lat, radius_km) -> tuple[Column, Column]:
@@ -92,17 +105,27 @@ def tiles(min_lat, min_lng, max_lat, max_lng, tile: float) -> Column:
     return F.flatten(F.transform(steps(min_lat, max_lat), lambda i: F.transform(steps(min_lng, max_lng), lambda j: box(i, j))))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once for each row, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def query_circles(lat, lng, radius_km, circle_km: float, most: int = MOST_CIRCLES) -> Column:
     """Centres of circles on a grid as wide as their radius that together cover a disk: those whose circle reaches the
-    disk and, of these, the `most` nearest to its centre (in the grid's order where distances are equal)."""
+    disk and, of these, the `most` nearest to its centre (in the grid's order where distances are equal).
+
+    Sines and cosines hang on one side of the grid alone, so they are worked out for its sides and not for each circle."""
     lat, lng, r = col(lat), col(lng), col(radius_km)
-    dlat, dlng = reach(lat, circle_km)
     n = F.greatest(F.lit(1), F.ceil(r / circle_km).cast("int"))
-    at = lambda i, j: F.struct((lat + i * dlat).alias("lat"), (lng + j * dlng).alias("lng"))
-    grid = F.flatten(F.transform(F.sequence(-n, n), lambda i: F.transform(F.sequence(-n, n), lambda j: at(i, j))))
-    far = F.transform(grid, lambda c, k: F.struct(haversine_km(lat, lng, c["lat"], c["lng"]).alias("km"), k.alias("k"), c.alias("c")))
-    near = F.filter(far, lambda c: c["km"] <= r + circle_km)
-    return F.transform(F.when(F.size(near) > most, F.slice(F.array_sort(near), 1, most)).otherwise(near), lambda c: c["c"])
+    high = lambda at: F.struct(at.alias("lat"), _half_sine_squared(lat, at).alias("h"), _cosines(lat, at).alias("c"))
+    wide = lambda at: F.struct(at.alias("lng"), _half_sine_squared(lng, at).alias("h"))
+    side = lambda start, step, made: F.transform(F.transform(F.sequence(-n, n), lambda i: start + i * step), made)
+    at = lambda x, y: F.struct(_great_circle_km(x["h"] + x["c"] * y["h"]).alias("km"), x["lat"].alias("lat"), y["lng"].alias("lng"))
+    line = lambda x, ys: F.filter(F.transform(ys, lambda y: at(x, y)), lambda c: c["km"] <= r + circle_km)
+    near = _once(F.array(*reach(lat, circle_km)), lambda d: _once(side(lng, d[1], wide), lambda ys: F.flatten(F.transform(side(lat, d[0], high), lambda x: line(x, ys)))))
+    # in the grid's order both lat and lng rise
+    kept = _once(near, lambda c: F.when(F.size(c) > most, F.slice(F.sort_array(c), 1, most)).otherwise(c))
+    return F.transform(kept, lambda c: F.struct(c["lat"].alias("lat"), c["lng"].alias("lng")))
 
 
 def thin(vertices, most: int = 60) -> Column:

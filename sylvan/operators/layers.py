@@ -13,11 +13,18 @@ from .coverage import covered, is_ingested
 from .merge import overwrite_merge, record_ingest
 
 
+def circles(areas: DataFrame, key: str, radius_km, circle_km: float, number: int, areas_per_task: int = 2_000) -> DataFrame:
+    """The query circles (key, circle, c) of areas (key, lat, lng), which are dealt over tasks by their number: an area is a
+    few bytes and its grid is hundreds of places, so the size of the table tells nothing of the work."""
+    dealt = areas.repartition(max(1, -(-number // areas_per_task)), key)
+    return dealt.select(key, F.posexplode(query_circles("lat", "lng", radius_km, circle_km)).alias("circle", "c"))
+
+
 def circles_to_ask(areas: DataFrame, log: DataFrame, prefix: str, circle_km: float) -> DataFrame:
     """The query circles (area, circle, lat, lng) of areas (area, lat, lng, radius_km) that no logged disk holds whole."""
     asked = areas.select("area", F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng"), F.col("radius_km").alias("a_radius"))
     new = covered(asked, log, prefix).where("NOT covered").select("area")
-    rows = areas.join(new, "area").select("area", F.posexplode(query_circles("lat", "lng", F.col("radius_km"), circle_km)).alias("circle", "c"))
+    rows = circles(areas.join(new, "area"), "area", F.col("radius_km"), circle_km, areas.count())
     return rows.select("area", "circle", F.col("c.lat").alias("lat"), F.col("c.lng").alias("lng"))
 
 

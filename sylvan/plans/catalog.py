@@ -404,13 +404,15 @@ FROM camps CROSS JOIN range({-n},{n + 1}) a(i) CROSS JOIN range({-n},{n + 1}) b(
 
 @query("query_centers", _circles_sql(100.0, 30.0, 4), "camps")
 def _(s, d):
-    rows = views.camps(s, d).select("id", F.explode(geo.query_circles("lat", "lng", 100.0, 30.0)).alias("c"))
+    camps = views.camps(s, d)
+    rows = layers.circles(camps, "id", 100.0, 30.0, camps.count())
     return rows.select("id", F.round("c.lat", 6).alias("lat"), F.round("c.lng", 6).alias("lng"))
 
 
 @query("query_centers_capped", f"SELECT id, count(*) AS n, round(sum(lat),3) AS lat FROM ({_circles_sql(500.0, 45.5, 11)}) GROUP BY 1", "camps")
 def _(s, d):
-    rows = views.camps(s, d).select("id", F.explode(geo.query_circles("lat", "lng", 500.0, 45.5)).alias("c"))
+    camps = views.camps(s, d)
+    rows = layers.circles(camps, "id", 500.0, 45.5, camps.count())
     return rows.groupBy("id").agg(F.count("*").alias("n"), F.round(F.sum(F.round("c.lat", 6)), 3).alias("lat"))
 
 

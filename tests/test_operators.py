@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 from sylvan.functions import geo, text
-from sylvan.operators import calendar, coverage, merge, phenology, planner, proximity, ranking
+from sylvan.operators import calendar, coverage, layers, merge, phenology, planner, proximity, ranking
 from sylvan.plans import catalog
 from sylvan.schemas import CAMPSITES, GENERA, INGEST_LOG, OBSERVATIONS, TRAILS
 from sylvan.sources import payloads, versions
@@ -152,6 +152,24 @@ def test_circles_are_capped(spark):
     assert (far["c"][0]["lat"], far["c"][0]["lng"]) == (47.6, -122.3)  # the nearest come first
 
 
+def test_circles_are_the_nearest_of_the_grid(spark):
+    at = spark.createDataFrame([(k, 30.0 + 7 * k, -120.0 - k, 100.0 * k) for k in range(5)] + [(5, None, 1.0, 100.0), (6, -89.9, 180.0, 300.0)], "key int, lat double, lng double, r double")
+    rows = at.withColumns({"n": F.greatest(F.lit(1), F.ceil(F.col("r") / 30.0).cast("int"))}).withColumn("i", F.explode(F.sequence(-F.col("n"), "n"))).withColumn("j", F.explode(F.sequence(-F.col("n"), "n")))
+    dlat, dlng = geo.reach("lat", 30.0)
+    rows = rows.select("key", "r", "i", "j", "lat", "lng", (F.col("lat") + F.col("i") * dlat).alias("c_lat"), (F.col("lng") + F.col("j") * dlng).alias("c_lng"))
+    want = {}
+    for r in rows.withColumn("km", geo.haversine_km("lat", "lng", "c_lat", "c_lng")).where(F.col("km") <= F.col("r") + 30.0).orderBy("key", "i", "j").collect():
+        want.setdefault(r["key"], []).append((r["km"], r["i"], r["j"], r["c_lat"], r["c_lng"]))
+    want = {k: [c[3:] for c in (sorted(v)[:200] if len(v) > 200 else v)] for k, v in want.items()}
+    made = layers.circles(at.coalesce(1), "key", F.col("r"), 30.0, at.count(), areas_per_task=2)
+    got = {}
+    for r in made.orderBy("key", "circle").collect():
+        got.setdefault(r["key"], []).append(tuple(r["c"]))
+    assert got == want and len(want[4]) == 200
+    # areas in one small file are not one task
+    assert made.rdd.getNumPartitions() == 4
+
+
 def test_text(spark):
     f = spark.createDataFrame([("<p>A&nbsp;&amp; B</p>\xa0 c &#8217;&#x27;&uuml;&CounterClockwiseContourIntegral;&amp;lt;", "Free of charge!", "47.6 -122.3"), ("<br>", "Smoke-free, $20. Tax: none", "99,0"), (None, None, None)], "h string, fee string, at string")
     a, b, c = f.select(text.clean_html("h").alias("h"), text.free_from_fee("fee").alias("free"), text.parse_coordinates("at").alias("at"), text.lenient_date(F.lit("2024-02-30")).alias("d")).collect()

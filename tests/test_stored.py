@@ -30,6 +30,11 @@ def test_curve_keeps_neighbours_together(spark):
         assert r["c"] == (None if r["lat"] is None else spread(step(r["lat"], -90, 180)) * 2 + spread(step(r["lng"], -180, 360)))
 
 
+def test_curve_works_out_a_place_once(spark):
+    rows = spark.createDataFrame([(45.0, -120.0)], "lat double, lng double").select(layout.curve("lat", "lng").alias("c"))
+    assert plan(rows).count("FLOOR(") == 2  # one for each axis: copies make a method that is too large to be compiled
+
+
 @pytest.mark.parametrize("name,by,search", [("camps", layout.POINT, proximity.camps_near), ("trails", layout.EXTENT, proximity.trails_near), ("land", layout.EXTENT, proximity.land_near)])
 def test_a_search_reads_few_files(spark, name, by, search):
     table = getattr(views, name)(spark, SF)

@@ -1,6 +1,6 @@
 """Materialised tables of the benchmark views: built once for each state of their source files, then read by version.
 
-places: camps, trails and land along a curve. sightings: observations by place and by day. seasons: phenology, regions, and daily counts in order of days.
+places: camps, trails and land along a curve. points: observations along it. sightings: observations by day. seasons: phenology, regions, and daily counts in order of days.
 """
 
 from __future__ import annotations
@@ -36,13 +36,22 @@ def place_table(spark: SparkSession, sf_dir: str, name: str, lat: float, lng: fl
     return layout.near(spark, f"{places(spark, sf_dir)}/{name}", lat, lng, radius_km)
 
 
+def points(spark: SparkSession, sf_dir: str, rows_per_file: int = 1_000_000) -> str:
+    """The folder of single observations along a curve."""
+    mark = mark_of(spark, f"{sf_dir}/orders.parquet")
+    return refreshed(spark, _root(spark, sf_dir, f"points-{rows_per_file}"), mark, lambda folder: layout.write(views.order_observations(spark, sf_dir), f"{folder}/points", layout.POINT, rows_per_file))
+
+
+def points_near(spark: SparkSession, sf_dir: str, lat: float, lng: float, radius_km: float) -> DataFrame:
+    return layout.near(spark, f"{points(spark, sf_dir)}/points", lat, lng, radius_km)
+
+
 def sightings(spark: SparkSession, sf_dir: str, rows_per_file: int = 1_000_000) -> str:
-    """The folder of single observations: points along a curve, by_day in order of days, and days with their counts."""
+    """The folder of single observations by day: by_day in order of days, and days with their counts."""
     mark = mark_of(spark, f"{sf_dir}/orders.parquet")
 
     def build(folder: str) -> None:
         rows = views.order_observations(spark, sf_dir)
-        layout.write(rows, f"{folder}/points", layout.POINT, rows_per_file)
         files = max(1, -(-rows.count() // rows_per_file))
         rows.repartitionByRange(files, "observed_on", "id").sortWithinPartitions("observed_on", "id").write.parquet(f"{folder}/by_day")
         days_of(rows).coalesce(1).write.parquet(f"{folder}/days")
@@ -50,10 +59,6 @@ def sightings(spark: SparkSession, sf_dir: str, rows_per_file: int = 1_000_000)
     return refreshed(spark, _root(spark, sf_dir, f"sightings-{rows_per_file}"), mark, build)
 
 
-def points_near(spark: SparkSession, sf_dir: str, lat: float, lng: float, radius_km: float) -> DataFrame:
-    return layout.near(spark, f"{sightings(spark, sf_dir)}/points", lat, lng, radius_km)
-
-
 def seasons(spark: SparkSession, sf_dir: str, cell: float) -> str:
     """The folder of the current phenology, regions and daily counts, built from the observations when these have changed."""
     mark = f"{cell} {mark_of(spark, f'{sf_dir}/lineitem.parquet')}"

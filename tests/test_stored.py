@@ -116,6 +116,16 @@ def test_a_deep_page_reads_its_days(spark):
     assert "GreaterThanOrEqual(observed_on,1997-02" in limits and "LessThanOrEqual(observed_on,1997-03-01)" in limits
 
 
+def test_points_and_days_are_built_apart(spark, tmp_path):
+    shutil.copyfile("/root/testdata/sf0.001/orders.parquet", tmp_path / "orders.parquet")
+    d = f"file://{tmp_path}"
+    near = catalog.queries()["precise_observations"](spark, d)
+    assert all("/points-" in f for f in near.inputFiles()) and versions.current(spark, stored._root(spark, d, "sightings-1000000")) is None
+    folder = stored.sightings(spark, d)
+    assert spark.read.parquet(f"{folder}/by_day").count() == spark.read.parquet(f"{stored.points(spark, d)}/points").count() == views.order_observations(spark, d).count()
+    assert not versions._files(spark, f"{folder}/points")[1].exists(versions._files(spark, f"{folder}/points")[0])
+
+
 def test_places_in_order(spark):
     rows = [(k, None if k % 5 == 0 else dt.date(2024, 1, 1 + k % 7)) for k in range(60)]
     got = calendar.with_places(spark.createDataFrame(rows, "id long, observed_on date")).collect()

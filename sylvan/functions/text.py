@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -18,10 +18,17 @@ FREE_MARKERS = ("no fee", "no charge", "free of charge", "fee: none", "$0", "$0.
 PLACE_KEYS = ("national_park", "protected_area", "forest", "state_forest", "nature_reserve", "city", "town", "village", "hamlet", "county")
 
 
-@F.pandas_udf(StringType())
-def _decoded(texts: pd.Series) -> pd.Series:
-    """All character references of HTML decoded, and each run of white space of any kind as one blank."""
-    return texts.map(lambda t: None if t is None else " ".join(html.unescape(t).split()))
+#: Texts of a batch that are Python's own strings at a time.
+TEXTS_AT_ONCE = 64
+
+
+@F.arrow_udf(StringType())
+def _decoded(texts: pa.Array) -> pa.Array:
+    """All character references of HTML decoded, and each run of white space of any kind as one blank. A batch may be large,
+    so it is turned into strings and back in small parts."""
+    clean = lambda t: None if t is None else " ".join(html.unescape(t).split())
+    parts = (texts.slice(k, TEXTS_AT_ONCE) for k in range(0, len(texts), TEXTS_AT_ONCE))
+    return pa.concat_arrays([pa.array(map(clean, p.to_pylist()), texts.type) for p in parts] or [texts])
 
 
 def clean_html(text) -> Column:

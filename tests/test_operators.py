@@ -1,8 +1,12 @@
 import datetime as dt
+import html
 import json
 import math
 import random
+import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from sylvan.functions import geo, text
@@ -170,6 +174,26 @@ def test_circles_are_the_nearest_of_the_grid(spark):
     assert made.rdd.getNumPartitions() == 4
 
 
+def test_clean_html_is_that_of_python(spark):
+    rnd = random.Random(5)
+    parts = ["&", "&amp", "&amp;", "&#", "&#x", "&#38;", "&#38", "&#x26;", "&#X41g", "&#0;", "&#xD800;", "&#128;", "&#1114112;", "&notit;", "&notin;", "&NotEqualTilde;", "&nosuch;", "&é;", "&\U0001f332&lt;", "&nbsp;", "&Tab;", "&NewLine;", "&zwj;", "&lt", "gt;", "#", ";", "<", "<br>", ">", " ", "x", "é", "\U0001f332", "9", "&" + "a" * 40 + ";", "&" + "\U0001f332" * 33 + ";", *map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF))]
+    texts = [*parts, "", "plain", None] + ["".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 25))) for _ in range(3000)]
+    want = [None if t is None else " ".join(html.unescape(re.sub("<[^>]+>", " ", t)).split()) or None for t in texts]
+    frame = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", text.clean_html("t").alias("h"))
+    got = {r["k"]: r["h"] for r in frame.collect()}
+    assert [(t, got[k]) for k, t in enumerate(texts)] == list(zip(texts, want, strict=True))
+
+
+def test_clean_html_holds_few_texts_of_a_batch(spark):
+    batch = pa.array(["caf&eacute; &amp; b\xa0 " * 100 + str(k) for k in range(5000)] + [None])
+    tracemalloc.start()
+    got = text._decoded.func(batch)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < batch.nbytes / 5
+    assert (len(got), got[7].as_py(), got[5000].as_py()) == (5001, "café & b " * 100 + "7", None) and len(text._decoded.func(batch[:0])) == 0
+
+
 def test_text(spark):
     f = spark.createDataFrame([("<p>A&nbsp;&amp; B</p>\xa0 c &#8217;&#x27;&uuml;&CounterClockwiseContourIntegral;&amp;lt;", "Free of charge!", "47.6 -122.3"), ("<br>", "Smoke-free, $20. Tax: none", "99,0"), (None, None, None)], "h string, fee string, at string")
     a, b, c = f.select(text.clean_html("h").alias("h"), text.free_from_fee("fee").alias("free"), text.parse_coordinates("at").alias("at"), text.lenient_date(F.lit("2024-02-30")).alias("d")).collect()

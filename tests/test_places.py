@@ -2,9 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 from sylvan.functions import geo
 from sylvan.operators import devices, places, planner, proximity
+from sylvan.plans import catalog
 from sylvan.schemas import LOCATIONS, SELECTED
 
 
@@ -52,6 +54,14 @@ def test_nearest_site_meets_few_sites_and_finds_the_nearest(spark):
     assert "Generate" not in plan  # rows that Spark's sizes do not count, and so broadcasts
 
 
+@pytest.mark.parametrize("name", ["trails_nearest_camp", "trails_near_with_camp"])
+def test_nearest_camps_broadcast_cells_alone(spark, name):
+    made = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in made and "rightHint=(strategy=broadcast)" in made
+    # of the sites' cells, those whose number the sphere bounds
+    assert made.count("strategy=broadcast") == proximity.BOUNDED
+
+
 def test_lookup_meets_copies_of_names_and_questions_once(spark):
     named = [(k, ["Bear Lake", "lake bear", "Salmon Creek", "Salmon Creek North"][k % 4], k % 7) for k in range(400)]
     asked = [(k, ["lake, bear", "BEAR lake", "salmon", "no salmon"][k % 4]) for k in range(200)]

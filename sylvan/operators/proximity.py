@@ -81,6 +81,12 @@ def _judged(pairs: DataFrame, level: int, within_km: float | None) -> DataFrame:
     return rows.withColumn("best", best).where(F.col("lead") - F.col("least_km") >= F.col("best") - SLACK_KM).drop("least_km", "most_km", "best")
 
 
+def _once_each(frame: DataFrame, *names: str) -> DataFrame:
+    """The distinct rows of these columns, as one result for all that reads them: of distinct() in distinct(), Spark keeps
+    the outer one alone, and so reads frame again for each level of cells."""
+    return frame.groupBy(*names).agg(F.count("*").alias("copies")).where("copies > 0").select(*names)
+
+
 def candidates(cells: DataFrame, sites: DataFrame, within_km: float | None = None) -> DataFrame:
     """For each of the finest cells (i, j, k): the sites that can have the greatest lead less distance for a point in it.
 
@@ -89,7 +95,8 @@ def candidates(cells: DataFrame, sites: DataFrame, within_km: float | None = Non
     one beats everywhere in the cell. So pairs stay in proportion to cells and sites, and no cell's sites are one group
     while they are many.
     """
-    cells = cells.select(*CELL).where("i IS NOT NULL AND j IS NOT NULL AND k IS NOT NULL").distinct()
+    cells = _once_each(cells.where("i IS NOT NULL AND j IS NOT NULL AND k IS NOT NULL"), *CELL)
+    cells = cells.select(*[F.coalesce(c, F.lit(0)).alias(c) for c in CELL])  # never null, or each level's join has Spark read others
     up = lambda level, names: [F.shiftright(c, 2 * (LEVELS - 1 - level)).alias(n) for c, n in zip(CELL, names, strict=True)]
     pairs = _on_sphere(sites, "s_lat", "s_lng").where("x IS NOT NULL AND lead IS NOT NULL").crossJoin(F.broadcast(cells.select(*up(0, CELL)).distinct()))
     pairs = _judged(pairs, 0, within_km)
@@ -102,14 +109,18 @@ def candidates(cells: DataFrame, sites: DataFrame, within_km: float | None = Non
 
 
 def nearest_site(points: DataFrame, sites: DataFrame, within_km: float | None = None) -> DataFrame:
-    """For each point (key, lat, lng): the nearest site (site, s_lat, s_lng) and its distance km, or nulls without sites
-    (with within_km: without sites so near). Of equally near ones, the least site."""
-    own = in_cells(points.select("key", "lat", "lng"))
+    """For each point (key, lat, lng and any others): its columns but lat and lng, the nearest site (site, s_lat, s_lng) and
+    its distance km, or nulls without a place or sites (with within_km: without sites so near). Of equally near ones, the
+    least site. Points of one place are one until the end; those without a place are not shuffled."""
+    nowhere, placed = points.where("lat IS NULL OR lng IS NULL"), points.where("lat IS NOT NULL AND lng IS NOT NULL")
+    own = in_cells(_once_each(placed, "lat", "lng"))
     there = candidates(own, sites.groupBy("s_lat", "s_lng").agg(F.min("site").alias("site")).withColumn("lead", F.lit(0.0)), within_km)
-    pairs = own.join(there.hint("merge"), CELL).select("key", haversine_km("lat", "lng", "s_lat", "s_lng").alias("km"), "site")
+    pairs = own.join(there.hint("merge"), CELL).select("lat", "lng", haversine_km("lat", "lng", "s_lat", "s_lng").alias("km"), "site")
     pairs = pairs if within_km is None else pairs.where(F.col("km") <= within_km)
-    found = pairs.groupBy(F.col("key").alias("of")).agg(F.min(F.struct("km", "site")).alias("best"))
-    return points.select("key").join(found.hint("merge"), F.col("key") == F.col("of"), "left").select("key", "best.site", "best.km")
+    found = pairs.groupBy("lat", "lng").agg(F.min(F.struct("km", "site")).alias("best"))
+    kept = [c for c in points.columns if c not in ("lat", "lng")]
+    rows = placed.join(found.hint("merge"), ["lat", "lng"], "left").select(*kept, "best.site", "best.km")
+    return rows.unionByName(nowhere.select(*kept), allowMissingColumns=True)
 
 
 def trail_by_id(trails: DataFrame, trail_id: str) -> DataFrame:

@@ -377,8 +377,8 @@ def _(s, d):
 def _(s, d):
     near = proximity.trails_near(_near(s, d, "trails", 90.0), LAT, LNG, 90.0)
     sites = views.camps(s, d).select(F.col("id").alias("site"), F.col("lat").alias("s_lat"), F.col("lng").alias("s_lng"))
-    km = proximity.nearest_site(near.select(F.col("id").alias("key"), F.col("center_lat").alias("lat"), F.col("center_lng").alias("lng")), sites)
-    return near.join(km, F.col("id") == F.col("key"), "left").select("id", "distance_km", F.round("km", 1).alias("camp_km"))
+    points = near.select(F.col("id").alias("key"), F.col("center_lat").alias("lat"), F.col("center_lng").alias("lng"), "distance_km")
+    return proximity.nearest_site(points, sites).select(F.col("key").alias("id"), "distance_km", F.round("km", 1).alias("camp_km"))
 
 
 @query("thin_vertices", "SELECT id, count(*) AS n, round(sum(min_lat+round_even(i*steps/19.0,0)/1024.0::DOUBLE),6) AS sum_lat FROM (SELECT *, unnest(range(0,20)) AS i FROM trails WHERE steps+1>20) GROUP BY 1", "trails")

@@ -1,6 +1,6 @@
 """Materialised tables of the benchmark views: built once for each state of their source files, then read by version.
 
-places: camps, trails and land along a curve. points: observations along it. sightings: observations by day. seasons: phenology, regions, and daily counts in order of days.
+places: camps, trails or land along a curve. points: observations along it. sightings: observations by day. seasons: phenology, regions, and daily counts in order of days.
 """
 
 from __future__ import annotations
@@ -19,21 +19,20 @@ def _root(spark: SparkSession, sf_dir: str, name: str) -> str:
     return f"{shared_dir(spark)}/sylvan-store/{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}/{name}"
 
 
-def places(spark: SparkSession, sf_dir: str, rows_per_file: int = 1_000_000) -> str:
-    """The folder of the current camps, trails and land."""
-    mark = mark_of(spark, *[f"{sf_dir}/{t}.parquet" for t in ("supplier", "part", "customer")])
+#: Tables of places: the source of each, and the columns that bound its rows.
+PLACES = {"camps": ("supplier", layout.POINT), "trails": ("part", layout.EXTENT), "land": ("customer", layout.EXTENT)}
 
-    def build(folder: str) -> None:
-        layout.write(views.camps(spark, sf_dir), f"{folder}/camps", layout.POINT, rows_per_file)
-        layout.write(views.trails(spark, sf_dir), f"{folder}/trails", layout.EXTENT, rows_per_file)
-        layout.write(views.land(spark, sf_dir), f"{folder}/land", layout.EXTENT, rows_per_file)
 
-    return refreshed(spark, _root(spark, sf_dir, f"places-{rows_per_file}"), mark, build)
+def places(spark: SparkSession, sf_dir: str, name: str = "camps", rows_per_file: int = 1_000_000) -> str:
+    """The folder of the current camps, trails or land: a version each, so that a search builds no other one than its own."""
+    source, by = PLACES[name]
+    mark = mark_of(spark, f"{sf_dir}/{source}.parquet")
+    return refreshed(spark, _root(spark, sf_dir, f"{name}-{rows_per_file}"), mark, lambda folder: layout.write(getattr(views, name)(spark, sf_dir), f"{folder}/{name}", by, rows_per_file))
 
 
 def place_table(spark: SparkSession, sf_dir: str, name: str, lat: float, lng: float, radius_km: float) -> DataFrame:
     """camps, trails or land: the files that a search can need."""
-    return layout.near(spark, f"{places(spark, sf_dir)}/{name}", lat, lng, radius_km)
+    return layout.near(spark, f"{places(spark, sf_dir, name)}/{name}", lat, lng, radius_km)
 
 
 def points(spark: SparkSession, sf_dir: str, rows_per_file: int = 1_000_000) -> str:

@@ -54,6 +54,19 @@ def test_nearest_site_meets_few_sites_and_finds_the_nearest(spark):
     assert "Generate" not in plan  # rows that Spark's sizes do not count, and so broadcasts
 
 
+def test_nearest_site_reads_points_few_times(spark, tmp_path):
+    some = [(k, *((None, 1.0) if k % 10 == 0 else (40.0 + k % 7, -120.0 + k % 3)), f"n{k}") for k in range(200)]  # 21 places
+    spark.createDataFrame(some, "key int, lat double, lng double, name string").write.parquet(f"{tmp_path}/points")
+    sites = spark.createDataFrame([(k, 40.0 + k / 9, -119.5) for k in range(60)], "site int, s_lat double, s_lng double")
+    points = spark.read.parquet(f"{tmp_path}/points")
+    rows = proximity.nearest_site(points, sites)
+    got = {r["key"]: (r["name"], r["km"]) for r in rows.collect()}
+    pairs = points.crossJoin(sites).groupBy("key", "name").agg(F.min(geo.haversine_km("lat", "lng", "s_lat", "s_lng")).alias("km"))
+    assert got == {r["key"]: (r["name"], r["km"]) for r in pairs.collect()} and len(got) == 200
+    made = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert made.count("FileScan parquet") <= 3  # not once for each level of cells
+
+
 @pytest.mark.parametrize("name", ["trails_nearest_camp", "trails_near_with_camp"])
 def test_nearest_camps_broadcast_cells_alone(spark, name):
     made = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()

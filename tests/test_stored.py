@@ -75,6 +75,14 @@ def test_versions_are_built_once_for_each_state_of_the_sources(spark, tmp_path):
     assert spark.read.parquet(f"{second}/camps").count() == views.camps(spark, d).count() > spark.read.parquet(f"{first}/camps").count()
 
 
+def test_a_search_builds_its_own_table_alone(spark, tmp_path):
+    for t in ("supplier", "part"):  # and no customer, of which land is made
+        shutil.copyfile(f"/root/testdata/sf0.001/{t}.parquet", tmp_path / f"{t}.parquet")
+    d, near = f"file://{tmp_path}", catalog.queries()["trails_near_with_camp"]
+    assert sorted(map(str, near(spark, d).collect())) == sorted(map(str, near(spark, "/root/testdata/sf0.001").collect()))
+    assert versions.current(spark, stored._root(spark, d, "trails-1000000")) and versions.current(spark, stored._root(spark, d, "camps-1000000")) is None
+
+
 def test_published_tables_equal_a_fresh_build(spark):
     rows = views.line_observations(spark, SF)
     for name, build in (("phenology", phenology.build_phenology), ("regions", phenology.build_regions), ("daily", phenology.build_daily)):
